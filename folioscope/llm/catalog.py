@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import packing, quality, simhash
+from folioscope.llm import mixing, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_simhash": simhash.op2_simhash,
+        "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,
     }
 
