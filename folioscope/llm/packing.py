@@ -31,17 +31,15 @@ CAPACITY = 4096
 END = 1
 #: Pieces packed together.
 GROUP = 1 << 15
-#: Words whose ids a worker remembers in each of two halves; beyond, the older half goes.
-REMEMBERED = 300_000
+#: Parts whose ids a worker remembers in each of two halves; beyond, the older half goes.
+REMEMBERED = 800_000
 #: With these in it a text is encoded whole: separators on which the libraries differ.
 _UNCLEAR = "\x1c\x1d\x1e\x1f"
-#: Words for which lower case and the tokenizer's parts are beyond doubt: printable ASCII and Latin-1 letters.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Texts for which lower case and the tokenizer's parts are beyond doubt: printable ASCII, blanks and Latin-1 letters.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 #: Stands for the end of a word; no UTF-8 text holds it.
 _WORD_END = b"\xff"
-#: Documents encoded together.
-DOCS = 200
 #: Rounds of the local search over the underfull bins of a group.
 ROUNDS = 12
 #: Underfull bins that one bin is held against in a round.
@@ -80,13 +78,35 @@ def word_merger(path: str):
     return tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
+class Remembered(dict):
+    """Ids of the parts of words, worked out when first asked for; parts still in use come over from the older half."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work, self.older = work, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.work(part)
+        self[part] = ids
+        return ids
+
+    def shrink(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its blank-separated words in turn; words come back often and
-    are remembered. Texts with separators on which the two libraries disagree
-    are given to the tokenizer whole.
+    The tokenizer drops white space and merges only within parts of words, so
+    a text's ids are those of its parts in turn; parts come back often and are
+    remembered. Texts of printable ASCII and Latin-1 letters, for which lower
+    case and the parts are beyond doubt, are cut here and merged by the faster
+    library; others go word by word through the tokenizer itself, and whole
+    where they hold separators on which the two libraries differ.
     """
 
     def __init__(self, path: str):
@@ -97,39 +117,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.merge = word_merger(path)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Plain words go through the same merges in the faster library, all others through the tokenizer itself."""
-        merge, rest = self.merge, []
-        for word in words:
-            if _PLAIN.fullmatch(word):
-                ids = array("I")
-                for part in _PARTS.findall(word.lower()):
-                    ids.extend(merge(part.encode() + _WORD_END))
-                self.known[word] = ids.tobytes()
-            else:
-                rest.append(word)
-        if rest:
-            self.known.update(zip(rest, self._ids(rest), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in _UNCLEAR) else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:  # words still in use come over from the older half
-            self.older, self.known = self.known, {}
-        new = set().union(*[w for w in split if w is not None]).difference(self.known)
-        if self.older:
-            kept = new & self.older.keys()
-            self.known.update((w, self.older[w]) for w in kept)
-            new -= kept
-        self._learn(list(new))
-        of = self.known.__getitem__
-        return [self._ids([t])[0] if w is None else b"".join(map(of, w)) for t, w in zip(texts, split, strict=True)]
+        merge = word_merger(path)
+        self.parts = Remembered(lambda part: array("I", merge(part.encode() + _WORD_END)).tobytes())
+        self.words = Remembered(self.whole)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+        if any(c in text for c in _UNCLEAR):
+            return self.whole(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+    def shrink(self) -> None:
+        self.parts.shrink()
+        self.words.shrink()
 
 
 @lru_cache(maxsize=2)
@@ -142,16 +146,15 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     end = np.array([END], dtype="<u4").tobytes()
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary).encode
+        known = encoder(vocabulary)
         for part in parts:
             rows = []
-            for first in range(0, len(part), DOCS):
-                some = part.iloc[first : first + DOCS]
-                for doc, whole in zip(some["doc_id"], encode([t or "" for t in some["text"]]), strict=True):
-                    ids = memoryview(whole + end)
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
+            for doc, text in zip(part["doc_id"], part["text"], strict=True):
+                ids = memoryview(known.encode(text or "") + end)
+                known.shrink()
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[at : at + 4 * capacity]
+                    rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
@@ -241,7 +244,9 @@ def _step(giver: list[int], taker: list[int], sizes: list[int], room: int) -> tu
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece."""
-    bins = improve(best_fit(lengths, capacity), lengths, capacity)
+    bins = best_fit(lengths, capacity)
+    if len(bins) > -(-int(lengths.sum()) // capacity):  # else no packing has fewer
+        bins = improve(bins, lengths, capacity)
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for k, b in enumerate(bins):
         at = 0
