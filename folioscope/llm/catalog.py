@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import mixing, packing, pii, quality, sharding, simhash
+from folioscope.llm import mixing, packing, pii, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_simhash": simhash.op2_simhash,
         "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,
+        "op6_warc": warc.op6_warc,
         "op7_pii": pii.op7_pii,
         "op8_sharding": sharding.op8_sharding,
     }
