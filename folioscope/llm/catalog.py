@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import mixing, packing, pii, quality, sharding, simhash, warc
+from folioscope.llm import lattice, mixing, packing, pii, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op6_warc": warc.op6_warc,
         "op7_pii": pii.op7_pii,
         "op8_sharding": sharding.op8_sharding,
+        "op10_lattice": lattice.op10_lattice,
     }
 
 
