@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import lattice, mixing, packing, pii, quality, sharding, simhash, warc
+from folioscope.llm import flac, lattice, mixing, packing, pii, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_simhash": simhash.op2_simhash,
+        "op3_flac": flac.op3_flac,
         "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,
         "op6_warc": warc.op6_warc,
