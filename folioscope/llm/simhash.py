@@ -231,8 +231,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays; of repeated rows one, the smallest text first."""
+    """Pipeline stage: of each component the row with the smallest doc_id stays; of rows that repeat a doc_id that with the smallest text."""
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
     found = near_duplicates(docs)
-    stays = found.where("doc_id = component_id or component_id is null").select("doc_id", "component_id").distinct()
-    kept = docs.join(stays.select(F.col("doc_id").alias("_stays")), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
+    stays = found.groupBy(F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("_first")).where("_first")
+    kept = docs.select(*cols).join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")))
+    repeated = kept.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct(*cols[1:])).alias("_row")).select("doc_id", *[F.col(f"_row.{c}") for c in cols[1:]])
+    return kept.where("_n = 1").select(*cols).union(repeated)
