@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import flac, lattice, mixing, packing, pii, quality, sharding, simhash, warc
+import corpus_pipeline
+from folioscope.llm import flac, lattice, licences, mixing, packing, pii, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +22,9 @@ def queries() -> dict[str, Query]:
         "op6_warc": warc.op6_warc,
         "op7_pii": pii.op7_pii,
         "op8_sharding": sharding.op8_sharding,
+        "op9_licences": licences.op9_licences,
         "op10_lattice": lattice.op10_lattice,
+        "pipeline": corpus_pipeline.run,
     }
 
 
