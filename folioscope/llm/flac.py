@@ -350,12 +350,13 @@ def parse_header(data: bytes, at: int, info: Info) -> tuple[int, int, int, int,
 
 def frame_places(data: bytes, info: Info) -> list[tuple[int, int]]:
     """(start, end) of each frame, found by sync codes whose headers pass their check and go on with the numbering."""
-    starts, at, expected = [], info.first, 0
+    starts, at, expected, variable = [], info.first, 0, None
     while at < len(data):
         found = parse_header(data, at, info)
-        if found and (found[5] or found[3] == expected):
+        if found and variable in (None, found[5]) and found[3] == expected:
             starts.append(at)
-            expected += 1
+            variable = found[5]
+            expected += found[0] if variable else 1
             at = data.find(b"\xff", at + 6)
         else:
             if not starts:
@@ -366,6 +367,15 @@ def frame_places(data: bytes, info: Info) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(data)], strict=True))
 
 
+def decode_in_turn(data: bytes, info: Info) -> np.ndarray:
+    """Samples of the first channel, frame by frame: each tells where it ends, so nothing within it can pass for a header."""
+    at, out = info.first, []
+    while at < len(data):
+        x, at = decode_frame(data, at, info)
+        out.append(x[0])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def decode_frame(data: bytes, at: int, info: Info) -> tuple[np.ndarray, int]:
     """Samples (channels x block) of any frame and the place after it; checks both CRCs."""
     found = parse_header(data, at, info)
@@ -524,6 +534,7 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
     infos = [Info(s) for s in streams]
     work = [(i, a, b) for i, (s, info) in enumerate(zip(streams, infos, strict=True)) for a, b in frame_places(s, info)]
     parts: list[list[np.ndarray]] = [[] for _ in streams]
+    doubtful: set[int] = set()  # a frame fails its check: damage, or bytes within it that look like a header
     for at in range(0, len(work), FRAMES):
         some = work[at : at + FRAMES]
         raw = b"".join(streams[i][a:b] for i, a, b in some)
@@ -542,10 +553,14 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
         row = dict(zip(fast.tolist(), range(len(fast)), strict=True))
         for f, (i, a, _) in enumerate(some):
             r = row.get(f)
-            if r is None or odd[r]:
+            if not whole[f]:
+                doubtful.add(i)
+            elif r is None or odd[r]:
                 parts[i].append(decode_frame(streams[i], a, infos[i])[0][0])
             else:
                 parts[i].append(x[r])
+    for i in doubtful:
+        parts[i] = [decode_in_turn(streams[i], infos[i])]
     out = []
     for info, own in zip(infos, parts, strict=True):
         samples = np.concatenate(own) if own else np.zeros(0, np.int32)
