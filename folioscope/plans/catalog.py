@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.plans import corpus, tenant
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return tenant.QUERIES | corpus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return tenant.ORACLE | corpus.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return corpus.page_scorecard(spark, sf_dir)
