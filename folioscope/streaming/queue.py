@@ -44,8 +44,12 @@ def requeue(failed: DataFrame, count: str, now: Column, most: int = 3) -> DataFr
     return again.withColumn("not_before", F.timestamp_seconds(F.unix_timestamp(now) + F.pow(F.lit(2), F.col(count)).cast("long")))
 
 
-def limited(hits: DataFrame, key: str, at: str, limit: int, window: float, idle_ms: int = 600_000) -> DataFrame:
-    """Sliding-log admission as a stateful stream; a key's state goes after it has been idle."""
+def limited(hits: DataFrame, key: str, at: str, limit: int, window: float, idle_ms: int | None = None) -> DataFrame:
+    """Sliding-log admission as a stateful stream.
+
+    With idle_ms a key's state goes once it has been idle so long; that asks
+    for a query that keeps running, as its timer makes batches for ever.
+    """
     schema = f"{key} {hits.schema[key].dataType.simpleString()}, {at} double, allowed boolean, remaining int"
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,6 +64,7 @@ def limited(hits: DataFrame, key: str, at: str, limit: int, window: float, idle_
             out = [log.hit(t) for t in times]
             yield pd.DataFrame({key: k[0], at: times, "allowed": [o[0] for o in out], "remaining": [o[1] for o in out]})
         state.update((list(log.kept),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return hits.groupBy(key).applyInPandasWithState(fold, schema, "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy(key).applyInPandasWithState(fold, schema, "kept array<double>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
