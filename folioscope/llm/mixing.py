@@ -79,9 +79,9 @@ def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     rows alike in all columns comes first can't be told. An empty table gives
     an empty result. Columns named in `carry` come back too.
     """
-    carry = carry or []
+    carry = [c for c in carry or [] if c not in ("doc_id", "size")]
     key = -F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text"))
-    base = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("mark"), *carry), "mix")
+    base = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("mark"), *[c for c in carry if c != "source"]), "mix")
     # P(key <= k) is at most 1 - exp(-k), so this deals keys to buckets in their order and about evenly
     base = base.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
     buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("sum_size"))
