@@ -299,3 +299,65 @@ def state_sequence_fold(s, d):
 def label_share(s, d):
     own = load(s, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     return own.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query("SELECT c_custkey, 'dev-' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS identity FROM (SELECT c_custkey, sha1(unhex('6f1a1a4e5f9e4a2c9d1b2f0f0f2c9d10') || encode(lower(trim(c_name)))) AS h FROM customer)")
+def identity_uuid(s, d):
+    from folioscope.operators.accounts import local_identity
+
+    return load(s, d, "customer").select("c_custkey", local_identity(F.col("c_name")).alias("identity"))
+
+
+@query(f"SELECT c.project_id AS subject, CASE WHEN u.project_id IS NULL THEN 'provisioned' WHEN u.project_id % 5 <> 0 THEN 'known' ELSE 'refused' END AS outcome FROM {P} c LEFT JOIN (SELECT project_id FROM {P} WHERE project_id % 2 = 0) u USING (project_id)")
+def identity_resolve(s, d):
+    from folioscope.operators.accounts import resolve
+
+    p = _projects(s, d).select(F.col("project_id").alias("subject"), F.col("name").alias("email"))
+    users = p.where("subject % 2 = 0").withColumn("is_active", F.col("subject") % 5 != 0)
+    return resolve(p.union(p), users).select("subject", "outcome")
+
+
+@query(f"SELECT project_id, plan, CAST(CASE plan WHEN 'pro' THEN 200 WHEN 'agency' THEN 1000 WHEN 'enterprise' THEN 100000 ELSE 10 END AS BIGINT) AS credit_limit FROM (SELECT project_id, CASE WHEN project_id % 4 = 0 THEN 'enterprise' WHEN project_id % 4 = 1 THEN 'unknown' ELSE plan END AS plan FROM {U})")
+def plan_change(s, d):
+    from folioscope.operators.accounts import change_plan
+
+    u = _used(_projects(s, d)).select("project_id", "plan", "credit_limit")
+    new = u.where("project_id % 4 < 2").select("project_id", F.when(F.col("project_id") % 4 == 0, "enterprise").otherwise("unknown").alias("plan"))
+    return change_plan(u, new, "project_id").select("project_id", "plan", F.col("credit_limit").cast("long").alias("credit_limit"))
+
+
+@query("SELECT event_id, CAST(user_id % 600 AS BIGINT) AS status, round(value * 1000, 2) AS duration_ms, CASE WHEN user_id % 600 >= 500 THEN 'warning' ELSE 'info' END AS level FROM events WHERE event_type <> 'view'")
+def request_log(s, d):
+    from folioscope.operators.accounts import request_log as log
+
+    e = load(s, d, "events")
+    path = F.when(F.col("event_type") == "view", "/health").otherwise(F.concat(F.lit("/"), "event_type"))
+    logged = log(e.select(path.alias("path"), (F.col("user_id") % 600).alias("status"), F.col("value").alias("seconds"), F.col("event_id").cast("string").alias("client"), "props").withColumnRenamed("props", "agent"))
+    return logged.select(F.col("client").cast("long").alias("event_id"), "status", "duration_ms", "level")
+
+
+@query("SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*') NOT IN (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') FROM pages WHERE page_id % 5 = 0) AS created FROM pages")
+def project_get_or_create(s, d):
+    from folioscope.functions.urls import origin
+    from folioscope.operators.accounts import get_or_create
+
+    p = load(s, d, "pages").select("page_id", origin(F.col("url")).alias("origin"))
+    return get_or_create(p, p.where("page_id % 5 = 0"), ["origin"])
+
+
+@query()
+def ingest_documents(s, d):
+    from folioscope.operators import ingest
+
+    docs = load(s, d, "documents")
+    chunks = ingest.chunk_rows(docs, "doc_id", "text")
+    return ingest.counts(ingest.attach(chunks, ingest.vectors_of(ingest.pending(chunks))), "doc_id")
+
+
+@query()
+def reingest_documents(s, d):
+    from folioscope.operators import ingest
+
+    docs = load(s, d, "documents")
+    chunks = ingest.chunk_rows(docs, "doc_id", "text")
+    return ingest.counts(ingest.reingest(chunks, ingest.chunk_rows(docs.where("doc_id % 10 = 0"), "doc_id", "text"), "doc_id"), "doc_id")
