@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import WORD, drop_stored, stored, table
+from folioscope.llm._common import WORD, stored, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)

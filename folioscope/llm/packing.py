@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import drop_stored, stored, table
+from folioscope.llm._common import stored, table
 
 CAPACITY = 4096
 #: The id that ends a document.

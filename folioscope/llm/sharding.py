@@ -23,7 +23,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import drop_stored, stored, table
+from folioscope.llm._common import stored, table
 
 SHARDS = 24
 #: Bytes that each record has besides its text.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm._common import components, drop_stored, stored, table
+from folioscope.llm._common import components, stored, table
 
 SHINGLE = 3
 SEED = 42

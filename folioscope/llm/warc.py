@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm._common import drop_stored, fresh_path, stored, table
+from folioscope.llm._common import fresh_path, stored, table
 
 #: Payloads of fewer bytes are never revisited.
 LEAST_BYTES = 100
