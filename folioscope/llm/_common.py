@@ -63,6 +63,20 @@ def drop_stored(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def hash_sample(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most `most` rows of df, by a hash of its key columns and so the same at each run.
+
+    Rows are thinned out where they are, by their number, so that what meets
+    in one task to be cut exactly is about `most` rows whatever df's size.
+    """
+    n = df.count()
+    mark = F.xxhash64(*key)
+    if n > most:
+        share = (most + 4 * most**0.5) / n
+        df = df.where(mark.bitwiseAND(F.lit((1 << 52) - 1)) < int(share * (1 << 52)))
+    return df.orderBy(mark, *key).limit(most)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long) as (node, component): the smallest node reachable.
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import table
+from folioscope.llm._common import hash_sample, table
 
 #: At most so many labelled rows are fitted.
 SAMPLE = 12_000
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     lowest quality counts; a label of another value than 0 and 1 is ignored.
     """
     rows = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # bounded by SAMPLE rows of two numbers: fit to broadcast
+    rows = hash_sample(rows, SAMPLE, "doc_id")  # SAMPLE rows of two numbers at most: fit to broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -483,3 +483,12 @@ def test_pipeline_stages_by_brute_force(spark, docs):
     counts = mixed.toPandas().doc_id.value_counts()
     assert counts.to_dict() == times[times > 0].to_dict()
     assert stages["packing"](spark, mixed, SMALL).toPandas().query("piece == 0").shape[0] == counts.sum()
+
+
+def test_hash_sample_is_bounded_and_steady(spark):
+    from folioscope.llm._common import hash_sample
+
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    got = [r.k for r in hash_sample(df, 500, "k").collect()]
+    assert 450 <= len(got) <= 500 and got == [r.k for r in hash_sample(df.repartition(7), 500, "k").collect()]
+    assert hash_sample(df.limit(30), 500, "k").count() == 30 and hash_sample(df.limit(0), 5, "k").count() == 0
