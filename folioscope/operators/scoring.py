@@ -43,6 +43,13 @@ def evidence_score(counts: dict[str, Column], n_words: Column) -> Column:
     return F.when(n_words > 0, tx.clamp(out)).otherwise(0.0)
 
 
+def with_evidence(df: DataFrame, text: Column, n_words: Column | None = None) -> tuple[DataFrame, dict[str, Column], Column]:
+    """df with the counts and the words as columns, and those columns: the patterns run once for each text, however often a score names them."""
+    counts = evidence_counts(text)
+    out = df.select("*", *[c.alias(f"_n_{n}") for n, c in counts.items()], (tx.word_count(text) if n_words is None else n_words).alias("_words"))
+    return out, {n: F.col(f"_n_{n}") for n in counts}, F.col("_words")
+
+
 def flag(value: Column) -> Column:
     return F.coalesce(value, F.lit(False))
 
@@ -108,9 +115,9 @@ def score_pages(pages: DataFrame) -> DataFrame:
 
     read = pages.select("page_id", "url", tx.json_ld_types(F.col("html")).alias("json_ld"), hx.read_page(F.col("html"), F.col("url")).alias("p"))
     checks = technical_checks(F.col("url"), F.coalesce(F.col("p.canonical_url"), F.lit("")) != "", F.col("p.meta_description").isNotNull(), F.size("json_ld") > 0, hx.headings_valid(F.col("p.headings")), F.col("p.sitemap_url").isNotNull(), F.col("p.lang").isNotNull(), F.col("p.viewport").isNotNull(), F.lit(None).cast("int"))
-    counts = evidence_counts(F.col("p.markdown"))
+    read, counts, n_words = with_evidence(read, F.col("p.markdown"), F.col("p.word_count"))
     parts = machine_parts(hx.headings_valid(F.col("p.headings")) & F.regexp_like("p.markdown", F.lit(tx.HEADING)), F.col("p.has_lists"), F.col("p.has_tables"), F.col("p.avg_paragraph_words"), F.col("p.boilerplate_ratio"), hx.semantic_score(F.col("p.semantic_tags")), F.size("json_ld") > 0)
-    scored = read.select("page_id", "url", F.col("p.title").alias("title"), F.col("p.word_count").alias("words"), technical_score(checks).alias("technical"), evidence_score(counts, F.col("p.word_count")).alias("evidentiary"), machine_score(parts).alias("machine"), F.lit(None).cast("double").alias("semantic"), *[c.alias(f"_{n}") for n, c in checks.items()])
+    scored = read.select("page_id", "url", F.col("p.title").alias("title"), F.col("p.word_count").alias("words"), technical_score(checks).alias("technical"), evidence_score(counts, n_words).alias("evidentiary"), machine_score(parts).alias("machine"), F.lit(None).cast("double").alias("semantic"), *[c.alias(f"_{n}") for n, c in checks.items()])
     own = {n: F.col(n) for n in ("technical", "semantic", "evidentiary", "machine")}
     made = composite(own)
     return scored.select("page_id", "url", "title", "words", *[F.round(n, 6).alias(n) for n in ("technical", "evidentiary", "machine")], F.round(made["pcs"], 6).alias("pcs"), F.array_join(made["missing"], ",").alias("missing"), explanation({n: F.col(f"_{n}") for n in checks}, own, made).alias("explanation"))

@@ -107,8 +107,8 @@ def markdown_shape_flags(s, d):
 
 @query(r"SELECT doc_id, round(CASE WHEN w > 0 THEN c * 100.0::DOUBLE / w ELSE 0 END, 6) AS per_100, round(least(greatest(CASE WHEN w > 0 THEN c * 100.0::DOUBLE / w ELSE 0 END / 4.0::DOUBLE, 0), 1), 6) AS saturated FROM (SELECT doc_id, " + WORDS + r" AS w, len(regexp_extract_all(text, ',')) AS c FROM documents)")
 def per_100_saturate(s, d):
-    rate = tx.per_100(F.regexp_count("text", F.lit(",")), tx.word_count(F.col("text")))
-    return load(s, d, "documents").select("doc_id", F.round(rate, 6).alias("per_100"), F.round(tx.saturate(rate, 4.0), 6).alias("saturated"))
+    rate = tx.per_100(F.col("n"), F.col("w"))
+    return load(s, d, "documents").select("doc_id", F.regexp_count("text", F.lit(",")).alias("n"), tx.word_count(F.col("text")).alias("w")).select("doc_id", F.round(rate, 6).alias("per_100"), F.round(tx.saturate(rate, 4.0), 6).alias("saturated"))
 
 
 _EVIDENCE_SQL = {
@@ -124,7 +124,8 @@ def evidence_counts(s, d):
 
 @query("SELECT doc_id, round(CASE WHEN w > 0 THEN " + " + ".join(f"{w}::DOUBLE * least(greatest({_EVIDENCE_SQL[k]} * 100.0::DOUBLE / w / {sc.EVIDENCE_TARGETS[k]}::DOUBLE, 0), 1)" for k, w in sc.EVIDENCE.items()) + f" ELSE 0 END, 6) AS score FROM (SELECT doc_id, text, {WORDS} AS w FROM documents)")
 def evidence_score(s, d):
-    return load(s, d, "documents").select("doc_id", F.round(sc.evidence_score(sc.evidence_counts(F.col("text")), tx.word_count(F.col("text"))), 6).alias("score"))
+    docs, counts, n_words = sc.with_evidence(load(s, d, "documents").select("doc_id", "text"), F.col("text"))
+    return docs.select("doc_id", F.round(sc.evidence_score(counts, n_words), 6).alias("score"))
 
 
 # --- urls ------------------------------------------------------------------
