@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm._common import components, stored, table
+from folioscope.llm.jaccard import near_copies
 
 SHINGLE = 3
 SEED = 42
@@ -231,9 +232,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays; of rows that repeat a doc_id that with the smallest text."""
+    """Pipeline stage: of each component of near copies (jaccard.py) the row with the smallest doc_id stays; of rows that repeat a doc_id that with the smallest text."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    found = near_duplicates(docs)
+    rows, made = near_copies(docs)
+    marks = stored(rows.join(made, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group")), "marks")
+    found = marks.join(marks.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group")
     stays = found.groupBy(F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("_first")).where("_first")
     kept = docs.select(*cols).join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")))
     repeated = kept.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct(*cols[1:])).alias("_row")).select("doc_id", *[F.col(f"_row.{c}") for c in cols[1:]])

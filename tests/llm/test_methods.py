@@ -492,3 +492,27 @@ def test_hash_sample_is_bounded_and_steady(spark):
     got = [r.k for r in hash_sample(df, 500, "k").collect()]
     assert 450 <= len(got) <= 500 and got == [r.k for r in hash_sample(df.repartition(7), 500, "k").collect()]
     assert hash_sample(df.limit(30), 500, "k").count() == 30 and hash_sample(df.limit(0), 5, "k").count() == 0
+
+
+def test_near_copies_by_brute_force(spark):
+    """Components at 5-word Jaccard 0.8, which 2 bits of a fingerprint hardly ever reach."""
+    from folioscope.llm import jaccard
+
+    draw = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(60):
+        base = draw.choice(vocabulary, 200).tolist()
+        texts.append(" ".join(base))
+        for changes in (1, 3, 4, 5, 8, 40):
+            copy = list(base)
+            for at in draw.choice(200, changes, replace=False):
+                copy[at] = "other"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = [(i, j) for k in range(60) for i in range(7 * k, 7 * k + 7) for j in range(7 * k, i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = {texts[c] for c in set(brute_components(len(texts), links))}
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.text for r in simhash.keep_one_of_each(spark, frame, SMALL).collect()}
+    assert want <= got and len(got) <= len(want) + 3  # candidates at 0.8 itself are found with probability 0.997
+    assert len(want) < 0.6 * len(texts) and jaccard.LEAST == (4, 5)
