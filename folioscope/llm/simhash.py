@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm._common import components, stored, table
-from folioscope.llm.jaccard import near_copies
+from folioscope.llm.jaccard import near_copies, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -232,12 +232,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near copies (jaccard.py) the row with the smallest doc_id stays; of rows that repeat a doc_id that with the smallest text."""
+    """Pipeline stage: of each component of near copies (jaccard.py) exactly one row stays.
+
+    It is the one with the smallest doc_id, null only where no row has one; of
+    several such rows that with the smallest text, then the other columns.
+    """
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     rows, made = near_copies(docs)
-    marks = stored(rows.join(made, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group")), "marks")
-    found = marks.join(marks.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group")
-    stays = found.groupBy(F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("_first")).where("_first")
-    kept = docs.select(*cols).join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")))
-    repeated = kept.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct(*cols[1:])).alias("_row")).select("doc_id", *[F.col(f"_row.{c}") for c in cols[1:]])
+    marks = stored(rows.join(made, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("_group")), "marks")
+    number = marks.groupBy("_group", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    lowest = number.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("low")).select(F.col("_group").alias("_of"), F.col("low.doc_id").alias("_low"), F.col("low.n").alias("_n"))
+    stays = marks.join(lowest, (F.col("_group") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_low"))).select("_group", "_low", F.col("key").alias("_stays"), "_n").distinct()
+    kept = docs.select(*cols, text_key().alias("_text")).join(stays, F.col("doc_id").eqNullSafe(F.col("_low")) & (F.col("_text") == F.col("_stays")))
+    repeated = kept.where("_n > 1").groupBy("_group").agg(F.min(F.struct("text", "doc_id", *cols[2:])).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in cols])
     return kept.where("_n = 1").select(*cols).union(repeated)

@@ -516,3 +516,12 @@ def test_near_copies_by_brute_force(spark):
     got = {r.text for r in simhash.keep_one_of_each(spark, frame, SMALL).collect()}
     assert want <= got and len(got) <= len(want) + 3  # candidates at 0.8 itself are found with probability 0.997
     assert len(want) < 0.6 * len(texts) and jaccard.LEAST == (4, 5)
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null ids and ids with several texts lose no component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    made = [(None, a), (None, b), (None, b), (1, c), (None, c), (2, c), (2, "zz " + "other text entirely " * 3), (3, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one_of_each(spark, frame, SMALL).collect()))
+    assert got == sorted([(0, a), (0, b), (1, c), (2, made[6][1]), (3, "")])
