@@ -33,8 +33,8 @@ END = 1
 GROUP = 1 << 15
 #: Parts whose ids a worker remembers in each of two halves; beyond, the older half goes.
 REMEMBERED = 800_000
-#: With these in it a text is encoded whole: separators on which the libraries differ.
-_UNCLEAR = "\x1c\x1d\x1e\x1f"
+#: With these in it a text is encoded whole: separators on which the libraries differ, and what added tokens begin with.
+_UNCLEAR = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Texts for which lower case and the tokenizer's parts are beyond doubt: printable ASCII, blanks and Latin-1 letters.
 _PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
@@ -106,7 +106,8 @@ class Encoder:
     remembered. Texts of printable ASCII and Latin-1 letters, for which lower
     case and the parts are beyond doubt, are cut here and merged by the faster
     library; others go word by word through the tokenizer itself, and whole
-    where they hold separators on which the two libraries differ.
+    where they hold separators on which the two libraries differ or what may
+    be an added token (all of them begin with "<|").
     """
 
     def __init__(self, path: str):
@@ -116,7 +117,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         merge = word_merger(path)
         self.parts = Remembered(lambda part: array("I", merge(part.encode() + _WORD_END)).tobytes())
         self.words = Remembered(self.whole)
@@ -125,10 +125,10 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
         if any(c in text for c in _UNCLEAR):
             return self.whole(text)
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
         return b"".join(map(self.words.__getitem__, text.split()))
 
     def shrink(self) -> None:

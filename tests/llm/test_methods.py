@@ -242,6 +242,15 @@ def test_encoder_equals_tokenizer(text):
     assert e.encode(text) == e.whole(text)
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|startoftext|>x", "A<|EndOfText|>b é", "a <| b |> c", "ж<|endoftext|>ж <|endoftext|", "<|endoftext|>"])
+def test_encoder_takes_added_tokens_as_the_file_does(text):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(packing.default_vocabulary())
+    assert all(t.content.startswith("<|") for t in fresh.get_added_tokens_decoder().values())
+    assert np.frombuffer(packing.encoder(packing.default_vocabulary()).encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
 def test_local_search_empties_bins():
     lengths = np.array([6, 5, 5, 4, 4, 3, 3])
     bins = packing.improve([[0, 5], [1, 6], [2, 3], [4]], lengths, 10)
