@@ -8,9 +8,11 @@ the shared folder, written and read by Spark alone.
 The reader checks each member (its deflate data, CRC and length) and each
 record (version line, headers, length, closing lines, block and payload
 digests). After a failed check it searches for the next valid member, or in
-plain archives for the next version line, goes on from there, and logs the
-bytes between as a quarantined gap. Nothing after a damaged place is lost but
-the records that the damage touches.
+plain archives and in a member's inflated bytes for the next version line,
+goes on from there, and logs the bytes between as a quarantined gap. Of a
+member with broken deflate data the records before the fault are kept. What
+follows such a fault in the same member depends on it and can't be inflated;
+otherwise nothing is lost but the records that the damage touches.
 """
 
 from __future__ import annotations
@@ -119,28 +121,65 @@ def _record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, block, stop + 4
 
 
+def _records_in(raw: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """Records (headers, block) of a member's inflated bytes and the gaps among them (start, end, reason), places in those bytes."""
+    own: list[tuple[dict[str, str], bytes]] = []
+    gaps: list[tuple[int, int, str]] = []
+    place, bad = 0, None
+    while place < len(raw):
+        try:
+            head, block, after = _record_at(raw, place)
+        except Damaged as e:
+            bad = bad or (place, str(e))
+            place = raw.find(b"WARC/", place + 1)
+            if place < 0:
+                break
+            continue
+        if bad:
+            gaps.append((bad[0], place, bad[1]))
+            bad = None
+        own.append((head, block))
+        place = after
+    if bad:
+        gaps.append((bad[0], len(raw), bad[1]))
+    return own, gaps
+
+
 def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
     """Records (place, headers, block) of an archive and its gaps (start, end, reason), places in the stored bytes.
 
     Takes archives of gzip members, plain ones, and mixtures. An empty archive
-    has neither records nor gaps.
+    has neither records nor gaps. A gap within a member that inflates whole is
+    logged with the member's place; its reason names the inflated bytes. What
+    was inflated before a member's fault is searched for records in the same
+    way, and the gap goes from the member's start to the next valid place.
     """
     found: list[tuple[int, dict[str, str], bytes]] = []
     gaps: list[tuple[int, int, str]] = []
     at, size = 0, len(data)
     bad: tuple[int, str] | None = None
     view = memoryview(data)
+    saved: list[tuple[dict[str, str], bytes]] = []  # from before a member's fault, which its stored bytes may show once more
+    fault = 0
     while at < size:
+        inner: list[tuple[int, int, str]] = []
         try:
             if data[at : at + 3] == MAGIC:
-                raw, after = _inflate(view, at)
-                own, place = [], 0
-                while place < len(raw):
-                    head, block, place = _record_at(raw, place)
-                    own.append((at, head, block))
+                raw, after, reason = _inflate(view, at)
+                records, inner = _records_in(raw)
+                if reason:
+                    # a member of one record stands or falls with its own check; of several, those that pass theirs are kept
+                    records = records if inner or len(records) > 1 else []
+                    if records:
+                        found += [(at, *r) for r in records if r not in saved]
+                        saved, fault = saved + records, max(fault, after)
+                    raise Damaged(reason)
+                own = [(at, *r) for r in records]
             else:
                 head, block, after = _record_at(data, at)
                 own = [(at, head, block)]
+                if at < fault and (head, block) in saved:
+                    own = []
         except Damaged as e:
             bad = bad or (at, str(e))
             nexts = [p for p in (data.find(MAGIC, at + 1), data.find(b"WARC/", at + 1)) if p > 0]
@@ -149,6 +188,9 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
         if bad:
             gaps.append((bad[0], at, bad[1]))
             bad = None
+        if at >= fault:
+            saved = []
+        gaps += [(at, after, f"{why} in inflated bytes {start} to {stop}") for start, stop, why in inner]
         found += own
         at = after
     if bad:
@@ -160,17 +202,34 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
 CHUNK = 1 << 16
 
 
-def _inflate(view: memoryview, at: int) -> tuple[bytes, int]:
+def _inflate(view: memoryview, at: int) -> tuple[bytes, int, str]:
+    """Inflated bytes of the member at a place, the place after it, and what is wrong with it, if anything.
+
+    Of a broken member come the bytes before its fault and the fault's place.
+    """
     inflate, out, place = zlib.decompressobj(31), [], at
     try:
         while not inflate.eof and place < len(view):
             out.append(inflate.decompress(view[place : place + CHUNK]))
             place += CHUNK
     except zlib.error as e:
-        raise Damaged(str(e)) from e
+        return *_before_fault(view, at, place), str(e)
     if not inflate.eof:
-        raise Damaged("cut off")
-    return b"".join(out), min(place, len(view)) - len(inflate.unused_data)
+        return b"".join(out), len(view), "cut off"
+    return b"".join(out), min(place, len(view)) - len(inflate.unused_data), ""
+
+
+def _before_fault(view: memoryview, at: int, chunk: int) -> tuple[bytes, int]:
+    """What inflates before the fault in the chunk at a place: that chunk goes in byte by byte."""
+    inflate, out = zlib.decompressobj(31), []
+    for place in range(at, chunk, CHUNK):
+        out.append(inflate.decompress(view[place : place + CHUNK]))
+    for place in range(chunk, min(chunk + CHUNK, len(view))):
+        try:
+            out.append(inflate.decompress(view[place : place + 1]))
+        except zlib.error:
+            break
+    return b"".join(out), place
 
 
 _PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, archive string, place long"

@@ -290,6 +290,30 @@ def test_salvage(packed):
     assert len(found) == 19 and gaps[0][:2] == (0, 4) and gaps[-1][1] == len(whole) - 5
 
 
+def test_salvage_within_a_member():
+    """Several records in one gzip member: a failed record costs itself, a broken end what lies behind it."""
+    made = _records()
+    names = lambda found: [h["warc-record-id"] for _, h, _ in found]
+    want = [f"<urn:page:{i}>" for i in range(20)]
+    starts = np.cumsum([0, *map(len, made)]).tolist()
+    for hurt in (0, 7, 19):
+        raw = bytearray(b"".join(made))
+        raw[starts[hurt + 1] - 20] ^= 0x55
+        packed = warc.member(bytes(raw))
+        found, gaps = warc.salvage(packed + warc.member(made[0]))
+        assert names(found) == [w for i, w in enumerate(want) if i != hurt] + want[:1]
+        assert gaps == [(0, gaps[0][1], f"block digest in inflated bytes {starts[hurt]} to {starts[hurt + 1]}")]
+    for level in (0, 4):  # level 0 shows the records in the stored bytes as well
+        packed = warc.member(b"".join(made), level)
+        found, gaps = warc.salvage(packed[: len(packed) * 3 // 4] + warc.member(made[19]))
+        kept = names(found)[:-1]
+        assert kept == want[: len(kept)] and len(kept) >= 10 and names(found)[-1] == want[19] and (len(gaps) == 1 if level else gaps)
+        broken = bytearray(packed)
+        broken[-6] ^= 1  # the CRC
+        found, gaps = warc.salvage(bytes(broken) + warc.member(made[19]))
+        assert sorted(names(found)) == sorted(want + want[19:]) and gaps
+
+
 def test_gap_log(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(b"??" + b"".join(map(warc.member, _records(3))))
     assert [(r.start, r.stop) for r in warc.read_gaps(spark, str(tmp_path)).collect()] == [(0, 2)] and warc.read_archives(spark, str(tmp_path)).count() == 3
