@@ -4,7 +4,8 @@ A file's text is cut into lines; a line's terms (words and pairs of words) are
 weighted by TF-IDF, with the document frequencies of the templates, and the
 line is held against every template by sparse cosine: an equi-join on terms,
 so that only lines that share a term with a template are looked at. A file's
-licence is its best line's, a licence file's that of its whole text too. A
+licence is its best line's, a licence file's that of its whole text too, which
+is held against full texts (licence_texts) and SPDX lines as well. A
 file without one takes that of the nearest ancestor directory which holds a
 licence file; paths are exploded to their ancestors and joined on equality.
 
@@ -16,7 +17,10 @@ joined: equal lines of the whole corpus are judged once.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,42 +53,80 @@ TEMPLATES = (
     ("ISC", "Licensed under the ISC License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: Terms that a line must share with a template one of: without any it names no licence.
+#: Words of templates that are common elsewhere; key_words leaves out those that alone can't carry a line to LEAST_COSINE.
+COMMON = ("the", "of", "to", "a", "and", "in", "is", "with", "this", "by", "any", "use", "you", "are", "not", "may", "under", "into", "work", "free", "file", "version", "code", "software", "program", "terms", "form", "forms", "source", "person", "subject", "charge", "copy", "general", "public", "except", "v", "2", "3", "released", "international")
 _TERM = "[a-z0-9.+-]*[a-z0-9+]"
 
 
 def terms(text: Column) -> Column:
     """Words and pairs of neighbouring words, lower case."""
     words = F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
 
+    def both(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return F.element_at(F.transform(F.array(words), both), 1)  # words worked out once
 
-def _terms(text: str) -> list[str]:
-    import re
 
+def _terms(text: str) -> list[str]:
     words = re.findall(_TERM, text.lower())
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
-def template_weights() -> tuple[list[tuple], float]:
+def template_weights(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[tuple], float]:
     """(template, licence, term, unit weight, idf) rows, and the idf of a term that no template has."""
-    bags = [Counter(_terms(t)) for _, t in TEMPLATES]
+    bags = [Counter(_terms(t)) for _, t in templates]
     seen = Counter(term for b in bags for term in b)
     n = len(bags)
     idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in seen.items()}
     rows = []
-    for i, (name, _) in enumerate(TEMPLATES):
+    for i, (name, _) in enumerate(templates):
         norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in bags[i].items()))
         rows += [(i, name, t, c * idf[t] / norm, idf[t]) for t, c in sorted(bags[i].items())]
     return rows, math.log(1 + n) + 1
 
 
-def judge_lines(lines: DataFrame) -> DataFrame:
+@lru_cache(maxsize=1)
+def file_templates() -> tuple[tuple[str, str], ...]:
+    """What a licence file's whole text is held against: the notices, their SPDX lines and the full texts."""
+    names = sorted({name for name, _ in TEMPLATES})
+    full = {name: text.read_text("utf-8") for name in names if (text := resources.files("folioscope.llm") / "licence_texts" / f"{name}.txt").is_file()}
+    # the text of the AGPL is the GPL's but for its name and one section
+    full["AGPL-3.0"] = re.sub(r"(?i)(GNU\s+)(General\s+Public)", r"\1Affero \2", full["GPL-3.0"])
+    return TEMPLATES + tuple((name, f"SPDX-License-Identifier: {name}") for name in names) + tuple(sorted(full.items()))
+
+
+@lru_cache(maxsize=1)
+def key_words() -> tuple[str, ...]:
+    """Words of which a line that reaches LEAST_COSINE with a template holds one at least.
+
+    By Cauchy and Schwarz the terms made of other words give a line at most
+    the norm of their weights in a template, and that stays below LEAST_COSINE.
+    """
+    rows = template_weights()[0]
+    light: set[str] = set()
+    for word in COMMON:
+        tried, sums = light | {word}, Counter()
+        for template, _, term, weight, _ in rows:
+            if set(term.split()) <= tried:
+                sums[template] += weight * weight
+        if max(sums.values(), default=0) < LEAST_COSINE**2 - 1e-6:
+            light = tried
+    return tuple(sorted({w for r in rows for w in r[2].split()} - light))
+
+
+def may_name(line: Column) -> Column:
+    """Whether one of key_words is a term of the line."""
+    words = "|".join(map(re.escape, key_words()))
+    return F.regexp_like(F.lower(line), F.lit(rf"(?<![a-z0-9.+-])(?:{words})(?![.-]*[a-z0-9+])"))
+
+
+def judge_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """licence and cosine of each distinct line of lines (line) that reaches LEAST_COSINE with a template; ties go to the first by name."""
     spark = lines.sparkSession
-    weights, unseen = template_weights()
-    known = spark.createDataFrame(weights, "template int, licence string, term string, weight double, idf double")  # a few hundred rows: fit to broadcast
+    weights, unseen = template_weights(templates)
+    known = spark.createDataFrame(weights, "template int, licence string, term string, weight double, idf double")  # bounded by the templates: fit to broadcast
     idf = known.select("term", "idf").distinct()
     bags = lines.select("line").distinct().withColumn("term", F.explode(terms(F.col("line")))).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = bags.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
@@ -97,18 +139,23 @@ def judge_lines(lines: DataFrame) -> DataFrame:
 def scan(files: DataFrame) -> DataFrame:
     """file_id, path, licence, cosine, origin, inherited_from of every row of files (file_id, path, text).
 
-    origin is own (a line of the file names the licence), inherited (the
+    origin is own (a line of the file names the licence, or a licence file's whole text), inherited (the
     nearest ancestor directory with a licence file gives it) or none. Null
     texts are empty; a null path has no ancestors. Of several licence files
     in a directory that with the highest cosine counts, then the first path.
     Repeated rows come back as often as they are. Other columns are neither
     read nor returned. An empty table gives an empty result.
     """
-    # lines that hold no word any notice turns on are never split into terms
-    lines = files.select("file_id", "path", F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line")).where(F.regexp_like("line", F.lit(r"(?i)licen[cs]|public domain|permission is hereby|\bCC0\b|compliance with")))
+    # lines that can't reach the cosine are never split into terms
+    lines = files.select("file_id", "path", F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line")).where(may_name(F.col("line")))
     lines = stored(lines.select("file_id", "path", F.trim("line").alias("line")), "lines")
     judged = stored(judge_lines(lines), "judged")
-    own = lines.join(judged, "line").groupBy("file_id", "path").agg(F.max_by(F.struct("licence", "cosine"), F.struct("cosine", "licence")).alias("o"))
+    named_so = F.regexp_like(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(LICENCE_FILE))
+    wholes = stored(files.where(named_so).select("file_id", "path", F.coalesce("text", F.lit("")).alias("line")), "wholes")
+    hits = lines.join(judged, "line")
+    if not wholes.isEmpty():
+        hits = hits.unionByName(wholes.join(stored(judge_lines(wholes, file_templates()), "judged"), "line"))
+    own = hits.groupBy("file_id", "path").agg(F.max_by(F.struct("licence", "cosine"), F.struct("cosine", "licence")).alias("o"))
     own = own.select(F.col("file_id").alias("own_id"), F.col("path").alias("own_path"), "o.licence", "o.cosine")
     named = files.select("file_id", "path").join(own, F.col("file_id").eqNullSafe(F.col("own_id")) & F.col("path").eqNullSafe(F.col("own_path")), "left").drop("own_id", "own_path")
     name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")

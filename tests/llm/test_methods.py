@@ -424,6 +424,29 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert got[None].origin == "none"
 
 
+def test_lines_without_the_word_licence(spark):
+    """What reaches the cosine is found whatever words it holds, and the filter before the join loses nothing."""
+    line = "Redistribution and use in source and binary forms, with or without"
+    assert brute_licence(line)[0] == "BSD-3-Clause"
+    words = sorted({t for _, x in licences.TEMPLATES for t in licences._terms(x) if " " not in t})
+    draw = np.random.default_rng(9)
+    made = [line, *(" ".join(draw.choice(words, draw.integers(1, 7))) for _ in range(300))]
+    own = [" ".join(w for w in x.split() if draw.random() < 0.6) for _, x in licences.TEMPLATES * 8]
+    frame = spark.createDataFrame([(x,) for x in made + own], "line string")
+    passed = {r.line for r in frame.where(licences.may_name(F.col("line"))).collect()}
+    assert all(x in passed for x in made + own if brute_licence(x))
+    got = licences.scan(spark.createDataFrame([(1, "a/b.py", "x\n" + line)], "file_id long, path string, text string")).first()
+    assert (got.licence, got.origin) == ("BSD-3-Clause", "own")
+
+
+def test_whole_licence_files(spark):
+    full = {n: t for n, t in licences.file_templates()[-12:]}
+    wrapped = {n: "Copyright (c) 2020 Some One\n\n" + "\n".join(re.findall(r"\S(?:.{0,68}\S)?(?=\s|$)", " ".join(t.split()))) for n, t in full.items()}
+    made = [(n, f"{n}/LICENSE", t) for n, t in wrapped.items()] + [("MIT", "s/LICENSE", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "t/LICENSE.txt", "SPDX-License-Identifier: Apache-2.0"), (None, "u/LICENSE", "ask the owner of this house")]
+    got = {r.path: r.licence for r in licences.scan(spark.createDataFrame([(i, p, t) for i, (_, p, t) in enumerate(made)], "file_id long, path string, text string")).collect()}
+    assert got == {p: n for n, p, _ in made} and len(full) >= 11
+
+
 def test_licences_whole_table(spark, docs):
     got = rows(spark, "op9_licences").set_index("doc_id")
     names = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
