@@ -37,7 +37,7 @@ L2 = 1e-3
 NAMES = ("log_words", "mean_word", "letters", "upper", "digits", "symbols", "tail_symbols", "bangs", "pipes", "repeats", "distinct", "top_word", "stops", "caps_words", "long_words", "worst_line", "lines", "worst_window", "window_symbols", "capital_starts", "bad_share")
 _TAIL = re.compile(rb"[&$#%*!|]{2,}(?=[\x20\x09-\x0D]|$)")
 _SYMBOL = bytes(i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in ".,;:'-()\"")
-_UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
+_UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 #: Words looked at together when parts of a text are judged.
 WINDOW = 24
 
@@ -46,6 +46,11 @@ def _count(raw: bytes, kept: bytes) -> int:
     return len(raw) - len(raw.translate(None, kept))
 
 
+def _letters(text: str, raw: bytes) -> int:
+    """Letters of any script; of ASCII alone they are counted as bytes, which is faster."""
+    return _count(raw, _UPPER + _LOWER) if text.isascii() else sum(map(str.isalpha, text))
+
+
 def features(text: str | None) -> list[float]:
     """What the score is made of: ratios over the whole text and over its worst part. Null counts as empty."""
     text = text or ""
@@ -71,7 +76,7 @@ def features(text: str | None) -> list[float]:
     starts = sum(w[0].isupper() for w in words)
     lines = text.count("\n") + 1
     return [
-        np.log1p(n), lengths.mean() / 10, sum(c.isalpha() for c in text) / len(text) if len(text) < 400 else 1 - (_count(raw, _SYMBOL + _DIGIT + b" \n.,") / size), _count(raw, _UPPER) / size, _count(raw, _DIGIT) / size,
+        np.log1p(n), lengths.mean() / 10, _letters(text, raw) / len(text), _count(raw, _UPPER) / size, _count(raw, _DIGIT) / size,
         _count(raw, _SYMBOL) / size, len(_TAIL.findall(raw)) / n, raw.count(b"!") / n, raw.count(b"|") / n, repeat.sum() / (n + 6), (len(ids) + 6) / (n + 6), uses.max() / (n + 12),
         float((lengths <= 3).mean()), shouting.mean(), float((lengths >= 20).mean()), float(share.max()), min(1.0, lines / n), float(np.quantile(share, 0.75)), float(symbols.max()), starts / n, bad.sum() / (n + 6),
     ]

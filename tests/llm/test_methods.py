@@ -50,6 +50,13 @@ def test_bradley_terry_recovers_order():
     assert ((m.score(x) >= quality.CUT) == y).mean() > 0.97
 
 
+@pytest.mark.parametrize("text", ["🙂 ", "→ ", "é ü ", "word, "])
+def test_letters_mean_the_same_at_every_length(text):
+    at = quality.NAMES.index("letters")
+    short, long = (quality.features((text * 300)[:n])[at] for n in (399, 400))
+    assert short == pytest.approx(long, abs=0.01) and long == pytest.approx(sum(map(str.isalpha, (text * 300)[:400])) / 400)
+
+
 # --- 2 ---------------------------------------------------------------------
 
 
