@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
+    It is the session's spark.checkpoint.dir. Only where that is unset and the
+    master is local, as in tests on one machine, a temporary folder is made and
+    set; on a cluster that setting is asked for.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -1,19 +1,18 @@
 """Sharding by sampled splitters under the law `bytes`: shards of near equal size.
 
 Records are ordered by a hash of their text, so that equal texts stand
-together and go to one shard. A sample of keys, drawn with chances in
-proportion to size, gives RANGES - 1 quantile splitters; records are
-range-partitioned by them, and the exact size of every range says where in the
-order each shard begins. Only a range that holds such a place is subdivided,
-by the sum of sizes along its keys, so the sample's error never reaches the
-shards. Groups of equal texts above HEAVY of a shard's share are overfull
-ranges of their own: they are dealt to the emptiest shards first, whole
-wherever a shard can hold them, else in parts by a hash of doc_id, and the
-ordered rest fills up what the shards have left.
+together. A sample of the keys, drawn with chances in proportion to size, gives
+RANGES - 1 quantile splitters, and every record goes to the range that the
+splitters put its key in. Exact sums then say how large each range is. A group
+of equal texts above a shard's share makes its range overfull, and its rows are
+subdivided by a hash of doc_id; all others are small parts of a share or one
+group. Whole ranges are dealt to shards, largest first, each to the emptiest shard, so
+neither the sample's error nor a large group reaches the shards' balance.
 
 Only DataFrame functions run on the records. What comes to the driver is
-bounded by the number of shards: the splitters' sample, and the heavy groups,
-of which there are at most shards / HEAVY.
+bounded by constants whatever the table's size: the splitters' sample
+(RANGES * PER_RANGE keys) and the ranges' sums (RANGES, and PARTS for each
+share that an overfull range holds).
 """
 
 from __future__ import annotations
@@ -31,13 +30,11 @@ OVERHEAD = 8
 RANGES = 2048
 #: Keys sampled for each range, on average.
 PER_RANGE = 24
-#: A group of equal texts, or a single text, of more than this part of a shard's share is dealt on its own.
-HEAVY = 0.02
-#: A group larger than a shard's share goes in this many parts for each share.
+#: An overfull group goes in this many parts for each share of a shard that it holds.
 PARTS = 16
 #: Cells of the key's range in which splitters are looked up.
 CELLS = 4096
-#: Parts in which a heavy group's rows are numbered.
+#: Slices in which the rows of a range with more than its part are numbered.
 SUBS = 64
 SEED = 11
 
@@ -81,79 +78,58 @@ def _range_of(rows: DataFrame, cuts: list[int]) -> DataFrame:
     return found.withColumn("cell", (F.col("below") + F.size(F.filter("own", lambda c: c <= F.col("key")))).cast("long")).drop("look", "below", "own")
 
 
-def _deal(units: list[tuple], shards: int, share: float) -> tuple[list[tuple], list[float]]:
-    """Heavy units, largest first, each to the emptiest shard; then the room that each shard has left.
-
-    Rooms sum to what is left of the total; where a shard is above its share
-    the others' rooms shrink alike.
-    """
+def deal(units: list[tuple[int, int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """(range, part, shard) of units (bytes, range, part): largest first, each to the emptiest shard."""
     heap, dealt = [(0, s) for s in range(shards)], []
-    for size, key, part in sorted(units, key=lambda u: (-u[0], u[1], u[2])):
+    for size, cell, part in sorted(units, key=lambda u: (-u[0], u[1], u[2])):
         fill, s = heapq.heappop(heap)
-        dealt.append((key, part, s))
+        dealt.append((cell, part, s))
         heapq.heappush(heap, (fill + size, s))
-    return dealt, [fill for fill, _ in sorted(heap, key=lambda x: x[1])]
-
-
-def _rooms(fills: list[float], rest: float) -> list[float]:
-    """Level the fills up with `rest` more: what each shard gets."""
-    level, order = 0.0, sorted(fills)
-    for k, f in enumerate(order, 1):
-        level = (rest + sum(order[:k])) / k
-        if k == len(order) or level <= order[k]:
-            break
-    return [max(0.0, level - f) for f in fills]
+    return dealt
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text).
 
     size is the text's UTF-8 bytes plus OVERHEAD; a null text counts as an
-    empty one. Equal texts share a shard unless they alone exceed one. Slots
-    number a shard's rows from 0, rows alike in all columns in any order.
-    grown_shard belongs to another law and is null. An empty table gives an
-    empty result, and shards may be empty where records are few. Other columns
-    are neither read nor returned.
+    empty one. Equal texts share a shard unless they alone exceed one; then
+    rows alike in doc_id stay together. Slots number a shard's rows from 0,
+    rows alike in all columns in any order. grown_shard belongs to another law
+    and is null. An empty table gives an empty result, and shards may be empty
+    where texts are few. Other columns are neither read nor returned.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stored(docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")), "records")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    groups = stored(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
+    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     share = total / shards
-    heavy = [tuple(r) for r in groups.where(F.col("size") > max(1.0, share * HEAVY)).collect()]  # at most shards / HEAVY rows
-    parts = {key: 1 if size <= share else -int(-size * PARTS // share) for key, size, _ in heavy}
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(k, p) for k, p in parts.items()], "heavy_key long, parts int")
-    marked = rows.join(F.broadcast(known), F.col("key") == F.col("heavy_key"), "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int"))
-    sizes = marked.where("parts is not null").groupBy("size", "key", "part").agg(F.count(F.lit(1)).alias("n"))
-    units = [(r["size"] * r["n"], r["key"], r["part"]) for r in sizes.collect()] if heavy else []  # at most shards * (1 / HEAVY + PARTS) rows
-    dealt, fills = _deal(units, shards, share)
-    rooms = _rooms(fills, total - sum(u[0] for u in units))
-    # heavy rows: a cell for each part and for each of its SUBS slices, so that no cell holds an unbounded group
-    homes = spark.createDataFrame([(k, p, s, i) for i, (k, p, s) in enumerate(dealt)], "home_key long, home_part int, home int, unit int")
-    own = marked.where("parts is not null").join(F.broadcast(homes), (F.col("key") == F.col("home_key")) & (F.col("part") == F.col("home_part")))
-    own = own.select("doc_id", "size", "text_crc32", "key", F.lit(0).cast("long").alias("middle"), F.col("home").alias("shard"), (F.lit(RANGES * 4) + F.col("unit").cast("long") * SUBS + F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(SUBS))).alias("cell"))
-    # the rest in order of key
-    light = _range_of(marked.where("parts is null").select("doc_id", "size", "text_crc32", "key"), splitters(groups.where("size > 0"), total))
-    ranges = light.groupBy("cell").agg(F.sum("size").alias("sum_size"))
-    before = ranges.select(F.col("cell").alias("range"), (F.sum("sum_size").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum_size")).alias("before"))  # RANGES rows at most
-    placed = light.join(F.broadcast(before), F.col("cell") == F.col("range"))
-    upto = Window.partitionBy("cell").orderBy("key")  # range frame: ends with the last row of equal texts
-    group = Window.partitionBy("cell", "key")
-    ends = placed.withColumn("end", F.col("before") + F.sum("size").over(upto)).withColumn("group_size", F.sum("size").over(group))
-    starts, at = [], 0.0
-    for room in rooms[:-1]:
-        at += room
-        starts.append(at)
-    middle = F.col("end") - F.col("group_size") / 2
-    number = F.size(F.filter(F.array(*[F.lit(float(s)) for s in starts]), lambda s: s <= F.col("middle"))) if starts else F.lit(0)
-    rest = ends.withColumn("middle", middle).select("doc_id", "size", "text_crc32", "key", "middle", number.cast("int").alias("shard"), "cell")
-    every = stored(rest.select("doc_id", "size", "text_crc32", "shard", "cell", "key").union(own.select("doc_id", "size", "text_crc32", "shard", "cell", "key")), "placed")
-    # slots: rows of a shard within a cell, after the shard's rows in lower cells
-    counts = every.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
-    first = counts.select(F.col("shard").alias("s"), F.col("cell").alias("c"), (F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"))
-    nth = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("key", "doc_id", "text_crc32")) - 1
-    numbered = every.withColumn("nth", nth).join(F.broadcast(first), (F.col("shard") == F.col("s")) & (F.col("cell") == F.col("c")))  # RANGES + shards * (1 + SUBS * (1 / HEAVY + PARTS)) rows at most
+    cuts = splitters(groups, total)
+    heavy = {key: -int(-size * PARTS // share) for key, size in groups.where(F.col("size") > max(1.0, share)).collect()}  # fewer than shards
+    known = F.broadcast(spark.createDataFrame(list(heavy.items()), "heavy_key long, parts int"))
+    cells = _range_of(groups.where(~F.col("key").isin(list(heavy))), cuts).groupBy("cell").agg(F.sum("size").alias("bytes"))
+    ranges = [tuple(r) for r in cells.collect()]  # at most RANGES rows
+    large = spark.createDataFrame([(cell,) for cell, size in ranges if size > 4 * total / RANGES], "large long")  # at most a quarter of RANGES rows
+    by_id = F.xxhash64(F.lit(SEED), "doc_id")
+    marked = _range_of(rows, cuts).join(known, F.col("key") == F.col("heavy_key"), "left").join(F.broadcast(large), F.col("cell") == F.col("large"), "left")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(by_id, F.col("parts"))).cast("int")
+    sub = F.when(F.col("parts").isNull() & F.col("large").isNull(), 0).otherwise(F.pmod(F.shiftright(by_id, 20), F.lit(SUBS))).cast("int")
+    marked = marked.withColumn("part", part).withColumn("sub", sub).drop("heavy_key", "parts", "large")
+    units = [(size, cell, 0) for cell, size in ranges]
+    if heavy:
+        split = marked.where("part > 0").groupBy("size", "cell", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cell", "part").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"))
+        units += [(r["bytes"], r["cell"], r["part"]) for r in split.collect()]  # at most shards * (PARTS + 1) rows
+    homes = spark.createDataFrame(deal(units, shards), "home_cell long, home_part int, shard int")
+    placed = marked.join(F.broadcast(homes), (F.col("cell") == F.col("home_cell")) & (F.col("part") == F.col("home_part"))).drop("home_cell", "home_part")
+    every = stored(placed.select("doc_id", "size", "text_crc32", "key", "shard", "cell", "part", "sub"), "placed")
+    # slots: rows of a shard within a slice of a range, after the shard's rows in the slices before it
+    place = ["shard", "cell", "part", "sub"]
+    sums = every.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("shard").orderBy("cell", "part", "sub").rowsBetween(Window.unboundedPreceding, 0)
+    first = sums.select(*[F.col(c).alias(f"_{c}") for c in place], (F.sum("n").over(upto) - F.col("n")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy(*place).orderBy("key", "doc_id", "text_crc32")) - 1
+    same = [F.col(c) == F.col(f"_{c}") for c in place]
+    numbered = every.withColumn("nth", nth).join(F.broadcast(first), same[0] & same[1] & same[2] & same[3])  # bounded as the units are, times SUBS for the few large ranges
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -395,6 +395,38 @@ def test_sharding_of_heavy_groups(spark):
     assert got[got.doc_id.between(700, 759)].shard.nunique() == 1
 
 
+def test_sharding_is_even_on_whole_tables(spark, docs):
+    """Shards as even as the groups of equal texts allow: what stays open is below half of the smallest groups."""
+    got = rows(spark, "op8_sharding").merge(docs, on="doc_id")
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 24 and sums.sum() == sum(len(t.encode()) + 8 for t in docs.text) and sums.max() < 1.02 * sums.mean() and sums.min() > 0.98 * sums.mean()
+
+
+def test_sharding_of_several_overfull_groups(spark):
+    """Groups above a share are subdivided; the small groups of their ranges and all others stay whole."""
+    texts = ["first " * 60] * 900 + ["second " * 60] * 700 + ["third " * 60] * 500 + [f"small {i % 400} " * (i % 7 + 1) for i in range(2800)]
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    got["text"] = [texts[i] for i in got.doc_id]
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == len(texts) and len(sums) == 24 and sums.max() < 1.03 * sums.mean() and sums.min() > 0.97 * sums.mean()
+    homes = got.groupby("text").shard.nunique()
+    assert all(homes[t] > 1 for t in ("first " * 60, "second " * 60, "third " * 60)) and (homes.drop(["first " * 60, "second " * 60, "third " * 60]) == 1).all()
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+
+
+def test_splitters_are_quantiles_of_size(spark):
+    """Of many small groups the sampled splitters make ranges of about equal bytes, whatever the groups' sizes."""
+    draw = np.random.default_rng(12)
+    keys, sizes = draw.integers(-(2**63), 2**63 - 1, 60_000), draw.integers(1, 40, 60_000) ** 2
+    groups = spark.createDataFrame(pd.DataFrame({"key": keys, "size": sizes}))
+    cuts = sharding.splitters(groups, int(sizes.sum()))
+    inside = np.bincount(np.searchsorted(np.array(cuts), keys, side="right"), weights=sizes)
+    assert 0.9 * sharding.RANGES <= len(cuts) <= 1.1 * sharding.RANGES and inside.max() < 3 * sizes.sum() / sharding.RANGES
+    got = sharding._range_of(groups, cuts).groupBy("cell").agg(F.sum("size").alias("s")).toPandas()
+    assert dict(zip(got.cell, got.s, strict=True)) == {i: x for i, x in enumerate(inside) if x}
+
+
 # --- 9 ---------------------------------------------------------------------
 
 
