@@ -1,22 +1,33 @@
 """Personal data: base patterns, and gradient-boosted candidates beside them.
 
 Base spans follow four fixed patterns and checks and always stay. High-recall
-generators propose further, overlapping spans: addresses with spelled-out or
-spaced signs, numbers with other separators or without the sign that the base
-asks for. Boosted trees judge each candidate by its format and its context.
-They learn on a bounded sample of the corpus's own candidates, without hand
-labels: a candidate that a base span covers is an example, one that base
-checks refuse is a counter-example, and what the base pattern itself asks for
-is no feature. A threshold for each kind is calibrated on a second part of the
-sample; where no threshold reaches PRECISION there, the kind adds nothing.
-Accepted spans that overlap a base span go.
-
-Matching, features, trees and thresholds are DataFrame expressions: the trees
-are fitted by the driver on SAMPLE rows of numbers and become CASE expressions.
+generators propose further, overlapping spans: addresses with spelled-out,
+bracketed or spaced signs, full-width digits, numbers with other separators or
+without the sign that the base asks for, and numbers that a base match has
+swallowed. Boosted trees judge each candidate by its format and its context.
+
+They learn from the corpus itself, without hand labels. A bounded sample of
+base spans is written anew in other forms (VARIANTS), each in the context that
+the span stands in; candidates at such a place are examples. Counter-examples
+are candidates with other bounds or of other kinds, decoys put in the same contexts (DECOYS:
+dates, versions, order numbers, sums, hashes), and matches of a base pattern
+that fail its check. What no base pattern matches in the corpus teaches
+nothing, since nobody knows what it is. Half of the sampled spans, with all
+their forms, are held out; on them the threshold of each kind is the lowest
+that reaches PRECISION, and where none does the kind adds nothing (report()
+shows the figures). Accepted spans that overlap a base span go; of accepted
+spans that overlap each other the one with the highest margin stays.
+
+Matching, forms, features, trees and thresholds are DataFrame expressions: the
+trees are fitted by the driver on at most SAMPLE rows of numbers and become
+CASE expressions.
 """
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,14 +35,16 @@ from pyspark.sql import functions as F
 from folioscope.llm._common import hash_sample, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Base spans of each kind that are written anew, at most.
+SEEDS = 150
 #: At most so many candidates are learned from.
-SAMPLE = 6_000
-#: Share of accepted candidates in the calibration part that must be examples.
-PRECISION = 0.99
+SAMPLE = 16_000
+#: Share of accepted candidates in the held-out part that must be examples.
+PRECISION = 0.995
 #: Fewest examples of a kind in either part of the sample.
-LEAST = 40
-TREES = 24
-DEPTH = 2
+LEAST = 20
+TREES = 20
+DEPTH = 3
 RATE = 0.3
 #: Characters of context on either side that features look at.
 AROUND = 24
@@ -45,15 +58,31 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: High-recall generators, by the kind that they propose.
-LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\(\[](?:at|AT)[\)\]])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\(\[](?:dot|DOT)[\)\]])\x20?[A-Za-z0-9-]{1,63}+){1,8}+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?[.,:_]\x20?[0-9]{1,3}+){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){11,18}+(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+|00)?[0-9(](?:[\x20()./0-9-]){7,22}(?<=[0-9])(?![0-9])",
-}
+_D, _WIDE = "[0-9\uff10-\uff19]", "\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19"
+_AT = r"(?:[@\uff20]|[\(\[{](?:at|AT)[\)\]}])"
+_DOT = r"(?:[.\uff0e]|[\(\[{](?:dot|DOT)[\)\]}]|\x20(?:dot|DOT)\x20)"
+_NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++"
+_LABEL = "[A-Za-z0-9-]++"
+#: High-recall generators, by the kind that they propose; those of a kind overlap.
+LOOSE = (
+    ("email", rf"{_NAME}\x20?{_AT}\x20?{_LABEL}(?:{_DOT}{_LABEL})++"),
+    ("email", rf"{_NAME}\x20?{_AT}\x20?{_LABEL}(?:\x20?{_DOT}\x20?{_LABEL})++"),
+    ("email", rf"{_NAME}\x20(?:at|AT)\x20{_LABEL}(?:\x20(?:dot|DOT)\x20{_LABEL})++"),
+    ("ip", rf"(?<![0-9.]){_D}{{1,3}}+(?:\x20?(?:[.,:_\uff0e]|[\(\[][.][\)\]]|\x20(?:dot|DOT)\x20)\x20?{_D}{{1,3}}+){{3}}(?![0-9])"),
+    ("card", rf"(?<![0-9]){_D}(?:[\x20./_-]{{0,2}}{_D}){{11,18}}+(?![0-9])"),
+    ("card", rf"(?<![0-9]){_D}{{4}}(?:[\x20./_-]{{1,2}}{_D}{{4}}){{3}}(?![0-9])"),
+    ("phone", rf"(?<![0-9+])(?:\+|00)?(?:{_D}|\()(?:[\x20()./-]|{_D}){{7,22}}(?<={_D})(?!{_D})"),
+    ("phone", rf"(?<![0-9])(?:(?:[+\uff0b]|00)\x20?{_D}{{1,3}}[\x20./-]{{0,2}})?\(?{_D}{{2,4}}\)?[\x20./-]{{1,2}}{_D}{{3,4}}[\x20./-]{{1,2}}{_D}{{3,4}}(?!{_D})"),
+)
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-FEATURES = ("chars", "digits", "separators", "groups", "longest", "letters", "left_letter", "right_letter", "left_space", "right_space", "left_words", "right_words", "left_sign", "distinct")
+#: Words that often stand before such data.
+CUE = {"email": r"(?i)\b(?:e-?mail|contact|write|reach|correo)\b", "ip": r"(?i)\b(?:ip|host|server|address|addr|ping)\b", "card": r"(?i)\b(?:card|visa|amex|mastercard|credit|karte|tarjeta)\b", "phone": r"(?i)\b(?:tel|phone|call|fax|mobile|telefon|handy)\b"}
+FEATURES = ("chars", "digits", "separators", "groups", "longest", "shortest", "last", "tail", "letters", "left_letter", "right_letter", "left_space", "right_space", "left_words", "right_words", "left_sign", "distinct", "plus", "brackets", "spelled", "loose_dots", "blanks", "dashes", "points", "octets", "luhn", "wide", "cue")
+
+
+def _plain(s: Column) -> Column:
+    """Full-width digits as ASCII ones."""
+    return F.translate(s, _WIDE, "0123456789")
 
 
 def _digits(s: Column) -> Column:
@@ -120,7 +149,8 @@ def matches(text: Column, pattern: str, kind: str, base: bool) -> Column:
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(r"[0-9@]|[\(\[](?:at|AT)[\)\]]"))
+    """Whether a text can hold a base span or a candidate."""
+    return F.regexp_like(text, F.lit(r"[0-9@\uff10-\uff20]|[\(\[{](?:at|AT)[\)\]}]|\x20(?:dot|DOT)\x20"))
 
 
 def base_spans(text: Column) -> Column:
@@ -134,34 +164,120 @@ def _rank(kind: Column) -> Column:
 
 
 def _context(m: dict[str, Column]) -> list[Column]:
-    """FEATURES of a candidate. Neither the sign nor the check that its base pattern asks for is among them."""
-    span, left, right = m["span"], m["left"], m["right"]
+    """FEATURES of a candidate."""
+    kind, span, left, right = m["kind"], _plain(m["span"]), m["left"], m["right"]
     runs, digits = F.regexp_extract_all(span, F.lit("[0-9]+"), F.lit(0)), _digits(span)
+    sizes = F.transform(runs, F.length)
+
+    def has(column: Column, pattern: str) -> Column:
+        return F.regexp_like(column, F.lit(pattern)).cast("int")
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(span, F.lit(pattern))
+
+    octets = F.when(kind == "ip", F.coalesce(F.forall(runs, lambda r: r.cast("int") <= 255), F.lit(False)).cast("int")).otherwise(0)
+    cue = F.lit(0)
+    for k, pattern in CUE.items():
+        cue = F.when(kind == k, has(left, pattern)).otherwise(cue)
     return [
-        F.length(span), F.length(digits), F.length(F.regexp_replace(span, "[A-Za-z0-9+]", "")), F.size(runs), F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)), F.length(F.regexp_replace(span, "[^A-Za-z]", "")),
-        F.regexp_like(left, F.lit(r"\p{L}$")).cast("int"), F.regexp_like(right, F.lit(r"^\p{L}")).cast("int"), F.regexp_like(left, F.lit(r"(?:^|\s)$")).cast("int"), F.regexp_like(right, F.lit(r"^(?:$|\s)")).cast("int"),
-        F.size(F.split(left, r"\s+", -1)), F.size(F.split(right, r"\s+", -1)), F.regexp_like(left, F.lit(r"[0-9.,:;/+=-]\s?$")).cast("int"), F.length(digits) - F.length(F.regexp_replace(digits, r"([0-9])(?=.*\1)", "")),
+        F.length(span), F.length(digits), F.length(F.regexp_replace(span, "[A-Za-z0-9+]", "")), F.size(runs), F.coalesce(F.array_max(sizes), F.lit(0)), F.coalesce(F.array_min(sizes), F.lit(0)), F.length(F.regexp_extract(span, "[0-9]*$", 0)), F.length(F.regexp_extract(span, "[A-Za-z]*$", 0)), F.length(F.regexp_replace(span, "[^A-Za-z]", "")),
+        has(left, r"[\p{L}0-9]$"), has(right, r"^[\p{L}0-9]"), has(left, r"(?:^|\s)$"), has(right, r"^(?:$|\s)"), F.size(F.split(left, r"\s+", -1)), F.size(F.split(right, r"\s+", -1)), has(left, r"[0-9.,:;/+=-]\s?$"), F.length(digits) - F.length(F.regexp_replace(digits, r"([0-9])(?=.*\1)", "")),
+        has(span, r"^(?:[+\uff0b]|00)"), count(r"[()\[\]{}]"), has(span, r"(?:at|AT|dot|DOT)[\)\]}\x20]"), count(r"[.]\x20"), count(r"\x20"), count("-"), count("[.]"), octets, F.when(kind == "card", luhn(digits).cast("int")).otherwise(0), has(m["span"], "[\uff0b-\uff20]"), cue,
     ]
 
 
+def _featured(rows: DataFrame, *keep: Column | str) -> DataFrame:
+    own = {c: F.col(c) for c in ("kind", "span", "left", "right")}
+    return rows.select(*keep, *[x.cast("double").alias(n) for n, x in zip(FEATURES, _context(own), strict=True)])
+
+
+def _proposed(text: Column) -> Column:
+    """Array of all generators' matches; a place that two of them propose comes twice."""
+    return F.concat(*[matches(text, pattern, k, False) for k, pattern in LOOSE])
+
+
+def passes_any(kind: Column, s: Column) -> Column:
+    """Whether a span passes its kind's check; false for addresses, which have none."""
+    out = F.lit(False)
+    for k in ("ip", "card", "phone"):
+        out = F.when(kind == k, passes(k, s)).otherwise(out)
+    return out
+
+
 def candidates(looked: DataFrame) -> DataFrame:
-    """row, kind, start, end, span, the features, and whether a base span of its kind (label) or of any (covered) overlaps it.
+    """row, kind, start, end, span, the features, whether a base span overlaps it (covered), and whether it is a base match that fails its check (refused).
 
     A base span that begins before a candidate's end overlaps it if it ends
     after its start: a running maximum of the base spans' ends, in order of
     their starts, tells that without holding spans against each other.
     """
-    loose = looked.select("row", F.explode(F.concat(*[matches(F.col("text"), LOOSE[k], k, False) for k in KINDS])).alias("m")).select("row", "m.*")
-    rows = loose.union(looked.select("row", F.explode("base").alias("m")).select("row", "m.*"))
+    rows = looked.select("row", F.explode(F.concat(_proposed(F.col("text")), "base")).alias("m")).select("row", "m.*").dropDuplicates(["row", "base", "kind", "start", "end"])
     place = F.when(F.col("base"), 2 * F.col("start") + 1).otherwise(2 * F.col("end"))  # a base span that starts at the end comes after it
-    rows = rows.withColumn("place", place)
-    ends = F.max(F.when(F.col("base"), F.col("end")))
-    same = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    any_kind = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("same", ends.over(same)).withColumn("any", ends.over(any_kind)).where("not base")
-    own = {c: F.col(c) for c in ("span", "left", "right")}
-    hit = [F.coalesce(F.col(c) > F.col("start"), F.lit(False)) for c in ("same", "any")]
-    return rows.select("row", "kind", "start", "end", "span", hit[0].cast("int").alias("label"), hit[1].alias("covered"), *[x.cast("double").alias(n) for n, x in zip(FEATURES, _context(own), strict=True)])
+    before = Window.partitionBy("row").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.max(F.when(F.col("base"), F.col("end"))).over(before)).where("not base")
+    form = F.lit(False)
+    for kind in ("ip", "card", "phone"):
+        form = F.when(F.col("kind") == kind, F.regexp_like("span", F.lit(f"^(?:{BASE[kind]})$"))).otherwise(form)
+    covered = F.coalesce(F.col("upto") > F.col("start"), F.lit(False))
+    return _featured(rows, "row", "kind", "start", "end", "span", covered.alias("covered"), (~covered & form & ~passes_any(F.col("kind"), F.col("span"))).alias("refused"))
+
+
+def _written_anew(kind: str, s: Column) -> list[Column]:
+    """VARIANTS: other forms of a base span; the first is the span as it stands."""
+    def wide(x: Column) -> Column:
+        return F.translate(x, "0123456789", _WIDE)
+
+    if kind == "email":
+        user, host = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
+        forms = [(" at ", " dot "), ("(at)", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", " . "), ("\uff20", "."), ("{at}", "{dot}"), (" [at] ", ".")]
+        return [s, *[F.concat(user, F.lit(at), F.replace(host, F.lit("."), F.lit(dot))) for at, dot in forms]]
+    if kind == "ip":
+        return [s, *[F.replace(s, F.lit("."), F.lit(x)) for x in (" . ", "[.]", "(.)", " dot ", "\uff0e")], wide(s)]
+    if kind == "card":
+        return [s, *[F.regexp_replace(_digits(s), "([0-9]{4})(?=[0-9])", f"$1{x}") for x in (".", "/", "  ", "_", " - ")], wide(_digits(s)), wide(F.regexp_replace(_digits(s), "([0-9]{4})(?=[0-9])", "$1 "))]
+    bare = F.regexp_replace(s, r"^\+", "")
+    return [s, F.concat(F.lit("00"), bare), F.regexp_replace(s, r"[^0-9+]+", "/"), F.concat(F.lit("00"), F.regexp_replace(bare, r"[^0-9]+", ".")), F.regexp_replace(bare, r"^[0-9]{1,3}[\x20./-]+(?=\()", ""), wide(s), F.concat(F.lit("00 "), F.regexp_replace(bare, r"[^0-9]+", " "))]
+
+
+def _decoys(seed: Column) -> list[Column]:
+    """DECOYS: what looks alike and is no personal data, with digits drawn from a hash of the seed."""
+    n = F.concat(F.lpad(F.abs(F.xxhash64(seed)).cast("string"), 19, "7"), F.lpad(F.abs(F.xxhash64(seed, F.lit(1))).cast("string"), 19, "3"))
+    names = F.translate(F.sha2(seed, 256), "0123456789", "ghklmnoprs")
+
+    def made(form: str) -> Column:
+        """Runs of 9 in a form become digits of the hash, in turn, and runs of Q letters."""
+        parts, at = [], {"9": 1, "Q": 1}
+        for x in re.findall("9+|Q+|[^9Q]+", form):
+            if x[0] in at:
+                parts.append(F.substring(n if x[0] == "9" else names, at[x[0]], len(x)))
+                at[x[0]] += len(x)
+            else:
+                parts.append(F.lit(x))
+        return F.concat(*parts)
+
+    forms = (
+        "2099-09-09 09:59:59", "09.09.2099, 09:09", "9.9.9.9999", "v9.99.999-9999", "No. 9999999999", "99999999999999999999", "999999999999", "9,999,999,999.99", "99/99/99/99", "9.9999999999999", "1999-2099", "978-9-99-999999-9", "09:15-10:45, 11:00-12:30",
+        "1 2 3 4 5 6 7 8 9 10 11 12 13", "99.9999, -99.9999", "$9,999 - $99,999", "(9) and (9) of 9999", "QQQQQQ @ 9.99 each", "QQQ @ 99.9", "QQQQQQQQQ @ 9.99", "QQ@9.9", "met at noon. The 9", "QQQQ @ 9.99.QQ",  "9999 x 9999 x 9999", "ID9999999999999", "SKU 9999-9999-99", "999 999 999 999 999 999 999", "A dot B at 9", "QQQQQ (at) 9.9 percent", "QQQQ [at] 99.999",  "9999:9999:9999:9999", "300.9999.299.8", "99-99-99 99-99-99", "0099999999999999", "00 99999999999999999", "0099999", "QQ @ b9.T", "Q @ self.w + 9", "m = Q @ Q.T", "QQQ (at) page 9.The rest", "order 0099999999", "999,999,999.99", "99, 99, 99, 99", "999, 999, 99, 9", "9999.9999.9999.9999", "9999/9999/9999/9999", "00.99.9999", 
+    )
+    return [*map(made, forms), F.substring(F.sha2(seed, 256), 1, 40), F.regexp_replace(F.sha2(seed, 256), "[a-f]", "9")]
+
+
+def examples(looked: DataFrame) -> DataFrame:
+    """kind, label, held (whether its seed is held out) and the features of candidates in sampled base spans written anew and in decoys."""
+    base = looked.select(F.explode("base").alias("m")).select("m.kind", "m.span", "m.left", "m.right")
+    texts = None
+    for kind in KINDS:
+        seeds = hash_sample(base.where(F.col("kind") == kind).distinct(), SEEDS, "span", "left", "right")
+        forms = F.array(*[F.struct(x.alias("put"), F.lit(true).alias("true")) for xs, true in ((_written_anew(kind, F.col("span")), True), (_decoys(F.col("span")), False)) for x in xs])
+        own = seeds.select(F.lit(kind).alias("of"), F.col("span").alias("seed"), "left", "right", F.explode(forms).alias("f"))
+        texts = own if texts is None else texts.union(own)
+    texts = texts.select("of", "seed", "f.*", F.length("left").alias("at"), F.concat("left", "f.put", "right").alias("text"))
+    made = texts.select("of", "seed", "put", "true", "at", F.explode(_proposed(F.col("text"))).alias("m")).select("of", "seed", "put", "true", "at", "m.*")
+    stop = F.col("at") + F.length("put")
+    over = (F.col("start") < stop) & (F.col("end") > F.col("at"))  # the context may hold other data, which teaches nothing
+    exact = F.col("true") & (F.col("kind") == F.col("of")) & (F.col("start") == F.col("at")) & (F.col("end") == stop)
+    sound = exact | ~passes_any(F.col("kind"), F.col("span"))  # else chance has made a base span
+    return _featured(made.where(over & sound), "kind", exact.cast("int").alias("label"), (F.pmod(F.xxhash64("seed"), F.lit(2)) == 1).alias("held"), "span", "start")
 
 
 class Trees:
@@ -216,25 +332,51 @@ class Trees:
         return out
 
 
-def learn(found: DataFrame) -> dict[str, tuple[Trees, float]]:
-    """Trees and threshold (a margin) of each kind that has enough examples and a threshold of the wanted precision."""
-    rows = hash_sample(found, SAMPLE, "kind", "span", "start", "row").select("kind", "span", "label", *FEATURES).collect()  # bounded by SAMPLE
+class Learned(NamedTuple):
+    """A kind's trees, its threshold (a margin) and what that gives on the held-out part; cut is None where PRECISION isn't reached."""
+
+    trees: Trees
+    cut: float | None
+    precision: float
+    recall: float
+    held: int
+
+
+def learn(looked: DataFrame, found: DataFrame) -> dict[str, Learned]:
+    """Trees and threshold of each kind that has enough examples."""
+    refused = found.where("refused").select("kind", F.lit(0).alias("label"), (F.pmod(F.xxhash64("span"), F.lit(2)) == 1).alias("held"), "span", "start", *FEATURES)
+    rows = hash_sample(examples(looked).unionByName(refused), SAMPLE, "kind", "span", "start").select("kind", "label", "held", *FEATURES).toPandas()  # bounded by SAMPLE
     out = {}
     for kind in KINDS:
-        own = [r for r in rows if r["kind"] == kind]
-        x, y = np.array([[r[n] for n in FEATURES] for r in own], dtype=float).reshape(-1, len(FEATURES)), np.array([r["label"] for r in own])
-        part = np.arange(len(own)) % 2 == 0
-        if min(y[part].sum(), y[~part].sum(), (1 - y[part]).sum()) < LEAST:
+        own = rows[rows["kind"] == kind]
+        x, y, held = own[list(FEATURES)].to_numpy(), own["label"].to_numpy(), own["held"].to_numpy(bool)
+        if min(y[~held].sum(), y[held].sum(), (1 - y[~held]).sum()) < LEAST:
             continue
-        model = Trees(x[part], y[part])
-        m = model.margin(x[~part])
-        held = y[~part]
-        good = [c for c in np.unique(m) if held[m >= c].mean() >= PRECISION and (m >= c).sum() >= LEAST]
-        if good:
-            out[kind] = (model, float(min(good)))
+        trees = Trees(x[~held], y[~held])
+        m, y = trees.margin(x[held]), y[held]
+        order = np.argsort(-m, kind="stable")
+        right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+        last = np.append(m[order][1:] < m[order][:-1], True)  # a threshold takes equal margins together
+        good = np.flatnonzero((right >= PRECISION) & last & (np.arange(1, len(y) + 1) >= LEAST))
+        k = int(good[-1]) if len(good) else -1
+        below = m[order][k + 1] if 0 <= k < len(y) - 1 else -np.inf
+        cut = float(max((m[order][k] + below) / 2, m[order][k] - 2)) if k >= 0 else None  # between the lowest accepted margin and the next
+        out[kind] = Learned(trees, cut, float(right[k]) if k >= 0 else 0.0, float(y[order][: k + 1].sum() / y.sum()), len(y))
     return out
 
 
+def report(docs: DataFrame) -> dict[str, tuple[float | None, float, float, int]]:
+    """What calibration finds for the corpus docs: by kind the threshold, and precision, recall and rows of the held-out part."""
+    looked = _looked(docs)
+    return {k: tuple(v)[1:] for k, v in learn(looked, stored(candidates(looked), "candidates")).items()}
+
+
+def _looked(docs: DataFrame) -> DataFrame:
+    """The few texts that can hold any such data, each once, with their base spans."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return stored(docs.select(text.alias("text")).where(_bare(F.col("text"))).select(F.sha2("text", 256).alias("row"), "text").dropDuplicates(["row"]).withColumn("base", base_spans(F.col("text"))), "looked")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """docs with base (array of base spans) and added (array of spans that the trees accept); columns of these names are replaced.
 
@@ -245,18 +387,20 @@ def find(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr(f"cast(array() as {SPANS})")
     docs = docs.drop("base", "added")
-    looked = stored(
-        docs.select(text.alias("text")).where(_bare(F.col("text"))).select(F.sha2("text", 256).alias("row"), "text").dropDuplicates(["row"]).withColumn("base", base_spans(F.col("text"))), "looked"
-    )  # the few texts that can hold any, each once
+    looked = _looked(docs)
     found = stored(candidates(looked), "candidates")
-    models = learn(found)
     margin = F.lit(None).cast("double")
-    for kind, (model, cut) in models.items():
-        margin = F.when(F.col("kind") == kind, model.column() - cut).otherwise(margin)
-    taken = found.where("not covered").withColumn("margin", margin).where("margin >= 0")
-    # one generator for each kind, so accepted spans of a kind never overlap
+    for kind, own in learn(looked, found).items():
+        if own.cut is not None:
+            margin = F.when(F.col("kind") == kind, own.trees.column() - own.cut).otherwise(margin)
+    taken = found.where("not covered").withColumn("margin", margin).where("margin >= 0").select("row", "kind", "start", "end", "span", "margin")
+    # accepted spans that overlap form a run: it begins where all before it have ended, and its best one stays
+    before = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    runs = taken.withColumn("begins", F.coalesce(F.max("end").over(before) <= F.col("start"), F.lit(True)).cast("int")).withColumn("run", F.sum("begins").over(so_far))
     one = F.struct("kind", "start", "end", F.lit(False).alias("base"), "span", F.lit("").alias("left"), F.lit("").alias("right"))
-    more = taken.groupBy("row").agg(F.collect_list(one).alias("added"))
+    best = runs.groupBy("row", "run").agg(F.max_by(one, F.struct("margin", F.col("end") - F.col("start"), -_rank(F.col("kind")), -F.col("start"))).alias("s"))
+    more = best.groupBy("row").agg(F.collect_list("s").alias("added"))
     known = looked.select("row", "base").join(more, "row", "left").where("size(base) > 0 or added is not null").select(F.col("row").alias("_pii_row"), "base", "added")
     own = docs.where(_bare(text)).withColumn("_pii_key", F.sha2(text, 256)).join(known, F.col("_pii_key") == F.col("_pii_row"), "left").drop("_pii_key", "_pii_row")
     # texts without any sign of such data, nearly all, never enter the join

@@ -370,6 +370,49 @@ def test_pii_trees_add_what_context_shows(spark):
     assert sum(any(s.kind == "phone" and s.span.startswith("+1 (555)") for s in got[i]) for i in range(1300, 1303)) >= 2
 
 
+def planted_corpus(seed=0, n=600):
+    """Texts with base spans to learn from, texts with one span in another form (with its place), and look-alikes."""
+    draw = np.random.default_rng(seed)
+    num = lambda k: "".join(map(str, draw.integers(0, 10, k)))
+    word = lambda: "".join(draw.choice(list("abcdefghiklmnoprstuw"), draw.integers(3, 9)))
+    some = lambda: " ".join(word() for _ in range(draw.integers(2, 9)))
+
+    def card():
+        head = "4" + num(14)
+        return next(head + c for c in "0123456789" if luhn(head + c))
+
+    fours = lambda s, by: by.join(s[i : i + 4] for i in range(0, 16, 4))
+    parts = lambda: (word(), word(), draw.choice(["com", "org", "net", "de"]))
+    octets = lambda: [str(x) for x in draw.integers(1, 256, 4)]
+    base = [lambda: "{}.{}@{}.{}".format(word(), *parts()), lambda: ".".join(octets()), card, lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}"]
+    other = [
+        ("email", lambda: "{}(at){}.{}".format(*parts())), ("email", lambda: "{} [at] {} [dot] {}".format(*parts())), ("email", lambda: "{} at {} dot {}".format(*parts())), ("ip", lambda: " . ".join(octets())), ("ip", lambda: "[.]".join(octets())),
+        ("card", lambda: fours(card(), ".")), ("card", lambda: fours(card(), "/")), ("phone", lambda: f"00{num(1)}.{num(3)}.{num(3)}.{num(4)}"), ("phone", lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)} {'.'.join(octets())}"),
+    ]
+    decoys = [lambda: f"2024-{draw.integers(10, 13)}-{draw.integers(10, 28)} 10:{draw.integers(10, 60)}:{draw.integers(10, 60)}", lambda: f"v{num(1)}.{num(2)}.{num(1)}-{num(4)}", lambda: f"order {num(10)}", lambda: f"{num(3)},{num(3)},{num(3)}.{num(2)}", lambda: f"{word()} (at) {word()} and", lambda: "1 2 3 4 5 6 7 8 9", lambda: f"{word()} @ {num(1)}.{num(2)}", lambda: f"met at {word()}. The", lambda: fours(num(15) + "x", "-")]
+    made = [(f"{some()} {base[i % 4]()} {some()}", None) for i in range(n)]
+    for i in range(n // 3):
+        kind, form = other[i % len(other)]
+        left, span = some() + " ", form()
+        own = span[: span.index(")") + 10] if kind == "phone" and span[0] == "+" else span
+        made.append((f"{left}{span} {some()}", (kind, len(left), len(left) + len(own))))
+    return made + [(f"{some()} {decoys[i % len(decoys)]()} {some()}", None) for i in range(n // 3)]
+
+
+def test_pii_finds_planted_forms(spark):
+    """Of planted spans in other forms nearly all are added, and of what is added nearly all was planted."""
+    made = planted_corpus()
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).select("doc_id", pii.written(F.col("base")).alias("base"), "added").collect()}
+    added = {(i, s.kind, s.start, s.end) for i, r in got.items() for s in r.added}
+    want = {(i, *w) for i, (_, w) in enumerate(made) if w}
+    assert all(got[i].base == ",".join(brute_base(t)) for i, (t, _) in enumerate(made))
+    assert len(added & want) >= 0.95 * len(added) and len(added & want) >= 0.85 * len(want)
+    for i, r in got.items():  # added spans overlap neither base spans nor each other
+        places = sorted((s.start, s.end) for s in r.added) + sorted(tuple(map(int, b.split(":")[1:])) for b in r.base.split(",") if b)
+        assert all(a[1] <= b[0] or b[1] <= a[0] for k, a in enumerate(places) for b in places[:k])
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.cc, ip 1.2.3.4 🙂 x")], "doc_id long, text string")
     assert df.select(pii.redacted(F.col("text"), pii.base_spans(F.col("text"))).alias("t")).first().t == "mail <EMAIL>, ip <IP> 🙂 x"
