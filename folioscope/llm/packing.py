@@ -4,9 +4,9 @@ Documents become token ids with an end token each; one longer than a sequence
 is cut, nothing else is. The pieces' measures (not their ids) are dealt evenly
 to groups of about GROUP pieces, which bounds every task's memory, and each
 group is packed alone: best fit in falling order of length, then a local
-search over the bins that are not full. It exchanges one piece for one, two
-for one, or moves a piece, whenever the sum of squared fills grows; emptied
-bins are dropped. A group can leave one poorly filled bin, so at GROUP pieces
+search over all bins that are not full, until no step is left. It exchanges one
+piece for one, two for one, or moves a piece or two, whenever the sum of
+squared fills grows; emptied bins are dropped. A group can leave one poorly filled bin, so at GROUP pieces
 the loss against one global packing stays below one bin in several thousand.
 """
 
@@ -40,10 +40,6 @@ _PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 #: Stands for the end of a word; no UTF-8 text holds it.
 _WORD_END = b"\xff"
-#: Rounds of the local search over the underfull bins of a group.
-ROUNDS = 12
-#: Underfull bins that one bin is held against in a round.
-NEIGHBOURS = 64
 
 
 def default_vocabulary() -> str:
@@ -187,59 +183,125 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search on the underfull bins: each accepted step makes the sum of squared fills larger, so it ends."""
-    sizes = lengths.tolist()
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(ROUNDS):
-        under = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: fill[k])
-        if len(under) < 2:
-            break
-        moved = False
-        # the emptiest bins give, the fullest take
-        for giver in under[: 4 * NEIGHBOURS]:
-            for taker in under[::-1][:NEIGHBOURS]:
-                if taker == giver or not bins[giver] or fill[taker] < fill[giver] or fill[taker] == capacity:
+class _Under:
+    """The bins that aren't full, by what they could give: for each size the bins with such a piece, or such a pair of pieces."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins, self.sizes, self.capacity = bins, sizes, capacity
+        self.fill = [sum(sizes[i] for i in b) for b in bins]
+        self.one: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.two: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.ones = self.twos = 0  # bit s: some bin has a piece, or a pair, of size s
+        self.bits = [(0, 0)] * len(bins)
+        for k in range(len(bins)):
+            self.enter(k)
+
+    def enter(self, k: int) -> None:
+        """Put a bin into the index, with the bits of its pieces and of its pairs' sums."""
+        if self.fill[k] == self.capacity or not self.bins[k]:
+            self.bits[k] = (0, 0)
+            return
+        ones = pairs = 0
+        for i in self.bins[k]:
+            pairs |= ones << self.sizes[i]
+            ones |= 1 << self.sizes[i]
+        self.bits[k] = (ones, pairs)
+        for bits, where in ((ones, self.one), (pairs, self.two)):
+            for size in _sizes(bits):
+                where[size].add(k)
+        self.ones |= ones
+        self.twos |= pairs
+
+    def leave(self, k: int) -> None:
+        for bits, where in zip(self.bits[k], (self.one, self.two), strict=True):
+            for size in _sizes(bits):
+                where[size].discard(k)
+                if not where[size]:
+                    if where is self.one:
+                        self.ones &= ~(1 << size)
+                    else:
+                        self.twos &= ~(1 << size)
+
+    def pieces(self, k: int, size: int, pair: bool) -> list[int]:
+        """A piece of a bin, or two, of a size."""
+        if not pair:
+            return [next(i for i in self.bins[k] if self.sizes[i] == size)]
+        seen: dict[int, int] = {}
+        for i in self.bins[k]:
+            if (j := seen.get(size - self.sizes[i])) is not None:
+                return [j, i]
+            seen[self.sizes[i]] = i
+        raise AssertionError("no such pair")
+
+    def best(self, k: int) -> tuple[int, int, int, bool, int, bool] | None:
+        """The step that fills bin k most: gain, giver, size given and whether by a pair, size taken and whether by a pair.
+
+        A move, two of them, an exchange of one for one, of two for one or of
+        one for two. It must make the sum of squared fills larger: what is
+        gained exceeds what the giver holds more than bin k.
+        """
+        room, found = self.capacity - self.fill[k], None
+        most = 0
+        ones, pairs = self.bits[k]
+        for back, from_pair in ((0, False), *((s, False) for s in _sizes(ones)), *((s, True) for s in _sizes(pairs))):
+            for bits, where, pair in ((self.ones, self.one, False), (self.twos, self.two, True)):
+                if pair and from_pair:
                     continue
-                while step := _step(bins[giver], bins[taker], sizes, capacity - fill[taker]):
-                    gives, takes = step
-                    gain = sum(sizes[i] for i in gives) - sum(sizes[i] for i in takes)
-                    bins[giver] = [i for i in bins[giver] if i not in gives] + takes
-                    bins[taker] = [i for i in bins[taker] if i not in takes] + gives
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    moved = True
-        if not moved:
-            break
-    return [b for b in bins if b]
-
-
-def _step(giver: list[int], taker: list[int], sizes: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The step that fills the fuller bin most: a move, an exchange of one for one, of two for one, or of one for two."""
-    best, found = 0, None
-    for i in giver:
-        if best < sizes[i] <= room:
-            best, found = sizes[i], ([i], [])
-    if best == room:
+                high = min(self.capacity, back + room)
+                window = (bits >> (back + most + 1)) & ((1 << max(0, high - back - most)) - 1)
+                while window:
+                    gain = window.bit_length() + most
+                    giver = min((g for g in where[back + gain] if g != k and gain > self.fill[g] - self.fill[k]), key=lambda g: (self.fill[g], g), default=None)
+                    if giver is not None:
+                        found, most = (gain, giver, back + gain, pair, back, from_pair), gain
+                        break
+                    window &= (1 << (window.bit_length() - 1)) - 1
+                if most == room:
+                    return found
         return found
-    for i in giver:
-        for j in taker:
-            if best < sizes[i] - sizes[j] <= room:
-                best, found = sizes[i] - sizes[j], ([i], [j])
-    if best < room and len(giver) * len(taker) <= 4096:
-        for a in range(len(giver)):
-            for b in range(a):
-                two = sizes[giver[a]] + sizes[giver[b]]
-                for j in taker:
-                    if best < two - sizes[j] <= room:
-                        best, found = two - sizes[j], ([giver[a], giver[b]], [j])
-        for a in range(len(taker)):
-            for b in range(a):
-                two = sizes[taker[a]] + sizes[taker[b]]
-                for i in giver:
-                    if best < sizes[i] - two <= room:
-                        best, found = sizes[i] - two, ([i], [taker[a], taker[b]])
-    return found
+
+    def step(self, k: int) -> bool:
+        found = self.best(k)
+        if not found:
+            return False
+        gain, g, size, pair, back, from_pair = found
+        gives, takes = self.pieces(g, size, pair), self.pieces(k, back, from_pair) if back else []
+        self.leave(k)
+        self.leave(g)
+        self.bins[g] = [i for i in self.bins[g] if i not in gives] + takes
+        self.bins[k] = [i for i in self.bins[k] if i not in takes] + gives
+        self.fill[g] -= gain
+        self.fill[k] += gain
+        self.enter(k)
+        self.enter(g)
+        return True
+
+
+def _sizes(bits: int) -> list[int]:
+    """The places of the bits that are set."""
+    out = []
+    while bits:
+        low = bits & -bits
+        out.append(low.bit_length() - 1)
+        bits ^= low
+    return out
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Local search over all underfull bins, until no step is left or no packing can have fewer bins.
+
+    Each accepted step makes the sum of squared fills larger, so it ends. Every
+    bin is held against all others at once, by the sizes that they can give.
+    """
+    least = -(-int(lengths.sum()) // capacity)
+    under = _Under([list(b) for b in bins], lengths.tolist(), capacity)
+    moved = True
+    while moved and sum(map(bool, under.bins)) > least:
+        moved = False
+        for k in sorted(range(len(bins)), key=lambda k: (-under.fill[k], k)):  # the fullest first
+            while under.bins[k] and under.fill[k] < capacity and under.step(k):
+                moved = True
+    return [b for b in under.bins if b]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
