@@ -105,7 +105,7 @@ class Model:
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
     """Bradley-Terry weights by Newton steps on pairs. Without rows of both labels all strengths are 0 and all scores 0.5."""
-    width = len(NAMES)
+    width = x.shape[1] if x.ndim == 2 else len(NAMES)
     good, bad = x[y == 1], x[y == 0]
     if not len(good) or not len(bad):
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.log(CUT / (1 - CUT)), 1.0)
@@ -145,14 +145,19 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def sampled_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and _quality of at most SAMPLE labelled rows outside the held-out fold."""
+    rows = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    return hash_sample(rows, SAMPLE, "doc_id")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of labelled rows outside the held-out fold.
 
     Rows with a null doc_id or quality teach nothing; of repeated labels the
     lowest quality counts; a label of another value than 0 and 1 is ignored.
     """
-    rows = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    rows = hash_sample(rows, SAMPLE, "doc_id")  # SAMPLE rows of two numbers at most: fit to broadcast
+    rows = sampled_labels(labels)  # SAMPLE rows of two numbers at most: fit to broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -190,16 +190,45 @@ def test_mixing_targets_and_taken(spark, docs):
     assert (again == got.taken.loc[again.index]).all()
 
 
-def test_mixing_draw_follows_keys(spark):
+@pytest.mark.parametrize("weighted", [False, True])
+def test_mixing_draw_follows_keys(spark, weighted):
     """The fraction beyond whole epochs is the prefix of the keys, found without sorting a source."""
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "a" if i % 4 else "b") for i in range(600)], "doc_id long, text string, source string")
-    key = (-F.log(mixing.uniform(F.col("doc_id"))) / mixing.quality_weight(F.col("text"))).alias("key")
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "a" if i % 4 else "b", 0.05 if i % 3 else 1.0) for i in range(1200)], "doc_id long, text string, source string, w double")
+    weight = F.col("w") if weighted else None
+    key = (-F.log(mixing.uniform(F.col("doc_id"))) / (F.col("w") if weighted else F.lit(1.0))).alias("key")
     keys = {r.doc_id: r.key for r in docs.select("doc_id", key).collect()}
-    got = mixing.mix(docs, ["source"]).collect()
+    got = mixing.mix(docs, weight, ["source"]).collect()
+    assert len(got) == 1200
     for s in "ab":
         own = sorted((r for r in got if r.source == s), key=lambda r: keys[r.doc_id])
         times = [r.times for r in own]
         assert times == sorted(times, reverse=True) and times[0] - times[-1] <= 1
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5
+
+
+def test_mixing_prefers_good_documents(spark):
+    """Weights fitted on labels: where a source gives a part of what it has, good documents come more often."""
+    draw = np.random.default_rng(16)
+    rows, labels = [], []
+    for i in range(2000):
+        good = i % 2
+        words = ["word", "other", "text", "and"] if good else ["wo$$rd", "OTHER!!", "|", "99"]
+        rows.append((i, " ".join(draw.choice(words, 30)), "abc"[i % 3] if i % 7 else "d"))
+        labels += [(i, good)] if i < 1000 else []
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = mixing.mix(docs, mixing.fitted_weight(docs, labels)).toPandas()
+    part = got[got.target < got.source_size]
+    assert len(part) and part[part.doc_id % 2 == 1].times.mean() > 2 * part[part.doc_id % 2 == 0].times.mean()
+    alike = mixing.mix(docs, mixing.fitted_weight(docs, labels.limit(0))).toPandas()
+    assert len(alike) == 2000
+
+
+def test_sources_in_code_point_order_null_last(spark):
+    names = ["z", "a", "é", "\U0001f600", "\uffff", None, "Z", "zz"]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame([(n, 1000) for n in names], "source string, source_size long")).collect()}
+    order = [*sorted(n for n in names if n is not None), None]
+    level = 8000 / sum((5, 2, 1)[i % 3] for i in range(8))
+    assert all(level * 5 <= 3000 for _ in order) and got == {n: pytest.approx(level * (5, 2, 1)[i % 3]) for i, n in enumerate(order)}
 
 
 # --- 5 ---------------------------------------------------------------------
@@ -272,6 +301,51 @@ def test_local_search_empties_bins():
             assert (offset[mine] == np.cumsum(own[mine]) - own[mine]).all() and own[mine].sum() <= 4096
 
 
+def gains(bins, sizes, capacity):
+    """Every step of the search that makes the sum of squared fills larger, by trying all."""
+    import itertools
+
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    parts = [[(), *itertools.combinations(b, 1), *itertools.combinations(b, 2)] for b in bins]
+    for g, k in itertools.permutations(range(len(bins)), 2):
+        if fill[k] < capacity:
+            for gives, takes in itertools.product(parts[g], parts[k]):
+                gain = sum(sizes[i] for i in gives) - sum(sizes[i] for i in takes)
+                if gives and not (len(gives) == len(takes) == 2) and 0 < gain <= capacity - fill[k] and gain > fill[g] - fill[k]:
+                    yield g, k, gives, takes
+
+
+def test_local_search_ends_where_no_step_is_left():
+    draw = np.random.default_rng(14)
+    better = 0
+    for _ in range(25):
+        sizes = draw.integers(20, 52, 30)
+        first = packing.best_fit(sizes, 100)
+        bins = packing.improve(first, sizes, 100)
+        assert sorted(i for b in bins for i in b) == list(range(30)) and all(sizes[b].sum() <= 100 for b in bins) and len(bins) <= len(first)
+        assert len(bins) == -(-sizes.sum() // 100) or not any(gains(bins, sizes.tolist(), 100))
+        better += len(bins) < len(first)
+    assert better > 0
+
+
+def test_packing_in_several_groups(spark, monkeypatch):
+    """Where best fit isn't optimal the search empties bins, in each group."""
+    monkeypatch.setattr(packing, "GROUP", 200)
+    draw = np.random.default_rng(15)
+    lengths = draw.integers(26, 50, 600)
+    df = spark.createDataFrame([(i, "the " * int(n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    got = packing.packed(df, capacity=100).toPandas()
+    assert (got.sort_values("doc_id").length.to_numpy() == lengths).all()
+    first = 0
+    for _, own in got.groupby(got.sequence_id.to_numpy() >> 32):
+        bins = len(packing.best_fit(own.sort_values("doc_id").length.to_numpy(), 100))
+        assert own.sequence_id.nunique() < bins
+        first += bins
+    assert len(set(got.sequence_id.to_numpy() >> 32)) == 3 and got.sequence_id.nunique() < 0.98 * first
+    for _, own in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert (own.offset == own.length.cumsum() - own.length).all() and own.length.sum() <= 100
+
+
 # --- 6 ---------------------------------------------------------------------
 
 
@@ -617,7 +691,8 @@ def test_pipeline_stages_by_brute_force(spark, docs):
         assert three.loc[i].n_chars == (len(three.loc[i].text) if three.loc[i].text != t else two.set_index("doc_id").loc[i].n_chars)
         assert not brute_base(three.loc[i].text) if spans else True
     mixed = keep(stages["mixing"](spark, spark.createDataFrame(three.reset_index()), SMALL))
-    times = mixing.mix(spark.createDataFrame(three.reset_index())).toPandas().set_index("doc_id").times
+    left = spark.createDataFrame(three.reset_index())
+    times = mixing.mix(left, mixing.fitted_weight(left, spark.read.parquet(f"{SMALL}/labels.parquet"))).toPandas().set_index("doc_id").times
     counts = mixed.toPandas().doc_id.value_counts()
     assert counts.to_dict() == times[times > 0].to_dict()
     assert stages["packing"](spark, mixed, SMALL).toPandas().query("piece == 0").shape[0] == counts.sum()
