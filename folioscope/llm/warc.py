@@ -3,11 +3,13 @@
 The writer makes one record for each page: a response, or for a payload that a
 response with a smaller id already holds, a revisit that points to it. Each
 record is a gzip member of its own; the archives are files of whole members in
-the shared folder, written and read by Spark alone.
+the shared folder, of ARCHIVE bytes and one record more at most, written and
+read by Spark alone. A record's last header is a digest of those before it.
 
 The reader checks each member (its deflate data, CRC and length) and each
-record (version line, headers, length, closing lines, block and payload
-digests). After a failed check it searches for the next valid member, or in
+record (version line, headers and their digest, length, closing lines, block
+and payload digests). It goes through an archive record by record and keeps
+none of them. After a failed check it searches for the next valid member, or in
 plain archives and in a member's inflated bytes for the next version line,
 goes on from there, and logs the bytes between as a quarantined gap. Of a
 member with broken deflate data the records before the fault are kept. What
@@ -30,9 +32,9 @@ from folioscope.llm._common import fresh_path, stored, table
 
 #: Payloads of fewer bytes are never revisited.
 LEAST_BYTES = 100
-#: Records in one archive file, at most.
-RECORDS = 20_000
-#: Bytes that the plain writer's line separator gives back to each member: the last one of a gzip member below 16 MB.
+#: Stored bytes after which an archive is full.
+ARCHIVE = 32 << 20
+#: The byte that the plain writer's line separator gives back to an archive: the last one of a gzip member below 16 MB.
 CLOSING = "\x00"
 VERSION = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -54,6 +56,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
     if kind == "revisit":
         head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>".encode()]
     head += [b"Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}".encode()]
+    head.append(b"X-Header-Digest: sha256:" + hashlib.sha256(b"\r\n".join(head)).hexdigest().encode())
     return VERSION + b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -75,16 +78,22 @@ def write_archives(pages: DataFrame, path: str) -> None:
     marked = rows.join(again, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same")), "left").select("page_id", "url", "payload", "digest", "first")
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for part in parts:
-            out = []
             for page, url, body, digest, to in part.itertuples(index=False):
                 page = None if pd.isna(page) else int(page)
                 kind = "response" if pd.isna(to) else "revisit"
-                out.append(member(record(page, url, bytes(body), digest, kind, None if kind == "response" else int(to)))[:-1])
-            yield pd.DataFrame({"member": out})
+                held.append(member(record(page, url, bytes(body), digest, kind, None if kind == "response" else int(to))))
+                size += len(held[-1])
+                if size >= ARCHIVE:
+                    yield pd.DataFrame({"archive": [b"".join(held)[:-1]]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"archive": [b"".join(held)[:-1]]})
 
-    made = marked.mapInPandas(write, T.StructType([T.StructField("member", T.BinaryType())]))
-    made.select(F.col("member").cast("string").alias("value")).write.option("lineSep", CLOSING).option("maxRecordsPerFile", RECORDS).text(path)
+    made = marked.mapInPandas(write, T.StructType([T.StructField("archive", T.BinaryType())]))
+    # one row is one file; the writer's line separator gives back its last byte
+    made.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", CLOSING).option("maxRecordsPerFile", 1).text(path)
 
 
 class Damaged(Exception):
@@ -105,6 +114,10 @@ def _record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Damaged("a header without a colon")
         head[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if (want := head.get("x-header-digest", "")).startswith("sha256:"):
+        own = [x for x in lines[1:] if not x.lower().startswith(b"x-header-digest:")]
+        if hashlib.sha256(b"\r\n".join(own)).hexdigest() != want[7:].lower():
+            raise Damaged("header digest")
     length = head.get("content-length", "")
     if not length.isdecimal():
         raise Damaged("no length")
@@ -146,7 +159,16 @@ def _records_in(raw: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tu
 
 
 def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """Records (place, headers, block) of an archive and its gaps (start, end, reason), places in the stored bytes.
+    """Records (place, headers, block) of an archive and its gaps (start, end, reason), places in the stored bytes."""
+    found: list[tuple[int, dict[str, str], bytes]] = []
+    gaps: list[tuple[int, int, str]] = []
+    for what in events(data):
+        (gaps if isinstance(what[2], str) else found).append(what)  # type: ignore[arg-type]
+    return found, gaps
+
+
+def events(data: bytes) -> Iterator[tuple]:
+    """The records (place, headers, block) and gaps (start, end, reason) of an archive as they are met; of a record only its own bytes are held.
 
     Takes archives of gzip members, plain ones, and mixtures. An empty archive
     has neither records nor gaps. A gap within a member that inflates whole is
@@ -154,8 +176,6 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
     was inflated before a member's fault is searched for records in the same
     way, and the gap goes from the member's start to the next valid place.
     """
-    found: list[tuple[int, dict[str, str], bytes]] = []
-    gaps: list[tuple[int, int, str]] = []
     at, size = 0, len(data)
     bad: tuple[int, str] | None = None
     view = memoryview(data)
@@ -171,7 +191,7 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
                     # a member of one record stands or falls with its own check; of several, those that pass theirs are kept
                     records = records if inner or len(records) > 1 else []
                     if records:
-                        found += [(at, *r) for r in records if r not in saved]
+                        yield from ((at, *r) for r in records if r not in saved)
                         saved, fault = saved + records, max(fault, after)
                     raise Damaged(reason)
                 own = [(at, *r) for r in records]
@@ -186,16 +206,16 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
             at = min(nexts, default=size)
             continue
         if bad:
-            gaps.append((bad[0], at, bad[1]))
+            yield bad[0], at, bad[1]
             bad = None
         if at >= fault:
             saved = []
-        gaps += [(at, after, f"{why} in inflated bytes {start} to {stop}") for start, stop, why in inner]
-        found += own
+        for start, stop, why in inner:
+            yield at, after, f"{why} in inflated bytes {start} to {stop}"
+        yield from own
         at = after
     if bad:
-        gaps.append((bad[0], size, bad[1]))
-    return found, gaps
+        yield bad[0], size, bad[1]
 
 
 #: Bytes given to the inflater at a time, so that a member's end is found without copying the rest.
@@ -241,15 +261,21 @@ def _id(urn: str) -> int | None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record below path that passes its checks. Other record types than response and revisit come back too."""
+    """One row for each record below path that passes its checks. Other record types than response and revisit come back too.
+
+    Spark's reader of whole files takes archives of up to 2 GB.
+    """
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, data in zip(part["path"], part["content"], strict=True):
                 rows = []
-                for place, head, block in salvage(bytes(data))[0]:
+                for place, head, block in events(bytes(data)):
+                    if isinstance(block, str):
+                        continue
                     payload = block.partition(b"\r\n\r\n")[2]
-                    stored_length = head.get("x-payload-length", "")
-                    rows.append((_id(head.get("warc-record-id", "")), int(stored_length) if stored_length.isdecimal() else len(payload), head.get("warc-payload-digest", "").removeprefix("sha256:").lower(),
+                    told = head.get("x-payload-length", "")
+                    revisit = head.get("warc-type") == "revisit"  # holds no payload: its length stands in the checked headers
+                    rows.append((_id(head.get("warc-record-id", "")), int(told) if revisit and told.isdecimal() else len(payload), head.get("warc-payload-digest", "").removeprefix("sha256:").lower(),
                                  head.get("warc-type"), _id(head.get("warc-refers-to", "")), head.get("warc-target-uri"), name, place))
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in _PAGE.split(", ")])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64", "place": "Int64"})
@@ -262,7 +288,7 @@ def read_gaps(spark: SparkSession, path: str) -> DataFrame:
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, data in zip(part["path"], part["content"], strict=True):
-                yield pd.DataFrame([(name, *g) for g in salvage(bytes(data))[1]], columns=["archive", "start", "stop", "reason"])
+                yield pd.DataFrame([(name, *g) for g in events(bytes(data)) if isinstance(g[2], str)], columns=["archive", "start", "stop", "reason"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "archive string, start long, stop long, reason string")
 

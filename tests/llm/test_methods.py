@@ -395,6 +395,34 @@ def test_salvage_within_a_member():
         assert sorted(names(found)) == sorted(want + want[19:]) and gaps
 
 
+def test_salvage_of_headers_and_ends():
+    """A flipped byte of a header is a gap; a cut member gives what was whole; a bad record in a valid member costs itself."""
+    made = _records()
+    plain = b"".join(made)
+    for text in (b"WARC-Record-ID: <urn:page:9>", b"X-Payload-Length: 210", b"WARC-Target-URI: http://a/9\r"):
+        raw = bytearray(plain)
+        at = plain.index(text, plain.index(made[9])) + len(text) - 2
+        raw[at] ^= 1
+        found, gaps = warc.salvage(bytes(raw))
+        assert [h["warc-record-id"] for _, h, _ in found] == [f"<urn:page:{i}>" for i in range(20) if i != 9] and [g[2] for g in gaps] == ["header digest"]
+    packed = warc.member(plain)
+    found, gaps = warc.salvage(packed[:-50])
+    assert len(found) == 19 and len(gaps) == 1
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(warc, "ARCHIVE", 20_000)
+    draw = np.random.default_rng(17)
+    pages = [(i, "u", draw.bytes(1500).hex()) for i in range(120)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(df, str(tmp_path / "a"))
+    sizes = [os.path.getsize(tmp_path / "a" / f) for f in os.listdir(tmp_path / "a") if f.startswith("part")]
+    assert len(sizes) > 5 and max(sizes) < 20_000 + 4_000
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_archives(spark, str(tmp_path / "a")).collect()) == [(i, 3000) for i in range(120)]
+
+
 def test_gap_log(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(b"??" + b"".join(map(warc.member, _records(3))))
     assert [(r.start, r.stop) for r in warc.read_gaps(spark, str(tmp_path)).collect()] == [(0, 2)] and warc.read_archives(spark, str(tmp_path)).count() == 3
