@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -48,7 +48,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete_path, spark, path)
     return path
 
 
@@ -64,7 +64,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def drop_stored(df: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
     if path := getattr(df, "_folioscope_path", None):
-        _delete(df.sparkSession, path)
+        delete_path(df.sparkSession, path)
 
 
 def hash_sample(df: DataFrame, most: int, *key: str) -> DataFrame:

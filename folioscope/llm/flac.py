@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm._common import table
+from folioscope.llm._common import delete_path, fresh_path, stored, table
 
 BLOCK = 576
 #: Frames coded side by side, which bounds the memory.
@@ -603,15 +603,36 @@ def feature(samples: np.ndarray) -> str:
     return f"peak={int(np.abs(x).max())};energy={int((x * x).sum())};crossings={int((np.signbit(x[1:]) != np.signbit(x[:-1])).sum())};steps={int(np.abs(np.diff(x)).sum())}"
 
 
+def _samples(streams: list[bytes | None]) -> list[np.ndarray | str | None]:
+    """Samples of each stream, None for a null one, or what is wrong with it; one damaged stream costs no other."""
+    some = [s for s in streams if s is not None]
+    try:
+        found = iter(decode_many(some) if some else [])
+        return [None if s is None else next(found) for s in streams]
+    except (Broken, ValueError, IndexError, OverflowError):
+        out: list[np.ndarray | str | None] = []
+        for s in streams:
+            try:
+                out.append(None if s is None else decode_many([s])[0])
+            except (Broken, ValueError, IndexError, OverflowError) as e:
+                out.append(f"{type(e).__name__}: {e}")
+        return out
+
+
 def _digest(media: pd.Series) -> pd.DataFrame:
     rows = []
-    streams = [bytes(m) for m in media]
+    streams = [None if m is None else bytes(m) for m in media]
     for at in range(0, len(streams), 512):
         some = streams[at : at + 512]
-        for stream, samples in zip(some, decode_many(some), strict=True):
+        for stream, samples in zip(some, _samples(some), strict=True):
+            whole = [len(stream), hashlib.sha256(stream).hexdigest()] if stream is not None else [None, None]
+            if samples is None or isinstance(samples, str):
+                rows.append((None, None, None, *whole, None, samples))
+                continue
             raw = (samples + 128).astype(np.uint8).tobytes()
-            rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(samples)))
-    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), *whole, feature(samples), None))
+    out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "broken"])
+    return out.astype({"payload_bytes": "Int64", "tail_crc32": "Int64", "media_bytes": "Int64"})
 
 
 def to_flac(text: Column) -> Column:
@@ -620,18 +641,23 @@ def to_flac(text: Column) -> Column:
 
 
 def digest(media: Column) -> Column:
-    """What a FLAC stream holds, read back in full: a struct of sizes, sums and the feature."""
-    kinds = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    """What a FLAC stream holds, read back in full: a struct of sizes, sums and the feature.
+
+    A null stream gives nulls. A damaged one is put in quarantine: its own size
+    and hash stay, broken says what is wrong, and the rest is null.
+    """
+    kinds = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("broken", T.StringType())]
     return F.pandas_udf(_digest, T.StructType([T.StructField(*k) for k in kinds]))(media)
 
 
 def pcm_blocks(df: DataFrame, key: str, media: str, samples: int = 16 * BLOCK) -> DataFrame:
-    """A row for each block of PCM (signed 8-bit) of a column of FLAC streams: key, block, sample_offset, n_samples, pcm. A null stream has none."""
+    """A row for each block of PCM (signed 8-bit) of a column of FLAC streams: key, block, sample_offset, n_samples, pcm. A null stream has none, nor has a damaged one, which digest() names."""
     def cut(parts):
         for part in parts:
-            part = part[part[media].notna()]
             rows = []
-            for k, x in zip(part[key], decode_many([bytes(m) for m in part[media]]), strict=True):
+            for k, x in zip(part[key], _samples([None if m is None else bytes(m) for m in part[media]]), strict=True):
+                if x is None or isinstance(x, str):
+                    continue
                 rows += [(k, i, at, len(x[at : at + samples]), x[at : at + samples].astype(np.int8).tobytes()) for i, at in enumerate(range(0, len(x), samples))]
             yield pd.DataFrame(rows, columns=[key, "block", "sample_offset", "n_samples", "pcm"])
 
@@ -639,8 +665,33 @@ def pcm_blocks(df: DataFrame, key: str, media: str, samples: int = 16 * BLOCK) -
     return df.select(key, media).mapInPandas(cut, T.StructType(kinds))
 
 
-def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of documents; repeated rows come as often as they are. An empty table gives no rows."""
-    docs = table(spark, sf_dir, "documents")
+def write_media(docs: DataFrame, path: str) -> None:
+    """A media table under path: doc_id, n_bytes and media, the text's FLAC stream, of every row of docs (doc_id, text)."""
     n = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes")
-    return docs.select("doc_id", n, digest(to_flac(F.col("text"))).alias("d")).select("doc_id", "n_bytes", "d.*")
+    docs.select("doc_id", n, to_flac(F.col("text")).alias("media")).write.option("compression", "none").parquet(path)
+
+
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, n_bytes and what the stored streams hold, read back."""
+    kept = spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
+    return kept.select("doc_id", "n_bytes", digest(F.col("media")).alias("d")).select("doc_id", "n_bytes", "d.*")
+
+
+#: The query stores its media in so many turns, which bounds the disk that they take at once.
+TURNS = 4
+
+
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, written as media and read back; repeated rows come as often as they are. An empty table gives no rows.
+
+    The rows go by a hash of doc_id in TURNS turns. A turn's media are deleted
+    once their digests are stored; write_media keeps them.
+    """
+    docs, out = table(spark, sf_dir, "documents"), None
+    for turn in range(TURNS):
+        path = fresh_path(spark, "media")
+        write_media(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)) == turn), path)
+        done = stored(read_media(spark, path), "digests")
+        delete_path(spark, path)
+        out = done if out is None else out.union(done)
+    return out

@@ -165,6 +165,30 @@ def test_pcm_blocks(spark):
     assert bytes(b ^ 128 for r in own for b in r.pcm) == flac.payload_of("abc" * 5000)
 
 
+def test_media_tables_with_damage(spark, tmp_path):
+    """Stored, read back, and null and damaged streams give a row each and stop nothing."""
+    texts = [f"text {i} " * (i * 40 + 1) for i in range(12)]
+    docs = spark.createDataFrame([*enumerate(texts), (98, None), (99, "")], "doc_id long, text string")
+    flac.write_media(docs, str(tmp_path / "a"))
+    kept = spark.read.parquet(str(tmp_path / "a")).toPandas()
+    got = {r.doc_id: r for r in flac.read_media(spark, str(tmp_path / "a")).collect()}
+    assert all((got[i].payload_sha256, got[i].n_bytes, got[i].broken) == (hashlib.sha256(flac.payload_of(t)).hexdigest(), len(t), None) for i, t in enumerate(texts)) and len(got) == 14
+    hurt = {}
+    for i, m in zip(kept.doc_id, kept.media, strict=True):
+        raw = bytearray(m)
+        if i == 3:
+            raw[-20] ^= 4
+        hurt[i] = {5: None, 6: b"", 7: b"RIFF....", 8: bytes(raw[: len(raw) // 2])}.get(i, bytes(raw))
+    spark.createDataFrame([(int(i), 0, m) for i, m in hurt.items()], "doc_id long, n_bytes long, media binary").write.parquet(str(tmp_path / "b"))
+    after = {r.doc_id: r for r in flac.read_media(spark, str(tmp_path / "b")).collect()}
+    assert {i for i, r in after.items() if r.broken} == {3, 6, 7, 8} and after[5].payload_sha256 is None and after[5].media_bytes is None
+    assert all(after[i].payload_sha256 == r.payload_sha256 for i, r in got.items() if i not in (3, 5, 6, 7, 8)) and after[3].media_bytes == got[3].media_bytes
+    own = spark.read.parquet(str(tmp_path / "b"))
+    assert {r.doc_id for r in flac.pcm_blocks(own, "doc_id", "media").select("doc_id").distinct().collect()} == set(got) - {3, 5, 6, 7, 8}
+    flac.write_media(docs.limit(0), str(tmp_path / "c"))
+    assert flac.read_media(spark, str(tmp_path / "c")).count() == 0 and flac.pcm_blocks(own.limit(0), "doc_id", "media").count() == 0
+
+
 # --- 4 ---------------------------------------------------------------------
 
 
