@@ -686,16 +686,27 @@ def test_e8_is_the_nearest_point():
     assert (d.argmin(1) == 0).all() and (np.isclose(p % 1, 0).all(1) | np.isclose(p % 1, 0.5).all(1)).all() and (np.rint(p.sum(1)) % 2 == 0).all()
 
 
-def test_recall_at_the_threshold():
-    """Pairs just above 0.93 share a bucket nearly always: above the 0.9 asked for."""
-    a, b = near_pairs(2000, 0.9301)
-    share = (lattice.buckets(a)[:, :, :, None] == lattice.buckets(b)[:, :, None, :]).any((1, 2, 3))
+@pytest.mark.parametrize("level", range(len(lattice.LEVELS)))
+def test_recall_at_the_threshold(level):
+    """Pairs just above 0.93 share a bucket nearly always, at every level: above the 0.9 asked for."""
+    a, b = near_pairs(1200, 0.9301)
+    share = (lattice.buckets(a, level)[:, :, :, None] == lattice.buckets(b, level)[:, :, None, :]).any((1, 2, 3))
     assert share.mean() > 0.98
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_lattice_by_brute_force(spark, monkeypatch, block):
+def test_finer_cells_hold_fewer_chance_pairs():
+    x = near_pairs(4000, 0.0)[0]
+    met = []
+    for level in range(len(lattice.LEVELS)):
+        names, counts = zip(*(np.unique(lattice.buckets(x, level)[:, t], return_counts=True) for t in range(lattice.LEVELS[level][3])), strict=True)
+        met.append(sum((c * (c - 1) // 2).sum() for c in counts))
+    assert met[0] > 20 * met[1] > 200 * met[2]
+
+
+@pytest.mark.parametrize("block,level", [(4096, 0), (7, 0), (4096, 1), (5, 2)])
+def test_lattice_by_brute_force(spark, monkeypatch, block, level):
     monkeypatch.setattr(lattice, "BLOCK", block)
+    monkeypatch.setattr(lattice, "LEVELS", tuple((0 if k <= level else 1 << 60, *x[1:]) for k, x in enumerate(lattice.LEVELS)))
     draw = np.random.default_rng(8)
     a, b = near_pairs(60, 0.95, 1)
     tight = a[0] + 0.02 * draw.normal(size=(60, 64))
