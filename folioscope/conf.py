@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 
-class InvalidInput(ValueError):
+class EngineError(Exception):
+    """An expected failure, with the code and the status that a service shows for it."""
+
+    code, status = "error", 400
+
+
+class InvalidInput(EngineError, ValueError):
     """An argument outside its bounds."""
 
+    code, status = "invalid_input", 422
+
 
 class UnknownColumn(InvalidInput):
     """A filter, order or patch names a column that the frame lacks."""
 
 
+# The other failures' codes and statuses.
+FAILURES = {
+    "NotFound": ("not_found", 404), "Unauthorized": ("unauthorized", 401), "Forbidden": ("forbidden", 403), "Conflict": ("conflict", 409), "QuotaExceeded": ("quota_exceeded", 402), "AddressBlocked": ("ssrf_blocked", 422),
+    "CrawlFailed": ("crawl_failed", 502), "RateLimited": ("rate_limited", 429), "ExternalService": ("external_service_error", 502), "ServiceUnavailable": ("service_unavailable", 503), "Configuration": ("configuration_error", 500),
+}
+NotFound, Unauthorized, Forbidden, Conflict, QuotaExceeded, AddressBlocked, CrawlFailed, RateLimited, ExternalService, ServiceUnavailable, Configuration = (type(n, (EngineError,), {"code": c, "status": s}) for n, (c, s) in FAILURES.items())
+
 # Fixed values.
 PLAN_LIMITS = {"free": 10, "pro": 200, "agency": 1000, "enterprise": 100_000}
 PROGRESS = {"queued": 0.05, "crawling": 0.35, "analyzing": 0.75, "completed": 1.0, "failed": 1.0}
@@ -51,9 +67,42 @@ class EngineConf:
 
     @classmethod
     def from_env(cls, env: dict[str, str]) -> EngineConf:
-        """Settings by upper-case name from an environment; numbers only."""
-        known = {k: type(v) for k, v in cls().__dict__.items() if isinstance(v, int)}
-        return cls(**{k: int(env[k.upper()]) for k in known if k.upper() in env})
+        """Settings by upper-case name from an environment: numbers, and weights as JSON or as name=number with commas."""
+        values: dict = {}
+        for name, old in cls().__dict__.items():
+            if (text := env.get(name.upper())) is not None:
+                values[name] = _mapping(text) if isinstance(old, dict) else int(text)
+        return cls(**values)
+
+
+def _mapping(text: str) -> dict[str, float]:
+    pairs = json.loads(text).items() if text.lstrip().startswith("{") else (p.split("=", 1) for p in listed(text))
+    return {k.strip(): float(v) for k, v in pairs}
+
+
+def listed(text: str) -> list[str]:
+    """A list from a setting: JSON, or parts between commas; blank ones go."""
+    parts = json.loads(text) if text.lstrip().startswith("[") else text.split(",")
+    return [p for x in parts if (p := str(x).strip())]
+
+
+def dotenv(text: str) -> dict[str, str]:
+    """Names and values of a file of settings: comments and blank lines go, quotes around a value too, and export before a name."""
+    out = {}
+    for line in text.splitlines():
+        name, sign, value = line.strip().removeprefix("export ").partition("=")
+        if sign and not name.startswith("#"):
+            value = value.strip()
+            out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value.split(" #", 1)[0].strip()
+    return out
+
+
+def check_trigger(audit_id: object, project_id: object, url: str | None) -> None:
+    """What starts a crawl: an audit, or a project with an address, not both."""
+    if audit_id is None and not (project_id and url):
+        raise InvalidInput("either audit_id, or project_id and url")
+    if audit_id is not None and project_id and url:
+        raise InvalidInput("either audit_id, or project_id and url, not both")
 
 
 def plan_limit(tier: str | None) -> int:

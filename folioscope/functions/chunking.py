@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -133,13 +133,20 @@ def _groups(body: str, budget: int) -> Iterator[list[str]]:
 
 
 def chunk_documents(docs: DataFrame, key: str, markdown: str, conf: EngineConf | None = None) -> DataFrame:
-    """Rows key, chunk_index, content, token_count, char_count, heading_path; documents without text have none."""
+    """Rows key, chunk_index, content, token_count, char_count, heading_path, is_cut; documents without text have none.
+
+    is_cut is true in all chunks of a document that conf.max_chunks ends before its own end.
+    """
     conf = conf or EngineConf()
+    whole = replace(conf, max_chunks=conf.max_chunks + 1)  # one more shows whether any is left
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(k, i, c.content, tokens_of(c.content), len(c.content), c.heading_path) for k, m in zip(part[key], part[markdown], strict=True) for i, c in enumerate(chunks(m, conf))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "content", "token_count", "char_count", "heading_path"])
+            rows = []
+            for k, m in zip(part[key], part[markdown], strict=True):
+                own = chunks(m, whole)
+                rows += [(k, i, c.content, tokens_of(c.content), len(c.content), c.heading_path, len(own) > conf.max_chunks) for i, c in enumerate(own[: conf.max_chunks])]
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "content", "token_count", "char_count", "heading_path", "is_cut"])
 
-    kinds = [docs.schema[key], T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("token_count", T.IntegerType()), T.StructField("char_count", T.IntegerType()), T.StructField("heading_path", T.StringType())]
+    kinds = [docs.schema[key], T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("token_count", T.IntegerType()), T.StructField("char_count", T.IntegerType()), T.StructField("heading_path", T.StringType()), T.StructField("is_cut", T.BooleanType())]
     return docs.select(key, markdown).mapInPandas(cut, T.StructType(kinds))

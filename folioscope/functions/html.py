@@ -33,6 +33,7 @@ CHROME = re.compile(
 CONTENT = (("tag", "main"), ("tag", "article"), ("role", "main"), ("class", "post-content"), ("class", "entry-content"), ("class", "article-body"), ("class", "markdown-body"), ("id", "content"), ("class", "content"))
 UNREAD_TAGS = ("script", "style", "noscript", "template")
 SEMANTIC = ("main", "article", "section", "header", "footer", "nav", "aside", "figure", "time")
+WRITTEN_LINK = re.compile(r"\[[^\]]*\]\(<?(https?://[^)>\s]+)>?\)")
 LEAST_SHARE = 0.25
 MOST_LINKS = 500
 
@@ -44,6 +45,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
+#: The tag that stands for a comment; it has no text.
+COMMENT = "#comment"
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -96,6 +101,9 @@ class _Builder(HTMLParser):
                 del self.open[i:]
                 return
 
+    def handle_comment(self, data: str) -> None:
+        self.open[-1].children.append(Node(COMMENT))
+
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
@@ -118,27 +126,47 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-def without(root: Node, gone) -> tuple[Node, int]:
-    """A copy without the elements for which gone(node) holds, and how many went; what they hold goes with them."""
-    count, top = 0, Node(root.tag, root.attrs)
+def without(root: Node, gone) -> Node:
+    """A copy without the elements for which gone(node) holds and what is in them."""
+    top = Node(root.tag, root.attrs)
     stack = [(root, top)]
     while stack:
         old, new = stack.pop()
         for child in old.children:
             if isinstance(child, str):
                 new.children.append(child)
-            elif gone(child):
-                count += 1
-            else:
+            elif not gone(child):
                 copy = Node(child.tag, child.attrs)
                 new.children.append(copy)
                 stack.append((child, copy))
-    return top, count
+    return top
 
 
-def _chrome(node: Node) -> bool:
+def _named_chrome(node: Node) -> bool:
     names = " ".join(filter(None, (node.attrs.get(a) for a in ("class", "id", "role"))))
-    return node.tag in DROPPED_TAGS or bool(names and CHROME.search(names))
+    return bool(names and CHROME.search(names))
+
+
+def _chrome(node: Node) -> bool:
+    return node.tag in DROPPED_TAGS or node.tag == COMMENT or _named_chrome(node)
+
+
+def removals(root: Node) -> int:
+    """How many elements are detached: the dropped tags go in their order, then elements named as chrome, then comments.
+
+    What hangs in an element that went before it is no longer there to be
+    detached; what goes in the same turn counts, nested or not.
+    """
+    count, last = 0, len(DROPPED_TAGS)
+    turns = {tag: i for i, tag in enumerate(DROPPED_TAGS)}
+    stack = [(root, last + 2)]  # with the first turn that takes an element above
+    while stack:
+        node, above = stack.pop()
+        turn = turns.get(node.tag, last + 1 if node.tag == COMMENT else last if _named_chrome(node) else last + 2)
+        count += turn <= above and turn < last + 2
+        below = min(above, turn)
+        stack += [(c, below) for c in node.children if isinstance(c, Node)]
+    return count
 
 
 def _selected(node: Node, kind: str, name: str) -> bool:
@@ -149,7 +177,7 @@ def _selected(node: Node, kind: str, name: str) -> bool:
 
 def main_content(root: Node) -> tuple[Node, float]:
     """The longest content container and the share outside it; the whole document where none holds enough of it."""
-    body, _ = without(root, lambda n: n.tag in UNREAD_TAGS)
+    body = without(root, lambda n: n.tag in UNREAD_TAGS)
     full = len(" ".join(body.text().split()))
     if not full:
         return body, 1.0
@@ -261,14 +289,15 @@ def sanitise(text: str) -> str:
     return _CONTROL.sub("", text.translate(_ZERO).replace("\r\n", "\n").replace("\r", "\n"))
 
 
-def clean(html: str | None, base: str | None) -> dict:
+def clean(html: str | None, base: str | None, root: Node | None = None) -> dict:
     """Markdown of the main content, and what is measured on it."""
-    stripped, removed = without(parse(html), _chrome)
-    main, ratio = main_content(stripped)
+    root = parse(html) if root is None else root
+    removed = removals(root)
+    main, ratio = main_content(without(root, _chrome))
     markdown = re.sub(r"\n{3,}", "\n\n", sanitise(to_markdown(main))).strip()
     paragraphs = [p for p in re.split(r"\n\s*\n", markdown) if p.strip()]
     counts = [len(p.split()) for p in paragraphs]
-    links = re.findall(r"\[[^\]]*\]\(<?(https?://[^)>\s]+)>?\)", markdown)
+    links = WRITTEN_LINK.findall(markdown)
     return {
         "markdown": markdown, "text": "\n".join(x for line in main.text().splitlines() if (x := re.sub(r"[ \t\x0b\f\r]+", " ", line).strip())), "word_count": len(markdown.split()), "boilerplate_ratio": ratio,
         "has_lists": bool(re.search(text_functions.LIST, markdown)), "has_tables": bool(re.search(text_functions.TABLE, markdown)), "avg_paragraph_words": sum(counts) / len(counts) if counts else 0.0,
@@ -290,7 +319,7 @@ def _site(url: str) -> str:
     labels = name.split(".")
     if re.fullmatch(r"[0-9.]+|.*:.*", name):
         return name
-    return ".".join(labels[-3:] if ".".join(labels[-2:]) in TWO_LEVEL else labels[-2:])
+    return ".".join(labels[-3:] if re.match(TWO_LEVEL, ".".join(labels[-2:])) else labels[-2:])
 
 
 def absolute(base: str, href: str) -> str | None:
@@ -304,9 +333,9 @@ def absolute(base: str, href: str) -> str | None:
         return None
 
 
-def signals(html: str | None, base: str | None) -> dict:
+def signals(html: str | None, base: str | None, root: Node | None = None) -> dict:
     """What the page says about itself, from the markup as it was served."""
-    base, root = base or "", parse(html)
+    base, root = base or "", parse(html) if root is None else root
     nodes = list(root.walk())
     found: dict = {"title": None, "meta_description": None, "canonical_url": None, "lang": None, "viewport": None, "sitemap_url": None, "headings": [], "internal_links": [], "external_links": [], "images_total": 0, "images_missing_alt": 0}
     metas: dict[str, str] = {}
@@ -356,7 +385,24 @@ PAGE = T.StructType([
 
 @F.pandas_udf(PAGE)
 def _read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([signals(h, u) | clean(h, u) for h, u in zip(html, url, strict=True)], columns=PAGE.names)
+    rows = []
+    for h, u in zip(html, url, strict=True):
+        root = parse(h)
+        rows.append(signals(h, u, root) | clean(h, u, root))
+    return pd.DataFrame(rows, columns=PAGE.names)
+
+
+SIGNALS = T.StructType([f for f in PAGE.fields if f.name in ("title", "meta_description", "canonical_url", "lang", "viewport", "sitemap_url", "headings", "internal_links", "external_links", "semantic_tags", "images_total", "images_missing_alt")])
+
+
+@F.pandas_udf(SIGNALS)
+def _read_signals(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([signals(h, u) for h, u in zip(html, url, strict=True)], columns=SIGNALS.names)
+
+
+def read_signals(html: Column, url: Column) -> Column:
+    """Struct of a page's signals alone, without the cost of cleaning it."""
+    return _read_signals(html, url)
 
 
 def read_page(html: Column, url: Column) -> Column:

@@ -24,6 +24,12 @@ HTML_TYPES = ("text/html", "application/xhtml+xml", "application/xml", "text/xml
 SPA_MARKERS = ('id="root"', "id='root'", 'id="app"', "id='app'", "__next_data__", "window.__nuxt__", "ng-version", "data-reactroot", "v-app")
 SPA_WORDS = 120
 WORDS_PER_TOKEN = 1.3
+# What is looked for in markup and headers.
+SCRIPT_BLOCK, STYLE_BLOCK, ANY_TAG = r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<[^>]+>"
+MIME = r"(?i)^\s*([a-z0-9.+-]+/[a-z0-9.+-]+)"
+IMAGE, ALT = r"(?is)<img\b[^>]*>", r"(?is)\balt\s*=\s*[\"']([^\"']*)[\"']"
+OPEN_GRAPH = r"(?i)<meta[^>]+property=[\"'](og:[^\"']+)[\"'][^>]+content=[\"']([^\"']*)[\"']"
+JSON_LD = r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 #: What follows a sentence's end.
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])"
 TABLE = r"(?m)^\s*\|?[^\n|]*\|[^\n]*\n\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$"
@@ -105,9 +111,9 @@ def sentences(text: Column) -> Column:
 
 
 def visible_words(html: Column) -> Column:
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script[^>]*>.*?</script>", " ")
-    out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", " ")
-    return word_count(F.regexp_replace(out, r"(?s)<[^>]+>", " "))
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), SCRIPT_BLOCK, " ")
+    out = F.regexp_replace(out, STYLE_BLOCK, " ")
+    return word_count(F.regexp_replace(out, ANY_TAG, " "))
 
 
 def spa_shell(html: Column) -> Column:
@@ -120,7 +126,7 @@ def spa_shell(html: Column) -> Column:
 
 
 def mime(content_type: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)^\s*([a-z0-9.+-]+/[a-z0-9.+-]+)", 1))
+    return F.lower(F.regexp_extract(F.coalesce(content_type, F.lit("")), MIME, 1))
 
 
 def is_html(content_type: Column) -> Column:
@@ -142,26 +148,35 @@ def error_name(kind: Column) -> Column:
 
 def image_counts(html: Column) -> Column:
     """Struct of images and of those whose alt is missing or blank."""
-    images = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
-    bare = F.filter(images, lambda i: F.trim(F.regexp_extract(i, r"(?is)\balt\s*=\s*[\"']([^\"']*)[\"']", 1)) == "")
+    images = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(IMAGE), F.lit(0))
+    bare = F.filter(images, lambda i: F.trim(F.regexp_extract(i, ALT, 1)) == "")
     return F.struct(F.size(images).alias("total"), F.size(bare).alias("missing_alt"))
 
 
 def open_graph(html: Column) -> Column:
     """Map of og: properties whose property comes before the content; the last of a name wins."""
-    tag = r"(?i)<meta[^>]+property=[\"'](og:[^\"']+)[\"'][^>]+content=[\"']([^\"']*)[\"']"
-    names = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(tag), F.lit(1))
-    values = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(tag), F.lit(2))
+    names = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(OPEN_GRAPH), F.lit(1))
+    values = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(OPEN_GRAPH), F.lit(2))
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
     return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
-def json_ld_types(html: Column) -> Column:
-    """Distinct @type values of all readable JSON-LD blocks, first come first; a trailing comma is forgiven, other damage skips the block."""
-    blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+def _json_ld(html: Column) -> Column:
+    """Array of the texts of all readable JSON-LD blocks; a trailing comma is forgiven, other damage skips the block."""
+    blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(JSON_LD), F.lit(1))
     parsed = F.transform(blocks, lambda b: F.coalesce(F.try_parse_json(b), F.try_parse_json(F.regexp_replace(b, r",\s*([}\]])", "$1"))))
-    texts = F.transform(F.filter(parsed, lambda v: v.isNotNull()), lambda v: F.to_json(v))
-    objects = F.flatten(F.transform(texts, lambda t: F.when(F.startswith(t, F.lit("[")), F.from_json(t, "array<struct<`@type`:string>>")).otherwise(F.array(F.from_json(t, "struct<`@type`:string>")))))
+    return F.transform(F.filter(parsed, lambda v: v.isNotNull()), lambda v: F.to_json(v))
+
+
+def json_ld(html: Column) -> Column:
+    """JSON of a page's blocks: null for none, the one itself, or an array of several."""
+    texts = _json_ld(html)
+    return F.when(F.size(texts) == 1, texts[0]).when(F.size(texts) > 1, F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
+
+
+def json_ld_types(html: Column) -> Column:
+    """Distinct @type values of all readable JSON-LD blocks, first come first."""
+    objects = F.flatten(F.transform(_json_ld(html), lambda t: F.when(F.startswith(t, F.lit("[")), F.from_json(t, "array<struct<`@type`:string>>")).otherwise(F.array(F.from_json(t, "struct<`@type`:string>")))))
     kinds = F.filter(F.transform(objects, lambda o: o["@type"]), lambda t: t.isNotNull())
     spread = F.flatten(F.transform(kinds, lambda t: F.when(F.startswith(t, F.lit("[")), F.from_json(t, "array<string>")).otherwise(F.array(t))))
     return F.array_distinct(spread)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import ipaddress
 import re
 import unicodedata
-from urllib.parse import urlsplit, urlunsplit
-from urllib.robotparser import RobotFileParser
+from functools import lru_cache
+from urllib.parse import quote, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 BLOCKED = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8")
 PORTS = {"http": 80, "https": 443}
 MAX_URL = 2048
-#: Suffixes of two labels below which names are registered; others count as one label.
-TWO_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "co.in", "com.mx", "co.za", "com.cn")
+#: Suffixes of two labels below which names are registered: a general label below a country's; others count as one label.
+TWO_LEVEL = r"^(?:ac|asn|co|com|edu|firm|gen|go|gob|gouv|gov|gv|id|ind|info|ltd|mil|ne|net|nhs|nom|or|org|plc|police|sch|web)\.(?!(?:ai|be|ca|ch|cz|de|dk|eu|fi|io|it|nl|no|se|us)$)[a-z]{2}$"
 
 
 def host(url: Column) -> Column:
@@ -43,7 +43,7 @@ def registrable(host_name: Column) -> Column:
     two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
     three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
     numeric = F.regexp_like(host_name, F.lit(r"^[0-9.]+$|:"))
-    return F.when(numeric, host_name).when(two.isin(*TWO_LEVEL), three).otherwise(two)
+    return F.when(numeric, host_name).when(F.regexp_like(two, F.lit(TWO_LEVEL)), three).otherwise(two)
 
 
 def same_site(a: Column, b: Column) -> Column:
@@ -69,10 +69,24 @@ def absolutise(href: Column, base: Column) -> Column:
         .when(F.startswith(h, F.lit("?")), F.concat(page, h))
         .otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), h))
     )
+    # in names below the page's folder or site, . and .. are walked
+    below = ~F.regexp_like(h, F.lit(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|\?)")) & F.regexp_like(h, F.lit(r"(?:^|/)\.\.?(?:[/?#]|$)"))
+    whole = F.when(below, _walked(without_fragment(whole))).otherwise(whole)
     dropped = F.regexp_like(h, F.lit(r"^(?:mailto:|tel:|javascript:|data:|#)|^$"))
     return F.when(~dropped & F.regexp_like(whole, F.lit(r"(?i)^https?:")), without_fragment(whole))
 
 
+def _walked(url: Column) -> Column:
+    """A whole address with the . and .. of its path walked."""
+    shape = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)(/[^?]*)?(\?.*)?$"
+    site, path, query = (F.regexp_extract(url, shape, i) for i in (1, 2, 3))
+    steps = F.split(F.substring(path, 2, 1 << 20), "/")
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(steps, none, lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+    end = F.when(F.element_at(steps, -1).isin(".", ".."), F.lit("/")).otherwise("")
+    return F.concat(site, F.lit("/"), F.regexp_replace(F.concat(F.array_join(walked, "/"), end), "^/", ""), query)
+
+
 def redact(url: Column) -> Column:
     """Without credentials, query and fragment."""
     bare = F.regexp_replace(url, r"[?#].*$", "")
@@ -138,8 +152,8 @@ def normalise(url: str | None) -> tuple[str | None, str | None]:
         address = None
         try:
             name = name if name.isascii() else name.encode("idna").decode()
-        except UnicodeError:
-            return None, "host"
+        except UnicodeError:  # such a name stays as it is
+            pass
         if "." not in name:
             return None, "host"
     site = f"[{name}]" if address is not None and address.version == 6 else name
@@ -159,18 +173,71 @@ def normalised(urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([normalise(u) for u in urls], columns=["url", "refused"])
 
 
+class RobotsRules:
+    """The groups of a robots.txt by RFC 9309: agents, rules (path pattern, allowed) and sitemaps."""
+
+    def __init__(self, text: str):
+        self.groups: dict[str, list[tuple[str, bool]]] = {}
+        self.sitemaps: list[str] = []
+        agents: list[str] = []
+        open_ = False
+        for line in text.lstrip("\ufeff").splitlines():
+            field, colon, value = line.partition("#")[0].partition(":")
+            field, value = field.strip().lower(), value.strip()
+            if not colon:
+                continue
+            if field == "user-agent":
+                agents = [*agents, value.lower()] if open_ else [value.lower()]
+                open_ = True
+                self.groups.setdefault(value.lower(), [])
+            elif field in ("allow", "disallow"):
+                open_ = False
+                if value:
+                    for agent in agents:
+                        self.groups[agent].append((_escaped(value), field == "allow"))
+            elif field == "sitemap" and value:
+                self.sitemaps.append(value)
+
+    def allows(self, agent: str, url: str) -> bool:
+        """By the longest pattern that fits; of equally long ones the allowing one. The agent's own group counts, else that of *."""
+        own = agent.lower()
+        named = max((g for g in self.groups if g != "*" and g and own.startswith(g)), key=len, default="*")
+        parts = urlsplit(url)
+        path = _escaped(urlunsplit(("", "", parts.path or "/", parts.query, "")))
+        fits = [(len(pattern), allowed) for pattern, allowed in self.groups.get(named, []) if _fits(pattern, path)]
+        return path == "/robots.txt" or max(fits, default=(0, True))[1]
+
+
+def _escaped(path: str) -> str:
+    """Bytes beyond ASCII percent-encoded, and percent signs of one writing."""
+    return re.sub("%[0-9a-fA-F]{2}", lambda m: m[0].upper(), quote(path, safe="/?=&%*$:;@!'()+,-._~[]"))
+
+
+@lru_cache(maxsize=4096)
+def _pattern(text: str) -> re.Pattern:
+    body = ".*".join(map(re.escape, text.removesuffix("$").split("*")))
+    return re.compile(body + ("$" if text.endswith("$") else ""))
+
+
+def _fits(pattern: str, path: str) -> bool:
+    return _pattern(pattern).match(path) is not None
+
+
+@lru_cache(maxsize=1024)
+def robots_rules(text: str) -> RobotsRules:
+    """Parsed once for each text that a worker meets, so about once for each host."""
+    return RobotsRules(text)
+
+
 def robots(text: str | None, url: str, agent: str = "*") -> tuple[bool, str | None]:
     """(allowed, first sitemap). No or unreadable rules allow everything."""
-    if not text:
+    if not text or not text.strip():
         return True, None
-    sitemap = re.search(r"(?im)^\s*sitemap\s*:\s*(\S+)", text)
-    parser = RobotFileParser()
     try:
-        parser.parse(text.splitlines())
-        allowed = parser.can_fetch(agent, url)
-    except Exception:  # noqa: BLE001 - rules that can't be read forbid nothing
-        allowed = True
-    return allowed, sitemap[1] if sitemap else None
+        rules = robots_rules(text)
+        return rules.allows(agent, url), next(iter(rules.sitemaps), None)
+    except ValueError:  # an address or rules that can't be read forbid nothing
+        return True, None
 
 
 _ROBOTS = T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField("sitemap", T.StringType())])
@@ -179,3 +246,11 @@ _ROBOTS = T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField
 @F.pandas_udf(_ROBOTS)
 def robots_decision(rules: pd.Series, urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([robots(r, u) for r, u in zip(rules, urls, strict=True)], columns=["allowed", "sitemap"])
+
+
+def addresses_blocked(addresses: Column, allowed: tuple[str, ...] = (), strict: bool = False) -> Column:
+    """Whether each address, of either kind, must not be fetched; null stays null."""
+    def decide(values: pd.Series) -> pd.Series:
+        return values.map(lambda a: None if a is None else is_blocked(a, allowed, strict)).astype("boolean")
+
+    return F.pandas_udf(decide, T.BooleanType())(addresses)

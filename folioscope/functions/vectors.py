@@ -1,9 +1,12 @@
-"""Hashed bag-of-words vectors, sparse and dense, and cosine similarity, native but for the dense form."""
+"""Hashed bag-of-words vectors, sparse and dense, in Arrow batches, and cosine similarity as native columns."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,28 +14,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.functions.text import tokens
 
+def embed_sparse(df: DataFrame, key: str, text: str, dimensions: int = 1536, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows key, dim, weight of the unit vector of each row's text, with the columns of carry; a text without tokens has none.
 
-def term_dimension(token: Column, dimensions: int) -> Column:
-    return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % dimensions
+    One pass in Arrow batches and no shuffle; a worker hashes each distinct
+    token once while it remembers it.
+    """
+    pair = F.explode(_sparse_udf(dimensions)(F.col(text))).alias("_p")
+    return df.select(key, *carry, pair).select(key, *carry, F.col("_p.dim").alias("dim"), F.col("_p.weight").alias("weight"))
 
 
-def term_sign(token: Column) -> Column:
-    """+1 where the fifth byte of the hash is even."""
-    return F.when(F.conv(F.substring(F.sha2(token, 256), 10, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+@lru_cache(maxsize=500_000)
+def _placed(token: str) -> tuple[int, int]:
+    """A token's number, whose rest by the dimensions is its dimension, and its sign."""
+    digest = hashlib.sha256(token.encode()).digest()
+    return int.from_bytes(digest[:4], "big"), 1 if digest[4] % 2 == 0 else -1
 
 
-def embed_sparse(df: DataFrame, key: str, text: str, dimensions: int = 1536) -> DataFrame:
-    """Rows key, dim, weight of the unit vector of each text; a text without tokens has none.
+def _sparse_udf(dimensions: int):
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            sums: dict[int, int] = {}
+            for token, n in Counter(re.findall("[a-z0-9]+", (text or "").lower())).items():
+                number, sign = _placed(token)
+                sums[number % dimensions] = sums.get(number % dimensions, 0) + sign * n
+            length = math.sqrt(sum(x * x for x in sums.values()))
+            out.append([{"dim": k, "weight": x / length} for k, x in sums.items() if x])
+        return pd.Series(out, dtype=object)
 
-    Tokens are counted before they are hashed, so each distinct one of a text
-    is hashed once.
-    """
-    terms = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    sums = terms.groupBy(key, term_dimension(F.col("token"), dimensions).alias("dim")).agg(F.sum(F.col("tf") * term_sign(F.col("token"))).alias("raw")).where("raw <> 0")
-    norm = sums.groupBy(F.col(key).alias("_k")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
-    return sums.join(norm, F.col(key) == F.col("_k")).select(key, "dim", (F.col("raw") / F.col("_norm")).alias("weight"))
+    return F.pandas_udf(embed, T.ArrayType(T.StructType([T.StructField("dim", T.LongType()), T.StructField("weight", T.DoubleType())])))
 
 
 def sparse_similarity(items: DataFrame, item: str, queries: DataFrame, query: str) -> DataFrame:
@@ -58,8 +70,8 @@ def cosine(a: Column, b: Column) -> Column:
 def dense(text: str | None, dimensions: int) -> np.ndarray:
     out = np.zeros(dimensions)
     for token in re.findall("[a-z0-9]+", (text or "").lower()):
-        digest = hashlib.sha256(token.encode()).digest()
-        out[int.from_bytes(digest[:4], "big") % dimensions] += 1.0 if digest[4] % 2 == 0 else -1.0
+        number, sign = _placed(token)
+        out[number % dimensions] += sign
     length = np.sqrt((out * out).sum())
     return out / length if length else out
 

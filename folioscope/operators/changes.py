@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.conf import UnknownColumn
 
@@ -57,19 +61,26 @@ def consume(users: DataFrame, used: str, limit: str, n: Column) -> DataFrame:
 def consume_in_order(requests: DataFrame, user: str, order: str, n: str, limit: str) -> DataFrame:
     """Many requests of a user in turn: each is granted whole or not at all.
 
-    What was granted before decides, so the fold can't be a running sum. It is
-    an aggregate over one ordered array for each user.
+    What was granted before decides, so the fold can't be a running sum. Rows
+    are dealt by user and sorted, then read as a stream: what one user has used
+    is held, never the requests. A null request is refused.
     """
-    own = requests.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(order, n, limit))).alias("_all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as array<struct<{order}:bigint,granted:boolean,used:bigint>>)").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        want = r[n].cast("long")
-        ok = (want <= 0) | (acc["used"] + want <= r[limit])
-        used = F.when(ok & (want > 0), acc["used"] + want).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(r[order].cast("long").alias(order), ok.alias("granted"), used.alias("used")))).alias("out"))
-
-    return own.select(user, F.explode(F.aggregate("_all", start, step, lambda acc: acc["out"])).alias("_r")).select(user, "_r.*")
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, 0
+        for part in parts:
+            granted, after = [], []
+            for who, want, most in zip(part[user], part[n], part[limit], strict=True):
+                if now is None or who != now[0]:
+                    now, used = (who,), 0
+                ok = not (pd.isna(want) or want > 0 and (pd.isna(most) or used + want > most))
+                used += int(want) if ok and want > 0 else 0
+                granted.append(ok)
+                after.append(used)
+            yield pd.DataFrame({user: part[user], order: part[order], "granted": granted, "used": after})
+
+    rows = requests.select(user, order, F.col(n).cast("long").alias(n), F.col(limit).cast("long").alias(limit)).where(F.col(user).isNotNull())
+    out = T.StructType([rows.schema[user], rows.schema[order], T.StructField("granted", T.BooleanType()), T.StructField("used", T.LongType())])
+    return rows.repartition(user).sortWithinPartitions(user, order).mapInPandas(fold, out)
 
 
 def stale(df: DataFrame, status: str, running: str, since: str, cutoff: Column) -> Column:
@@ -89,6 +100,15 @@ def retry(count: Column, most: int = 3) -> Column:
     return F.when(count < most, "retry").otherwise("failed")
 
 
+def failure(kind: Column, count: Column, most: int = 3) -> Column:
+    """Struct of what a failed job becomes: status, whether it is tried again, and robots_allowed, which only a refusal by robots rules makes false.
+
+    count is the number of tries with this one. A refusal is tried again like any failure.
+    """
+    again = F.coalesce(count < most, F.lit(False))
+    return F.struct(F.when(again, "pending").otherwise("failed").alias("status"), again.alias("again"), F.when(kind == "robots", F.lit(False)).alias("robots_allowed"))
+
+
 def backoff_seconds(count: Column) -> Column:
     return F.pow(F.lit(2.0), count + 1)
 
@@ -118,3 +138,17 @@ def cascade(parents: DataFrame, *levels: tuple[DataFrame, str, str]) -> list[Dat
 
 def latest_first(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(tie))))
+
+
+def detail(parents: DataFrame, key: str, jobs: DataFrame, job: str, at: str, chunks: DataFrame, embedded: Column, most: int = 20) -> DataFrame:
+    """Parents with their newest jobs as an array, the newest first, and two counts: of chunks and of those with a vector.
+
+    Jobs are cut to `most` before they are collected; chunks are counted before
+    they are joined. jobs and chunks hold the parents' key.
+    """
+    newest = latest_first(jobs.select(key, job, at), key, at, job).where(F.col("nth") <= most)
+    listed = newest.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", job))), lambda x: x[job]).alias("jobs"))
+    counts = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunk_count"), F.count_if(embedded).alias("embedded_chunk_count"))
+    out = parents.join(listed, key, "left").join(counts, key, "left")
+    empty = F.array().cast(listed.schema["jobs"].dataType)
+    return out.withColumns({"jobs": F.coalesce("jobs", empty), "chunk_count": F.coalesce("chunk_count", F.lit(0)), "embedded_chunk_count": F.coalesce("embedded_chunk_count", F.lit(0))})

@@ -30,11 +30,18 @@ def change(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("delta", (F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(order))) * 100)
 
 
-def drift(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Whether a value leaves the mean of the periods before by more than SIGMAS deviations; only with a whole trail behind it."""
-    trail = Window.partitionBy(key).orderBy(order).rowsBetween(-TRAILING, -1)
+def change_since(df: DataFrame, key: str, day: str, value: str, days: int) -> Column:
+    """The step in points from the same key's value exactly so many days before; null where that day has none."""
+    place = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+    before = F.max(value).over(Window.partitionBy(key).orderBy(place).rangeBetween(-days, -days))
+    return (F.col(value) - before) * 100
+
+
+def drift(df: DataFrame, key: str, order: str, value: str, trailing: int = TRAILING, sigmas: float = SIGMAS) -> DataFrame:
+    """Whether a value leaves the mean of the periods before by more than `sigmas` deviations; only with a whole trail behind it."""
+    trail = Window.partitionBy(key).orderBy(order).rowsBetween(-trailing, -1)
     mean, spread, n = F.avg(value).over(trail), F.stddev_samp(value).over(trail), F.count(value).over(trail)
-    return df.withColumn("trail_mean", mean).withColumn("drift", F.coalesce((n == TRAILING) & (F.abs(F.col(value) - mean) > SIGMAS * spread), F.lit(False)))
+    return df.withColumn("trail_mean", mean).withColumn("drift", F.coalesce((n == trailing) & (F.abs(F.col(value) - mean) > sigmas * spread), F.lit(False)))
 
 
 def significant(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:

@@ -9,7 +9,7 @@ from folioscope.conf import EngineConf
 from folioscope.functions.chunking import chunk_documents
 from folioscope.functions.vectors import embed_sparse
 
-#: Chunks embedded in one pass at most.
+#: Chunks that one pass of a scheduler takes, at most.
 PENDING = 10_000
 
 
@@ -19,9 +19,14 @@ def chunk_rows(docs: DataFrame, key: str, text: str, conf: EngineConf | None = N
     return made.withColumn("chunk_id", F.concat_ws("/", F.col(key).cast("string"), F.col("chunk_index").cast("string"))).withColumn("is_embedded", F.lit(False))
 
 
-def pending(chunks: DataFrame, most: int = PENDING) -> DataFrame:
-    """Chunks without a vector, in order of their numbers, so many at most in a pass."""
-    return chunks.where(~F.col("is_embedded")).orderBy("chunk_id").limit(most)
+def pending(chunks: DataFrame, key: str | None = None, most: int | None = None) -> DataFrame:
+    """Chunks without a vector: all of them, or with `most` (PENDING for a scheduler) one pass, by key and place.
+
+    A pass is a top-k in each task and then of those; passes repeated until
+    none is left embed what the call without `most` embeds at once.
+    """
+    left = chunks.where(~F.col("is_embedded"))
+    return left if most is None else left.orderBy(key or "chunk_id", "chunk_index").limit(most)
 
 
 def vectors_of(chunks: DataFrame, conf: EngineConf | None = None) -> DataFrame:

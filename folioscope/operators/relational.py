@@ -137,9 +137,14 @@ def remaining(limit: Column, used: Column) -> Column:
     return F.greatest(F.lit(0), F.coalesce(limit, F.lit(0)) - F.coalesce(used, F.lit(0)))
 
 
-def fuse_rankings(rankings: DataFrame, ranking: str, item: str, score: str, k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of long-form rankings: item, fused (the best one 1.0), in n rankings."""
+def fuse_rankings(rankings: DataFrame, ranking: str, item: str, score: str, k: int = 60, most: int = 50) -> DataFrame:
+    """Reciprocal-rank fusion of long-form rankings: item, fused (the best one 1.0), in n rankings.
+
+    Of each ranking the first `most` items count, as a search's lists have a
+    limit; tasks cut a ranking to them before it is shuffled, so its length
+    never meets in one task.
+    """
     place = F.row_number().over(Window.partitionBy(ranking).orderBy(F.col(score).desc(), F.col(item)))
-    fused = rankings.withColumn("_p", place).groupBy(item).agg(F.sum(1.0 / (k + F.col("_p"))).alias("_f"), F.count(F.lit(1)).alias("lists"))
+    fused = rankings.withColumn("_p", place).where(F.col("_p") <= most).groupBy(item).agg(F.sum(1.0 / (k + F.col("_p"))).alias("_f"), F.count(F.lit(1)).alias("lists"))
     best = fused.agg(F.max("_f").alias("_best"))
     return fused.crossJoin(F.broadcast(best)).select(item, (F.col("_f") / F.col("_best")).alias("fused"), "lists")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -33,6 +34,12 @@ def vector_search(items: DataFrame, key: str, vector: str, query: Column, limit:
     return found.orderBy(F.col("similarity").desc(), key).limit(limit)
 
 
+def tracked(prompts: DataFrame, project: str, prompt: str, most: int = 25) -> DataFrame:
+    """The prompts that count: the first of each project, so many at most."""
+    place = F.row_number().over(Window.partitionBy(project).orderBy(prompt))
+    return prompts.withColumn("_p", place).where(F.col("_p") <= most).drop("_p")
+
+
 def alignment(prompts: DataFrame, prompt: str, items: DataFrame, item: str, scope: str) -> DataFrame:
     """For each scope the mean over prompts of the best clamped similarity; both sides in sparse form, items with their scope."""
     found = items.join(prompts.select(prompt, "dim", F.col("weight").alias("_w")), "dim").groupBy(scope, prompt, item).agg(F.sum(F.col("weight") * F.col("_w")).alias("_s"))
@@ -43,21 +50,84 @@ def alignment(prompts: DataFrame, prompt: str, items: DataFrame, item: str, scop
 # --- stemming --------------------------------------------------------------
 
 
+# The endings of the published English stemming algorithm (Porter2) and what they become, and its exceptions.
+ENDINGS_2 = {
+    "ational": "ate", "fulness": "ful", "iveness": "ive", "ization": "ize", "ousness": "ous", "biliti": "ble", "lessli": "less", "tional": "tion", "alism": "al", "aliti": "al", "ation": "ate", "entli": "ent", "fulli": "ful",
+    "iviti": "ive", "ousli": "ous", "abli": "able", "alli": "al", "anci": "ance", "ator": "ate", "enci": "ence", "izer": "ize", "bli": "ble", "ogi": "og", "li": "",
+}
+ENDINGS_3 = {"ational": "ate", "tional": "tion", "alize": "al", "ative": "", "icate": "ic", "iciti": "ic", "ical": "ic", "ness": "", "ful": ""}
+ENDINGS_4 = ("ement", "able", "ance", "ence", "ible", "ment", "ant", "ate", "ent", "ion", "ism", "iti", "ive", "ize", "ous", "al", "er", "ic")
+IRREGULAR = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+UNCHANGED = frozenset("sky news howe atlas cosmos bias andes".split())
+UNCHANGED_PLURAL = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+LI_AFTER, DOUBLES = "cdeghkmnrt", frozenset("bb dd ff gg mm nn pp rr tt".split())
+_REGION, _SHORT = re.compile("[aeiouy][^aeiouy]"), re.compile("(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$")
+
+
+def _regions(word: str) -> tuple[int, int]:
+    """Where the parts after the first and the second vowel-consonant pair begin."""
+    first = next((len(p) for p in ("gener", "commun", "arsen") if word.startswith(p)), None)
+    if first is None:
+        m = _REGION.search(word)
+        first = m.end() if m else len(word)
+    m = _REGION.search(word, first)
+    return first, m.end() if m else len(word)
+
+
+def _ending(word: str, endings) -> str | None:
+    """The longest of the endings that a word has."""
+    return max((e for e in endings if word.endswith(e)), key=len, default=None)
+
+
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
-    """A light English stem: plural, past, gerund and adverb endings go."""
-    for end, instead, least in (("sses", "ss", 0), ("ies", "i", 1), ("ied", "i", 1)):
-        if word.endswith(end) and len(word) - len(end) > least:
-            return word[: -len(end)] + instead
-    if word.endswith("s") and not word.endswith(("ss", "us")) and any(v in word[:-2] for v in "aeiouy"):
+    """The English stem of a lower-case word, by Porter2."""
+    if len(word) <= 2 or word in UNCHANGED:
+        return word
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    word = re.sub("^y|(?<=[aeiouy])y", "Y", word.removeprefix("'"))
+    r1, r2 = _regions(word)
+    word = re.sub("'(?:s'?)?$", "", word)
+    if word.endswith("sses"):
+        word = word[:-2]
+    elif word.endswith(("ied", "ies")):
+        word = word[:-2] if len(word) > 4 else word[:-1]
+    elif word.endswith("s") and not word.endswith(("us", "ss")) and re.search("[aeiouy]", word[:-2]):
+        word = word[:-1]
+    if word in UNCHANGED_PLURAL:
+        return word
+    end = _ending(word, ("eedly", "eed", "ingly", "edly", "ing", "ed"))
+    if end in ("eed", "eedly"):
+        word = word[: -len(end)] + "ee" if len(word) - len(end) >= r1 else word
+    elif end and re.search("[aeiouy]", word[: -len(end)]):
+        word = word[: -len(end)]
+        if word.endswith(("at", "bl", "iz")):
+            word += "e"
+        elif word[-2:] in DOUBLES:
+            word = word[:-1]
+        elif r1 >= len(word) and _SHORT.search(word):
+            word += "e"
+    if len(word) > 2 and word[-1] in "yY" and word[-2] not in "aeiouy":
+        word = word[:-1] + "i"
+    end = _ending(word, ENDINGS_2)
+    if end and len(word) - len(end) >= r1 and (end != "ogi" or word[:-3].endswith("l")) and (end != "li" or word[-3:-2] in LI_AFTER and len(word) > 2):
+        word = word[: -len(end)] + ENDINGS_2[end]
+    end = _ending(word, ENDINGS_3)
+    if end and len(word) - len(end) >= (r2 if end == "ative" else r1):
+        word = word[: -len(end)] + ENDINGS_3[end]
+    end = _ending(word, ENDINGS_4)
+    if end and len(word) - len(end) >= r2 and (end != "ion" or word[:-3].endswith(("s", "t"))):
+        word = word[: -len(end)]
+    elif word.endswith("e") and (len(word) - 1 >= r2 or len(word) - 1 >= r1 and not _SHORT.search(word[:-1])):
+        return word[:-1].replace("Y", "y")
+    elif word.endswith("ll") and len(word) - 1 >= r2:
+        return word[:-1].replace("Y", "y")
+    if end and word.endswith("e") and (len(word) - 1 >= r2 or len(word) - 1 >= r1 and not _SHORT.search(word[:-1])):
+        word = word[:-1]
+    elif end and word.endswith("ll") and len(word) - 1 >= r2:
         word = word[:-1]
-    for end in ("ingly", "edly", "ing", "ed", "ly"):
-        base = word[: -len(end)]
-        if word.endswith(end) and len(base) > 2 and any(v in base for v in "aeiouy"):
-            if end != "ly" and base[-1] == base[-2] and base[-1] not in "lsz":
-                base = base[:-1]
-            return base + "e" if end != "ly" and base.endswith(("at", "bl", "iz")) else base
-    return word[:-1] + "i" if word.endswith("y") and len(word) > 2 and word[-2] not in "aeiouy" else word
+    return word.replace("Y", "y")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -68,23 +138,31 @@ def _stems(words: pd.Series) -> pd.Series:
 # --- full text -------------------------------------------------------------
 
 
-def postings(docs: DataFrame, key: str, text: str, stemmed: bool = False, stop: bool = True) -> DataFrame:
-    """Rows key, lexeme, pos. Positions count every word; stop words have no row."""
-    words = tokens(F.col(text))
-    rows = docs.select(key, F.posexplode(_stems(words) if stemmed else words).alias("pos", "lexeme")).withColumn("pos", F.col("pos") + 1)
-    return rows.where(~F.col("lexeme").isin(*sorted(STOP))) if stop else rows
+def postings(docs: DataFrame, key: str, text: str, stemmed: bool = True, stop: bool = True) -> DataFrame:
+    """Rows key, lexeme, pos. Positions count every word; stop words have no row. A search must be stemmed as its index is."""
+    words = F.transform(tokens(F.col(text)), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("lexeme")))
+    if stop:
+        words = F.filter(words, lambda w: ~w["lexeme"].isin(*sorted(STOP)))
+    if not stemmed:
+        return docs.select(key, F.explode(words).alias("_w")).select(key, F.col("_w.lexeme").alias("lexeme"), F.col("_w.pos").alias("pos"))
+    both = docs.select(key, words.alias("_w")).select(key, F.explode(F.arrays_zip(F.col("_w.pos").alias("pos"), _stems(F.col("_w.lexeme")).alias("lexeme"))).alias("_w"))
+    return both.select(key, F.col("_w.lexeme").alias("lexeme"), F.col("_w.pos").alias("pos"))
 
 
-def parse_query(query: str) -> list[tuple[list[list[str]], list[list[str]]]]:
-    """Alternatives of (wanted phrases, unwanted phrases): words are all wanted, quotes keep words together, `or` parts, - forbids."""
-    import re
+def frequent_terms(index: DataFrame, key: str, most: int = 100) -> list[str]:
+    """The lexemes that most documents hold, most frequent first; `most` of them come to the driver."""
+    counts = index.select(key, "lexeme").distinct().groupBy("lexeme").agg(F.count(F.lit(1)).alias("n"))
+    return [r["lexeme"] for r in counts.orderBy(F.col("n").desc(), "lexeme").limit(most).collect()]
+
 
+def parse_query(query: str, stemmed: bool = False) -> list[tuple[list[list[str]], list[list[str]]]]:
+    """Alternatives of (wanted phrases, unwanted phrases): words are all wanted, quotes keep words together, `or` parts, - forbids."""
     out: list[tuple[list, list]] = [([], [])]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query.lower()):
         if word == "or" and not minus:
             out.append(([], []))
             continue
-        own = [w for w in re.findall("[a-z0-9]+", phrase or word.removeprefix("-")) if w not in STOP]
+        own = [stem(w) if stemmed else w for w in re.findall("[a-z0-9]+", phrase or word.removeprefix("-")) if w not in STOP]
         if own:
             out[-1][bool(minus or word.startswith("-"))].append(own)
     return [x for x in out if x[0]]
@@ -117,13 +195,13 @@ def cover_rank(places: list) -> float:
     return total
 
 
-def text_search(index: DataFrame, key: str, query: str, limit: int = 10) -> DataFrame:
-    """Documents that match a web-style query, by rank, id breaking ties.
+def text_search(index: DataFrame, key: str, query: str, limit: int | None = 10, stemmed: bool = True) -> DataFrame:
+    """Documents that match a web-style query, by rank, id breaking ties; all of them, in no order, without a limit.
 
     Only the postings of the query's words are read, grouped by document
     before anything is ranked.
     """
-    alternatives = parse_query(query)
+    alternatives = parse_query(query, stemmed)
     if not alternatives:
         return index.select(key, F.lit(0.0).alias("rank")).limit(0)
     every = sorted({w for wanted, refused in alternatives for phrase in wanted + refused for w in phrase})
@@ -152,7 +230,7 @@ def text_search(index: DataFrame, key: str, query: str, limit: int = 10) -> Data
         ranked = found.select(key, (OCCURRENCE * F.size(F.col("places")[0])).alias("rank"))
     else:
         ranked = found.select(key, _cover_rank("places").alias("rank"))
-    return ranked.orderBy(F.col("rank").desc(), key).limit(limit)
+    return ranked if limit is None else ranked.orderBy(F.col("rank").desc(), key).limit(limit)
 
 
 def _shifted(word: str, by: int) -> Column:
@@ -167,7 +245,7 @@ def hybrid(vector: DataFrame, text: DataFrame, key: str, limit: int = 10) -> Dat
     return fused.crossJoin(F.broadcast(total)).select(key, F.round("fused", 6).alias("score"), "lists", "total").orderBy(F.col("score").desc(), key).limit(limit)
 
 
-def search(items: DataFrame, key: str, content: str, sparse: DataFrame, query: str, mode: str = "hybrid", limit: int = 10, threshold: float = 0.0, dimensions: int = 1536) -> DataFrame:
+def search(items: DataFrame, key: str, content: str, sparse: DataFrame, query: str, mode: str = "hybrid", limit: int = 10, threshold: float = 0.0, dimensions: int = 1536, stemmed: bool = True) -> DataFrame:
     """key, score: semantic over sparse vectors (key, dim, weight), full_text over postings, or both fused."""
     check_request(query, limit, threshold)
     spark = items.sparkSession
@@ -175,7 +253,7 @@ def search(items: DataFrame, key: str, content: str, sparse: DataFrame, query: s
     vector = vx.sparse_similarity(sparse, key, q, "q").where(F.lit(threshold <= 0) | (F.col("similarity") >= threshold)).orderBy(F.col("similarity").desc(), key).limit(limit).select(key, "similarity")
     if mode == "semantic":
         return vector.select(key, F.round("similarity", 6).alias("score"))
-    text = text_search(postings(items, key, content), key, query, limit)
+    text = text_search(postings(items, key, content, stemmed), key, query, limit, stemmed)
     if mode == "full_text":
         return text.select(key, F.round("rank", 6).alias("score"))
     if mode != "hybrid":

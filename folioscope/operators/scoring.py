@@ -104,9 +104,16 @@ def passed(checks: dict[str, Column], want: bool = True) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(c == F.lit(want), F.lit(n)) for n, c in checks.items()])))
 
 
-def explanation(checks: dict[str, Column], parts: dict[str, Column], made: dict[str, Column]) -> Column:
+def densities(counts: dict[str, Column], n_words: Column) -> Column:
+    """Struct of each kind of evidence for 100 words."""
+    return F.struct(*[F.bround(tx.per_100(c, n_words), 3).alias(n) for n, c in counts.items()])
+
+
+def explanation(checks: dict[str, Column], parts: dict[str, Column], made: dict[str, Column], evidence: tuple[dict[str, Column], Column] | None = None) -> Column:
+    """JSON of what passed and failed, of the components and, with evidence (counts, words), of what was counted and how densely."""
     shown = F.struct(*[F.bround(parts[n], 3).alias(n) for n in parts])
-    return F.to_json(F.struct(F.struct(passed(checks).alias("passed"), passed(checks, False).alias("failed")).alias("technical"), shown.alias("components"), F.bround(made["pcs"], 4).alias("pcs"), made["missing"].alias("missing"), F.bround(made["effective_weight"], 3).alias("effective_weight")))
+    found = [] if evidence is None else [F.when(evidence[1] > 0, F.struct(F.struct(*[c.alias(n) for n, c in evidence[0].items()]).alias("counts"), densities(*evidence).alias("densities"), evidence[1].alias("words"))).alias("evidentiary")]
+    return F.to_json(F.struct(*found, F.struct(passed(checks).alias("passed"), passed(checks, False).alias("failed")).alias("technical"), shown.alias("components"), F.bround(made["pcs"], 4).alias("pcs"), made["missing"].alias("missing"), F.bround(made["effective_weight"], 3).alias("effective_weight")))
 
 
 def score_pages(pages: DataFrame) -> DataFrame:
@@ -117,7 +124,7 @@ def score_pages(pages: DataFrame) -> DataFrame:
     checks = technical_checks(F.col("url"), F.coalesce(F.col("p.canonical_url"), F.lit("")) != "", F.col("p.meta_description").isNotNull(), F.size("json_ld") > 0, hx.headings_valid(F.col("p.headings")), F.col("p.sitemap_url").isNotNull(), F.col("p.lang").isNotNull(), F.col("p.viewport").isNotNull(), F.lit(None).cast("int"))
     read, counts, n_words = with_evidence(read, F.col("p.markdown"), F.col("p.word_count"))
     parts = machine_parts(hx.headings_valid(F.col("p.headings")) & F.regexp_like("p.markdown", F.lit(tx.HEADING)), F.col("p.has_lists"), F.col("p.has_tables"), F.col("p.avg_paragraph_words"), F.col("p.boilerplate_ratio"), hx.semantic_score(F.col("p.semantic_tags")), F.size("json_ld") > 0)
-    scored = read.select("page_id", "url", F.col("p.title").alias("title"), F.col("p.word_count").alias("words"), technical_score(checks).alias("technical"), evidence_score(counts, n_words).alias("evidentiary"), machine_score(parts).alias("machine"), F.lit(None).cast("double").alias("semantic"), *[c.alias(f"_{n}") for n, c in checks.items()])
+    scored = read.select("page_id", "url", F.col("p.title").alias("title"), F.col("p.word_count").alias("words"), technical_score(checks).alias("technical"), evidence_score(counts, n_words).alias("evidentiary"), machine_score(parts).alias("machine"), F.lit(None).cast("double").alias("semantic"), *[c.alias(f"_{n}") for n, c in checks.items()], *[F.col(f"_n_{n}") for n in counts], "_words")
     own = {n: F.col(n) for n in ("technical", "semantic", "evidentiary", "machine")}
     made = composite(own)
-    return scored.select("page_id", "url", "title", "words", *[F.round(n, 6).alias(n) for n in ("technical", "evidentiary", "machine")], F.round(made["pcs"], 6).alias("pcs"), F.array_join(made["missing"], ",").alias("missing"), explanation({n: F.col(f"_{n}") for n in checks}, own, made).alias("explanation"))
+    return scored.select("page_id", "url", "title", "words", *[F.round(n, 6).alias(n) for n in ("technical", "evidentiary", "machine")], F.round(made["pcs"], 6).alias("pcs"), F.array_join(made["missing"], ",").alias("missing"), explanation({n: F.col(f"_{n}") for n in checks}, own, made, ({n: F.col(f"_n_{n}") for n in counts}, F.col("_words"))).alias("explanation"))

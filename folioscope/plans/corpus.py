@@ -156,10 +156,20 @@ def url_redact(s, d):
 _HREFS = r"""regexp_extract_all(html, '(?i)<a[^>]*\bhref="([^"]*)"', 1)"""
 
 
-@query(rf"""SELECT page_id, href, CASE WHEN regexp_matches(href, '^https?:') THEN regexp_replace(href, '#.*$', '') WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_replace(href, '#.*$', '') END AS absolute FROM (SELECT DISTINCT page_id, url, unnest({_HREFS}) AS href FROM pages) WHERE href LIKE '/%' OR regexp_matches(href, '^https?:')""")
+_HOPS = ("", "../", "./", "a/../b/./", "../../../", "/x/../", "?q=", "//other.org/")
+
+
+@query(rf"""WITH l AS (SELECT DISTINCT page_id, url, ['', '../', './', 'a/../b/./', '../../../', '/x/../', '?q=', '//other.org/'][length(href) % 8 + 1] || ltrim(regexp_replace(href, '^https?:', ''), '/') AS href FROM (SELECT page_id, url, unnest({_HREFS}) AS href FROM pages)),
+w AS (SELECT page_id, href, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(href, '#.*$', '') AS h FROM l),
+f AS (SELECT page_id, href, site, CASE WHEN h LIKE '//%' THEN regexp_extract(site, '^[a-z]+:') || h WHEN h LIKE '?%' THEN site || path || h END AS whole, CASE WHEN h LIKE '/%' THEN h ELSE regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || h END AS way FROM w),
+s AS (SELECT page_id, href, site, whole, regexp_extract(way, '(\?.*)?$') AS q, list_slice(string_split(regexp_replace(way, '\?.*$', ''), '/'), 2, 1000) AS steps FROM f),
+k AS (SELECT *, list_reduce(list_concat([''], list_transform(steps, lambda x: '/' || x)), lambda a, x: CASE WHEN x = '/.' THEN a WHEN x = '/..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || x END) AS walked FROM s)
+SELECT page_id, href, CASE WHEN whole IS NOT NULL THEN whole ELSE site || CASE WHEN walked = '' THEN '/' ELSE walked || CASE WHEN steps[-1] IN ('.', '..') THEN '/' ELSE '' END END || q END AS absolute FROM k""")
 def url_absolutise_links(s, d):
-    links = load(s, d, "pages").select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'(?i)<a[^>]*\bhref="([^"]*)"'), F.lit(1)))).alias("href"))
-    return links.where(F.regexp_like("href", F.lit("^(?:/|https?:)"))).select("page_id", "href", ux.absolutise(F.col("href"), F.col("url")).alias("absolute"))
+    links = load(s, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a[^>]*\bhref="([^"]*)"'), F.lit(1))).alias("href"))
+    hop = F.element_at(F.array(*map(F.lit, _HOPS)), (F.length("href") % 8 + 1).cast("int"))
+    links = links.select("page_id", "url", F.concat(hop, F.regexp_replace(F.regexp_replace("href", "^https?:", ""), "^/+", "")).alias("href")).distinct()
+    return links.select("page_id", "href", ux.absolutise(F.col("href"), F.col("url")).alias("absolute"))
 
 
 @query(f"SELECT a.page_id, array_to_string(list_slice(string_split(a.h, '.'), greatest(len(string_split(a.h, '.')) - 1, 1), len(string_split(a.h, '.'))), '.') AS site FROM (SELECT page_id, {_HOST} AS h FROM pages) a")
@@ -186,21 +196,58 @@ def ipv4_blocked(s, d):
     return rows.select("o_orderkey", "a", ux.ipv4_blocked(F.col("a")).alias("blocked"))
 
 
-@query()
+_URLS = ("{}", " {} ", "HTTP://Example.COM:80/a/", "ftp://a.b/", "https://u:p@a.b/x?q#f", "https://host/", "https://[::1]:8443/", "a.b/c", "https://a b.c/", "", "https://a.b:443", "{}/")
+
+
+@query(r"""WITH u AS (SELECT page_id, replace(['{}', ' {} ', 'HTTP://Example.COM:80/a/', 'ftp://a.b/', 'https://u:p@a.b/x?q#f', 'https://host/', 'https://[::1]:8443/', 'a.b/c', 'https://a b.c/', '', 'https://a.b:443', '{}/'][page_id % 12 + 1], '{}', url) AS url FROM pages),
+p AS (SELECT page_id, trim(url) AS t, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(trim(url), '^[A-Za-z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)) AS host, regexp_extract(trim(url), '^[A-Za-z]+://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*):([0-9]+)', 1) AS port, regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]*(.*)$', 1) AS rest FROM u),
+r AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN contains(t, ' ') THEN 'whitespace' WHEN NOT contains(t, '://') OR scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' OR (NOT contains(host, '.') AND NOT starts_with(host, '[')) THEN 'host' END AS refused FROM p),
+m AS (SELECT *, scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END || rest AS made FROM r)
+SELECT page_id, CASE WHEN refused IS NULL THEN CASE WHEN regexp_matches(rest, '[?#]') THEN made ELSE rtrim(made, '/') END END AS url, refused FROM m""")
 def url_validate(s, d):
-    return load(s, d, "pages").select("page_id", ux.normalised(F.col("url")).alias("r")).select("page_id", "r.*")
+    form = F.element_at(F.array(*map(F.lit, _URLS)), (F.col("page_id") % 12 + 1).cast("int"))
+    return load(s, d, "pages").select("page_id", ux.normalised(F.replace(form, F.lit("{}"), F.col("url"))).alias("r")).select("page_id", "r.*")
 
 
-@query()
+_RULES = "User-agent: *\nDisallow: /de/\nAllow: /de/a\nDisallow: /*.pdf$\nDisallow: /p*e*9\n\nUser-agent: other\nDisallow: /\nSitemap: https://{}/sitemap.xml"
+
+
+@query(rf"""SELECT page_id, NOT ruled OR NOT (longest_no > longest_yes) AS allowed, CASE WHEN ruled THEN 'https://' || h || '/sitemap.xml' END AS sitemap FROM (SELECT page_id, h, len(h) % 2 = 0 AS ruled, CASE WHEN starts_with(path, '/de/a') THEN 5 ELSE 0 END AS longest_yes, CASE WHEN regexp_matches(path, '^/.*\.pdf$') THEN 7 WHEN regexp_matches(path, '^/p.*e.*9') THEN 6 WHEN starts_with(path, '/de/') THEN 4 ELSE 0 END AS longest_no
+FROM (SELECT page_id, {_HOST} AS h, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS path FROM pages))""")
 def robots_decision(s, d):
     pages = load(s, d, "pages").select("page_id", "url", ux.host(F.col("url")).alias("host"))
-    rules = pages.select("host").distinct().where(F.pmod(F.xxhash64("host"), F.lit(2)) == 0).withColumn("rules", F.concat(F.lit("User-agent: *\nDisallow: /de/\nSitemap: https://"), "host", F.lit("/sitemap.xml")))
+    rules = pages.select("host").distinct().where(F.length("host") % 2 == 0).withColumn("rules", F.replace(F.lit(_RULES), F.lit("{}"), F.col("host")))
     return with_robots(pages, rules, "host").select("page_id", ux.robots_decision("rules", "url").alias("r")).select("page_id", "r.*")
 
 
-@query("SELECT page_id, CAST(NULL AS VARCHAR) AS sitemap FROM pages")
+# Pages with heads that say more: each part is in some pages, by their number.
+_HEAD = (
+    ("page_id % 2 = 0", '<link rel="canonical" href="/c/#"><meta name="viewport" content="width=device-width">'), ("page_id % 3 = 0", '<meta name="description" content="about #">'), ("page_id % 4 = 1", '<script type="application/ld+json">{"@type": "Article", "n": 1}</script>'),
+    ("page_id % 4 = 2", '<script type="application/ld+json">{"@type": ["FAQPage", "Thing"],}</script><script type="application/ld+json">{"@type": "Thing", "k": [1, 2,]}</script><script type="application/ld+json">{broken</script>'),
+    ("page_id % 5 = 0", '<link rel="sitemap" href="/sitemap.xml">'), ("page_id % 3 = 1", '<meta property="og:title" content="first"><meta property="og:title" content="page #"><meta property="og:type" content="article">'),
+)
+_BODY = (("page_id % 2 = 1", '<img src="a.png" alt="a picture"><img src="b.png"><IMG alt=" " src="c.png">'), ("page_id % 7 = 0", "<figure><time>2024</time></figure>"))
+
+
+def _full(s, d):
+    def added(parts):
+        return F.concat(*[F.when(F.expr(rule), F.replace(F.lit(text), F.lit("#"), F.col("page_id").cast("string"))).otherwise("") for rule, text in parts])
+
+    html = F.replace(F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), added(_HEAD))), F.lit("<article>"), F.concat(F.lit("<article>"), added(_BODY)))
+    return load(s, d, "pages").select("page_id", "url", html.alias("html"))
+
+
+def _added_sql(parts):
+    return " || ".join(f"CASE WHEN {rule} THEN replace('{text}', '#', page_id::VARCHAR) ELSE '' END" for rule, text in parts)
+
+
+_FULL = f"(SELECT page_id, url, replace(replace(html, '<head>', '<head>' || {_added_sql(_HEAD)}), '<article>', '<article>' || {_added_sql(_BODY)}) AS html FROM pages)"
+_SITE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<link[^>]+rel="?sitemap') THEN {_SITE} || regexp_extract(html, '(?i)<link[^>]+rel="?sitemap"?[^>]*href="([^"]*)"', 1) END AS sitemap FROM {_FULL}""")
 def sitemap_hint(s, d):
-    return load(s, d, "pages").select("page_id", ux.sitemap_hint(F.col("html"), F.col("url")).alias("sitemap"))
+    return _full(s, d).select("page_id", ux.sitemap_hint(F.col("html"), F.col("url")).alias("sitemap"))
 
 
 # --- html ------------------------------------------------------------------
@@ -210,9 +257,25 @@ def _pages(s, d):
     return load(s, d, "pages").select("page_id", "url", "html", hx.read_page(F.col("html"), F.col("url")).alias("p"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1) AS lang, CAST(len(regexp_extract_all(html, '(?i)<h1[ >]')) AS BIGINT) AS h1 FROM pages""")
+def _signals(df):
+    return df.select("page_id", "url", hx.read_signals(F.col("html"), F.col("url")).alias("p"))
+
+
+def _text_sql(html: str) -> str:
+    """Text of a piece of markup: tags go, the usual entities become characters, white space is one blank."""
+    out = f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query(rf"""SELECT page_id, {_text_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1) AS lang, CAST(len(regexp_extract_all(html, '(?i)<h1[ >]')) AS BIGINT) AS h1,
+CASE WHEN page_id % 2 = 0 THEN {_SITE} || '/c/' || page_id END AS canonical, nullif(regexp_extract(html, 'name="description" content="([^"]*)"', 1), '') AS description, nullif(regexp_extract(html, 'name="viewport" content="([^"]*)"', 1), '') AS viewport,
+nullif(regexp_extract(html, '(?i)rel="sitemap" href="([^"]*)"', 1), '') IS NOT NULL AS has_sitemap, CAST(len(regexp_extract_all(html, '(?i)<img\b')) AS BIGINT) AS images, CAST(CASE WHEN page_id % 2 = 1 THEN 2 ELSE 0 END AS BIGINT) AS bare_images FROM {_FULL}""")
 def html_signals(s, d):
-    return _pages(s, d).select("page_id", F.col("p.title").alias("title"), F.col("p.lang").alias("lang"), F.size(F.filter("p.headings", lambda h: h["level"] == 1)).cast("long").alias("h1"))
+    p = _signals(_full(s, d))
+    return p.select("page_id", F.col("p.title").alias("title"), F.col("p.lang").alias("lang"), F.size(F.filter("p.headings", lambda h: h["level"] == 1)).cast("long").alias("h1"), F.col("p.canonical_url").alias("canonical"), F.col("p.meta_description").alias("description"), F.col("p.viewport").alias("viewport"),
+                    F.col("p.sitemap_url").isNotNull().alias("has_sitemap"), F.col("p.images_total").cast("long").alias("images"), F.col("p.images_missing_alt").cast("long").alias("bare_images"))
 
 
 @query()
@@ -227,59 +290,78 @@ def machine_score(s, d):
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]')) = 1 AND NOT regexp_matches(html, '(?i)<h[3-6][ >]') AS valid FROM pages")
 def heading_validity(s, d):
-    return _pages(s, d).select("page_id", hx.headings_valid(F.col("p.headings")).alias("valid"))
+    return _signals(load(s, d, "pages")).select("page_id", hx.headings_valid(F.col("p.headings")).alias("valid"))
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<img\\b[^>]*>')) AS BIGINT) AS total, CAST(len(regexp_extract_all(html, '(?is)<img\\b[^>]*>')) AS BIGINT) AS missing_alt FROM pages")
+@query(rf"""SELECT page_id, CAST(len(i) AS BIGINT) AS total, CAST(len(list_filter(i, lambda x: trim(regexp_extract(x, '(?i)\balt="([^"]*)"', 1)) = '')) AS BIGINT) AS missing_alt FROM (SELECT page_id, regexp_extract_all(html, '(?is)<img\b[^>]*>') AS i FROM {_FULL})""")
 def image_alt_counts(s, d):
     i = tx.image_counts(F.col("html"))
-    return load(s, d, "pages").select("page_id", i["total"].cast("long").alias("total"), i["missing_alt"].cast("long").alias("missing_alt"))
+    return _full(s, d).select("page_id", i["total"].cast("long").alias("total"), i["missing_alt"].cast("long").alias("missing_alt"))
 
 
-@query()
+@query(rf"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<meta[^>]+property="og:[^>]*>')) AS tag, generate_subscripts(regexp_extract_all(html, '(?i)<meta[^>]+property="og:[^>]*>'), 1) AS o FROM {_FULL}),
+k AS (SELECT page_id, regexp_extract(tag, 'property="(og:[^"]*)"', 1) AS name, arg_max(regexp_extract(tag, 'content="([^"]*)"', 1), o) AS content FROM t GROUP BY 1, 2)
+SELECT p.page_id, k.name, k.content FROM pages p LEFT JOIN k USING (page_id)""")
 def open_graph_pairs(s, d):
-    return load(s, d, "pages").select("page_id", F.explode_outer(tx.open_graph(F.col("html"))).alias("name", "content"))
+    return _full(s, d).select("page_id", F.explode_outer(tx.open_graph(F.col("html"))).alias("name", "content"))
 
 
-@query()
+@query(rf"""WITH l AS (SELECT page_id, url, unnest({_HREFS}) AS href, generate_subscripts({_HREFS}, 1) AS o FROM pages),
+a AS (SELECT page_id, o, regexp_replace(replace(CASE WHEN regexp_matches(href, '^https?:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^[a-z]+:') || href WHEN href LIKE '/%' THEN {_SITE} || href END, '&amp;', '&'), '#.*$', '') AS link, url FROM l WHERE href <> '' AND NOT regexp_matches(href, '^(?:mailto:|tel:|javascript:|data:|#)')),
+u AS (SELECT page_id, link, min(o) AS o, any_value(url) AS url FROM a GROUP BY page_id, link),
+k AS (SELECT page_id, link, o, CASE WHEN regexp_extract(link, '([^./]+\.[^./]+)(?:[/:?]|$)', 1) = regexp_extract(url, '([^./]+\.[^./]+)(?:[/:?]|$)', 1) THEN 'internal' ELSE 'external' END AS kind FROM u)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id, kind ORDER BY o) - 1 AS INT) AS pos, link, kind FROM k QUALIFY pos < 500""")
 def page_links(s, d):
-    p = _pages(s, d)
+    p = _signals(load(s, d, "pages"))
     inner = p.select("page_id", F.posexplode("p.internal_links").alias("pos", "link")).withColumn("kind", F.lit("internal"))
     return inner.union(p.select("page_id", F.posexplode("p.external_links").alias("pos", "link")).withColumn("kind", F.lit("external")))
 
 
-@query()
+_HEADS = "regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')"
+
+
+@query(rf"""WITH h AS (SELECT page_id, unnest({_HEADS}) AS tag, generate_subscripts({_HEADS}, 1) AS o FROM pages), t AS (SELECT page_id, o, CAST(tag[3] AS INT) AS level, {_text_sql("tag")} AS text FROM h)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INT) AS pos, level, text FROM t WHERE text <> ''""")
 def page_headings(s, d):
-    return _pages(s, d).select("page_id", F.posexplode("p.headings").alias("pos", "h")).select("page_id", "pos", "h.level", "h.text")
+    return _signals(load(s, d, "pages")).select("page_id", F.posexplode("p.headings").alias("pos", "h")).select("page_id", "pos", "h.level", "h.text")
+
 
+_LD = r"""(SELECT page_id, o, regexp_replace(b, ',\s*([}\]])', '\1', 'g') AS j FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>', 1)) AS b, generate_subscripts(regexp_extract_all(html, '(?is)<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>', 1), 1) AS o FROM """ + _FULL + r""") WHERE json_valid(regexp_replace(b, ',\s*([}\]])', '\1', 'g')))"""
 
-@query("SELECT page_id, '' AS kinds FROM pages")
+
+@query(rf"""WITH k AS (SELECT page_id, o, unnest(CASE WHEN json_type(j, '$."@type"') = 'ARRAY' THEN json_extract_string(j, '$."@type"[*]') ELSE [json_extract_string(j, '$."@type"')] END) AS kind, generate_subscripts(CASE WHEN json_type(j, '$."@type"') = 'ARRAY' THEN json_extract_string(j, '$."@type"[*]') ELSE [json_extract_string(j, '$."@type"')] END, 1) AS i FROM {_LD}),
+f AS (SELECT page_id, kind, min(o * 1000 + i) AS at FROM k WHERE kind IS NOT NULL GROUP BY page_id, kind)
+SELECT p.page_id, coalesce(string_agg(f.kind, ',' ORDER BY f.at), '') AS kinds FROM pages p LEFT JOIN f USING (page_id) GROUP BY p.page_id""")
 def jsonld_types(s, d):
-    return load(s, d, "pages").select("page_id", F.array_join(tx.json_ld_types(F.col("html")), ",").alias("kinds"))
+    return _full(s, d).select("page_id", F.array_join(tx.json_ld_types(F.col("html")), ",").alias("kinds"))
+
+
+@query(f"""SELECT p.page_id, CASE WHEN count(j) = 1 THEN replace(any_value(j), ' ', '') WHEN count(j) > 1 THEN '[' || replace(string_agg(j, ',' ORDER BY o), ' ', '') || ']' END AS data FROM pages p LEFT JOIN {_LD} USING (page_id) GROUP BY p.page_id""")
+def jsonld_data(s, d):
+    return _full(s, d).select("page_id", tx.json_ld(F.col("html")).alias("data"))
 
 
 def _native_checks():
-    no = F.lit(False)
-    return sc.technical_checks(F.col("url"), F.regexp_like("html", F.lit(r"(?i)<link[^>]*rel=.?canonical")), F.regexp_like("html", F.lit(r"(?i)<meta[^>]*name=.?description")), no, F.regexp_count("html", F.lit("(?i)<h1[ >]")) == 1, no, F.regexp_like("html", F.lit(r"(?i)<html[^>]*\blang=")), F.regexp_like("html", F.lit(r"(?i)<meta[^>]*name=.?viewport")), (F.col("page_id") % 4000).cast("int"))
+    return sc.technical_checks(F.col("url"), F.regexp_like("html", F.lit(r"(?i)<link[^>]*rel=.?canonical")), F.regexp_like("html", F.lit(r"(?i)<meta[^>]*name=.?description")), F.size(tx.json_ld_types(F.col("html"))) > 0, F.regexp_count("html", F.lit("(?i)<h1[ >]")) == 1, ux.sitemap_hint(F.col("html"), F.col("url")).isNotNull(), F.regexp_like("html", F.lit(r"(?i)<html[^>]*\blang=")), F.regexp_like("html", F.lit(r"(?i)<meta[^>]*name=.?viewport")), (F.col("page_id") * 37 % 4000).cast("int"))
 
 
-_CHECKS_SQL = r"""(SELECT page_id, starts_with(url, 'https://') AS https, regexp_matches(html, '(?i)<link[^>]*rel=.?canonical') AS canonical, regexp_matches(html, '(?i)<meta[^>]*name=.?description') AS meta_description, false AS json_ld, len(regexp_extract_all(html, '(?i)<h1[ >]')) = 1 AS heading_structure, false AS sitemap, regexp_matches(html, '(?i)<html[^>]*\blang=') AS language, regexp_matches(html, '(?i)<meta[^>]*name=.?viewport') AS viewport, page_id % 4000 <= 2000 AS response_time FROM pages)"""
+_CHECKS_SQL = rf"""(SELECT page_id, starts_with(url, 'https://') AS https, regexp_matches(html, '(?i)<link[^>]*rel=.?canonical') AS canonical, regexp_matches(html, '(?i)<meta[^>]*name=.?description') AS meta_description, contains(html, 'application/ld+json') AS json_ld, len(regexp_extract_all(html, '(?i)<h1[ >]')) = 1 AS heading_structure, contains(html, 'rel="sitemap"') AS sitemap, regexp_matches(html, '(?i)<html[^>]*\blang=') AS language, regexp_matches(html, '(?i)<meta[^>]*name=.?viewport') AS viewport, page_id * 37 % 4000 <= 2000 AS response_time FROM {_FULL})"""
 _T_SQL = " + ".join(f"CASE WHEN {n} THEN {w}::DOUBLE ELSE 0 END" for n, w in sc.TECHNICAL.items())
 
 
 @query(f"SELECT page_id, round({_T_SQL}, 6) AS technical FROM {_CHECKS_SQL}")
 def technical_score(s, d):
-    return load(s, d, "pages").select("page_id", F.round(sc.technical_score(_native_checks()), 6).alias("technical"))
+    return _full(s, d).select("page_id", F.round(sc.technical_score(_native_checks()), 6).alias("technical"))
 
 
 @query("SELECT page_id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in sc.TECHNICAL) + "], lambda x: x IS NOT NULL)), ',') AS passed FROM " + _CHECKS_SQL)
 def score_explanation(s, d):
-    return load(s, d, "pages").select("page_id", F.array_join(sc.passed(_native_checks()), ",").alias("passed"))
+    return _full(s, d).select("page_id", F.array_join(sc.passed(_native_checks()), ",").alias("passed"))
 
 
 @query(f"""SELECT page_id, round((0.35::DOUBLE * t + CASE WHEN m IS NULL THEN 0 ELSE 0.30::DOUBLE * m END + CASE WHEN e IS NULL THEN 0 ELSE 0.20::DOUBLE * e END) / (0.35::DOUBLE + CASE WHEN m IS NULL THEN 0 ELSE 0.30::DOUBLE END + CASE WHEN e IS NULL THEN 0 ELSE 0.20::DOUBLE END), 6) AS pcs, 'machine' || CASE WHEN e IS NULL THEN ',evidentiary' ELSE '' END || CASE WHEN m IS NULL THEN ',semantic' ELSE '' END AS missing_raw FROM (SELECT page_id, {_T_SQL} AS t, CASE WHEN page_id % 2 = 0 THEN (page_id % 10) / 10.0::DOUBLE END AS m, CASE WHEN page_id % 3 = 0 THEN (page_id % 7) / 7.0::DOUBLE END AS e FROM {_CHECKS_SQL})""")
 def pcs_renormalised(s, d):
-    rows = load(s, d, "pages").select("page_id", sc.technical_score(_native_checks()).alias("technical"), F.when(F.col("page_id") % 2 == 0, (F.col("page_id") % 10) / 10.0).alias("semantic"), F.when(F.col("page_id") % 3 == 0, (F.col("page_id") % 7) / 7.0).alias("evidentiary"), F.lit(None).cast("double").alias("machine"))
+    rows = _full(s, d).select("page_id", sc.technical_score(_native_checks()).alias("technical"), F.when(F.col("page_id") % 2 == 0, (F.col("page_id") % 10) / 10.0).alias("semantic"), F.when(F.col("page_id") % 3 == 0, (F.col("page_id") % 7) / 7.0).alias("evidentiary"), F.lit(None).cast("double").alias("machine"))
     made = sc.composite({n: F.col(n) for n in ("technical", "semantic", "evidentiary", "machine")})
     raw = F.concat(F.lit("machine"), F.when(F.col("evidentiary").isNull(), ",evidentiary").otherwise(""), F.when(F.col("semantic").isNull(), ",semantic").otherwise(""))
     return rows.select("page_id", F.round(made["pcs"], 6).alias("pcs"), raw.alias("missing_raw"))
@@ -290,6 +372,12 @@ def page_scorecard(s, d):
     return sc.score_pages(load(s, d, "pages"))
 
 
+@query(f"SELECT page_id, round({_T_SQL}, 6) AS technical FROM (SELECT * REPLACE (heading_structure AND page_id NOT IN (SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)<h[3-6][ >]')) AS heading_structure, false AS response_time) FROM {_CHECKS_SQL})")
+def page_technical(s, d):
+    """The technical part of the scorecard, from parsed pages whose response time is not known."""
+    return sc.score_pages(_full(s, d)).select("page_id", "technical")
+
+
 # --- chunks and vectors ----------------------------------------------------
 
 
@@ -312,7 +400,7 @@ def embed_sparse(s, d):
     return vx.embed_sparse(load(s, d, "documents"), "doc_id", "text").select("doc_id", "dim", F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query(f"SELECT b.item_id, coalesce(round(sqrt(sum(e.weight * e.weight)), 6), 0) AS norm FROM benchmark b LEFT JOIN {_SPARSE.format('(SELECT item_id AS doc_id, text FROM benchmark)')} e ON e.doc_id = b.item_id GROUP BY b.item_id")
 def embed_dense_norm(s, d):
     return load(s, d, "benchmark").select("item_id", vx.embed_dense(F.col("text")).alias("v")).select("item_id", F.round(vx.norm(F.col("v")), 6).alias("norm"))
 
@@ -337,12 +425,13 @@ def vector_threshold(s, d):
     return rt.vector_search(items, "vec_id", "embedding", F.col("q"), 50, 0.2).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-_PROMPTS = "(SELECT item_id AS doc_id, text FROM benchmark WHERE item_id < 25)"
+_PROMPTS = "(SELECT item_id AS doc_id, text FROM benchmark QUALIFY row_number() OVER (PARTITION BY item_id % 8 ORDER BY item_id) <= 25)"
 
 
 def _prompts(s, d):
-    """Tracked prompts, at most 25."""
-    return vx.embed_sparse(load(s, d, "benchmark").where("item_id < 25"), "item_id", "text")
+    """Tracked prompts of eight projects, at most 25 of each."""
+    own = rt.tracked(load(s, d, "benchmark").select("item_id", "text", (F.col("item_id") % 8).alias("project")), "project", "item_id")
+    return vx.embed_sparse(own, "item_id", "text")
 
 
 @query(f"SELECT item_id, doc_id, similarity FROM (SELECT q.doc_id AS item_id, i.doc_id, round(sum(i.weight * q.weight), 6) AS similarity, row_number() OVER (PARTITION BY q.doc_id ORDER BY round(sum(i.weight * q.weight), 6) DESC, i.doc_id) AS r FROM {_SPARSE.format('documents')} i JOIN {_SPARSE.format(_PROMPTS)} q USING (dim) GROUP BY q.doc_id, i.doc_id) WHERE r <= 5")
@@ -354,35 +443,64 @@ def semantic_topk_sparse(s, d):
 @query(f"SELECT source, round(avg(best), 6) AS alignment, COUNT(*) AS prompts FROM (SELECT source, item, greatest(0, least(1, max(sim))) AS best FROM (SELECT d.source, q.doc_id AS item, i.doc_id, sum(i.weight * q.weight) AS sim FROM {_SPARSE.format('documents')} i JOIN {_SPARSE.format(_PROMPTS)} q USING (dim) JOIN documents d ON d.doc_id = i.doc_id GROUP BY ALL) GROUP BY source, item) GROUP BY source")
 def alignment_score(s, d):
     docs = load(s, d, "documents")
-    items = vx.embed_sparse(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
+    items = vx.embed_sparse(docs, "doc_id", "text", carry=("source",))
     return rt.alignment(_prompts(s, d), "item_id", items, "doc_id", "source").select("source", F.round("alignment", 6).alias("alignment"), "prompts")
 
 
 # --- full text -------------------------------------------------------------
 
+_STOP = ", ".join(f"'{w}'" for w in sorted(rt.STOP))
+#: The words that most documents hold, by rank: those that searches ask for are taken from the corpus.
+_RANKED = f"(SELECT token, row_number() OVER (ORDER BY COUNT(DISTINCT doc_id) DESC, token) AS r FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) WHERE token NOT IN ({_STOP}) GROUP BY token)"
+_TOKENS = "(SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)"
+#: Ranks of the words of the queries.
+ONE, TWO, NOT = 40, 55, 70
+
 
-@query("SELECT doc_id, round(0.1::DOUBLE * n, 6) AS rank FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x = 'reand')) AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 50")
+def _word(rank: int) -> str:
+    return f"(SELECT token FROM {_RANKED} WHERE r = {rank})"
+
+
+def _index(s, d):
+    return rt.postings(load(s, d, "documents"), "doc_id", "text", stemmed=False)
+
+
+def _words(s, d) -> dict[int, str]:
+    found = rt.frequent_terms(_index(s, d), "doc_id", NOT)
+    return {r: found[min(r, len(found)) - 1] for r in (ONE, TWO, NOT)}
+
+
+@query(f"SELECT doc_id, round(0.1::DOUBLE * n, 6) AS rank FROM (SELECT doc_id, len(list_filter(t, lambda x: x = w)) AS n FROM {_TOKENS}, (SELECT {_word(ONE)} AS w)) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 50")
 def fts_single_term(s, d):
-    return rt.text_search(rt.postings(load(s, d, "documents"), "doc_id", "text"), "doc_id", "reand", 50).select("doc_id", F.round("rank", 6).alias("rank"))
+    return rt.text_search(_index(s, d), "doc_id", _words(s, d)[ONE], 50, stemmed=False).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) WHERE list_contains(t, 'erth') AND list_contains(t, 'reand') AND NOT list_contains(t, 'thnt')")
+@query(f"SELECT doc_id FROM {_TOKENS}, (SELECT {_word(ONE)} AS a, {_word(TWO)} AS b, {_word(NOT)} AS c) WHERE list_contains(t, a) AND list_contains(t, b) AND NOT list_contains(t, c)")
 def fts_all_terms_match(s, d):
-    return rt.text_search(rt.postings(load(s, d, "documents"), "doc_id", "text"), "doc_id", "erth reand -thnt", 1_000_000).select("doc_id")
+    w = _words(s, d)
+    return rt.text_search(_index(s, d), "doc_id", f"{w[ONE]} {w[TWO]} -{w[NOT]}", None, stemmed=False).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) AS pairs FROM {_TOKENS}), (SELECT {_word(ONE)} AS a, {_word(TWO)} AS b, {_word(NOT)} AS c) WHERE list_contains(pairs, a || ' ' || b) OR list_contains(t, b) AND list_contains(t, c)")
+def fts_phrase_or_match(s, d):
+    w = _words(s, d)
+    return rt.text_search(_index(s, d), "doc_id", f'"{w[ONE]} {w[TWO]}" or {w[TWO]} {w[NOT]}', None, stemmed=False).select("doc_id")
 
 
 @query()
 def fts_cover_rank(s, d):
-    return rt.text_search(rt.postings(load(s, d, "documents"), "doc_id", "text"), "doc_id", '"reand erth" or erth thnt', 50)
+    w = _words(s, d)
+    return rt.text_search(_index(s, d), "doc_id", f'"{w[ONE]} {w[TWO]}" or {w[TWO]} {w[NOT]}', 50, stemmed=False)
 
 
 @query()
 def fts_stemmed(s, d):
-    return rt.text_search(rt.postings(load(s, d, "documents"), "doc_id", "text", stemmed=True), "doc_id", rt.stem("reanding"), 50)
+    """A search for a form that the texts need not hold: they match by their stems."""
+    return rt.text_search(rt.postings(load(s, d, "documents"), "doc_id", "text"), "doc_id", _words(s, d)[ONE] + "s", 50)
 
 
-_HYBRID = f"""WITH q AS (SELECT * FROM {_SPARSE.format("(SELECT 0 AS doc_id, 'reand' AS text)")}), v AS (SELECT i.doc_id, sum(i.weight * q.weight) AS s FROM {_SPARSE.format('documents')} i JOIN q USING (dim) GROUP BY i.doc_id),
-v10 AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS p FROM v QUALIFY p <= 10), t AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x = 'reand')) AS n FROM documents),
+_HYBRID = f"""WITH w AS (SELECT {_word(ONE)} AS w), q AS (SELECT * FROM {_SPARSE.format("(SELECT 0 AS doc_id, w AS text FROM w)")}), v AS (SELECT i.doc_id, sum(i.weight * q.weight) AS s FROM {_SPARSE.format('documents')} i JOIN q USING (dim) GROUP BY i.doc_id),
+v10 AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS p FROM v QUALIFY p <= 10), t AS (SELECT doc_id, len(list_filter(t, lambda x: x = w)) AS n FROM {_TOKENS}, w),
 t10 AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS p FROM t WHERE n > 0 QUALIFY p <= 10), f AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + p)) AS f, COUNT(*) AS lists FROM (SELECT * FROM v10 UNION ALL SELECT * FROM t10) GROUP BY doc_id)
 SELECT doc_id, round(f / (SELECT max(f) FROM f), 6) AS score, lists, (SELECT COUNT(*) FROM f) AS total FROM f ORDER BY score DESC, doc_id LIMIT 10"""
 
@@ -390,7 +508,7 @@ SELECT doc_id, round(f / (SELECT max(f) FROM f), 6) AS score, lists, (SELECT COU
 @query(_HYBRID)
 def hybrid_rrf(s, d):
     docs = load(s, d, "documents")
-    return rt.search(docs, "doc_id", "text", vx.embed_sparse(docs, "doc_id", "text"), "reand", limit=10)
+    return rt.search(docs, "doc_id", "text", vx.embed_sparse(docs, "doc_id", "text"), _words(s, d)[ONE], limit=10, stemmed=False)
 
 
 # --- limiters and citations ------------------------------------------------
@@ -400,12 +518,22 @@ def _hits(s, d):
     return load(s, d, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), "event_id")
 
 
-@query()
+#: Hits of each user in order of time, one step after another; what was admitted so far is carried along.
+_HITS_SQL = "(SELECT user_id, floor(epoch(ts))::DOUBLE AS s, event_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events)"
+
+
+@query(f"""WITH RECURSIVE h AS MATERIALIZED (SELECT * FROM {_HITS_SQL}), f AS (
+SELECT user_id, s, event_id, n, true AS allowed, [s] AS kept FROM h WHERE n = 1 UNION ALL
+SELECT user_id, s, event_id, n, len(k) < 3, CASE WHEN len(k) < 3 THEN list_append(k, s) ELSE k END FROM (SELECT h.user_id, h.s, h.event_id, h.n, list_filter(f.kept, lambda x: x >= h.s - 86400) AS k FROM f JOIN h ON h.user_id = f.user_id AND h.n = f.n + 1))
+SELECT user_id, s AS "at", event_id, allowed, CAST(greatest(0, 3 - len(kept)) AS INT) AS remaining FROM f""")
 def limiter_sliding(s, d):
     return li.admit(_hits(s, d), "user_id", "at", "event_id", li.SlidingLog, 3, 86_400)
 
 
-@query()
+@query(f"""WITH RECURSIVE h AS MATERIALIZED (SELECT * FROM {_HITS_SQL}), f AS (
+SELECT user_id, s, event_id, n, s AS began, 1 AS c FROM h WHERE n = 1 UNION ALL
+SELECT h.user_id, h.s, h.event_id, h.n, CASE WHEN h.s >= f.began + 86400 THEN h.s ELSE f.began END, CASE WHEN h.s >= f.began + 86400 THEN 1 ELSE f.c + 1 END FROM f JOIN h ON h.user_id = f.user_id AND h.n = f.n + 1)
+SELECT user_id, s AS "at", event_id, c <= 3 AS allowed, CAST(greatest(0, 3 - c) AS INT) AS remaining FROM f""")
 def limiter_fixed_anchor(s, d):
     return li.admit(_hits(s, d), "user_id", "at", "event_id", li.FixedWindow, 3, 86_400)
 
@@ -438,13 +566,28 @@ def cpi_delta(s, d):
     return ci.change(_daily(s, d), "engine", "day", "p").select("engine", F.col("day").cast("string").alias("day"), F.round("delta", 4).alias("delta"))
 
 
+@query(f"SELECT a.engine, CAST(a.day AS VARCHAR) AS day, round((a.p - w.p) * 100, 4) AS week, round((a.p - m.p) * 100, 4) AS month FROM {_DAILY} a LEFT JOIN {_DAILY} w ON w.engine = a.engine AND w.day = a.day - 7 LEFT JOIN {_DAILY} m ON m.engine = a.engine AND m.day = a.day - 28")
+def cpi_change_windows(s, d):
+    daily = _daily(s, d)
+    return daily.select("engine", F.col("day").cast("string").alias("day"), *[F.round(ci.change_since(daily, "engine", "day", "p", n), 4).alias(name) for n, name in ((7, "week"), (28, "month"))])
+
+
 _ENGINES = ["click", "purchase", "view", "search", "signup"]
 
 
-@query()
+@query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, " + ", ".join(f"round(avg(CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (event_type = '{e}'), 6) AS {e}" for e in _ENGINES) + " FROM events GROUP BY 1")
 def cpi_trend_pivot(s, d):
     runs = _runs(s, d)
-    return ci.trend(runs, F.date_trunc("week", F.col("ts")).cast("date"), "engine", _ENGINES, F.expr(_CITED))
+    return ci.trend(runs, F.date_trunc("week", F.col("ts")).cast("date").cast("string"), "engine", _ENGINES, F.expr(_CITED))
+
+
+_WEEKLY = f"(SELECT event_type AS engine, CAST(date_trunc('week', ts) AS DATE) AS week, avg(CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM events GROUP BY ALL)"
+
+
+@query(f"SELECT engine, CAST(week AS VARCHAR) AS week, coalesce(n = 3 AND abs(p - m) > sd, false) AS drift FROM (SELECT engine, week, p, avg(p) OVER w AS m, stddev_samp(p) OVER w AS sd, COUNT(p) OVER w AS n FROM {_WEEKLY} WINDOW w AS (PARTITION BY engine ORDER BY week ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))")
+def cpi_drift_weekly(s, d):
+    weekly = _runs(s, d).groupBy("engine", F.date_trunc("week", F.col("ts")).cast("date").alias("week")).agg(F.avg(F.when(F.expr(_CITED), 1.0).otherwise(0.0)).alias("p"))
+    return ci.drift(weekly, "engine", "week", "p", 3, 1.0).select("engine", F.col("week").cast("string").alias("week"), "drift")
 
 
 @query(f"SELECT engine, CAST(day AS VARCHAR) AS day, coalesce(n = 8 AND abs(p - m) > 3 * sd, false) AS drift FROM (SELECT engine, day, p, avg(p) OVER w AS m, stddev_samp(p) OVER w AS sd, COUNT(p) OVER w AS n FROM {_DAILY} WINDOW w AS (PARTITION BY engine ORDER BY day ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))")
@@ -490,24 +633,34 @@ def plan_grid(s, d):
     return ci.plan_grid(load(s, d, "benchmark").select("item_id"), 10, [0.0, 0.7, 1.0]).withColumn("run_index", F.col("run_index").cast("long"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%green%'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%' || (SELECT split_part(p_name, ' ', 1) FROM part ORDER BY p_partkey LIMIT 1) || '%'")
 def palette_filter(s, d):
     from folioscope.operators.relational import contains_text
 
-    return load(s, d, "part").where(contains_text("p_name", " GREEN ")).select("p_partkey", "p_name")
+    part = load(s, d, "part")
+    typed = part.orderBy("p_partkey").first()["p_name"].split(" ")[0]  # what a user types: a word of some name
+    return part.where(contains_text("p_name", f" {typed.upper()} ")).select("p_partkey", "p_name")
 
 
 # --- streams ---------------------------------------------------------------
 
 
-def _streamed(s, d, make, mode: str = "append"):
+def _streamed(s, d, make, mode: str = "append", files: int = 1):
+    """make over events as a stream of so many files; folders are in spark.checkpoint.dir, and beside the session's own on one machine."""
     import uuid
 
     from folioscope.streaming import queue
 
-    base = f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp/folioscope-streams'}/{uuid.uuid4().hex}"
+    home = s.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        import tempfile
+
+        home = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+    base = f"{home}/{uuid.uuid4().hex}"
     events = load(s, d, "events")
-    events.write.parquet(f"{base}/in")
+    (events if files == 1 else events.repartition(files)).write.parquet(f"{base}/in")
     made = make(queue, queue.jobs_stream(s, f"{base}/in", events.schema))
     queue.run_available(made, f"{base}/out", f"{base}/state", mode)
     return s.read.schema(made.schema).parquet(f"{base}/out")
@@ -515,7 +668,7 @@ def _streamed(s, d, make, mode: str = "append"):
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_claim_once(s, d):
-    return _streamed(s, d, lambda q, e: q.claim_once(e.withColumn("at", F.col("ts").cast("timestamp")), "event_id", "at").select("event_id", "user_id", "event_type"))
+    return _streamed(s, d, lambda q, e: q.claim_once(e, "event_id").select("event_id", "user_id", "event_type"), files=3)
 
 
 @query("SELECT event_id, user_id FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_type = 'view'")

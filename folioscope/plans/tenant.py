@@ -125,9 +125,10 @@ def join_scope_chunks(s, d):
     return _jobs(s, d).select("audit_id").join(scope, "audit_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT project_id, name FROM {P} p WHERE NOT EXISTS (SELECT 1 FROM {A} a WHERE a.project_id = p.project_id)")
+@query(f"SELECT project_id, name FROM {P} p WHERE NOT EXISTS (SELECT 1 FROM {A} a WHERE a.project_id = p.project_id AND a.priority = '1-URGENT' AND a.status = 'completed')")
 def anti_join_orphans(s, d):
-    return rel.orphans(_projects(s, d), _audits(s, d), "project_id", "project_id", most=1_000_000_000).select("project_id", "name")
+    urgent = _audits(s, d).where("priority = '1-URGENT' and status = 'completed'")
+    return rel.orphans(_projects(s, d), urgent, "project_id", "project_id").select("project_id", "name")
 
 
 @query(f"SELECT DISTINCT p.project_id FROM {P} p JOIN {P} q ON p.user_id = q.user_id AND p.segment = q.segment AND p.project_id % 2 = 0 AND q.project_id % 2 = 1")
@@ -188,13 +189,12 @@ def latest_per_key(s, d):
 
 
 @query(f"""WITH l AS (SELECT 'score' AS list, project_id, max(score) AS v FROM {A} GROUP BY project_id HAVING max(score) IS NOT NULL UNION ALL SELECT 'count', project_id, CAST(COUNT(*) AS DOUBLE) FROM {A} GROUP BY project_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY v DESC, project_id) AS p FROM l WHERE project_id % 50 = 1), f AS (SELECT project_id, sum(1.0::DOUBLE / (60 + p)) AS f, COUNT(*) AS lists FROM r GROUP BY project_id)
+r AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY v DESC, project_id) AS p FROM l QUALIFY p <= 50), f AS (SELECT project_id, sum(1.0::DOUBLE / (60 + p)) AS f, COUNT(*) AS lists FROM r GROUP BY project_id)
 SELECT project_id, round(f / (SELECT max(f) FROM f), 6) AS fused, lists FROM f""")
 def rank_fusion_positions(s, d):
-    a = _audits(s, d).where("project_id % 50 = 1")
-    by = a.groupBy("project_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).cast("double").alias("n"))
+    by = _audits(s, d).groupBy("project_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).cast("double").alias("n"))
     lists = by.where("best is not null").select(F.lit("score").alias("list"), "project_id", F.col("best").alias("v")).union(by.select(F.lit("count"), "project_id", "n"))
-    return rel.fuse_rankings(lists, "list", "project_id", "v").select("project_id", F.round("fused", 6).alias("fused"), "lists")
+    return rel.fuse_rankings(lists, "list", "project_id", "v", most=50).select("project_id", F.round("fused", 6).alias("fused"), "lists")
 
 
 @query("SELECT DISTINCT trim(text) AS prompt FROM benchmark WHERE trim(text) <> '' AND item_id % 2 = 1 AND trim(text) NOT IN (SELECT trim(text) FROM benchmark WHERE item_id % 2 = 0)")
@@ -289,7 +289,10 @@ def existence_probe(s, d):
     return rel.exists(rel.equal_where(_audits(s, d), status="crawling"))
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS MATERIALIZED (SELECT a.project_id, a.audit_id, a.audit_id % 5 AS n, CAST(u.credit_limit AS BIGINT) AS l, row_number() OVER (PARTITION BY a.project_id ORDER BY a.audit_id) AS i FROM {A} a JOIN {U} u USING (project_id)),
+f AS (SELECT project_id, audit_id, i, n <= 0 OR n <= l AS granted, CASE WHEN n > 0 AND n <= l THEN n ELSE 0 END AS used FROM r WHERE i = 1 UNION ALL
+SELECT r.project_id, r.audit_id, r.i, r.n <= 0 OR f.used + r.n <= r.l, CASE WHEN r.n > 0 AND f.used + r.n <= r.l THEN f.used + r.n ELSE f.used END FROM f JOIN r ON r.project_id = f.project_id AND r.i = f.i + 1)
+SELECT project_id, audit_id, granted, used FROM f""")
 def state_sequence_fold(s, d):
     a = _audits(s, d).join(_used(_projects(s, d)).select("project_id", "credit_limit"), "project_id").select("project_id", "audit_id", (F.col("audit_id") % 5).alias("n"), F.col("credit_limit").cast("long").alias("credit_limit"))
     return ch.consume_in_order(a, "project_id", "audit_id", "n", "credit_limit")
@@ -361,3 +364,68 @@ def reingest_documents(s, d):
     docs = load(s, d, "documents")
     chunks = ingest.chunk_rows(docs, "doc_id", "text")
     return ingest.counts(ingest.reingest(chunks, ingest.chunk_rows(docs.where("doc_id % 10 = 0"), "doc_id", "text"), "doc_id"), "doc_id")
+
+
+@query(f"""WITH j AS (SELECT audit_id, string_agg(job_id::VARCHAR, ',' ORDER BY r) AS jobs FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY updated DESC, job_id) AS r FROM {J}) WHERE r <= 20 GROUP BY audit_id),
+c AS (SELECT l_orderkey AS audit_id, COUNT(*) AS n, COUNT(*) FILTER (l_returnflag = 'N') AS e FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
+SELECT a.audit_id, a.status, coalesce(j.jobs, '') AS jobs, coalesce(c.n, 0) AS chunk_count, coalesce(c.e, 0) AS embedded_chunk_count FROM {A} a LEFT JOIN j USING (audit_id) LEFT JOIN c USING (audit_id)""")
+def audit_detail(s, d):
+    """Audits with their newest jobs and two counts; the larger lineitems stand for chunks."""
+    chunks = load(s, d, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("audit_id"), "l_returnflag")
+    made = ch.detail(_audits(s, d).select("audit_id", "status"), "audit_id", _jobs(s, d), "job_id", "updated", chunks, F.col("l_returnflag") == "N")
+    return made.withColumn("jobs", F.array_join(F.col("jobs").cast("array<string>"), ","))
+
+
+@query(f"SELECT job_id, CASE WHEN retries % 6 < 3 THEN 'pending' ELSE 'failed' END AS status, retries % 6 < 3 AS again, CASE WHEN audit_id % 3 = 0 THEN 'false' END AS robots_allowed FROM {J}")
+def failure_outcome(s, d):
+    kind = F.when(F.col("audit_id") % 3 == 0, "robots").otherwise("timeout")
+    made = _jobs(s, d).select("job_id", ch.failure(kind, F.col("retries") % 6).alias("f"))
+    return made.select("job_id", "f.status", "f.again", F.col("f.robots_allowed").cast("string").alias("robots_allowed"))
+
+
+@query(f"SELECT job_id, coalesce(left(CASE WHEN retries % 3 = 0 THEN repeat('error ', retries * 20) END, 2000), CASE WHEN retries % 2 = 0 THEN 'old' END) AS error FROM {J}")
+def error_texts(s, d):
+    n = F.col("retries")
+    new = F.when(n % 3 == 0, F.repeat(F.lit("error "), (n * 20).cast("int")))
+    return _jobs(s, d).select("job_id", ch.error_after(F.when(n % 2 == 0, "failed").otherwise("running"), new, F.lit("old")).alias("error"))
+
+
+_ATTEMPTS = f"""(SELECT audit_id AS page, t.* FROM {A}, (VALUES ('primary', 2, 3, 5), ('http', 3, 4, 7), ('browser', 5, 1000000007, 11)) v(transport, a, b, c), LATERAL (SELECT transport, audit_id % a <> 0 AS ok, audit_id % b = 0 AS is_spa, CASE WHEN audit_id % c = 0 THEN '/' || transport || '.xml' END AS sitemap, audit_id % 13 <> 0 AS robots_allowed, CASE WHEN audit_id % 2 = 1 THEN '/robots.xml' END AS robots_sitemap) t)"""
+
+
+@query(f"""WITH g AS (SELECT * FROM {_ATTEMPTS} WHERE ok AND robots_allowed), f AS (SELECT *, transport = first(transport) OVER w AS is_first, first(is_spa) OVER w AS shell, first(transport) OVER w AS t1, max(transport = 'browser') OVER (PARTITION BY page) AS has_browser FROM g WINDOW w AS (PARTITION BY page ORDER BY CASE transport WHEN 'primary' THEN 1 WHEN 'http' THEN 2 ELSE 3 END))
+SELECT page, transport, shell AND t1 <> 'browser' AS is_spa, coalesce(sitemap, robots_sitemap) AS sitemap, shell AND t1 <> 'browser' AND has_browser AS fallback_used FROM f WHERE CASE WHEN shell AND t1 <> 'browser' AND has_browser THEN transport = 'browser' ELSE is_first END""")
+def fetch_policy(s, d):
+    """Audits as pages with three attempts each, good or not by rule."""
+    from folioscope.sources.tables import choose_fetch
+
+    a, made = F.col("page"), None
+    for transport, m, spa, site in (("primary", 2, 3, 5), ("http", 3, 4, 7), ("browser", 5, 1_000_000_007, 11)):
+        own = _audits(s, d).select(F.col("audit_id").alias("page")).select("page", F.lit(transport).alias("transport"), (a % m != 0).alias("ok"), (a % spa == 0).alias("is_spa"), F.when(a % site == 0, f"/{transport}.xml").alias("sitemap"), (a % 13 != 0).alias("robots_allowed"), F.when(a % 2 == 1, "/robots.xml").alias("robots_sitemap"))
+        made = own if made is None else made.union(own)
+    return choose_fetch(made, "page").select("page", "transport", "is_spa", "sitemap", "fallback_used")
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 7 < 5 AND page_id % 3 <> 0 AND strlen(html) <= 5000")
+def fetch_accepted(s, d):
+    from folioscope.conf import EngineConf
+    from folioscope.sources.tables import accepted
+
+    status = F.when(F.col("page_id") % 7 < 5, 200).otherwise(404)
+    kind = F.when(F.col("page_id") % 3 != 0, "text/html; charset=utf-8").otherwise("image/png")
+    return accepted(load(s, d, "pages").select("page_id", "html", status.alias("status"), kind.alias("content_type")), EngineConf(max_page_bytes=5000)).select("page_id")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'robots_disallowed' WHEN 'view' THEN 'timeout' WHEN 'search' THEN 'response_too_large' ELSE 'fetch_error' END AS name FROM events")
+def error_names(s, d):
+    from folioscope.functions.text import error_name
+
+    kind = F.when(F.col("event_type") == "click", "robots").when(F.col("event_type") == "view", "timeout").when(F.col("event_type") == "search", "too_large").otherwise("other")
+    return load(s, d, "events").select("event_id", error_name(kind).alias("name"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(replace(text, '. ', repeat(chr(10), 4)), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents")
+def text_limit_newlines(s, d):
+    from folioscope.functions.text import limit_newlines
+
+    return load(s, d, "documents").select("doc_id", F.sha2(limit_newlines(F.replace(F.col("text"), F.lit(". "), F.lit("\n\n\n\n"))), 256).alias("digest"))

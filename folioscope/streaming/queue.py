@@ -18,14 +18,25 @@ def jobs_stream(spark: SparkSession, folder: str, schema: StructType, files: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def claim_once(jobs: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
-    """The first message of each job within the lateness; repetitions are dropped, and the state with them."""
-    return jobs.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+def claim_once(jobs: DataFrame, key: str, at: str | None = None, late: str | None = None) -> DataFrame:
+    """One message of each job, in whatever order messages and files come.
 
+    The keys seen so far are the state. With `at` and `late` a key is forgotten
+    once the watermark has passed it, which bounds the state of a stream that
+    never ends; messages that come later than that are then dropped, so `late`
+    must cover all the backlog that a query may start on.
+    """
+    return jobs.dropDuplicates([key]) if late is None else jobs.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def windowed_counts(events: DataFrame, at: str, key: str, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """Hits in event-time windows.
 
-def windowed_counts(events: DataFrame, at: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Hits in event-time windows; a window is final once the watermark has passed it."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), key).agg(F.count(F.lit(1)).alias("hits")).select(F.col("w.start").alias("start"), key, "hits")
+    With `late` a window is final, and its state goes, once the watermark has
+    passed it; hits that come later are dropped. Without it every hit counts,
+    in the output modes complete and update.
+    """
+    return (events if late is None else events.withWatermark(at, late)).groupBy(F.window(at, width).alias("w"), key).agg(F.count(F.lit(1)).alias("hits")).select(F.col("w.start").alias("start"), key, "hits")
 
 
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
@@ -38,6 +49,11 @@ def each_batch(df: DataFrame, checkpoint: str, work: Callable[[DataFrame, int],
     df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_every(df: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], seconds: int):
+    """A function on every micro-batch, one each so many seconds until the returned query is stopped: periodic sweeps."""
+    return df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def requeue(failed: DataFrame, count: str, now: Column, most: int = 3) -> DataFrame:
     """Failed jobs that get another try, with the time before which it must not begin."""
     again = failed.where(F.col(count) < most).withColumn(count, F.col(count) + 1)

@@ -11,6 +11,10 @@ from folioscope.plans import catalog
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries over parsed markup, chunks and stems, which SQL can't express.
+WITHOUT_SQL = {"chunk_documents", "chunk_stats", "fts_cover_rank", "fts_stemmed", "html_clean_stats", "ingest_documents", "machine_score", "page_scorecard", "reingest_documents"}
+
+
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
@@ -34,11 +38,12 @@ def test_query(spark, db, name):
     got = catalog.queries()[name](spark, SMALL).toPandas()
     sql = catalog.oracle_sql().get(name)
     if sql is None:
-        assert len(got) > 0 or name == "fts_stemmed"
+        assert len(got) > 0 and name in WITHOUT_SQL  # each has a test of its own in test_brute_force.py
         return
     want = db.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
+    assert len(want) > 0 or name == "fts_all_terms_match"  # the smallest tables hold no text with both words
 
 
 def test_flagship(spark):
