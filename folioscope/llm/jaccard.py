@@ -1,10 +1,14 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
-Two texts are linked when the sets of their WORDS-word shingles have a
-similarity of LEAST or more. Candidates come from MinHash: BANDS bands of ROWS
+This is the pipeline's form of the near-duplicate operator. Two texts are linked
+when the sets of their WORDS-word shingles have a similarity of LEAST or more.
+Candidates come from two sides. The Gray-order index of simhash.py, over
+fingerprints of these shingles, gives texts within 2 of 64 bits, which are the
+closest copies; at a similarity of 0.8 fingerprints differ in about 10 bits, too
+many for any index of 64. So MinHash gives the others: BANDS bands of ROWS
 minima each, and texts that agree on a whole band share a bucket; a pair at
-LEAST shares one with probability 1 - (1 - LEAST ** ROWS) ** BANDS = 0.997,
-more similar ones more surely. Every candidate is then held against the sets
+LEAST shares one with probability 1 - (1 - LEAST ** ROWS) ** BANDS = 0.997, more
+similar ones more surely. Every candidate is then held against the sets
 themselves, so nothing less similar is linked.
 
 Texts of equal sets are one node. Of each bucket all nodes are first held
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm._common import components, stored
+from folioscope.llm.simhash import links, majority
 
 WORDS = 5
 SEED = 42
@@ -38,7 +43,7 @@ _draw = np.random.default_rng(SEED)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MIX = _draw.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("grams", T.ArrayType(T.LongType()))])
+_SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("grams", T.ArrayType(T.LongType()))])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -65,7 +70,7 @@ def buckets(grams: np.ndarray) -> np.ndarray:
 def _sketch(texts: pd.Series) -> pd.DataFrame:
     grams = [shingles(t) for t in texts]
     node = [xxhash.xxh64_intdigest(g.tobytes(), SEED) if len(g) else 0 for g in grams]
-    return pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "n": [len(g) for g in grams], "buckets": [buckets(g) for g in grams], "grams": [g.view(np.int64) for g in grams]})
+    return pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "n": [len(g) for g in grams], "code": np.array([majority(g) for g in grams], np.uint64).view(np.int64), "buckets": [buckets(g) for g in grams], "grams": [g.view(np.int64) for g in grams]})
 
 
 def _alike(shared: Column, a: Column, b: Column) -> Column:
@@ -74,6 +79,16 @@ def _alike(shared: Column, a: Column, b: Column) -> Column:
     return (part + whole) * shared >= part * (a + b)
 
 
+def _by_fingerprint(prints: DataFrame) -> DataFrame:
+    """Candidates (a, b) of prints (node, code): the nodes of one fingerprint with its smallest, and the smallest ones of fingerprints that link."""
+    nodes = prints.distinct()
+    codes = stored(nodes.groupBy("code").agg(F.min("node").alias("first")), "codes")
+    alike = nodes.join(codes, "code").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    x, y = (codes.select(F.col("code").alias(c), F.col("first").alias(f"{c}_node")) for c in "ab")
+    linked = links(codes.select("code")).join(x, "a").join(y, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return alike.union(linked).distinct()
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, node) of every row of docs (doc_id long, text string), and (node, component) of the nodes that link.
 
@@ -85,7 +100,9 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = stored(dealt, "buckets")
     leaders = dealt.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     members = stored(dealt.join(leaders, "bucket"), "members")
-    sets = stored(prints.select("node", "grams").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+    close = stored(_by_fingerprint(prints.where("n > 0").select("node", "code")), "close")
+    wanted = members.select("node").union(close.select(F.col("a"))).union(close.select(F.col("b"))).distinct()
+    sets = stored(prints.select("node", "grams").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
 
     def fit(a: Column, b: Column) -> Column:
         return _alike(F.least(a, b), a, b)  # sizes too far apart can't reach it
@@ -95,7 +112,7 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return both.where(_alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
 
     star = members.where((F.col("node") != F.col("leader.node")) & fit(F.col("n"), F.col("leader.n"))).select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(checked(star), "links")
+    first = stored(checked(star.union(close).distinct()), "links")
     made = components(first)
     placed = stored(members.select("bucket", "node", "n").join(made, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c")), "placed")
     open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")

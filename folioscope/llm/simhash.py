@@ -7,8 +7,9 @@ one block at least, so each fingerprint is dealt to one branch for each block
 In a branch the fingerprints are sorted by Gray rank, which puts those that
 share long bit patterns next to each other. FANOUT neighbours form a node,
 whose mask says which bits they all share and whose pattern holds those bits;
-FANOUT nodes form an upper node, and so on. A node whose shared pattern
-differs from a probe in more than LINK bits is pruned with all below it.
+FANOUT nodes form an upper node, and so on. A node keeps only the bits that the
+node above it doesn't share, so a probe's differences are added up on the way
+down; where they exceed LINK, the node is pruned with all below it.
 
 Copies are folded before the index: it holds each distinct fingerprint once.
 From a branch comes a spanning forest of its links (at most one edge for each
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm._common import components, stored, table
-from folioscope.llm.jaccard import near_copies, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -54,12 +54,16 @@ def fingerprint(text: str | None) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(words, words[1:], words[2:], strict=False)))
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(shingles), STEP):
-        part = shingles[at : at + STEP]
-        h = np.fromiter((digest(s, SEED) for s in part), np.uint64, len(part))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; none of no hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), STEP):
+        counts += np.unpackbits(hashes[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 @F.pandas_udf(T.LongType())
@@ -81,35 +85,32 @@ class GrayIndex:
     def __init__(self, codes: np.ndarray, fanout: int = FANOUT):
         self.order = np.argsort(gray_rank(codes), kind="stable")
         self.codes, self.fanout = codes[self.order], fanout
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves up: mask and pattern
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves up: mask and pattern, of own bits alone
         mask, pattern = np.full(len(codes), ~np.uint64(0)), self.codes
         while len(mask) > 1:
             edges = np.arange(0, len(mask), fanout)
             shared = np.bitwise_and.reduceat(mask, edges)
-            alike = ~(np.bitwise_or.reduceat(pattern, edges) ^ np.bitwise_and.reduceat(pattern, edges))
-            mask = shared & alike
-            pattern = pattern[edges] & mask
-            self.levels.append((mask, pattern))
+            shared &= ~(np.bitwise_or.reduceat(pattern, edges) ^ np.bitwise_and.reduceat(pattern, edges))
+            above = np.repeat(shared, fanout)[: len(mask)]
+            self.levels.append((mask & ~above, pattern & ~above))
+            mask, pattern = shared, pattern[edges] & shared
+        self.levels.append((mask, pattern))
 
     def pairs(self, probes: np.ndarray, most: int = LINK) -> tuple[np.ndarray, np.ndarray]:
         """(probe, code) positions, in the order given, of all that differ in at most `most` bits."""
-        if not self.levels:
-            probe = np.arange(len(probes))
-            node = np.zeros(len(probes), np.int64)
-        else:
-            probe = np.repeat(np.arange(len(probes)), len(self.levels[-1][0]))
-            node = np.tile(np.arange(len(self.levels[-1][0])), len(probes))
+        probe = np.arange(len(probes) if len(self.codes) else 0)
+        node, so_far = np.zeros(len(probe), np.int64), np.zeros(len(probe), np.uint8)
         for depth in range(len(self.levels) - 1, -1, -1):
             mask, pattern = self.levels[depth]
-            stays = np.bitwise_count((probes[probe] & mask[node]) ^ pattern[node]) <= most
-            probe, node = probe[stays], node[stays]
-            below = len(self.levels[depth - 1][0]) if depth else len(self.codes)
-            node = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-            probe = np.repeat(probe, self.fanout)
-            inside = node < below
-            probe, node = probe[inside], node[inside]
-        close = np.bitwise_count(probes[probe] ^ self.codes[node]) <= most
-        return probe[close], self.order[node[close]]
+            so_far = so_far + np.bitwise_count((probes[probe] & mask[node]) ^ pattern[node])
+            stays = so_far <= most
+            probe, node, so_far = probe[stays], node[stays], so_far[stays]
+            if depth:
+                node = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
+                probe, so_far = np.repeat(probe, self.fanout), np.repeat(so_far, self.fanout)
+                inside = node < len(self.levels[depth - 1][0])
+                probe, node, so_far = probe[inside], node[inside], so_far[inside]
+        return probe, self.order[node]
 
 
 def spanning(codes: np.ndarray, most: int = LINK) -> tuple[np.ndarray, np.ndarray]:
@@ -234,9 +235,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies (jaccard.py) exactly one row stays.
 
-    It is the one with the smallest doc_id, null only where no row has one; of
+    Candidates come from this index over the copies' own fingerprints as well as
+    from MinHash, and each is verified. The one that stays is that with the smallest doc_id, null only where no row has one; of
     several such rows that with the smallest text, then the other columns.
     """
+    from folioscope.llm.jaccard import near_copies, text_key  # it builds on this module
+
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     rows, made = near_copies(docs)
     marks = stored(rows.join(made, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("_group")), "marks")
