@@ -34,9 +34,13 @@ FOLDS = 5
 #: Weight of the L2 term.
 L2 = 1e-3
 
-NAMES = ("log_words", "mean_word", "letters", "upper", "digits", "symbols", "tail_symbols", "bangs", "pipes", "repeats", "distinct", "top_word", "stops", "caps_words", "long_words", "worst_line", "lines", "worst_window", "window_symbols", "capital_starts", "bad_share")
-_TAIL = re.compile(rb"[&$#%*!|]{2,}(?=[\x20\x09-\x0D]|$)")
+NAMES = ("log_words", "mean_word", "letters", "upper", "digits", "symbols", "tail_symbols", "bare_symbols", "top_symbol", "repeats", "distinct", "top_word", "stops", "caps_words", "long_words", "worst_line", "lines", "worst_window", "window_symbols", "capital_starts", "bad_share")
+#: A word's end of two or more signs other than those that prose ends with.
+_TAIL = re.compile(rb"[^\x00-\x200-9A-Za-z.,;:'\"()\x80-\xff-]{2,}(?=[\x20\x09-\x0D]|$)")
+#: Signs that prose has as words of their own.
+_PROSE = frozenset("-.,;:'\"()/&+=\u2013\u2014\u2026")
 _SYMBOL = bytes(i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in ".,;:'-()\"")
+_SIGNS = np.frombuffer(_SYMBOL, np.uint8)
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 #: Words looked at together when parts of a text are judged.
 WINDOW = 24
@@ -65,7 +69,9 @@ def features(text: str | None) -> list[float]:
     repeat = np.zeros(n, bool)
     repeat[1:] = codes[1:] == codes[:-1]
     shouting = np.fromiter((w.isupper() and len(w) > 2 for w in words), bool, n)
-    odd = np.fromiter((w[-2:] in _ODD or w == "|" for w in words), bool, n)
+    bare = np.fromiter((not w[0].isalnum() and not any(map(str.isalnum, w)) and not _PROSE.issuperset(w) for w in words), bool, n)
+    odd = bare | np.fromiter((w[-1] == w[-2:-1] and not w[-1].isalnum() and w[-1] not in _PROSE for w in words), bool, n)
+    signs = np.bincount(np.frombuffer(raw, np.uint8), minlength=128)[_SIGNS]
     bad = repeat | shouting | odd
     full = max(1, n // WINDOW)
     edges = np.arange(full) * WINDOW
@@ -77,14 +83,11 @@ def features(text: str | None) -> list[float]:
     lines = text.count("\n") + 1
     return [
         np.log1p(n), lengths.mean() / 10, _letters(text, raw) / len(text), _count(raw, _UPPER) / size, _count(raw, _DIGIT) / size,
-        _count(raw, _SYMBOL) / size, len(_TAIL.findall(raw)) / n, raw.count(b"!") / n, raw.count(b"|") / n, repeat.sum() / (n + 6), (len(ids) + 6) / (n + 6), uses.max() / (n + 12),
+        _count(raw, _SYMBOL) / size, len(_TAIL.findall(raw)) / n, bare.sum() / n, signs.max() / n, repeat.sum() / (n + 6), (len(ids) + 6) / (n + 6), uses.max() / (n + 12),
         float((lengths <= 3).mean()), shouting.mean(), float((lengths >= 20).mean()), float(share.max()), min(1.0, lines / n), float(np.quantile(share, 0.75)), float(symbols.max()), starts / n, bad.sum() / (n + 6),
     ]
 
 
-_ODD = {a + a for a in "&$#%*!|"}
-
-
 def _matrix(texts: pd.Series) -> np.ndarray:
     return np.array([features(t) for t in texts], dtype=np.float64).reshape(len(texts), len(NAMES))
 
