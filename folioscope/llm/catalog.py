@@ -44,21 +44,34 @@ n AS (SELECT a, COUNT(*) AS n FROM l GROUP BY a)
 SELECT r.vec_id, coalesce(max(n.n), 0) AS n_links, min(r.c) AS component_id, r.vec_id = min(r.c) AS kept FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id"""
 
 
+def _judged_sql(name: str, units: str, templates: tuple[tuple[str, str], ...]) -> str:
+    """Tables that end in {name}_best: licence and cosine of each text in units (line) that reaches the least cosine."""
+    weights, unseen = licences.template_weights(templates)
+    rows = ", ".join(f"({t}, '{n}', '{term}', {w:.17e}, {i:.17e})" for t, n, term, w, i in weights)
+    return rf"""
+{name}_w(template, licence, term, weight, idf) AS (VALUES {rows}),
+{name}_words AS (SELECT line, regexp_extract_all(lower(line), '{licences._TERM}') AS ws FROM (SELECT DISTINCT line FROM {units})),
+{name}_bags AS (SELECT line, term, COUNT(*) AS tf FROM (SELECT line, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM {name}_words) GROUP BY ALL),
+{name}_weighed AS (SELECT line, term, tf * coalesce(idf, {unseen:.17e}) AS x FROM {name}_bags LEFT JOIN (SELECT DISTINCT term, idf FROM {name}_w) USING (term)),
+{name}_norms AS (SELECT line, sqrt(sum(x * x)) AS norm FROM {name}_weighed GROUP BY line),
+{name}_scored AS (SELECT line, licence, round(dot / norm, 9) AS cosine FROM (SELECT line, template, licence, sum(x * weight) AS dot FROM {name}_weighed JOIN {name}_w USING (term) GROUP BY ALL) JOIN {name}_norms USING (line)),
+{name}_best AS (SELECT line, licence, cosine FROM {name}_scored WHERE cosine >= {licences.LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1)"""
+
+
 def _licences_sql() -> str:
-    weights, unseen = licences.template_weights()
-    quoted = ", ".join(f"({t}, '{n}', '{term}', {w!r}::DOUBLE, {i!r}::DOUBLE)" for t, n, term, w, i in weights)
+    """All lines, blocks and whole licence files against their templates; then the folder's LICENSE where a file names none."""
+    marks = licences.MARKS.replace("'", "''")
     return rf"""
-WITH w(template, licence, term, weight, idf) AS (VALUES {quoted}),
-d AS (SELECT doc_id, text, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '.txt' AS path FROM documents),
-lines AS (SELECT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d) WHERE regexp_matches(line, '(?i)licen[cs]|public domain|permission is hereby|CC0|compliance with')),
-words AS (SELECT line, regexp_extract_all(lower(line), '{licences._TERM}') AS ws FROM (SELECT DISTINCT line FROM lines)),
-bags AS (SELECT line, term, COUNT(*) AS tf FROM (SELECT line, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM words) GROUP BY ALL),
-weighed AS (SELECT line, term, tf * coalesce(idf, {unseen!r}::DOUBLE) AS x FROM bags LEFT JOIN (SELECT DISTINCT term, idf FROM w) USING (term)),
-norms AS (SELECT line, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY line),
-scored AS (SELECT line, licence, round(dot / norm, 9) AS cosine FROM (SELECT line, template, licence, sum(x * weight) AS dot FROM weighed JOIN w USING (term) GROUP BY ALL) JOIN norms USING (line)),
-best AS (SELECT line, licence, cosine FROM scored WHERE cosine >= {licences.LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1),
-own AS (SELECT doc_id, licence, cosine FROM lines JOIN best USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence DESC) = 1)
-SELECT d.doc_id, d.path, own.licence, own.cosine, CASE WHEN own.licence IS NULL THEN 'none' ELSE 'own' END AS origin, CAST(NULL AS VARCHAR) AS inherited_from FROM d LEFT JOIN own USING (doc_id)"""
+WITH f AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS folder FROM documents),
+d AS (SELECT doc_id, text, folder, doc_id IS NOT NULL AND doc_id = min(doc_id) OVER (PARTITION BY folder) AS is_licence FROM f),
+lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM d),
+headers AS (SELECT doc_id, trim(regexp_replace(regexp_replace(block, '{marks}', '', 'g'), '\s+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '{licences.BLOCK_END}')) AS block FROM d) WHERE contains(trim(block), chr(10))),
+wholes AS (SELECT doc_id, text AS line FROM d WHERE is_licence),{_judged_sql("line", "lines", licences.TEMPLATES)},{_judged_sql("header", "headers", licences.BLOCK_TEMPLATES)},{_judged_sql("whole", "wholes", licences.file_templates())},
+hits AS (SELECT doc_id, licence, cosine FROM lines JOIN line_best USING (line) UNION ALL SELECT doc_id, licence, cosine FROM headers JOIN header_best USING (line) UNION ALL SELECT doc_id, licence, cosine FROM wholes JOIN whole_best USING (line)),
+own AS (SELECT doc_id, licence, cosine FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+g AS (SELECT folder, folder || '/LICENSE' AS path, licence, cosine FROM d JOIN own USING (doc_id) WHERE is_licence)
+SELECT d.doc_id, d.folder || '/' || CASE WHEN d.is_licence THEN 'LICENSE' ELSE d.doc_id || '.txt' END AS path, coalesce(own.licence, g.licence) AS licence, coalesce(own.cosine, g.cosine) AS cosine,
+CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN g.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN own.licence IS NULL THEN g.path END AS inherited_from FROM d LEFT JOIN own USING (doc_id) LEFT JOIN g USING (folder)"""
 
 
 def oracle_sql() -> dict[str, str]:

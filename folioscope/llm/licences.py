@@ -1,17 +1,20 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance down the directories.
 
-A file's text is cut into lines; a line's terms (words and pairs of words) are
-weighted by TF-IDF, with the document frequencies of the templates, and the
-line is held against every template by sparse cosine: an equi-join on terms,
-so that only lines that share a term with a template are looked at. A file's
-licence is its best line's, a licence file's that of its whole text too, which
-is held against full texts (licence_texts) and SPDX lines as well. A
-file without one takes that of the nearest ancestor directory which holds a
-licence file; paths are exploded to their ancestors and joined on equality.
+A file's text is cut into lines, and into blocks: neighbouring lines with their
+comment marks taken off, as wrapped headers are. The terms of each (words and
+pairs of words) are weighted by TF-IDF, with the document frequencies of the
+templates, and held against every template by sparse cosine: an equi-join on
+terms, so that only what shares a term with a template is looked at. Lines are
+held against short notices, blocks against notices and standard headers, and a
+licence file's whole text against full texts (licence_texts) and SPDX lines as
+well. A file's licence is that of the highest cosine; of equal ones that first
+by name counts. A file without one takes that of the nearest ancestor directory
+which holds a licence file; paths are exploded to their ancestors and joined on
+equality.
 
 Templates are few and fixed, so their terms are a small table of a size known
-beforehand, and the join is a broadcast one. Lines are counted before they are
-joined: equal lines of the whole corpus are judged once.
+beforehand, and the join is a broadcast one. Equal lines and blocks of the whole
+corpus are judged once.
 """
 
 from __future__ import annotations
@@ -53,6 +56,20 @@ TEMPLATES = (
     ("ISC", "Licensed under the ISC License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Standard headers, as they stand at the top of files.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+)
+#: What blocks are held against.
+BLOCK_TEMPLATES = TEMPLATES + HEADERS
+#: Where blocks end, and the comment marks that lines of a block begin with.
+BLOCK_END, MARKS = r"\n[ \t\r]*\n", r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|;+|--+|%+)?[ \t]*"
+#: Givers of inherited licences are broadcast up to so many folders.
+BROADCAST = 100_000
 #: Words of templates that are common elsewhere; key_words leaves out those that alone can't carry a line to LEAST_COSINE.
 COMMON = ("the", "of", "to", "a", "and", "in", "is", "with", "this", "by", "any", "use", "you", "are", "not", "may", "under", "into", "work", "free", "file", "version", "code", "software", "program", "terms", "form", "forms", "source", "person", "subject", "charge", "copy", "general", "public", "except", "v", "2", "3", "released", "international")
 _TERM = "[a-z0-9.+-]*[a-z0-9+]"
@@ -97,14 +114,14 @@ def file_templates() -> tuple[tuple[str, str], ...]:
     return TEMPLATES + tuple((name, f"SPDX-License-Identifier: {name}") for name in names) + tuple(sorted(full.items()))
 
 
-@lru_cache(maxsize=1)
-def key_words() -> tuple[str, ...]:
+@lru_cache(maxsize=4)
+def key_words(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[str, ...]:
     """Words of which a line that reaches LEAST_COSINE with a template holds one at least.
 
     By Cauchy and Schwarz the terms made of other words give a line at most
     the norm of their weights in a template, and that stays below LEAST_COSINE.
     """
-    rows = template_weights()[0]
+    rows = template_weights(templates)[0]
     light: set[str] = set()
     for word in COMMON:
         tried, sums = light | {word}, Counter()
@@ -116,12 +133,23 @@ def key_words() -> tuple[str, ...]:
     return tuple(sorted({w for r in rows for w in r[2].split()} - light))
 
 
-def may_name(line: Column) -> Column:
+def may_name(line: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
     """Whether one of key_words is a term of the line."""
-    words = "|".join(map(re.escape, key_words()))
+    words = "|".join(map(re.escape, key_words(templates)))
     return F.regexp_like(F.lower(line), F.lit(rf"(?<![a-z0-9.+-])(?:{words})(?![.-]*[a-z0-9+])"))
 
 
+def blocks(text: Column) -> Column:
+    """Array of the blocks of two lines or more, each on one line without comment marks."""
+    parts = F.filter(F.split(text, BLOCK_END, -1), lambda b: F.contains(F.trim(b), F.lit("\n")))
+    return F.transform(parts, lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, MARKS, ""), r"\s+", " ")))
+
+
+def _first_of_best(cosine: str = "cosine") -> Column:
+    """What orders judgements: the cosine, then the first name."""
+    return F.struct(cosine, F.transform(F.split(F.col("licence"), ""), lambda c: -F.ascii(c)))
+
+
 def judge_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """licence and cosine of each distinct line of lines (line) that reaches LEAST_COSINE with a template; ties go to the first by name."""
     spark = lines.sparkSession
@@ -133,32 +161,34 @@ def judge_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.where("idf is not null").join(F.broadcast(known.select("template", "licence", "term", "weight")), "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "line").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= LEAST_COSINE)
-    return scored.groupBy("line").agg(F.max_by(F.struct("licence", "cosine"), F.struct("cosine", F.transform(F.split(F.col("licence"), ""), lambda c: -F.ascii(c)))).alias("best")).select("line", "best.licence", "best.cosine")
+    return scored.groupBy("line").agg(F.max_by(F.struct("licence", "cosine"), _first_of_best()).alias("best")).select("line", "best.licence", "best.cosine")
 
 
 def scan(files: DataFrame) -> DataFrame:
     """file_id, path, licence, cosine, origin, inherited_from of every row of files (file_id, path, text).
 
-    origin is own (a line of the file names the licence, or a licence file's whole text), inherited (the
+    origin is own (a line, a block or a licence file's whole text names the licence), inherited (the
     nearest ancestor directory with a licence file gives it) or none. Null
     texts are empty; a null path has no ancestors. Of several licence files
     in a directory that with the highest cosine counts, then the first path.
     Repeated rows come back as often as they are. Other columns are neither
     read nor returned. An empty table gives an empty result.
     """
-    # lines that can't reach the cosine are never split into terms
-    lines = files.select("file_id", "path", F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line")).where(may_name(F.col("line")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # what can't reach the cosine is never split into terms
+    lines = files.select("file_id", "path", F.explode(F.split(text, "\n")).alias("line")).where(may_name(F.col("line")))
     lines = stored(lines.select("file_id", "path", F.trim("line").alias("line")), "lines")
-    judged = stored(judge_lines(lines), "judged")
+    headers = stored(files.select("file_id", "path", F.explode(blocks(text)).alias("line")).where(may_name(F.col("line"), BLOCK_TEMPLATES)), "headers")
     named_so = F.regexp_like(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(LICENCE_FILE))
-    wholes = stored(files.where(named_so).select("file_id", "path", F.coalesce("text", F.lit("")).alias("line")), "wholes")
-    hits = lines.join(judged, "line")
-    if not wholes.isEmpty():
-        hits = hits.unionByName(wholes.join(stored(judge_lines(wholes, file_templates()), "judged"), "line"))
-    own = hits.groupBy("file_id", "path").agg(F.max_by(F.struct("licence", "cosine"), F.struct("cosine", "licence")).alias("o"))
+    wholes = stored(files.where(named_so).select("file_id", "path", text.alias("line")), "wholes")
+    hits = lines.join(stored(judge_lines(lines), "judged"), "line")
+    for units, templates in ((headers, BLOCK_TEMPLATES), (wholes, file_templates())):
+        if not units.isEmpty():
+            hits = hits.unionByName(units.join(stored(judge_lines(units, templates), "judged"), "line"))
+    own = hits.groupBy("file_id", "path").agg(F.max_by(F.struct("licence", "cosine"), _first_of_best()).alias("o"))
     own = own.select(F.col("file_id").alias("own_id"), F.col("path").alias("own_path"), "o.licence", "o.cosine")
     named = files.select("file_id", "path").join(own, F.col("file_id").eqNullSafe(F.col("own_id")) & F.col("path").eqNullSafe(F.col("own_path")), "left").drop("own_id", "own_path")
-    name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
+    folder = F.regexp_replace("path", r"/?[^/]*$", "")
     givers = own.where(F.regexp_like(F.regexp_extract("own_path", r"([^/]*)$", 1), F.lit(LICENCE_FILE)))
     givers = givers.withColumn("folder", F.regexp_replace("own_path", r"/?[^/]*$", "")).groupBy("folder").agg(F.min_by(F.struct("own_path", "licence", "cosine"), F.struct(-F.col("cosine"), F.col("own_path"))).alias("g"))
     parts = F.split("folder", "/")
@@ -167,14 +197,25 @@ def scan(files: DataFrame) -> DataFrame:
     depth = F.when(F.col("folder") == "", 0).otherwise(F.size(parts))
     above = folders.select("folder", F.explode(F.sequence(F.lit(0), depth)).alias("depth")).withColumn("ancestor", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
     nearest = above.join(givers.select(F.col("folder").alias("ancestor"), "g"), "ancestor").groupBy("folder").agg(F.max_by("g", "depth").alias("g"))
+    nearest = stored(nearest, "nearest")
+    if nearest.limit(BROADCAST + 1).count() <= BROADCAST:
+        nearest = F.broadcast(nearest)  # a large folder's files then stay where they are
     out = named.withColumn("folder", folder).join(nearest, "folder", "left")
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("g").isNotNull(), "inherited").otherwise("none")
     return out.select("file_id", "path", F.coalesce("licence", "g.licence").alias("licence"), F.coalesce("cosine", "g.cosine").alias("cosine"), origin.alias("origin"), F.when(F.col("licence").isNull(), F.col("g.own_path")).alias("inherited_from"))
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """doc_id, path and text of documents as files: source/lang/doc_id.txt, and the smallest doc_id of a folder is its LICENSE."""
+    place = [F.coalesce("source", F.lit("unknown")).alias("_s"), F.coalesce("lang", F.lit("unknown")).alias("_l")]
+    rows = docs.select("doc_id", "text", *place)
+    first = rows.groupBy("_s", "_l").agg(F.min("doc_id").alias("_first")).select(F.col("_s").alias("_fs"), F.col("_l").alias("_fl"), "_first")
+    marked = rows.join(first, (F.col("_s") == F.col("_fs")) & (F.col("_l") == F.col("_fl")) & (F.col("doc_id") == F.col("_first")), "left")
+    name = F.when(F.col("_first").isNotNull(), "LICENSE").otherwise(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")))
+    return marked.select("doc_id", F.concat_ws("/", "_s", "_l", name).alias("path"), "text")
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of documents, as the file source/lang/doc_id.txt."""
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")))
-    found = scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    """Every row of documents, as the files that as_files makes of them."""
+    found = scan(as_files(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "file_id"))
     return found.withColumnRenamed("file_id", "doc_id")

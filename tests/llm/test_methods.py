@@ -671,12 +671,38 @@ def test_whole_licence_files(spark):
     assert got == {p: n for n, p, _ in made} and len(full) >= 11
 
 
+def test_wrapped_headers(spark):
+    """A header over several commented lines is judged as one; prose that fills the block hides no line."""
+    def wrap(text, mark, width):
+        return "\n".join(mark + x for x in re.findall(rf"\S(?:.{{0,{width}}}\S)?(?=\s|$)", text))
+
+    made = [(n, wrap(t, mark, 50)) for n, t in licences.HEADERS if len(t) > 120 for mark in ("# ", "// ", " * ", "")]
+    files = [(i, f"src/{i}.c", "int x;\n\n" + t + "\n\nint main() {}\n") for i, (_, t) in enumerate(made)] + [(900, "src/z.c", "int a;\nint b;\n\nint c;"), (901, "y.c", "some words\nReleased under the MIT License.\nmore words " * 3)]
+    got = {r.file_id: r.licence for r in licences.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert {i: got[i] for i in range(len(made))} == {i: n for i, (n, _) in enumerate(made)} and got[900] is None and got[901] == "MIT"
+
+
+def test_ties_go_to_the_first_name(spark):
+    two = (("B-1", "some common licence words"), ("A-1", "some common licence words"))
+    assert licences.judge_lines(spark.createDataFrame([("some common licence words",)], "line string"), two).first().licence == "A-1"
+
+
 def test_licences_whole_table(spark, docs):
     got = rows(spark, "op9_licences").set_index("doc_id")
     names = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    first = docs.groupby(["source", "lang"]).doc_id.transform("min") == docs.doc_id
+    assert {i: got.path[i].endswith("/LICENSE") for i in docs.doc_id} == dict(zip(docs.doc_id, first, strict=True))
+    given = {}
     for i, t in zip(docs.doc_id, docs.text, strict=True):
         want = {n for line, n in names.items() if line in t}
-        assert got.loc[i].licence in want if want else got.loc[i].licence is None
+        assert (got.loc[i].licence in want and got.loc[i].origin == "own") if want else got.loc[i].origin != "own"
+        if want and got.path[i].endswith("/LICENSE"):
+            given[got.path[i].rsplit("/", 1)[0]] = got.licence[i]
+    for i in docs.doc_id:
+        if got.origin[i] != "own":
+            folder = got.path[i].rsplit("/", 1)[0]
+            assert (got.licence[i] or None, got.inherited_from[i] or None) == ((given[folder], folder + "/LICENSE") if folder in given else (None, None))
+    assert len(given) > 0
 
 
 # --- 10 --------------------------------------------------------------------
