@@ -71,7 +71,10 @@ BLOCK_END, MARKS = r"\n[ \t\r]*\n", r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|;+|--+|%+)
 #: Givers of inherited licences are broadcast up to so many folders.
 BROADCAST = 100_000
 #: Words of templates that are common elsewhere; key_words leaves out those that alone can't carry a line to LEAST_COSINE.
-COMMON = ("the", "of", "to", "a", "and", "in", "is", "with", "this", "by", "any", "use", "you", "are", "not", "may", "under", "into", "work", "free", "file", "version", "code", "software", "program", "terms", "form", "forms", "source", "person", "subject", "charge", "copy", "general", "public", "except", "v", "2", "3", "released", "international")
+COMMON = (
+    "the", "of", "to", "a", "and", "in", "is", "with", "this", "by", "any", "use", "you", "are", "not", "may", "under", "into", "that", "for", "be", "have", "or", "at", "one", "it", "an", "as", "if", "was", "can", "on", "even", "see", "more", "will", "should", "hope", "found", "either", "along", "without", "but", "its", "from", "out",
+    "work", "free", "file", "version", "code", "software", "program", "terms", "form", "forms", "source", "person", "subject", "charge", "copy", "general", "public", "except", "v", "2", "3", "released", "international", "i", "write", "inc", "law", "kind", "language", "later", "option", "useful", "details", "received",
+)
 _TERM = "[a-z0-9.+-]*[a-z0-9+]"
 
 
