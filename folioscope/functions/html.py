@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import text as text_functions
+from folioscope.functions.urls import PORTS, TWO_LEVEL, UNFOLLOWED
 
 # Tags and names that mark what isn't content, and containers that hold it.
 DROPPED_TAGS = ("script", "style", "noscript", "template", "iframe", "svg", "canvas", "form", "nav", "header", "footer", "aside", "dialog")
@@ -313,8 +314,6 @@ def _host(url: str) -> str:
 
 
 def _site(url: str) -> str:
-    from folioscope.functions.urls import TWO_LEVEL
-
     name = _host(url)
     labels = name.split(".")
     if re.fullmatch(r"[0-9.]+|.*:.*", name):
@@ -323,13 +322,12 @@ def _site(url: str) -> str:
 
 
 def absolute(base: str, href: str) -> str | None:
-    href = (href or "").strip()
-    if not href or href.startswith(("mailto:", "tel:", "javascript:", "data:", "#")):
-        return None
+    """The plain form of urls.absolutise, for links met while a page is read."""
+    link = (href or "").strip()
     try:
-        full = urljoin(base, href)
-        return full.split("#", 1)[0] if urlsplit(full).scheme.lower() in ("http", "https") else None
-    except ValueError:
+        whole = "" if link.startswith(UNFOLLOWED) else link and urljoin(base, link)
+        return whole.partition("#")[0] if urlsplit(whole).scheme.lower() in PORTS else None
+    except ValueError:  # an address that can't be read leads nowhere
         return None
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 # Fixed values.
 BLOCKED = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8")
 PORTS = {"http": 80, "https": 443}
+#: What links that lead to no page begin with.
+UNFOLLOWED = ("mailto:", "tel:", "javascript:", "data:", "#")
 MAX_URL = 2048
 #: Suffixes of two labels below which names are registered: a general label below a country's; others count as one label.
 TWO_LEVEL = r"^(?:ac|asn|co|com|edu|firm|gen|go|gob|gouv|gov|gv|id|ind|info|ltd|mil|ne|net|nhs|nom|or|org|plc|police|sch|web)\.(?!(?:ai|be|ca|ch|cz|de|dk|eu|fi|io|it|nl|no|se|us)$)[a-z]{2}$"
@@ -72,7 +74,7 @@ def absolutise(href: Column, base: Column) -> Column:
     # in names below the page's folder or site, . and .. are walked
     below = ~F.regexp_like(h, F.lit(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|\?)")) & F.regexp_like(h, F.lit(r"(?:^|/)\.\.?(?:[/?#]|$)"))
     whole = F.when(below, _walked(without_fragment(whole))).otherwise(whole)
-    dropped = F.regexp_like(h, F.lit(r"^(?:mailto:|tel:|javascript:|data:|#)|^$"))
+    dropped = F.regexp_like(h, F.lit(rf"^(?:{'|'.join(UNFOLLOWED)})|^$"))
     return F.when(~dropped & F.regexp_like(whole, F.lit(r"(?i)^https?:")), without_fragment(whole))
 
 

@@ -53,7 +53,7 @@ def request_log(requests: DataFrame) -> DataFrame:
     return shown.select("path", "status", F.round(F.col("seconds") * 1000, 2).alias("duration_ms"), "client", F.substring("agent", 1, AGENT_CHARS).alias("agent"), F.when(F.col("status") >= 500, "warning").otherwise("info").alias("level"))
 
 
-def get_or_create(wanted: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
-    """Each wanted key once, with whether its row is there already or new."""
+def get_or_create(wanted: DataFrame, old: DataFrame, keys: list[str], **defaults: Column) -> DataFrame:
+    """Each wanted key once, with whether its row is there already or new; new ones get the defaults, columns over the keys."""
     there = old.select(*keys).distinct().withColumn("_there", F.lit(True))
-    return wanted.select(*keys).distinct().join(there, keys, "left").select(*keys, F.col("_there").isNull().alias("created"))
+    return wanted.select(*keys).distinct().join(there, keys, "left").select(*keys, F.col("_there").isNull().alias("created"), *[F.when(F.col("_there").isNull(), c).alias(n) for n, c in defaults.items()])

@@ -88,6 +88,16 @@ def stale(df: DataFrame, status: str, running: str, since: str, cutoff: Column)
     return (F.col(status) == running) & (F.col(since) < cutoff)
 
 
+def cutoff(now: Column, minutes: int) -> Column:
+    """The moment so many minutes before."""
+    return now - F.expr(f"interval {int(minutes)} minutes")
+
+
+def iso_text(moment: Column) -> Column:
+    """A moment in UTC as text, to the second."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def recover(jobs: DataFrame, audits: DataFrame, audit_key: str, job_status: str, audit_status: str, is_stale: Column, crawling: str, failed: str) -> DataFrame:
     """Audits with those failed whose stale job still ran and which were crawling."""
     hit = jobs.where(is_stale).select(F.col(audit_key).alias("_hit")).distinct()

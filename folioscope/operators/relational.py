@@ -82,6 +82,14 @@ def owned(children: DataFrame, parents: DataFrame, on: str, parent_key: str, **o
     return children.join(equal_where(parents, **owner).select(F.col(parent_key).alias("_p")), F.col(on) == F.col("_p"), "left_semi")
 
 
+def listing(children: DataFrame, parents: DataFrame, on: str, parent_key: str, owner: str, user: object, parent: object = None, **filters: object) -> DataFrame:
+    """A user's children: those of one parent that is the user's, if a parent is asked for, else of all of them; then the filters."""
+    mine = equal_where(parents, **{owner: user})
+    own = mine if parent is None else mine.where(F.col(parent_key) == F.lit(parent))
+    scope = children if parent is None else children.where(F.col(on) == F.lit(parent))  # reaches the scan
+    return equal_where(scope.join(own.select(F.col(parent_key).alias("_p")), F.col(on) == F.col("_p"), "left_semi"), **filters)
+
+
 def orphans(children: DataFrame, parents: DataFrame, on: str, parent_key: str, age: Column | None = None, most: int = 5000) -> DataFrame:
     """Children without a parent, of a guarded age, so many at most in a pass."""
     lost = children.join(parents.select(F.col(parent_key).alias("_p")), F.col(on) == F.col("_p"), "left_anti")

@@ -274,9 +274,33 @@ def active_prompts(s, d):
     return load(s, d, "benchmark").where("item_id % 3 <> 0").select("item_id", F.trim("text").alias("prompt")).where("prompt <> ''")
 
 
-@query(f"SELECT user_id, COUNT(*) AS n FROM {A} JOIN {P} USING (project_id) GROUP BY user_id")
+@query(f"SELECT 'user' AS scope, a.audit_id, a.project_id FROM {A} a JOIN {P} p USING (project_id) WHERE p.user_id = 7 AND a.status = 'completed' UNION ALL SELECT 'project', a.audit_id, a.project_id FROM {A} a JOIN {P} p USING (project_id) WHERE p.user_id = 3 AND a.project_id = (SELECT min(project_id) FROM {P} WHERE user_id = 3)")
 def list_dispatch(s, d):
-    return _audits(s, d).select("project_id").join(_projects(s, d).select("project_id", "user_id"), "project_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Two listings: a user's completed audits, and all audits of a user's first project; a project of somebody else lists nothing."""
+    audits, projects = _audits(s, d), _projects(s, d)
+    first = rel.equal_where(projects, user_id=3).agg(F.min("project_id")).first()[0]
+    mine = rel.listing(audits, projects, "project_id", "project_id", "user_id", 7, status="completed").select(F.lit("user").alias("scope"), "audit_id", "project_id")
+    one = rel.listing(audits, projects, "project_id", "project_id", "user_id", 3, first).select(F.lit("project"), "audit_id", "project_id")
+    other = rel.listing(audits, projects, "project_id", "project_id", "user_id", 4, first).select(F.lit("foreign"), "audit_id", "project_id")
+    return mine.union(one).union(other)
+
+
+@query(f"SELECT job_id, strftime(updated, '%Y-%m-%dT%H:%M:%SZ') AS since, strftime(c, '%Y-%m-%dT%H:%M:%SZ') AS cutoff FROM {J}, (SELECT max(updated) - INTERVAL 129600 MINUTE AS c FROM {J}) WHERE status = 'running' AND updated < c")
+def stale_since_newest(s, d):
+    """Running jobs that began over 90 days before the newest one."""
+    jobs = _jobs(s, d)
+    now = jobs.agg(ch.cutoff(F.max("updated"), 129_600).alias("c"))  # one row
+    return jobs.crossJoin(F.broadcast(now)).where(ch.stale(None, "status", "running", "updated", F.col("c"))).select("job_id", ch.iso_text(F.col("updated")).alias("since"), ch.iso_text(F.col("c")).alias("cutoff"))
+
+
+@query("SELECT event_type || ':' || user_id AS bucket, COUNT(*) AS hits FROM events GROUP BY 1")
+def limiter_keys(s, d):
+    from folioscope.operators.limits import limiter_key
+
+    e = load(s, d, "events")
+    bucket = F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string"))
+    named = e.select(F.coalesce(*[F.when(F.col("event_type") == x, limiter_key(x, F.col("user_id").cast("string"))) for x in ("click", "purchase", "view", "search", "signup")], bucket).alias("bucket"))
+    return named.groupBy("bucket").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name LIMIT 20")
@@ -339,13 +363,14 @@ def request_log(s, d):
     return logged.select(F.col("client").cast("long").alias("event_id"), "status", "duration_ms", "level")
 
 
-@query("SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*') NOT IN (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') FROM pages WHERE page_id % 5 = 0) AS created FROM pages")
+@query("SELECT origin, created, CASE WHEN created THEN regexp_replace(origin, '^[a-z]+://', '') END AS name FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*') NOT IN (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') FROM pages WHERE page_id % 5 = 0) AS created FROM pages)")
 def project_get_or_create(s, d):
-    from folioscope.functions.urls import origin
+    """A project for each page's site; a new one is named by its host."""
+    from folioscope.functions.urls import host, origin
     from folioscope.operators.accounts import get_or_create
 
     p = load(s, d, "pages").select("page_id", origin(F.col("url")).alias("origin"))
-    return get_or_create(p, p.where("page_id % 5 = 0"), ["origin"])
+    return get_or_create(p, p.where("page_id % 5 = 0"), ["origin"], name=host(F.col("origin")))
 
 
 @query()

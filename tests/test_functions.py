@@ -137,6 +137,96 @@ def test_robots():
     assert ux.robots("User-agent: *\nDisallow: /p\nSitemap: https://a.b/s.xml", "https://a.b/p/x") == (False, "https://a.b/s.xml") and ux.robots(None, "https://a.b") == (True, None)
 
 
+RULES = """# comment
+User-agent: Mine
+User-agent: yours
+Disallow: /private
+Allow: /private/open
+Disallow: /*.pdf$
+Disallow: /a*z
+
+User-agent: *
+Disallow: /all
+Disallow:
+Sitemap: https://a.b/s1.xml
+Sitemap: https://a.b/s2.xml
+User-agent: mine-too
+Disallow: /
+"""
+
+
+@pytest.mark.parametrize(
+    "agent,path,want",
+    [("mine", "/private/x", False), ("mine", "/private/open/x", True), ("MINE/1.0", "/x.pdf", False), ("mine", "/x.pdf?q", True), ("yours", "/abcz9", False), ("mine", "/all", True), ("other", "/all", False), ("other", "/private", True),
+     ("mine-too", "/robots.txt", True), ("mine-too", "/x", False), ("mine", "/", True), ("mine", "", True)],
+)
+def test_robots_by_rfc_9309(agent, path, want):
+    assert ux.robots(RULES, "https://a.b" + path, agent) == (want, "https://a.b/s1.xml")
+
+
+def test_robots_escapes_and_ties():
+    assert ux.robots("User-agent: *\nDisallow: /caf%c3%a9\nAllow: /caf%C3%A9", "https://a.b/café") == (True, None)
+    assert ux.robots("User-agent: *\nDisallow: /é", "https://a.b/%c3%a9x")[0] is False and ux.robots("  \n", "https://a.b/x") == (True, None)
+    assert ux.robots("\ufeffUser-agent: *\nDisallow: /x", "https://a.b/x")[0] is False and ux.robots("Disallow: /x", "https://a.b/x")[0] is True
+
+
+def test_walked_links(spark):
+    from folioscope.functions.html import absolute
+
+    base = "https://a.b/dir/sub/page?x=1#f"
+    for href in ("../c", "./c", "../../c", "../../../c", "c/./d/../e", "..", ".", "../", "/x/../y", "/x/./y/.", "c?d=../e", "../c#f", "//d.e/x/../y", "https://d.e/x/../y", "?q=/../x"):
+        assert one(spark, ux.absolutise(F.lit(href), F.lit(base))) == absolute(base, href), href
+
+
+def test_registrable_names(spark):
+    for name, want in (("a.b.co.uk", "b.co.uk"), ("x.y.gov.br", "y.gov.br"), ("www.shop.com", "shop.com"), ("a.com.de", "com.de"), ("deep.sub.ac.nz", "sub.ac.nz"), ("co.uk", "co.uk"), ("localhost", "localhost")):
+        assert one(spark, ux.registrable(F.lit(name))) == want
+
+
+def test_addresses_of_both_kinds_as_a_column(spark):
+    df = spark.createDataFrame([(a,) for a in ("10.0.0.1", "8.8.8.8", "fe80::1", "2606:4700::1111", "[::1]", "no address", None)], "a string")
+    assert [r.x for r in df.select(ux.addresses_blocked(F.col("a")).alias("x")).collect()] == [True, False, True, False, True, True, None]
+    assert [r.x for r in df.select(ux.addresses_blocked(F.col("a"), ("10.0.0.0/8",)).alias("x")).collect()][0] is False
+    assert ux.normalise("https://" + "ü" * 70 + ".de")[1] is None  # a name that can't be written in ASCII stays as it is
+
+
+def test_json_ld_shapes(spark):
+    block = lambda x: f'<script type="application/ld+json">{x}</script>'
+    for html, want in (("", None), (block('{"a": 1}'), '{"a":1}'), (block('{"a": 1,}') + block("{bad") + block("[2]"), '[{"a":1},[2]]'), (block("{bad"), None)):
+        assert one(spark, tx.json_ld(F.col("t")), t=html) == want
+
+
+def test_densities_in_an_explanation(spark):
+    text = "It rose by 41% in 2024 and by 3% in 2023, they say."
+    counts = sc.evidence_counts(F.lit(text))
+    got = spark.range(1).select(sc.densities(counts, F.lit(50)).alias("d")).first().d
+    assert (got.percentages, got.dates, got.quotes) == (4.0, 4.0, 0.0)
+
+
+def test_settings_from_text():
+    from folioscope import conf
+
+    env = conf.dotenv('# settings\nexport CHUNK_SIZE=99\nWEIGHTS="technical=0.4, semantic=0.3, evidentiary=0.2, machine=0.1"\n\nEMPTY=\nNAME = x # note\n')
+    assert env["NAME"] == "x" and env["EMPTY"] == ""
+    got = EngineConf.from_env(env)
+    assert got.chunk_size == 99 and got.weights == {"technical": 0.4, "semantic": 0.3, "evidentiary": 0.2, "machine": 0.1}
+    assert EngineConf.from_env({"WEIGHTS": '{"technical": 1.0}'}).weights == {"technical": 1.0} and conf.listed(" a, ,b ") == conf.listed('["a", "b"]') == ["a", "b"]
+    with pytest.raises(InvalidInput):
+        EngineConf.from_env({"WEIGHTS": "technical=0.4"})
+
+
+def test_failures_and_triggers():
+    from folioscope import conf
+
+    assert (conf.NotFound.code, conf.NotFound.status, conf.InvalidInput.status, conf.RateLimited.status) == ("not_found", 404, 422, 429)
+    assert all(issubclass(getattr(conf, n), conf.EngineError) for n in conf.FAILURES) and issubclass(conf.InvalidInput, ValueError)
+    for good in ((1, None, None), (None, 1, "https://a.b"), (1, 2, None)):
+        conf.check_trigger(*good)
+    for bad in ((None, None, None), (None, 1, None), (None, None, "u"), (1, 2, "u")):
+        with pytest.raises(InvalidInput):
+            conf.check_trigger(*bad)
+
+
 def test_vectors(spark):
     v = vx.dense("alpha beta alpha", 64)
     assert abs((v * v).sum() - 1) < 1e-12 and not vx.dense("", 8).any()

@@ -79,6 +79,11 @@ def test_cover_rank(places, want):
     assert rt.cover_rank(places) == pytest.approx(want)
 
 
+def test_tracked_prompts(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(12)], "project int, item int")
+    assert sorted((r.project, r.item) for r in rt.tracked(rows, "project", "item", 2).collect()) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 2), (2, 5)]
+
+
 def test_stem():
     assert [rt.stem(w) for w in ("pages", "running", "rated", "cities", "glass", "quickly")] == ["page", "run", "rate", "citi", "glass", "quick"]
 
@@ -89,6 +94,67 @@ def test_fusion(spark):
     assert max(got, key=got.get) == "s" and got["s"] == 1 and all(0 < v <= 1 for v in got.values())
 
 
+def test_fusion_of_long_rankings_takes_their_heads(spark):
+    """Only the first items of each ranking count, and tasks cut them before the shuffle."""
+    rows = spark.range(5000).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("l"), F.col("id").alias("i"), F.when(F.col("l") == "a", F.col("id")).otherwise(-F.col("id")).cast("double").alias("s"))
+    fused = rel.fuse_rankings(rows, "l", "i", "s", most=7)
+    assert sorted(r.i for r in fused.collect()) == [*range(7), *range(4993, 5000)]
+    assert "WindowGroupLimit" in fused._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folds_in_order_over_many_batches(spark):
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("u"), F.col("id").alias("o"), (F.col("id") % 7).alias("n"), F.lit(5000).alias("l"))
+    got = ch.consume_in_order(rows, "u", "o", "n", "l").toPandas().sort_values(["u", "o"])
+    for u, own in got.groupby("u"):
+        used = 0
+        for o, granted, after in zip(own.o, own.granted, own.used, strict=True):
+            ok = o % 7 <= 0 or used + o % 7 <= 5000
+            used += o % 7 if ok else 0
+            assert (granted, after) == (ok, used)
+    odd = spark.createDataFrame([("u", 1, None, 10), ("u", 2, 3, None), (None, 1, 1, 1), ("u", 3, 4, 10)], "u string, o long, n long, l long")
+    assert [(r.o, r.granted, r.used) for r in ch.consume_in_order(odd, "u", "o", "n", "l").orderBy("o").collect()] == [(1, False, 0), (2, False, 0), (3, True, 4)]
+
+
+def test_details_and_failures(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "a int")
+    jobs = spark.createDataFrame([(1, 10, 5), (1, 11, 7), (1, 12, 7)], "a int, j int, at int")
+    chunks = spark.createDataFrame([(1, True), (1, False), (1, None)], "a int, e boolean")
+    got = {r.a: (r.jobs, r.chunk_count, r.embedded_chunk_count) for r in ch.detail(parents, "a", jobs, "j", "at", chunks, F.col("e"), 2).collect()}
+    assert got == {1: ([11, 12], 3, 1), 2: ([], 0, 0)}
+    f = spark.createDataFrame([("robots", 1), ("timeout", 3), (None, None)], "k string, n int").select(ch.failure(F.col("k"), F.col("n")).alias("f"))
+    assert [tuple(r.f) for r in f.collect()] == [("pending", True, False), ("failed", False, None), ("failed", False, None)]
+
+
+def test_fetch_policy_cases(spark):
+    def pick(*attempts):
+        rows = [(1, t, ok, spa, site, allowed, "r.xml") for t, ok, spa, site, allowed in attempts]
+        got = tables.choose_fetch(spark.createDataFrame(rows, "page int, transport string, ok boolean, is_spa boolean, sitemap string, robots_allowed boolean, robots_sitemap string"), "page").collect()
+        return (got[0].transport, got[0].is_spa, got[0].sitemap, got[0].fallback_used) if got else None
+
+    assert pick(("primary", True, False, "s", True), ("http", True, True, None, True)) == ("primary", False, "s", False)
+    assert pick(("primary", False, False, "s", True), ("http", True, False, None, None)) == ("http", False, "r.xml", False)
+    assert pick(("primary", True, True, None, True), ("browser", True, False, "b", True)) == ("browser", True, "b", True)
+    assert pick(("primary", True, True, None, True), ("browser", False, False, "b", True)) == ("primary", True, "r.xml", False)
+    assert pick(("browser", True, False, None, True)) == ("browser", False, "r.xml", False)
+    assert pick(("primary", True, False, None, False)) is None and pick(("primary", False, False, None, True)) is None
+
+
+def test_pages_as_envelopes_and_counted_appends(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(i, i % 3) for i in range(7)], "id int, g int")
+    got = json.loads(tables.page_envelope(df, "-g", key="id", skip=1, limit=3).first().json)
+    assert got == {"data": [{"id": 5, "g": 2}, {"id": 1, "g": 1}, {"id": 4, "g": 1}], "meta": {"total": 7, "skip": 1, "limit": 3, "has_more": True}}
+    assert json.loads(tables.page_envelope(df.limit(0), "g", key="id").first().json) == {"data": [], "meta": {"total": 0, "skip": 0, "limit": 20, "has_more": False}}
+    assert tables.append(df, str(tmp_path / "x")) == 7 and tables.append(df.where("g = 0"), str(tmp_path / "x")) == 3 and spark.read.parquet(str(tmp_path / "x")).count() == 10
+
+
+def test_changes_over_days(spark):
+    days = spark.sql("select 'e' as e, date_add(date'2024-01-01', id) as d, cast(id as double) / 100 as p from range(20) where id <> 3")
+    got = {r.d.day: r.x for r in days.select("d", ci.change_since(days, "e", "d", "p", 7).alias("x")).collect()}
+    assert got[8] == pytest.approx(7.0) and got[11] is None and got[7] is None and got[20] == pytest.approx(7.0)
+
+
 def test_limiters(spark):
     log = li.SlidingLog(2, 10)
     assert [log.hit(t)[0] for t in (0, 1, 2, 10, 10.5, 11.5)] == [True, True, False, False, True, True]
