@@ -150,7 +150,7 @@ def test_pages_as_envelopes_and_counted_appends(spark, tmp_path):
 
 
 def test_changes_over_days(spark):
-    days = spark.sql("select 'e' as e, date_add(date'2024-01-01', id) as d, cast(id as double) / 100 as p from range(20) where id <> 3")
+    days = spark.sql("select 'e' as e, date_add(date'2024-01-01', cast(id as int)) as d, cast(id as double) / 100 as p from range(20) where id <> 3")
     got = {r.d.day: r.x for r in days.select("d", ci.change_since(days, "e", "d", "p", 7).alias("x")).collect()}
     assert got[8] == pytest.approx(7.0) and got[11] is None and got[7] is None and got[20] == pytest.approx(7.0)
 
