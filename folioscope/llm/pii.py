@@ -197,9 +197,9 @@ def _proposed(text: Column) -> Column:
 
 
 def passes_any(kind: Column, s: Column) -> Column:
-    """Whether a span passes its kind's check; false for addresses, which have none."""
-    out = F.lit(False)
-    for k in ("ip", "card", "phone"):
+    """Whether a span passes its kind's check, a phone number with its sign; false for addresses, which have none."""
+    out = F.when(kind == "phone", F.startswith(s, F.lit("+")) & passes("phone", s)).otherwise(False)
+    for k in ("ip", "card"):
         out = F.when(kind == k, passes(k, s)).otherwise(out)
     return out
 
@@ -257,7 +257,7 @@ def _decoys(seed: Column) -> list[Column]:
 
     forms = (
         "2099-09-09 09:59:59", "09.09.2099, 09:09", "9.9.9.9999", "v9.99.999-9999", "No. 9999999999", "99999999999999999999", "999999999999", "9,999,999,999.99", "99/99/99/99", "9.9999999999999", "1999-2099", "978-9-99-999999-9", "09:15-10:45, 11:00-12:30",
-        "1 2 3 4 5 6 7 8 9 10 11 12 13", "99.9999, -99.9999", "$9,999 - $99,999", "(9) and (9) of 9999", "QQQQQQ @ 9.99 each", "QQQ @ 99.9", "QQQQQQQQQ @ 9.99", "QQ@9.9", "met at noon. The 9", "QQQQ @ 9.99.QQ",  "9999 x 9999 x 9999", "ID9999999999999", "SKU 9999-9999-99", "999 999 999 999 999 999 999", "A dot B at 9", "QQQQQ (at) 9.9 percent", "QQQQ [at] 99.999",  "9999:9999:9999:9999", "300.9999.299.8", "99-99-99 99-99-99", "0099999999999999", "00 99999999999999999", "0099999", "QQ @ b9.T", "Q @ self.w + 9", "m = Q @ Q.T", "QQQ (at) page 9.The rest", "order 0099999999", "999,999,999.99", "99, 99, 99, 99", "999, 999, 99, 9", "9999.9999.9999.9999", "9999/9999/9999/9999", "00.99.9999", 
+        "1 2 3 4 5 6 7 8 9 10 11 12 13", "99.9999, -99.9999", "$9,999 - $99,999", "(9) and (9) of 9999", "QQQQQQ @ 9.99 each", "QQQ @ 99.9", "QQQQQQQQQ @ 9.99", "QQ@9.9", "met at noon. The 9", "QQQQ @ 9.99.QQ", "9999 x 9999 x 9999", "ID9999999999999", "SKU 9999-9999-99", "999 999 999 999 999 999 999", "A dot B at 9", "QQQQQ (at) 9.9 percent", "QQQQ [at] 99.999", "9999:9999:9999:9999", "300.9999.299.8", "99-99-99 99-99-99", "0099999999999999", "00 99999999999999999", "0099999", "QQ @ b9.T", "Q @ self.w + 9", "m = Q @ Q.T", "QQQ (at) page 9.The rest", "order 0099999999", "999,999,999.99", "99, 99, 99, 99", "999, 999, 99, 9", "9999.9999.9999.9999", "9999/9999/9999/9999", "00.99.9999",
     )
     return [*map(made, forms), F.substring(F.sha2(seed, 256), 1, 40), F.regexp_replace(F.sha2(seed, 256), "[a-f]", "9")]
 
