@@ -36,6 +36,8 @@ SEED = 42
 LEAST = (4, 5)
 BANDS = 32
 ROWS = 8
+#: Candidates up to so many are broadcast by the digests of their texts, 40 bytes each.
+BROADCAST = 200_000
 #: Shingles whose minima are taken together, which bounds the memory for a long text.
 STEP = 1 << 11
 
@@ -43,7 +45,7 @@ _draw = np.random.default_rng(SEED)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MIX = _draw.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("grams", T.ArrayType(T.LongType()))])
+_SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -70,7 +72,12 @@ def buckets(grams: np.ndarray) -> np.ndarray:
 def _sketch(texts: pd.Series) -> pd.DataFrame:
     grams = [shingles(t) for t in texts]
     node = [xxhash.xxh64_intdigest(g.tobytes(), SEED) if len(g) else 0 for g in grams]
-    return pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "n": [len(g) for g in grams], "code": np.array([majority(g) for g in grams], np.uint64).view(np.int64), "buckets": [buckets(g) for g in grams], "grams": [g.view(np.int64) for g in grams]})
+    return pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "n": [len(g) for g in grams], "code": np.array([majority(g) for g in grams], np.uint64).view(np.int64), "buckets": [buckets(g) for g in grams]})
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _grams(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
 
 
 def _alike(shared: Column, a: Column, b: Column) -> Column:
@@ -102,7 +109,11 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = stored(dealt.join(leaders, "bucket"), "members")
     close = stored(_by_fingerprint(prints.where("n > 0").select("node", "code")), "close")
     wanted = members.select("node").union(close.select(F.col("a"))).union(close.select(F.col("b"))).distinct()
-    sets = stored(prints.select("node", "grams").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+    # shingles are kept of candidates alone, made anew from one text of each
+    keys = stored(prints.select("node", "key").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("of")), "keys")
+    few = F.broadcast(keys) if keys.count() <= BROADCAST else keys
+    texts = docs.select(text_key().alias("of"), "text").join(few, "of").select("node", _grams("text").alias("grams"))
+    sets = stored(texts.groupBy("node").agg(F.first("grams").alias("grams")), "grams")
 
     def fit(a: Column, b: Column) -> Column:
         return _alike(F.least(a, b), a, b)  # sizes too far apart can't reach it

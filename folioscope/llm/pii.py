@@ -264,10 +264,15 @@ def _decoys(seed: Column) -> list[Column]:
 
 def examples(looked: DataFrame) -> DataFrame:
     """kind, label, held (whether its seed is held out) and the features of candidates in sampled base spans written anew and in decoys."""
-    base = looked.select(F.explode("base").alias("m")).select("m.kind", "m.span", "m.left", "m.right")
+    base = stored(looked.select(F.explode("base").alias("m")).select("m.kind", "m.span", "m.left", "m.right").distinct(), "spans")
+    mark = F.xxhash64("span", "left", "right").bitwiseAND(F.lit((1 << 52) - 1))
+    share = F.lit(False)
+    for kind, n in base.groupBy("kind").count().collect():
+        share = F.when(F.col("kind") == kind, mark < int(min(1.0, (SEEDS - 4 * SEEDS**0.5) / n if n > SEEDS else 1.0) * (1 << 52))).otherwise(share)
+    drawn = stored(base.where(share), "seeds")  # about SEEDS of each kind, by their hash
     texts = None
     for kind in KINDS:
-        seeds = hash_sample(base.where(F.col("kind") == kind).distinct(), SEEDS, "span", "left", "right")
+        seeds = drawn.where(F.col("kind") == kind)
         forms = F.array(*[F.struct(x.alias("put"), F.lit(true).alias("true")) for xs, true in ((_written_anew(kind, F.col("span")), True), (_decoys(F.col("span")), False)) for x in xs])
         own = seeds.select(F.lit(kind).alias("of"), F.col("span").alias("seed"), "left", "right", F.explode(forms).alias("f"))
         texts = own if texts is None else texts.union(own)
@@ -345,7 +350,7 @@ class Learned(NamedTuple):
 def learn(looked: DataFrame, found: DataFrame) -> dict[str, Learned]:
     """Trees and threshold of each kind that has enough examples."""
     refused = found.where("refused").select("kind", F.lit(0).alias("label"), (F.pmod(F.xxhash64("span"), F.lit(2)) == 1).alias("held"), "span", "start", *FEATURES)
-    rows = hash_sample(examples(looked).unionByName(refused), SAMPLE, "kind", "span", "start").select("kind", "label", "held", *FEATURES).toPandas()  # bounded by SAMPLE
+    rows = hash_sample(stored(examples(looked), "examples").unionByName(refused), SAMPLE, "kind", "span", "start").select("kind", "label", "held", *FEATURES).toPandas()  # bounded by SAMPLE
     out = {}
     for kind in KINDS:
         own = rows[rows["kind"] == kind]
