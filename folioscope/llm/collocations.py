@@ -44,6 +44,8 @@ SCALE = 1_000_000
 #: A candidate goes if a longer one that holds it has this share of its occurrences, in hundredths.
 COVERED = 50
 FIRST = 2000
+#: Candidates that a task ranks, about.
+RANKED = 20_000
 #: Units of a level that have ranks.
 HEAD = 1 << 13
 EDGE = 1 << 10
@@ -158,9 +160,9 @@ def _set_bits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _level(counts: DataFrame, names: list[str]) -> Level:
     """The level of frequent units (names, n): HEAD rows and BITS bits at most come to the driver."""
-    marked = counts.select(*names).mapInPandas(_set_bits, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
+    marked = counts.select(*names).mapInPandas(_set_bits, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(BITS // 64, dtype=np.uint64)
-    bits[marked["slot"].to_numpy(np.int64)] = marked["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[marked["slot"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
     head = counts.orderBy(F.col("n").desc(), *names).limit(HEAD).select(*names).toPandas()
     return Level(bits, head.to_numpy(np.int64).reshape(len(head), len(names)))
 
@@ -304,8 +306,16 @@ def collocations(docs: DataFrame, longest: int = LONGEST, first: int | None = FI
             rows = rows.join(most, names, "left").where(F.coalesce(100 * F.col("longer") < COVERED * F.col("a"), F.lit(True)))
         rows = rows.select("lang", "phrase", "a", F.col("_cut.l").alias("l"), F.col("_cut.r").alias("r"), F.col("_cut.score").alias("score"))
         kept = rows if kept is None else kept.union(rows)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    if first is not None:  # a language's candidates are cut in salted parts until one task can rank what is left
+        most = max(RANKED, 2 * first)
+        salts = kept.count() // most
+        while salts > 1:
+            part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(salts))).orderBy(*order)
+            kept = kept.withColumn("_p", F.row_number().over(part)).where(F.col("_p") <= first).drop("_p")
+            salts = salts * first // most
     totals = held.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     top = kept.withColumn("rank", place)
     top = top if first is None else top.where(F.col("rank") <= first)
     return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

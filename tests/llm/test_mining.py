@@ -132,10 +132,13 @@ def test_collocations_by_brute_force(spark, monkeypatch, head, gathered):
     """With all words ranked, with few and with none, gathered in large and in small heaps."""
     monkeypatch.setattr(collocations, "HEAD", head)
     monkeypatch.setattr(collocations, "GATHERED", gathered)
+    monkeypatch.setattr(collocations, "RANKED", 12)
     docs = [(None if lang == "None" else lang, text) for lang, text in ((str(a) if a is not None else None, t) for a, t in repeated(np.random.default_rng(head)))]
     frame = spark.createDataFrame(docs, "lang string, text string")
     got = sorted(map(tuple, collocations.collocations(frame).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
     assert got == plain_collocations(docs) and len(got) > 20
+    top = sorted(map(tuple, collocations.collocations(frame, first=3).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
+    assert top == plain_collocations(docs, first=3)  # ranked in salted parts first
 
 
 def test_longer_phrases_by_brute_force(spark):
