@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import text as text_functions
-from folioscope.functions.urls import PORTS, TWO_LEVEL, UNFOLLOWED
+from folioscope.functions.suffixes import registrable_name
+from folioscope.functions.urls import PORTS, UNFOLLOWED
 
 # Tags and names that mark what isn't content, and containers that hold it.
 DROPPED_TAGS = ("script", "style", "noscript", "template", "iframe", "svg", "canvas", "form", "nav", "header", "footer", "aside", "dialog")
@@ -314,11 +315,7 @@ def _host(url: str) -> str:
 
 
 def _site(url: str) -> str:
-    name = _host(url)
-    labels = name.split(".")
-    if re.fullmatch(r"[0-9.]+|.*:.*", name):
-        return name
-    return ".".join(labels[-3:] if re.match(TWO_LEVEL, ".".join(labels[-2:])) else labels[-2:])
+    return registrable_name(_host(url))
 
 
 def absolute(base: str, href: str) -> str | None:

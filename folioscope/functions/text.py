@@ -94,7 +94,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def truncate(text: Column, most: int, marker: str = "…") -> Column:
+#: Fixed value: what stands after a text that was cut.
+TRUNCATED = "…[truncated]"
+
+
+def truncate(text: Column, most: int, marker: str = TRUNCATED) -> Column:
     return text if most <= 0 else F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(marker))).otherwise(text)
 
 

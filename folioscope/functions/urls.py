@@ -13,14 +13,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.functions.networks import blocked
+from folioscope.functions.suffixes import registrable
+
 # Fixed values.
 BLOCKED = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8")
 PORTS = {"http": 80, "https": 443}
 #: What links that lead to no page begin with.
 UNFOLLOWED = ("mailto:", "tel:", "javascript:", "data:", "#")
 MAX_URL = 2048
-#: Suffixes of two labels below which names are registered: a general label below a country's; others count as one label.
-TWO_LEVEL = r"^(?:ac|asn|co|com|edu|firm|gen|go|gob|gouv|gov|gv|id|ind|info|ltd|mil|ne|net|nhs|nom|or|org|plc|police|sch|web)\.(?!(?:ai|be|ca|ch|cz|de|dk|eu|fi|io|it|nl|no|se|us)$)[a-z]{2}$"
 
 
 def host(url: Column) -> Column:
@@ -39,15 +40,6 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"#.*$", "")
 
 
-def registrable(host_name: Column) -> Column:
-    """Addresses as they are; else the last two labels, three below a two-level suffix."""
-    labels = F.split(host_name, r"\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    numeric = F.regexp_like(host_name, F.lit(r"^[0-9.]+$|:"))
-    return F.when(numeric, host_name).when(F.regexp_like(two, F.lit(TWO_LEVEL)), three).otherwise(two)
-
-
 def same_site(a: Column, b: Column) -> Column:
     return registrable(host(a)) == registrable(host(b))
 
@@ -250,9 +242,6 @@ def robots_decision(rules: pd.Series, urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([robots(r, u) for r, u in zip(rules, urls, strict=True)], columns=["allowed", "sitemap"])
 
 
-def addresses_blocked(addresses: Column, allowed: tuple[str, ...] = (), strict: bool = False) -> Column:
+def addresses_blocked(addresses: Column, allowed: tuple[str, ...] = ()) -> Column:
     """Whether each address, of either kind, must not be fetched; null stays null."""
-    def decide(values: pd.Series) -> pd.Series:
-        return values.map(lambda a: None if a is None else is_blocked(a, allowed, strict)).astype("boolean")
-
-    return F.pandas_udf(decide, T.BooleanType())(addresses)
+    return blocked(addresses, BLOCKED, tuple(a for a in allowed if "/" in a))

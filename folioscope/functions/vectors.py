@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Texts that are scored against queries at a time.
+TOGETHER = 256
+
+
 def embed_sparse(df: DataFrame, key: str, text: str, dimensions: int = 1536, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows key, dim, weight of the unit vector of each row's text, with the columns of carry; a text without tokens has none.
 
@@ -34,19 +39,38 @@ def _placed(token: str) -> tuple[int, int]:
 
 def _sparse_udf(dimensions: int):
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            sums: dict[int, int] = {}
-            for token, n in Counter(re.findall("[a-z0-9]+", (text or "").lower())).items():
-                number, sign = _placed(token)
-                sums[number % dimensions] = sums.get(number % dimensions, 0) + sign * n
-            length = math.sqrt(sum(x * x for x in sums.values()))
-            out.append([{"dim": k, "weight": x / length} for k, x in sums.items() if x])
-        return pd.Series(out, dtype=object)
+        return pd.Series([[{"dim": k, "weight": x} for k, x in sparse(text, dimensions).items()] for text in texts], dtype=object)
 
     return F.pandas_udf(embed, T.ArrayType(T.StructType([T.StructField("dim", T.LongType()), T.StructField("weight", T.DoubleType())])))
 
 
+def sparse(text: str | None, dimensions: int) -> dict[int, float]:
+    """The weights of a text's unit vector that aren't zero, by dimension."""
+    sums: dict[int, int] = {}
+    for token, n in Counter(re.findall("[a-z0-9]+", (text or "").lower())).items():
+        number, sign = _placed(token)
+        sums[number % dimensions] = sums.get(number % dimensions, 0) + sign * n
+    length = math.sqrt(sum(x * x for x in sums.values()))
+    return {k: x / length for k, x in sums.items() if x}
+
+
+def matrix(texts: list[str | None], dimensions: int) -> np.ndarray:
+    """Their vectors as rows."""
+    out = np.zeros((len(texts), dimensions))
+    for row, text in zip(out, texts, strict=True):
+        own = sparse(text, dimensions)
+        row[list(own)] = list(own.values())
+    return out
+
+
+def similarities(texts: pd.Series, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the first text, similarities by text and query) of some texts at a time; NaN where no dimension is shared."""
+    for at in range(0, len(texts), TOGETHER):
+        own = matrix(texts.iloc[at : at + TOGETHER].tolist(), queries.shape[1])
+        met = (own != 0).astype(np.float32) @ (queries != 0).astype(np.float32).T
+        yield at, np.where(met > 0, own @ queries.T, np.nan)
+
+
 def sparse_similarity(items: DataFrame, item: str, queries: DataFrame, query: str) -> DataFrame:
     """Cosines of the pairs that share a dimension: an equi-join on dim, added up."""
     q = queries.select(query, "dim", F.col("weight").alias("_w"))

@@ -6,7 +6,7 @@ always broken by an id, so that pages and top-k are the same at each run.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,10 +90,31 @@ def listing(children: DataFrame, parents: DataFrame, on: str, parent_key: str, o
     return equal_where(scope.join(own.select(F.col(parent_key).alias("_p")), F.col(on) == F.col("_p"), "left_semi"), **filters)
 
 
-def orphans(children: DataFrame, parents: DataFrame, on: str, parent_key: str, age: Column | None = None, most: int = 5000) -> DataFrame:
-    """Children without a parent, of a guarded age, so many at most in a pass."""
+def orphans(children: DataFrame, parents: DataFrame, on: str, parent_key: str, age: Column | None = None) -> DataFrame:
+    """Children without a parent, of a guarded age: all of them."""
     lost = children.join(parents.select(F.col(parent_key).alias("_p")), F.col(on) == F.col("_p"), "left_anti")
-    return (lost if age is None else lost.where(age)).limit(most)
+    return lost if age is None else lost.where(age)
+
+
+def orphan_pass(children: DataFrame, parents: DataFrame, on: str, parent_key: str, key: str, age: Column | None = None, most: int = 5000) -> DataFrame:
+    """The orphans that one pass removes: the first by key, so many at most. Passes go on until one finds none."""
+    return orphans(children, parents, on, parent_key, age).orderBy(key).limit(most)
+
+
+def without_orphans(children: DataFrame, parents: DataFrame, on: str, parent_key: str, key: str, store: Callable[[DataFrame, int], DataFrame], age: Column | None = None, most: int = 5000) -> tuple[DataFrame, list[int]]:
+    """children after passes until nothing is left to remove, and how many rows each pass took.
+
+    store(frame, pass) writes what stays to a place that all executors see and
+    reads it again, so that no pass is worked out twice.
+    """
+    taken: list[int] = []
+    while True:
+        gone = orphan_pass(children, parents, on, parent_key, key, age, most).select(F.col(key).alias("_gone"))
+        n = gone.count()
+        if not n:
+            return children, taken
+        children = store(children.join(gone, F.col(key) == F.col("_gone"), "left_anti"), len(taken))
+        taken.append(n)
 
 
 def status_counts(df: DataFrame, status: str, *keys: str) -> DataFrame:

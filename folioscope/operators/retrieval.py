@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,10 @@ from folioscope.operators.relational import fuse_rankings
 
 # Words that an index skips.
 STOP = frozenset("""i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split())
+#: Queries that a task holds at a time, of dimensions times 8 bytes each.
+PACKED = 1024
+#: Scopes whose maxima a task gathers.
+SCOPES = 4096
 #: What one occurrence of a term weighs in a rank.
 OCCURRENCE = 0.1
 
@@ -40,10 +46,82 @@ def tracked(prompts: DataFrame, project: str, prompt: str, most: int = 25) -> Da
     return prompts.withColumn("_p", place).where(F.col("_p") <= most).drop("_p")
 
 
-def alignment(prompts: DataFrame, prompt: str, items: DataFrame, item: str, scope: str) -> DataFrame:
-    """For each scope the mean over prompts of the best clamped similarity; both sides in sparse form, items with their scope."""
-    found = items.join(prompts.select(prompt, "dim", F.col("weight").alias("_w")), "dim").groupBy(scope, prompt, item).agg(F.sum(F.col("weight") * F.col("_w")).alias("_s"))
-    best = found.groupBy(scope, prompt).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.max("_s"))).alias("_best"))
+def _query_blocks(queries: DataFrame, query: str, text: str) -> Iterator[tuple[list, list]]:
+    """Ids and texts of the queries, about PACKED at a time: what a task holds has that size, however many there are."""
+    blocks = max(1, -(-queries.count() // PACKED))
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b).select(query, text).collect()
+        if rows:
+            yield [r[0] for r in rows], [r[1] for r in rows]
+
+
+def best_matches(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, digits: int = 6, dimensions: int = 1536, threshold: float | None = None) -> DataFrame:
+    """query, key, similarity: the k documents most similar to each query, by similarity to some digits, then key.
+
+    A document is scored against a packed block of queries where it is; a task
+    sends on at most k rows of each query. Documents that share no dimension
+    with a query are no match.
+    """
+    out = None
+    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(key, docs.schema[key].dataType), T.StructField("similarity", T.DoubleType())])
+    for ids, texts in _query_blocks(queries, query, query_text):
+        def score(parts: Iterator[pd.DataFrame], ids=ids, texts=texts) -> Iterator[pd.DataFrame]:
+            packed = vx.matrix(texts, dimensions)
+            best: list[list[tuple[float, object]]] = [[] for _ in ids]
+            for part in parts:
+                keys = part[key].tolist()
+                for at, found in vx.similarities(part[text], packed):
+                    rounded = np.round(found, digits)
+                    if threshold is not None:
+                        rounded[found < threshold] = np.nan
+                    for j, own in enumerate(best):
+                        least = own[-1][0] if len(own) == k else np.inf
+                        hits = np.flatnonzero(-rounded[:, j] <= least)
+                        if len(hits):
+                            best[j] = sorted([*own, *((-rounded[i, j], keys[at + i]) for i in hits if keys[at + i] is not None)])[:k]
+            rows = [(ids[j], at, -x) for j, own in enumerate(best) for x, at in own]
+            yield pd.DataFrame(rows, columns=[query, key, "similarity"])
+
+        made = docs.select(key, text).mapInPandas(score, schema)
+        out = made if out is None else out.union(made)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.col("similarity").desc(), key))
+    return out.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
+
+
+def alignment(docs: DataFrame, scope: str, text: str, prompts: DataFrame, prompt: str, prompt_text: str, dimensions: int = 1536) -> DataFrame:
+    """For each scope the mean over prompts of the best clamped similarity of its documents.
+
+    A document is scored against a packed block of prompts where it is; a task
+    sends on one maximum for each scope and prompt, at most every SCOPES scopes.
+    """
+    schema = T.StructType([docs.schema[scope], T.StructField("prompt", T.IntegerType()), T.StructField("best", T.DoubleType())])
+    out = None
+    for block, (_, texts) in enumerate(_query_blocks(prompts, prompt, prompt_text)):
+        def score(parts: Iterator[pd.DataFrame], texts=texts, first=block * 2 * PACKED) -> Iterator[pd.DataFrame]:
+            packed, best = vx.matrix(texts, dimensions), {}
+
+            def rows() -> pd.DataFrame:
+                made = [(s, first + j, x) for s, own in best.items() for j, x in enumerate(own.tolist()) if x == x]
+                best.clear()
+                return pd.DataFrame(made, columns=[scope, "prompt", "best"])
+
+            for part in parts:
+                scopes = part[scope].tolist()
+                for at, found in vx.similarities(part[text], packed):
+                    for i, own in enumerate(found):
+                        old = best.get(scopes[at + i])
+                        best[scopes[at + i]] = own if old is None else np.fmax(old, own)
+                if len(best) > SCOPES:
+                    yield rows()
+            yield rows()
+
+        made = docs.select(scope, text).mapInPandas(score, schema)
+        out = made if out is None else out.union(made)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], schema)
+    best = out.groupBy(scope, "prompt").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.max("best"))).alias("_best"))
     return best.groupBy(scope).agg(F.avg("_best").alias("alignment"), F.count(F.lit(1)).alias("prompts"))
 
 
@@ -245,19 +323,29 @@ def hybrid(vector: DataFrame, text: DataFrame, key: str, limit: int = 10) -> Dat
     return fused.crossJoin(F.broadcast(total)).select(key, F.round("fused", 6).alias("score"), "lists", "total").orderBy(F.col("score").desc(), key).limit(limit)
 
 
-def search(items: DataFrame, key: str, content: str, sparse: DataFrame, query: str, mode: str = "hybrid", limit: int = 10, threshold: float = 0.0, dimensions: int = 1536, stemmed: bool = True) -> DataFrame:
-    """key, score: semantic over sparse vectors (key, dim, weight), full_text over postings, or both fused."""
+def search(items: DataFrame, key: str, content: str, sparse: DataFrame | None, query: str, mode: str = "hybrid", limit: int = 10, threshold: float = 0.0, dimensions: int = 1536, stemmed: bool = True, index=None) -> DataFrame:
+    """key, score: semantic, full_text, or both fused.
+
+    Semantic is over sparse vectors (key, dim, weight) where they are given,
+    else each text is scored where it is. Full text is over a stored index
+    (textindex.TextIndex) where one is given, else the texts are read.
+    """
     check_request(query, limit, threshold)
-    spark = items.sparkSession
-    q = vx.embed_sparse(spark.createDataFrame([(0, query)], "q int, text string"), "q", "text", dimensions)
-    vector = vx.sparse_similarity(sparse, key, q, "q").where(F.lit(threshold <= 0) | (F.col("similarity") >= threshold)).orderBy(F.col("similarity").desc(), key).limit(limit).select(key, "similarity")
+    if mode not in ("semantic", "full_text", "hybrid"):
+        raise InvalidInput("mode is semantic, full_text or hybrid")
+    asked = items.sparkSession.createDataFrame([(0, query)], "q int, _text string")
+    if mode == "full_text":
+        vector = None
+    elif sparse is None:
+        vector = best_matches(items, key, content, asked, "q", "_text", limit, 15, dimensions, threshold if threshold > 0 else None).select(key, "similarity")
+    else:
+        found = vx.sparse_similarity(sparse, key, vx.embed_sparse(asked, "q", "_text", dimensions), "q")
+        vector = found.where(F.lit(threshold <= 0) | (F.col("similarity") >= threshold)).orderBy(F.col("similarity").desc(), key).limit(limit).select(key, "similarity")
     if mode == "semantic":
         return vector.select(key, F.round("similarity", 6).alias("score"))
-    text = text_search(postings(items, key, content, stemmed), key, query, limit, stemmed)
+    text = text_search(postings(items, key, content, stemmed), key, query, limit, stemmed) if index is None else index.search(query, limit).select(F.col("key").alias(key), "rank")
     if mode == "full_text":
         return text.select(key, F.round("rank", 6).alias("score"))
-    if mode != "hybrid":
-        raise InvalidInput("mode is semantic, full_text or hybrid")
     return hybrid(vector, text, key, limit)
 
 

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import corpus, tenant
+from folioscope.plans import corpus, machinery, tenant
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return tenant.QUERIES | corpus.QUERIES
+    return tenant.QUERIES | corpus.QUERIES | machinery.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return tenant.ORACLE | corpus.ORACLE
+    return tenant.ORACLE | corpus.ORACLE | machinery.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,10 @@ from folioscope.operators import citations as ci
 from folioscope.operators import limits as li
 from folioscope.operators import retrieval as rt
 from folioscope.operators import scoring as sc
-from folioscope.sources.tables import load, with_robots
+from folioscope.operators.cells import LISTS, PROBES, CellIndex, recall
+from folioscope.operators.grams import GramIndex
+from folioscope.operators.textindex import TextIndex
+from folioscope.sources.tables import load, shared_path, stamp, with_robots
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -74,7 +77,7 @@ def text_mime(s, d):
     return load(s, d, "pages").select("page_id", tx.mime(t).alias("mime"), tx.is_html(t).alias("is_html"))
 
 
-@query("SELECT doc_id, CASE WHEN len(text) > 80 THEN left(text, 80) || '…' ELSE text END AS short FROM documents")
+@query("SELECT doc_id, CASE WHEN len(text) > 80 THEN left(text, 80) || '…[truncated]' ELSE text END AS short FROM documents")
 def text_truncate(s, d):
     return load(s, d, "documents").select("doc_id", tx.truncate(F.col("text"), 80).alias("short"))
 
@@ -430,21 +433,60 @@ _PROMPTS = "(SELECT item_id AS doc_id, text FROM benchmark QUALIFY row_number()
 
 def _prompts(s, d):
     """Tracked prompts of eight projects, at most 25 of each."""
-    own = rt.tracked(load(s, d, "benchmark").select("item_id", "text", (F.col("item_id") % 8).alias("project")), "project", "item_id")
-    return vx.embed_sparse(own, "item_id", "text")
+    return rt.tracked(load(s, d, "benchmark").select("item_id", "text", (F.col("item_id") % 8).alias("project")), "project", "item_id").select("item_id", "text")
 
 
 @query(f"SELECT item_id, doc_id, similarity FROM (SELECT q.doc_id AS item_id, i.doc_id, round(sum(i.weight * q.weight), 6) AS similarity, row_number() OVER (PARTITION BY q.doc_id ORDER BY round(sum(i.weight * q.weight), 6) DESC, i.doc_id) AS r FROM {_SPARSE.format('documents')} i JOIN {_SPARSE.format(_PROMPTS)} q USING (dim) GROUP BY q.doc_id, i.doc_id) WHERE r <= 5")
 def semantic_topk_sparse(s, d):
-    found = vx.sparse_similarity(vx.embed_sparse(load(s, d, "documents"), "doc_id", "text"), "doc_id", _prompts(s, d), "item_id").withColumn("similarity", F.round("similarity", 6))
-    return rt.positions(found, "item_id", "similarity", "doc_id").where("position <= 5").select("item_id", "doc_id", "similarity")
+    return rt.best_matches(load(s, d, "documents"), "doc_id", "text", _prompts(s, d), "item_id", "text", 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"SELECT source, round(avg(best), 6) AS alignment, COUNT(*) AS prompts FROM (SELECT source, item, greatest(0, least(1, max(sim))) AS best FROM (SELECT d.source, q.doc_id AS item, i.doc_id, sum(i.weight * q.weight) AS sim FROM {_SPARSE.format('documents')} i JOIN {_SPARSE.format(_PROMPTS)} q USING (dim) JOIN documents d ON d.doc_id = i.doc_id GROUP BY ALL) GROUP BY source, item) GROUP BY source")
 def alignment_score(s, d):
-    docs = load(s, d, "documents")
-    items = vx.embed_sparse(docs, "doc_id", "text", carry=("source",))
-    return rt.alignment(_prompts(s, d), "item_id", items, "doc_id", "source").select("source", F.round("alignment", 6).alias("alignment"), "prompts")
+    return rt.alignment(load(s, d, "documents"), "source", "text", _prompts(s, d), "item_id", "text").select("source", F.round("alignment", 6).alias("alignment"), "prompts")
+
+
+#: The queries of the searches through cells: every fiftieth vector.
+_ASKED = "vec_id % 50 = 0"
+
+
+def _exact(s, d):
+    """The ten nearest of each query among all vectors."""
+    v = load(s, d, "embeddings")
+    return CellIndex.build(v, "vec_id", "embedding", shared_path(s, "one"), lists=1, rounds=0).search(v.where(_ASKED), "vec_id", "embedding", probes=1)
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS similarity FROM (SELECT * FROM embeddings WHERE {_ASKED}) q, embeddings v)
+SELECT query, id, round(similarity, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY s.similarity DESC, id) <= 10""")
+def vector_cells_all(s, d):
+    """All cells probed: the exact search."""
+    v = load(s, d, "embeddings")
+    index = CellIndex.build(v, "vec_id", "embedding", shared_path(s, "cells"), lists=LISTS)
+    return index.search(v.where(_ASKED), "vec_id", "embedding", probes=LISTS).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def vector_cells_recall(s, d):
+    """What some probes find of the ten nearest of each query."""
+    v = load(s, d, "embeddings")
+    index = CellIndex.build(v, "vec_id", "embedding", shared_path(s, "cells"), lists=LISTS)
+    found = index.search(v.where(_ASKED), "vec_id", "embedding", probes=PROBES)
+    return recall(found, _exact(s, d)).withColumn("probes", F.lit(PROBES))
+
+
+#: Typed patterns of all lengths, with and without wildcards.
+PATTERNS = ("%green%", "%Choc%", "%ar%", "%e_t%", "b%", "%a", "_a%", "%zq%", "%o%l%e%", "%n r%")
+
+
+@query(f"SELECT x.p AS pattern, p_partkey, p_name FROM part, unnest([{', '.join(repr(p) for p in PATTERNS)}]) AS x(p) WHERE p_name ILIKE x.p")
+def search_name_grams(s, d):
+    """Substring searches through one index of trigrams."""
+    index = GramIndex.build(load(s, d, "part"), "p_partkey", "p_name", shared_path(s, "grams"))
+    out = None
+    for p in PATTERNS:
+        own = index.ilike(p).select(F.lit(p).alias("pattern"), F.col("id").alias("p_partkey"), F.col("text").alias("p_name"))
+        out = own if out is None else out.union(own)
+    return out
 
 
 # --- full text -------------------------------------------------------------
@@ -461,42 +503,58 @@ def _word(rank: int) -> str:
     return f"(SELECT token FROM {_RANKED} WHERE r = {rank})"
 
 
-def _index(s, d):
-    return rt.postings(load(s, d, "documents"), "doc_id", "text", stemmed=False)
+#: Indexes over documents of this process, by session, folder and the state of its table.
+_INDEXES: dict[tuple, TextIndex] = {}
+#: The most frequent words of each, by its folder.
+_FREQUENT: dict[str, list[str]] = {}
+
+
+def _index(s, d, stemmed: bool = False) -> TextIndex:
+    """The stored index of a folder's documents: built at the first search and again when they change."""
+    key = (s.sparkContext.applicationId, d, stamp(s, f"{d}/documents.parquet"), stemmed)
+    if key not in _INDEXES:
+        index = TextIndex(s, shared_path(s, "index"), stemmed)
+        index.add(load(s, d, "documents"), "doc_id", "text")
+        _INDEXES[key] = index
+    return _INDEXES[key]
 
 
 def _words(s, d) -> dict[int, str]:
-    found = rt.frequent_terms(_index(s, d), "doc_id", NOT)
+    """The words that the queries ask for, from the index's lexicon: NOT of them come to the driver."""
+    index = _index(s, d)
+    if index.path not in _FREQUENT:
+        _FREQUENT[index.path] = index.frequent(NOT)
+    found = _FREQUENT[index.path]
     return {r: found[min(r, len(found)) - 1] for r in (ONE, TWO, NOT)}
 
 
 @query(f"SELECT doc_id, round(0.1::DOUBLE * n, 6) AS rank FROM (SELECT doc_id, len(list_filter(t, lambda x: x = w)) AS n FROM {_TOKENS}, (SELECT {_word(ONE)} AS w)) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 50")
 def fts_single_term(s, d):
-    return rt.text_search(_index(s, d), "doc_id", _words(s, d)[ONE], 50, stemmed=False).select("doc_id", F.round("rank", 6).alias("rank"))
+    return _index(s, d).search(_words(s, d)[ONE], 50).select(F.col("key").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
 @query(f"SELECT doc_id FROM {_TOKENS}, (SELECT {_word(ONE)} AS a, {_word(TWO)} AS b, {_word(NOT)} AS c) WHERE list_contains(t, a) AND list_contains(t, b) AND NOT list_contains(t, c)")
 def fts_all_terms_match(s, d):
     w = _words(s, d)
-    return rt.text_search(_index(s, d), "doc_id", f"{w[ONE]} {w[TWO]} -{w[NOT]}", None, stemmed=False).select("doc_id")
+    return _index(s, d).search(f"{w[ONE]} {w[TWO]} -{w[NOT]}", None).select(F.col("key").alias("doc_id"))
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) AS pairs FROM {_TOKENS}), (SELECT {_word(ONE)} AS a, {_word(TWO)} AS b, {_word(NOT)} AS c) WHERE list_contains(pairs, a || ' ' || b) OR list_contains(t, b) AND list_contains(t, c)")
 def fts_phrase_or_match(s, d):
     w = _words(s, d)
-    return rt.text_search(_index(s, d), "doc_id", f'"{w[ONE]} {w[TWO]}" or {w[TWO]} {w[NOT]}', None, stemmed=False).select("doc_id")
+    return _index(s, d).search(f'"{w[ONE]} {w[TWO]}" or {w[TWO]} {w[NOT]}', None).select(F.col("key").alias("doc_id"))
 
 
 @query()
 def fts_cover_rank(s, d):
     w = _words(s, d)
-    return rt.text_search(_index(s, d), "doc_id", f'"{w[ONE]} {w[TWO]}" or {w[TWO]} {w[NOT]}', 50, stemmed=False)
+    return _index(s, d).search(f'"{w[ONE]} {w[TWO]}" or {w[TWO]} {w[NOT]}', 50).select(F.col("key").alias("doc_id"), "rank")
 
 
 @query()
 def fts_stemmed(s, d):
     """A search for a form that the texts need not hold: they match by their stems."""
-    return rt.text_search(rt.postings(load(s, d, "documents"), "doc_id", "text"), "doc_id", _words(s, d)[ONE] + "s", 50)
+    return _index(s, d, stemmed=True).search(_words(s, d)[ONE] + "s", 50).select(F.col("key").alias("doc_id"), "rank")
 
 
 _HYBRID = f"""WITH w AS (SELECT {_word(ONE)} AS w), q AS (SELECT * FROM {_SPARSE.format("(SELECT 0 AS doc_id, w AS text FROM w)")}), v AS (SELECT i.doc_id, sum(i.weight * q.weight) AS s FROM {_SPARSE.format('documents')} i JOIN q USING (dim) GROUP BY i.doc_id),
@@ -507,8 +565,18 @@ SELECT doc_id, round(f / (SELECT max(f) FROM f), 6) AS score, lists, (SELECT COU
 
 @query(_HYBRID)
 def hybrid_rrf(s, d):
-    docs = load(s, d, "documents")
-    return rt.search(docs, "doc_id", "text", vx.embed_sparse(docs, "doc_id", "text"), _words(s, d)[ONE], limit=10, stemmed=False)
+    return rt.search(load(s, d, "documents"), "doc_id", "text", None, _words(s, d)[ONE], limit=10, index=_index(s, d))
+
+
+@query(f"SELECT doc_id, round(0.1::DOUBLE * n, 6) AS rank FROM (SELECT doc_id, len(list_filter(t, lambda x: x = w)) AS n FROM {_TOKENS}, (SELECT {_word(ONE)} AS w) WHERE doc_id % 10 <> 7) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 50")
+def fts_index_generations(s, d):
+    """An index built from texts some of which are old, then added to, replaced in part and thinned out, finds what the last state holds."""
+    docs, word = load(s, d, "documents").select("doc_id", "text"), _words(s, d)[ONE]
+    index = TextIndex(s, shared_path(s, "generations"), stemmed=False)
+    index.add(docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(f"{word} " * 20), "text")).otherwise(F.col("text"))), "doc_id", "text")
+    index.add(docs.where("doc_id % 3 = 0 or doc_id % 4 = 0"), "doc_id", "text")
+    index.remove(docs.where("doc_id % 10 = 7"), "doc_id")
+    return index.search(word, 50).select(F.col("key").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
 # --- limiters and citations ------------------------------------------------
@@ -647,18 +715,9 @@ def palette_filter(s, d):
 
 def _streamed(s, d, make, mode: str = "append", files: int = 1):
     """make over events as a stream of so many files; folders are in spark.checkpoint.dir, and beside the session's own on one machine."""
-    import uuid
-
     from folioscope.streaming import queue
 
-    home = s.conf.get("spark.checkpoint.dir", None)
-    if not home:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        import tempfile
-
-        home = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-    base = f"{home}/{uuid.uuid4().hex}"
+    base = shared_path(s, "stream")
     events = load(s, d, "events")
     (events if files == 1 else events.repartition(files)).write.parquet(f"{base}/in")
     made = make(queue, queue.jobs_stream(s, f"{base}/in", events.schema))

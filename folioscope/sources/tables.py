@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,23 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors see, spark.checkpoint.dir; only on one machine a temporary one where that is unset."""
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        home = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and time of change of a file or folder: what was derived from it holds while these stay."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(target).getLength(), files.getFileStatus(target).getModificationTime()
+
+
 def accepted(fetched: DataFrame, conf: EngineConf | None = None) -> DataFrame:
     """Fetched pages (status, content_type, html) that may be read: below 400, HTML, not too large."""
     conf = conf or EngineConf()

@@ -33,7 +33,7 @@ def test_sanitise(spark):
 
 
 def test_small_text_functions(spark):
-    assert one(spark, tx.truncate(F.col("t"), 3), t="abcdef") == "abc…" and one(spark, tx.truncate(F.col("t"), 0), t="abcdef") == "abcdef"
+    assert one(spark, tx.truncate(F.col("t"), 3), t="abcdef") == "abc…[truncated]" and one(spark, tx.truncate(F.col("t"), 3, "…"), t="abcdef") == "abc…" and one(spark, tx.truncate(F.col("t"), 0), t="abcdef") == "abcdef"
     assert one(spark, tx.tail_words(F.col("t"), 4), t="a b c d e") == "c d e" and one(spark, tx.tail_words(F.col("t"), 0), t="a") == ""
     assert one(spark, tx.sentences(F.col("t")), t="One. Two! three? Four") == ["One.", "Two! three?", "Four"]
     assert one(spark, tx.saturate(F.col("t"), 2.0), t=3.0) == 1.0 and one(spark, tx.clamp(F.lit(None).cast("double"))) is None
