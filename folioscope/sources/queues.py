@@ -70,8 +70,10 @@ class Segments:
             return json.loads(f.read())
 
     def acknowledge(self, ends: dict[str, int]) -> None:
-        with self.files.open_output_stream(f"{self.root}/acknowledged") as f:
-            f.write(json.dumps(self.acknowledged() | ends).encode())
+        said = json.dumps(self.acknowledged() | ends).encode()
+        with self.files.open_output_stream(f"{self.root}/acknowledged.new") as f:
+            f.write(said)
+        self.files.move(f"{self.root}/acknowledged.new", f"{self.root}/acknowledged")
         for queue, end in ends.items():
             for name in self._names(f"{self.root}/{queue}"):
                 if name.isdigit() and int(name) < end:
