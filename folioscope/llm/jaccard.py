@@ -13,7 +13,10 @@ themselves, so nothing less similar is linked.
 
 Texts of equal sets are one node. Of each bucket all nodes are first held
 against its smallest one; only where that leaves a bucket in several components
-are the pairs across them looked at, each once. A large group of near copies
+are the pairs across them looked at, each once, and of these only the ones that
+parity sketches leave possible: classes of shingles in which one text has an odd
+number and the other an even one each hold a shingle that they don't share, so
+their number bounds the similarity from above. A large group of near copies
 thus costs a few comparisons a node, and no pair that could still join two
 components is left out.
 """
@@ -45,7 +48,9 @@ _draw = np.random.default_rng(SEED)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MIX = _draw.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+_SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))])
+#: Words of 64 bits of a parity sketch.
+PARITY = 16
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -68,11 +73,17 @@ def buckets(grams: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each of PARITY * 64 classes of shingles whether their number is odd."""
+    odd = np.bincount((grams % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 @F.pandas_udf(_SKETCH)
 def _sketch(texts: pd.Series) -> pd.DataFrame:
     grams = [shingles(t) for t in texts]
     node = [xxhash.xxh64_intdigest(g.tobytes(), SEED) if len(g) else 0 for g in grams]
-    return pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "n": [len(g) for g in grams], "code": np.array([majority(g) for g in grams], np.uint64).view(np.int64), "buckets": [buckets(g) for g in grams]})
+    return pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "n": [len(g) for g in grams], "code": np.array([majority(g) for g in grams], np.uint64).view(np.int64), "buckets": [buckets(g) for g in grams], "parity": [parity(g) for g in grams]})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -86,6 +97,13 @@ def _alike(shared: Column, a: Column, b: Column) -> Column:
     return (part + whole) * shared >= part * (a + b)
 
 
+def _may_link(p: Column, q: Column, a: Column, b: Column) -> Column:
+    """False only for sets of a and b members that can't reach LEAST: classes with different parities hold a member of one set alone."""
+    differ = sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(PARITY)), F.lit(0))
+    part, whole = LEAST
+    return (part + whole) * differ <= (whole - part) * (a + b)
+
+
 def _by_fingerprint(prints: DataFrame) -> DataFrame:
     """Candidates (a, b) of prints (node, code): the nodes of one fingerprint with its smallest, and the smallest ones of fingerprints that link."""
     nodes = prints.distinct()
@@ -127,9 +145,12 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = components(first)
     placed = stored(members.select("bucket", "node", "n").join(made, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c")), "placed")
     open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-    rest = stored(placed.join(open_, "bucket", "left_semi"), "open")
-    other = rest.select("bucket", *[F.col(x).alias(f"{x}2") for x in ("node", "n", "c")])
-    across = rest.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & fit(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    halves = placed.join(open_, "bucket", "left_semi")
+    odd = prints.select("node", "parity").join(halves.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rest = stored(halves.join(odd, "node"), "open")
+    other = rest.select("bucket", *[F.col(x).alias(f"{x}2") for x in ("node", "n", "c", "parity")])
+    near = fit(F.col("n"), F.col("n2")) & _may_link(F.col("parity"), F.col("parity2"), F.col("n"), F.col("n2"))
+    across = rest.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & near).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     second = stored(checked(across.join(star, ["a", "b"], "left_anti")), "links")
     if not second.isEmpty():
         made = components(first.union(second))

@@ -255,3 +255,31 @@ def test_negatives_of_odd_rows(spark):
     got = mined(spark, rows)
     assert got == plain_negatives(rows) and got
     assert mined(spark, []) == []
+
+
+# --- near copies: the bound on pairs across components -----------------------
+
+
+def test_parities_leave_out_no_link_and_most_others(spark):
+    """Copies of one text with a share of its shingles changed: every pair at 0.8 or more may link, few at 0.7 or less."""
+    from folioscope.llm import jaccard
+
+    draw = np.random.default_rng(6)
+    sets, base = [], draw.integers(0, 1 << 63, 200, dtype=np.uint64)
+    for _ in range(150):
+        changed = base.copy()
+        at = draw.random(200) < draw.uniform(0, 0.2)
+        changed[at] = draw.integers(0, 1 << 63, int(at.sum()), dtype=np.uint64)
+        sets.append(np.unique(changed))
+    frame = spark.createDataFrame([(i, len(s), jaccard.parity(s).tolist()) for i, s in enumerate(sets)], "i int, n int, p array<long>")
+    other = frame.select(F.col("i").alias("j"), F.col("n").alias("m"), F.col("p").alias("q"))
+    may = {(r.i, r.j) for r in frame.join(other, F.col("i") < F.col("j")).where(jaccard._may_link(F.col("p"), F.col("q"), F.col("n"), F.col("m"))).select("i", "j").collect()}
+    far = kept = 0
+    for i in range(150):
+        for j in range(i + 1, 150):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            similarity = shared / (len(sets[i]) + len(sets[j]) - shared)
+            assert similarity < 0.8 or (i, j) in may
+            far += similarity <= 0.7
+            kept += similarity <= 0.7 and (i, j) in may
+    assert far > 1000 and kept < 0.01 * far
