@@ -23,11 +23,51 @@ class UnknownColumn(InvalidInput):
 
 
 # The other failures' codes and statuses.
-FAILURES = {
-    "NotFound": ("not_found", 404), "Unauthorized": ("unauthorized", 401), "Forbidden": ("forbidden", 403), "Conflict": ("conflict", 409), "QuotaExceeded": ("quota_exceeded", 402), "AddressBlocked": ("ssrf_blocked", 422),
-    "CrawlFailed": ("crawl_failed", 502), "RateLimited": ("rate_limited", 429), "ExternalService": ("external_service_error", 502), "ServiceUnavailable": ("service_unavailable", 503), "Configuration": ("configuration_error", 500),
-}
-NotFound, Unauthorized, Forbidden, Conflict, QuotaExceeded, AddressBlocked, CrawlFailed, RateLimited, ExternalService, ServiceUnavailable, Configuration = (type(n, (EngineError,), {"code": c, "status": s}) for n, (c, s) in FAILURES.items())
+class NotFound(EngineError):
+    code, status = "not_found", 404
+
+
+class Unauthorized(EngineError):
+    code, status = "unauthorized", 401
+
+
+class Forbidden(EngineError):
+    code, status = "forbidden", 403
+
+
+class Conflict(EngineError):
+    code, status = "conflict", 409
+
+
+class QuotaExceeded(EngineError):
+    code, status = "quota_exceeded", 402
+
+
+class AddressBlocked(EngineError):
+    code, status = "ssrf_blocked", 422
+
+
+class CrawlFailed(EngineError):
+    code, status = "crawl_failed", 502
+
+
+class RateLimited(EngineError):
+    code, status = "rate_limited", 429
+
+
+class ExternalService(EngineError):
+    code, status = "external_service_error", 502
+
+
+class ServiceUnavailable(EngineError):
+    code, status = "service_unavailable", 503
+
+
+class Configuration(EngineError):
+    code, status = "configuration_error", 500
+
+
+FAILURES = {k.__name__: (k.code, k.status) for k in (NotFound, Unauthorized, Forbidden, Conflict, QuotaExceeded, AddressBlocked, CrawlFailed, RateLimited, ExternalService, ServiceUnavailable, Configuration)}
 
 # Fixed values.
 PLAN_LIMITS = {"free": 10, "pro": 200, "agency": 1000, "enterprise": 100_000}

@@ -8,11 +8,12 @@ the digits is the order of the addresses, so a network is an interval of them.
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.columns import once
+
 MAPPED = "00000000000000000000ffff"
 _HEX = "0123456789abcdef"
 #: Networks up to so many are broadcast, 80 bytes each; more are joined by their prefixes.
@@ -31,11 +32,6 @@ def _octets(text: Column) -> Column:
     return F.when(fits, F.array_join(F.transform(F.split(text, r"\."), lambda p: F.lpad(F.lower(F.hex(p.cast("int"))), 2, "0")), ""))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _six(a: Column) -> Column:
     """Digits of a lower-case address with colons; null for anything else."""
     def whole(plain: Column) -> Column:
@@ -46,20 +42,20 @@ def _six(a: Column) -> Column:
                 zeros = F.array_repeat(F.lit("0000"), F.greatest(8 - held, F.lit(0)))
                 return F.when(good, F.array_join(F.concat(g["l"], zeros, g["r"]), ""))
 
-            return _let(F.struct(_groups(h[0]).alias("l"), _groups(F.coalesce(F.get(h, 1), F.lit(""))).alias("r")), grouped)
+            return once(F.struct(_groups(h[0]).alias("l"), _groups(F.coalesce(F.get(h, 1), F.lit(""))).alias("r")), grouped)
 
         shape = F.regexp_like(plain, F.lit(r"^(?=.*:)[0-9a-f:]+$")) & ~F.regexp_like(plain, F.lit(r"[0-9a-f]{5}|:::|^:[^:]|[^:]:$"))
-        return F.when(shape, _let(F.split(plain, "::", -1), halved))
+        return F.when(shape, once(F.split(plain, "::", -1), halved))
 
     # the last two groups may be dotted
-    dotted = _let(_octets(F.regexp_extract(a, r":([0-9.]+)$", 1)), lambda o: F.concat(F.regexp_replace(a, r"[0-9.]+$", ""), F.substring(o, 1, 4), F.lit(":"), F.substring(o, 5, 4)))
-    return _let(F.when(F.contains(a, F.lit(".")), dotted).otherwise(a), whole)
+    dotted = once(_octets(F.regexp_extract(a, r":([0-9.]+)$", 1)), lambda o: F.concat(F.regexp_replace(a, r"[0-9.]+$", ""), F.substring(o, 1, 4), F.lit(":"), F.substring(o, 5, 4)))
+    return once(F.when(F.contains(a, F.lit(".")), dotted).otherwise(a), whole)
 
 
 def digits(address: Column) -> Column:
     """32 digits of an address, with or without brackets; null for what isn't one."""
     bare = F.lower(F.regexp_replace(address, r"^\[|\]$", ""))
-    return _let(bare, lambda a: F.when(F.contains(a, F.lit(":")), _six(a)).otherwise(F.concat(F.lit(MAPPED), _octets(a))))
+    return once(bare, lambda a: F.when(F.contains(a, F.lit(":")), _six(a)).otherwise(F.concat(F.lit(MAPPED), _octets(a))))
 
 
 def is_four(hexed: Column) -> Column:
@@ -125,4 +121,4 @@ def inside_any(hexed: Column, networks: tuple[str, ...]) -> Column:
 
 def blocked(address: Column, networks: tuple[str, ...], allowed: tuple[str, ...] = ()) -> Column:
     """Whether an address must not be fetched: in a blocked network and in no allowed one, or not an address at all; null stays null."""
-    return F.when(address.isNotNull(), F.coalesce(_let(digits(address), lambda h: inside_any(h, networks) & ~inside_any(h, allowed)), F.lit(True)))
+    return F.when(address.isNotNull(), F.coalesce(once(digits(address), lambda h: inside_any(h, networks) & ~inside_any(h, allowed)), F.lit(True)))

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.functions.columns import once
 from folioscope.functions.networks import blocked
 from folioscope.functions.suffixes import registrable
 
@@ -51,23 +52,25 @@ def inside(url: Column, domain: Column) -> Column:
 
 def absolutise(href: Column, base: Column) -> Column:
     """An http(s) address without fragment, or null; takes whole addresses, //host, /path, ?query and plain names."""
-    h = F.trim(href)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(without_fragment(F.regexp_replace(base, r"\?.*$", "")), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*/|/)?)", 1)
     page = F.regexp_replace(without_fragment(base), r"\?.*$", "")
-    whole = (
-        F.when(F.regexp_like(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(scheme, F.lit(":"), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(site, h))
-        .when(F.startswith(h, F.lit("?")), F.concat(page, h))
-        .otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), h))
-    )
-    # in names below the page's folder or site, . and .. are walked
-    below = ~F.regexp_like(h, F.lit(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|\?)")) & F.regexp_like(h, F.lit(r"(?:^|/)\.\.?(?:[/?#]|$)"))
-    whole = F.when(below, _walked(without_fragment(whole))).otherwise(whole)
-    dropped = F.regexp_like(h, F.lit(rf"^(?:{'|'.join(UNFOLLOWED)})|^$"))
-    return F.when(~dropped & F.regexp_like(whole, F.lit(r"(?i)^https?:")), without_fragment(whole))
+    folder = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*/|/)?)", 1)
+    site = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    end = F.when(F.endswith(folder, F.lit("/")), "").otherwise("/")
+    return once(F.struct(F.trim(href).alias("h"), scheme.alias("scheme"), site.alias("site"), F.concat(folder, end).alias("folder"), page.alias("page")), _resolved)
+
+
+def _resolved(p: Column) -> Column:
+    """A trimmed link h against the parts of its page's address."""
+    h = p["h"]
+    # what names a scheme, another site or a query of the page keeps its path as it is; in other names . and .. are walked
+    elsewhere = F.regexp_like(h, F.lit(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|\?)"))
+    kept = F.when(F.startswith(h, F.lit("//")), F.concat(p["scheme"], F.lit(":"), h)).when(F.startswith(h, F.lit("?")), F.concat(p["page"], h)).otherwise(h)
+    below = without_fragment(F.when(F.startswith(h, F.lit("/")), F.concat(p["site"], h)).otherwise(F.concat(p["folder"], h)))
+    dots = F.contains(h, F.lit(".")) & F.regexp_like(h, F.lit(r"(?:^|/)\.\.?(?:[/?#]|$)"))
+    whole = F.when(elsewhere, kept).when(dots, _walked(below)).otherwise(below)
+    dropped = (h == "") | F.regexp_like(h, F.lit(rf"^(?:{'|'.join(UNFOLLOWED)})"))
+    return F.when(~dropped, once(whole, lambda w: F.when(F.regexp_like(w, F.lit(r"(?i)^https?:")), without_fragment(w))))
 
 
 def _walked(url: Column) -> Column:

@@ -14,20 +14,21 @@ _OUT = [T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.
 
 
 class SlidingLog:
-    """Admits while fewer than `limit` admitted hits are at most `window` old; a refused hit leaves no trace."""
+    """Admits while fewer than `limit` admitted hits are at most `window` old; a refused hit leaves no trace.
+
+    Hits come in order of time, so the last `limit` admitted ones decide and
+    are all that is held.
+    """
 
     def __init__(self, limit: int, window: float):
-        self.limit, self.window, self.kept = limit, window, deque()
+        self.limit, self.window, self.kept = limit, window, deque(maxlen=max(limit, 1))
 
     def hit(self, at: float) -> tuple[bool, int]:
-        if self.limit <= 0:
-            return True, 0
-        while self.kept and self.kept[0] < at - self.window:
-            self.kept.popleft()
-        ok = len(self.kept) < self.limit
-        if ok:
+        recent = sum(t >= at - self.window for t in self.kept)
+        admitted = self.limit <= 0 or recent < self.limit
+        if admitted:
             self.kept.append(at)
-        return ok, max(0, self.limit - len(self.kept))
+        return admitted, max(0, self.limit - recent - admitted)
 
 
 class FixedWindow:

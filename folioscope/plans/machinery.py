@@ -244,3 +244,21 @@ def stream_routed_queues(s, d):
         queues.publish(events.where(F.col("event_id") % 3 == turn), f"{base}/q", route, ["crawl", "analysis"])
     made = queues.consume(s, f"{base}/q", ["crawl", "analysis"], "event_id long, user_id long")
     return _worked_off(s, base, made)
+
+
+# --- keys that are created once ----------------------------------------------
+
+
+@query("""SELECT origin, CASE WHEN min(page_id % 2) = 0 THEN 'first' ELSE 'second' END AS writer, min(page_id % 2) <> 0 AS created FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0) GROUP BY origin HAVING bool_or(page_id % 3 = 0)""")
+def project_create_race(s, d):
+    """Two writers create projects for pages' sites; the second has read before the first wrote, loses the race and reads again."""
+    from folioscope.sources.keyed import KeyedTable
+
+    table = KeyedTable(s, shared_path(s, "projects"), "origin string, writer string", ["origin"])
+    pages = load(s, d, "pages").select("page_id", ux.origin(F.col("url")).alias("origin"))
+
+    def other(attempt: int) -> None:
+        if attempt == 0:
+            table.get_or_create(pages.where("page_id % 2 = 0"), writer=F.lit("first"))
+
+    return table.get_or_create(pages.where("page_id % 3 = 0"), other, writer=F.lit("second"))

@@ -86,6 +86,7 @@ class WorkQueueReader(DataSourceStreamReader):
         self.place = [f.name for f in schema.fields].index("queue") if "queue" in schema.names else None
         self.path, self.queues = options["path"], [q for q in options["queues"].split(",") if q]
         self.prefetch = int(options["prefetch"]) if options.get("prefetch") else None
+        self.told: dict[str, int] | None = None
 
     def _segments(self) -> Segments:
         return Segments(self.path, self.queues)
@@ -98,15 +99,17 @@ class WorkQueueReader(DataSourceStreamReader):
         """All that is whole, or so many segments of each queue as prefetch says.
 
         A trigger that works off what is there asks once and takes that for
-        all there is, so prefetch is for queries that go on.
+        all there is, so prefetch is for queries that go on. Each answer goes
+        on from the last one: where the engine had that batch already, from
+        before a restart, it asks again.
         """
         held = self._segments()
-        at = getattr(self, "at", None) or self.initialOffset()
-        return {q: held.end(q, at[q], self.prefetch) for q in self.queues}
+        at = self.told or self.initialOffset()
+        self.told = {q: held.end(q, at[q], self.prefetch) for q in self.queues}
+        return self.told
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
         held = self._segments()
-        self.at = end
         return [p for q in self.queues for p in held.parts(q, start[q], end[q])]
 
     def read(self, partition: Part) -> Iterator:

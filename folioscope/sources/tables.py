@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,13 +20,23 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors see, spark.checkpoint.dir; only on one machine a temporary one where that is unset."""
+    """A new path in the folder that the driver and all executors see, spark.checkpoint.dir; only on one machine a temporary one where that is unset. It goes when the driver's Python ends."""
     home = spark.conf.get("spark.checkpoint.dir", None)
     if not home:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         home = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already; the folder is scratch
+        pass
 
 
 def stamp(spark: SparkSession, path: str) -> tuple[int, int]:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from folioscope.operators.limits import SlidingLog
+from folioscope.streaming.stateful import limit_on_arrival
 
 
 def jobs_stream(spark: SparkSession, folder: str, schema: StructType, files: int = 1) -> DataFrame:
@@ -61,26 +59,9 @@ def requeue(failed: DataFrame, count: str, now: Column, most: int = 3) -> DataFr
 
 
 def limited(hits: DataFrame, key: str, at: str, limit: int, window: float, idle_ms: int | None = None) -> DataFrame:
-    """Sliding-log admission as a stateful stream.
+    """Sliding-log admission in order of arrival; stateful.limit_in_order decides in order of time.
 
     With idle_ms a key's state goes once it has been idle so long; that asks
     for a query that keeps running, as its timer makes batches for ever.
     """
-    schema = f"{key} {hits.schema[key].dataType.simpleString()}, {at} double, allowed boolean, remaining int"
-
-    def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = SlidingLog(limit, window)
-        if state.exists:
-            log.kept.extend(state.get[0])
-        for part in parts:
-            times = sorted(part[at])
-            out = [log.hit(t) for t in times]
-            yield pd.DataFrame({key: k[0], at: times, "allowed": [o[0] for o in out], "remaining": [o[1] for o in out]})
-        state.update((list(log.kept),))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-
-    return hits.groupBy(key).applyInPandasWithState(fold, schema, "kept array<double>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return limit_on_arrival(hits, key, at, limit, window, idle_ms)

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries over parsed markup, chunks and stems, which SQL can't express.
-WITHOUT_SQL = {"chunk_documents", "chunk_stats", "fts_cover_rank", "fts_stemmed", "html_clean_stats", "ingest_documents", "machine_score", "page_scorecard", "reingest_documents"}
+WITHOUT_SQL = {"chunk_documents", "chunk_stats", "fts_cover_rank", "fts_stemmed", "html_clean_stats", "ingest_documents", "machine_score", "page_scorecard", "reingest_documents", "vector_cells_recall"}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +38,7 @@ def test_query(spark, db, name):
     got = catalog.queries()[name](spark, SMALL).toPandas()
     sql = catalog.oracle_sql().get(name)
     if sql is None:
-        assert len(got) > 0 and name in WITHOUT_SQL  # each has a test of its own in test_brute_force.py
+        assert len(got) > 0 and name in WITHOUT_SQL  # each has a test of its own in test_brute_force.py or test_machinery.py
         return
     want = db.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
