@@ -683,6 +683,7 @@ TURNS = 4
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents, written as media and read back; repeated rows come as often as they are. An empty table gives no rows.
+    A null text counts as empty, so its payload is one padded block. Very long texts are stored and read whole, frame by frame.
 
     The rows go by a hash of doc_id in TURNS turns. A turn's media are deleted
     once their digests are stored; write_media keeps them.

@@ -211,7 +211,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     finite links with nothing and is its own component. Repeated rows each
     count as a vector. A null vec_id never gives a component its id, unless
     nothing else is in it, and is not kept. Vectors of different lengths don't
-    link. Other columns are neither read nor returned.
+    link. Other columns are neither read nor returned. An empty table gives an
+    empty result.
     """
     rows = vectors.select("vec_id", F.col("embedding").alias("vector"), "label")
     kind = rows.schema["vector"].dataType

@@ -168,7 +168,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each row comes as often as the mix takes it, so not at all where it takes none."""
+    """Pipeline stage: each row comes as often as the mix takes it, so not at all where it takes none.
+
+    A null text has no words and is not taken. A null source is a source of its
+    own, the last. Repeated rows share out evenly what the mix takes of them.
+    An empty table gives an empty result.
+    """
     marked = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("doc_id", "source", "text").alias("_row"))
     # rows alike in doc_id, source and text share a key: their times are summed and dealt out evenly below
     weight = fitted_weight(docs, table(spark, sf_dir, "labels"))

@@ -349,5 +349,5 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the packing of all rows that came so far."""
+    """Pipeline stage, the last: the packing of all rows that came so far, null texts as empty ones and repeated rows each by itself; an empty table gives an empty result."""
     return packed(docs)

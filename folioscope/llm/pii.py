@@ -444,7 +444,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every row stays, with its spans redacted and n_chars counted anew where that changed the text."""
+    """Pipeline stage: every row stays, with its spans redacted and n_chars counted anew where that changed the text; null texts stay null, repeated rows repeated, and an empty table empty."""
     found = find(docs.select("doc_id", "text", "lang", "source", "n_chars")).withColumn("_new", redacted(F.col("text"), F.concat("base", "added")))
     changed = F.size("base") + F.size("added") > 0
     return found.select("doc_id", F.col("_new").alias("text"), "lang", "source", F.when(changed, F.length("_new").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

@@ -183,6 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every row of documents: null texts count as empty, repeated rows come as often as they are, a null doc_id is of no fold and held out never. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), model)
@@ -190,6 +191,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: documents that the classifier rejects go.
+
+    A null text is scored as an empty one. Repeated rows share their score, so
+    all stay or all go. Null ids, languages and sources stay as they are. An
+    empty table gives an empty result.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs.drop("score"), model).where(F.col("score") >= CUT).drop("score").select("doc_id", "text", "lang", "source", "n_chars")
