@@ -98,15 +98,19 @@ class WorkQueueReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         """All that is whole, or so many segments of each queue as prefetch says.
 
-        A trigger that works off what is there asks once and takes that for
-        all there is, so prefetch is for queries that go on. Each answer goes
-        on from the last one: where the engine had that batch already, from
-        before a restart, it asks again.
+        The engine acknowledges a batch when it makes the next one, so twice
+        as many segments as prefetch says may be open; a first batch can hold
+        them all. An answer that the engine has had already goes on from there.
+        A trigger that works off what is there asks once and takes the answer
+        for all there is, so prefetch is for queries that go on.
         """
         held = self._segments()
-        at = self.told or self.initialOffset()
-        self.told = {q: held.end(q, at[q], self.prefetch) for q in self.queues}
-        return self.told
+        most = None if self.prefetch is None else 2 * self.prefetch
+        answer = {q: held.end(q, held.first(q), most) for q in self.queues}
+        if answer == self.told:
+            answer = {q: held.end(q, answer[q], self.prefetch) for q in self.queues}
+        self.told = answer
+        return answer
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
         held = self._segments()

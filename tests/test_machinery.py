@@ -374,7 +374,8 @@ def test_a_killed_consumer_loses_and_repeats_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="killed"):
         run(2)
     held = queues.Segments(f"{base}/q", ["odd", "even"])
-    assert held.first("odd") <= 2  # what was not worked off is still there
+    done = spark.read.parquet(f"{base}/out").where("queue = 'odd'").count() // 10
+    assert 1 <= done < 5 and held.first("odd") <= done  # what was not worked off is still there
     run(None)
     run(None)
     got = [tuple(r) for r in spark.read.parquet(f"{base}/out").select("queue", "m").collect()]
