@@ -29,6 +29,8 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,54 +60,58 @@ def part_of(lexeme, parts: int = PARTS):
     return F.pmod(F.xxhash64(lexeme), F.lit(parts)).cast("int")
 
 
-def _postings(stemmed: bool, stop: bool, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _postings(stemmed: bool, stop: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each document and lexeme, made where the document is."""
-    for part in parts:
-        out: list[tuple] = []
-        for key, shard, text in zip(part["key"], part["shard"], part["text"], strict=True):
+    for batch in batches:
+        lexemes, shards, keys, flat, ends = [], [], [], [], [0]
+        for key, shard, text in zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "text")), strict=True):
             own: dict[str, list[int]] = {}
             for at, word in enumerate(re.findall("[a-z0-9]+", (text or "").lower()), 1):
                 if not stop or word not in rt.STOP:
                     own.setdefault(rt.stem(word) if stemmed else word, []).append(at)
-            out.extend((lexeme, shard, key, places) for lexeme, places in own.items())
-        yield pd.DataFrame(out, columns=["lexeme", "shard", "key", "places"])
+            lexemes.extend(own)
+            shards.extend([shard] * len(own))
+            keys.extend([key] * len(own))
+            for places in own.values():
+                flat.extend(places)
+                ends.append(len(flat))
+        places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(lexemes, pa.string()), pa.array(shards, pa.int32()), pa.array(keys, pa.int64()), places], names=["lexeme", "shard", "key", "places"])
 
 
-def _blocks(generation: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(generation: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of rows in order of lexeme, shard and key; the last, unfinished group of a batch waits for the next."""
     held = None
+    kinds = {"generation": pa.int32(), "lexeme": pa.string(), "shard": pa.int32(), "first": pa.int64(), "last": pa.int64(), "n": pa.int32(), "impact": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "places": pa.binary()}
 
-    def made(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, lists = rows["key"].to_numpy(np.int64), rows["places"].to_numpy()
-        lexemes, shards = rows["lexeme"].to_numpy(), rows["shard"].to_numpy()
+    def made(rows: pa.Table, lexemes: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
+        lists = pa.concat_arrays(rows["places"].chunks)
+        keys, counts, flat = rows["key"].to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int64)
         starts = np.flatnonzero(np.r_[True, (lexemes[1:] != lexemes[:-1]) | (shards[1:] != shards[:-1])])
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        ends, flat = np.cumsum(counts), np.concatenate(lists).astype(np.int64)
+        ends = np.cumsum(counts)
         begins = ends - counts
         steps = np.diff(flat, prepend=0)
         steps[begins] = flat[begins]
         out = []
-        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
             for a in range(low, high, BLOCK):
                 b = min(a + BLOCK, high)
                 own = keys[a:b]
                 out.append((generation, lexemes[a], int(shards[a]), int(own[0]), int(own[-1]), b - a, int(counts[a:b].max()), pack(np.diff(own, prepend=own[0])), pack(counts[a:b]), pack(steps[begins[a] : ends[b - 1]])))
-        return pd.DataFrame(out, columns=["generation", "lexeme", "shard", "first", "last", "n", "impact", "keys", "counts", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    for part in parts:
-        part = part if held is None else pd.concat([held, part], ignore_index=True)
+    for batch in batches:
+        part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         if not len(part):
             continue
-        last = part.iloc[-1]
-        same = ((part["lexeme"] == last["lexeme"]) & (part["shard"] == last["shard"])).to_numpy()
-        cut = len(part) if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-        if same.all():  # one long group: all of its full blocks go
-            cut = len(part) // BLOCK * BLOCK
-        held = part.iloc[cut:].reset_index(drop=True)
+        lexemes, shards = part["lexeme"].to_numpy(), part["shard"].to_numpy()
+        other = np.flatnonzero((lexemes != lexemes[-1]) | (shards != shards[-1]))
+        cut = int(other[-1]) + 1 if len(other) else len(part) // BLOCK * BLOCK  # of one long group all full blocks go
+        held = part.slice(cut)
         if cut:
-            yield made(part.iloc[:cut])
+            yield made(part.slice(0, cut), lexemes[:cut], shards[:cut])
     if held is not None and len(held):
-        yield made(held)
+        yield made(held, held["lexeme"].to_numpy(), held["shard"].to_numpy())
 
 
 class Block:
@@ -250,14 +256,14 @@ class TextIndex:
         one = docs if self._unique(docs) else docs.groupBy("key").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
         if number > 1:
             known.select("key").distinct().join(one.select("key"), "key", "left_semi").select("key", F.lit(number).alias("generation")).write.mode("append").parquet(f"{self.path}/gone")
-        self._write(one.withColumn("shard", self._shard("key")).mapInPandas(partial(_postings, self.stemmed, self.stop), POSTING), number, self.path)
+        self._write(one.withColumn("shard", self._shard("key")).select("key", "shard", "text").mapInArrow(partial(_postings, self.stemmed, self.stop), POSTING), number, self.path)
         one.select("key", F.lit(number).alias("generation")).write.mode("append").parquet(f"{self.path}/documents")
         return number
 
     @staticmethod
     def _write(postings: DataFrame, number: int, path: str) -> None:
         dealt = postings.select("lexeme", "shard", "key", "places").withColumn("part", part_of("lexeme")).repartition("part", F.col("shard") % SPREAD).sortWithinPartitions("part", "lexeme", "shard", "key")
-        dealt.drop("part").mapInPandas(partial(_blocks, number), BLOCKS).withColumn("part", part_of("lexeme")).write.mode("append").partitionBy("part").parquet(f"{path}/postings")
+        dealt.drop("part").mapInArrow(partial(_blocks, number), BLOCKS).withColumn("part", part_of("lexeme")).write.mode("append").partitionBy("part").parquet(f"{path}/postings")
 
     @staticmethod
     def _unique(docs: DataFrame) -> bool:

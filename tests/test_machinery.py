@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ def test_blocks_that_cannot_reach_the_top_are_not_read():
     keys = np.arange(128 * 100)
     counts = np.where(keys < 128, 9, rng.integers(1, 4, len(keys)))
     rows = pd.DataFrame({"lexeme": "red", "shard": 0, "key": keys, "places": [np.arange(1, c + 1, dtype=np.int32) for c in counts]})
-    made = pd.concat(ti._blocks(1, iter([rows.iloc[:5000], rows.iloc[5000:]])))
+    made = pd.concat(b.to_pandas() for b in ti._blocks(1, iter([pa.RecordBatch.from_pandas(part, preserve_index=False) for part in (rows.iloc[:5000], rows.iloc[5000:])])))
     assert made["n"].sum() == len(keys) and (made["n"].iloc[:-1] == ti.BLOCK).all()
     blocks = [ti.Block(r.first, r.last, r.impact, 1, (r.keys, r.counts, r.places)) for r in made.itertuples()]
     ti.Block.read = 0
