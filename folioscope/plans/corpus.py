@@ -507,6 +507,8 @@ def _word(rank: int) -> str:
 
 #: Indexes over documents of this process, by session, folder and the state of its table.
 _INDEXES: dict[tuple, TextIndex] = {}
+#: Documents of a shard, about.
+SHARD = 50_000
 #: The most frequent words of each, by its folder.
 _FREQUENT: dict[str, list[str]] = {}
 
@@ -515,8 +517,9 @@ def _index(s, d, stemmed: bool = False) -> TextIndex:
     """The stored index of a folder's documents: built at the first search and again when they change."""
     key = (s.sparkContext.applicationId, d, stamp(s, f"{d}/documents.parquet"), stemmed)
     if key not in _INDEXES:
-        index = TextIndex(s, shared_path(s, "index"), stemmed)
-        index.add(load(s, d, "documents"), "doc_id", "text")
+        docs = load(s, d, "documents")
+        index = TextIndex(s, shared_path(s, "index"), stemmed, shards=1 + docs.count() // SHARD)
+        index.add(docs, "doc_id", "text")
         _INDEXES[key] = index
     return _INDEXES[key]
 
