@@ -283,3 +283,43 @@ def test_parities_leave_out_no_link_and_most_others(spark):
             far += similarity <= 0.7
             kept += similarity <= 0.7 and (i, j) in may
     assert far > 1000 and kept < 0.01 * far
+
+
+# --- personal data: the trees as columns -------------------------------------
+
+
+def test_added_spans_by_plain_trees(spark, monkeypatch):
+    """Over every candidate of a whole table the CASE expressions give the trees' margins, and find() keeps what a plain search of the runs keeps."""
+    from folioscope.llm import pii
+    from folioscope.llm._common import stored
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    looked = pii._looked(docs)
+    found = stored(pii.candidates(looked), "candidates")
+    learned = pii.learn(looked, found)
+    monkeypatch.setattr(pii, "learn", lambda *_: learned)
+    assert learned
+    rows = found.toPandas()
+    taken = []
+    for kind, own in learned.items():
+        part = rows[rows["kind"] == kind]
+        margins = own.trees.margin(part[list(pii.FEATURES)].to_numpy())
+        column = found.where(F.col("kind") == kind).select("row", "start", "end", own.trees.column().alias("m")).toPandas()
+        assert sorted(zip(part["row"], part["start"], part["end"], np.round(margins, 9), strict=True)) == sorted(zip(column["row"], column["start"], column["end"], np.round(column["m"], 9), strict=True))
+        if own.cut is not None:
+            hits = ~part["covered"].to_numpy(bool) & (margins - own.cut >= 0)
+            taken += [(r, s, e, kind, m) for r, s, e, m, ok in zip(part["row"], part["start"], part["end"], margins - own.cut, hits, strict=True) if ok]
+    want, by_row = {}, defaultdict(list)
+    for row, *rest in taken:
+        by_row[row].append(tuple(rest))
+    for row, own in by_row.items():
+        runs, last = [], -1
+        for span in sorted(own):
+            if not runs or span[0] >= last:
+                runs.append([])
+            runs[-1].append(span)
+            last = max(last, span[1])
+        best = [max(run, key=lambda s: (s[3], s[1] - s[0], -pii.KINDS.index(s[2]), -s[0])) for run in runs]
+        want[row] = sorted((k, s, e) for s, e, k, _ in best)
+    got = pii.find(docs).where("size(added) > 0").select(F.sha2("text", 256).alias("row"), "added").collect()
+    assert {r.row: sorted((a.kind, a.start, a.end) for a in r.added) for r in got} == want
