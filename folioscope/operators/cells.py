@@ -8,12 +8,15 @@ With as many probes as cells the result is that of the exact search.
 The centres are what passes through the driver: a fixed number of them. A round
 sums up vectors by cell in each task, so a cell that holds a third of all rows
 is one row a task. Zero vectors, nulls and vectors with null or non-finite
-components are in no cell and never found.
+components are in no cell and never found; nor are vectors of another length
+than the centres have, which is that of most vectors drawn for them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -25,15 +28,20 @@ ROUNDS = 10
 PROBES = 10
 #: Vectors that a task compares with the centres at a time.
 TOGETHER = 4096
+#: Queries that they are held against at a time, so that no more than these products are held at once.
+ASKED = 512
 CELLS = "id long, cell int, unit array<double>"
 
 
-def _units(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(places, unit vectors) of those that have one."""
-    good = [i for i, v in enumerate(vectors) if v is not None and len(v) and np.isfinite(np.asarray(v, dtype=float)).all() and np.any(np.asarray(v, dtype=float))]
+def _units(vectors: pd.Series, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of those that have one and are so long, else as long as most, the shorter length among equals."""
+    whole = {i: np.asarray(v, dtype=float) for i, v in enumerate(vectors) if v is not None and len(v)}
+    lengths = Counter(len(v) for i, v in whole.items() if np.isfinite(v).all() and v.any())
+    width = min(lengths, key=lambda n: (-lengths[n], n), default=0) if width is None else width
+    good = [i for i, v in whole.items() if len(v) == width and np.isfinite(v).all() and v.any()]
     if not good:
-        return np.empty(0, np.int64), np.empty((0, 0))
-    rows = np.stack([np.asarray(vectors.iloc[i], dtype=float) for i in good])
+        return np.empty(0, np.int64), np.empty((0, width))
+    rows = np.stack([whole[i] for i in good])
     rows /= np.abs(rows).max(axis=1, keepdims=True)  # so that no square leaves the range
     return np.array(good), rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
@@ -48,13 +56,14 @@ def _sums(centres: np.ndarray):
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
         for part in parts:
-            _, units = _units(part["vector"])
+            _, units = _units(part["vector"], centres.shape[1])
             if len(units):
                 cell = nearest(units, centres)[:, 0]
                 np.add.at(total, cell, units)
                 n += np.bincount(cell, minlength=len(centres))
         held = np.flatnonzero(n)
-        yield pd.DataFrame({"cell": held, "n": n[held], "total": list(total[held])})
+        if len(held):  # a task without a vector has no row: an empty column has no type that fits
+            yield pd.DataFrame({"cell": held, "n": n[held], "total": list(total[held])})
 
     return sums
 
@@ -102,10 +111,11 @@ class CellIndex:
     def add(self, vectors: DataFrame, key: str, vector: str) -> None:
         """Put more vectors into the cells there are."""
         centres = self.centres()
+        width = centres.shape[1] if len(centres) else 0
 
         def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                places, units = _units(part["vector"])
+                places, units = _units(part["vector"], width)
                 if len(places) and len(centres):
                     yield pd.DataFrame({"id": part["id"].to_numpy()[places], "cell": nearest(units, centres)[:, 0], "unit": list(units)})
 
@@ -123,8 +133,8 @@ class CellIndex:
         cells decide what is read.
         """
         asked = queries.select(query, vector).toPandas()
-        places, units = _units(asked[vector])
         centres = self.centres()
+        places, units = _units(asked[vector], centres.shape[1] if len(centres) else 0)
         schema = f"query {queries.schema[query].dataType.simpleString()}, id long, similarity double"
         if not len(places) or not len(centres):
             return self.spark.createDataFrame([], schema)
@@ -137,15 +147,16 @@ class CellIndex:
             for part in parts:
                 for cell, own in part.groupby("cell"):
                     rows, ids, at = np.stack(own["unit"].to_numpy()), own["id"].to_numpy(), by_cell[int(cell)]
-                    for a in range(0, len(rows), TOGETHER):
-                        found = np.round(rows[a : a + TOGETHER] @ units[at].T, 12)
-                        for j, column in zip(at.tolist(), found.T, strict=True):
+                    for a, b in product(range(0, len(rows), TOGETHER), range(0, len(at), ASKED)):
+                        found = np.round(rows[a : a + TOGETHER] @ units[at[b : b + ASKED]].T, 12)
+                        for j, column in zip(at[b : b + ASKED].tolist(), found.T, strict=True):
                             held = best.setdefault(j, [])
                             least = -held[-1][0] if len(held) == k else -np.inf
                             hits = np.flatnonzero(column >= (least if threshold is None else max(least, threshold)))
                             if len(hits):
                                 best[j] = sorted([*held, *zip((-column[hits]).tolist(), ids[a + hits].tolist(), strict=True)])[:k]
-            yield pd.DataFrame([(names[j], i, -s) for j, own in best.items() for s, i in own], columns=["query", "id", "similarity"])
+            if best:
+                yield pd.DataFrame([(names[j], i, -s) for j, own in best.items() for s, i in own], columns=["query", "id", "similarity"])
 
         read = self.cells().where(F.col("cell").isin(list(by_cell)))
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))

@@ -159,6 +159,14 @@ def test_all_cells_give_the_exact_search(spark, tmp_path):
     assert none.search(frame.where("id = 3"), "id", "v").count() == 0
 
 
+def test_cells_of_tables_with_empty_tasks_and_vectors_of_other_lengths(spark, tmp_path):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 2.0, 3.0]), (3, [])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(16)
+    index = cells.CellIndex.build(frame, "id", "v", str(tmp_path / "i"), lists=2)
+    found = index.search(frame.where("id in (0, 2)"), "id", "v", 5, probes=2)
+    assert [(r.query, r.id) for r in found.orderBy("query", "id").collect()] == [(0, 0), (0, 1)]
+
+
 def test_probed_cells_find_nine_in_ten(spark):
     row = corpus.vector_cells_recall(spark, SMALL).first()
     assert row.wanted == 100 and row.found <= row.wanted and row.recall >= 0.9
