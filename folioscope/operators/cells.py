@@ -164,6 +164,6 @@ class CellIndex:
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """One row: of the exact pairs (query, id), how many were found, and the share."""
+    """One row: of the exact pairs (query, id), how many were found, and the share, null where there are none."""
     hit = exact.select("query", "id").join(found.select("query", "id").withColumn("_hit", F.lit(1)), ["query", "id"], "left")
-    return hit.agg(F.count(F.lit(1)).alias("wanted"), F.count("_hit").alias("found"), (F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+    return hit.agg(F.count(F.lit(1)).alias("wanted"), F.count("_hit").alias("found"), F.try_divide(F.count("_hit"), F.count(F.lit(1))).alias("recall"))

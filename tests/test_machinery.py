@@ -172,6 +172,11 @@ def test_probed_cells_find_nine_in_ten(spark):
     assert row.wanted == 100 and row.found <= row.wanted and row.recall >= 0.9
 
 
+def test_recall_where_nothing_is_asked(spark, tmp_path):
+    spark.createDataFrame([(1, None), (7, [1.0, 0.0])], "vec_id long, embedding array<double>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert tuple(corpus.vector_cells_recall(spark, str(tmp_path)).first()) == (0, 0, None, corpus.WIDE)
+
+
 # --- trigrams ----------------------------------------------------------------
 
 
