@@ -57,6 +57,12 @@ def test_page_signals_and_markdown():
     assert hx.clean("<div>" * 3000 + "deep", None)["markdown"] == "deep"
 
 
+def test_entities_have_their_semicolon_in_signals():
+    made = hx.signals('<title>a&amp;&amp b &notit; &lt;&copy &#65;</title><link rel="canonical" href="/x?a=1&lt=2&amp;b=3">', "https://a.example/")
+    assert made["title"] == "a&&amp b &notit; <&copy A"
+    assert made["canonical_url"] == "https://a.example/x?a=1&lt=2&b=3"
+
+
 def test_page_struct_and_native_parts(spark):
     p = spark.createDataFrame([(1, "https://site.com/p", PAGE), (2, "http://x.y/", None)], "page_id long, url string, html string")
     rows = {r.page_id: r for r in sc.score_pages(p).collect()}
