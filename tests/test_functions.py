@@ -63,6 +63,12 @@ def test_entities_have_their_semicolon_in_signals():
     assert made["canonical_url"] == "https://a.example/x?a=1&lt=2&b=3"
 
 
+def test_entities_have_their_semicolon_in_headings():
+    made = hx.signals("<h1>ver&amp;&amp</h1><h2>\ue000&lt\ue001&gt;</h2><p>&amp</p>", None)
+    assert [h["text"] for h in made["headings"]] == ["ver&&amp", "\ue000&lt\ue001>"]
+    assert hx.clean("<p>x&ampy &amp; z&copy</p><script>&amp</script>", None)["markdown"] == "x&ampy & z&copy"
+
+
 def test_page_struct_and_native_parts(spark):
     p = spark.createDataFrame([(1, "https://site.com/p", PAGE), (2, "http://x.y/", None)], "page_id long, url string, html string")
     rows = {r.page_id: r for r in sc.score_pages(p).collect()}
