@@ -194,59 +194,88 @@ def limit_on_arrival(hits: DataFrame, key: str, at: str, limit: int, window: flo
     return rows.groupBy(key).transformWithStateInPandas(Recent(key, at, limit, window, ttl_ms), StructType.fromDDL(schema), "append", "none" if ttl_ms is None else "processingtime")
 
 
+#: Groups of jobs that share their state: a group's is read and written as a whole, not job by job.
+GROUPS = 2048
+
+
 class Retries(StatefulProcessor):
-    """Runs a job when it comes and, after each failure, again once its back-off has passed; after `most` failures it is dead."""
+    """Runs a job when it comes and, after each failure, again once its back-off has passed; after `most` failures it is dead.
+
+    Keys are groups of jobs, so that calls of the state store grow with groups
+    and batches, not with jobs. A group holds the jobs it has taken and those
+    that wait for their next attempt.
+    """
 
-    def __init__(self, job: str, work: Callable[[object, int], bool], most: int):
-        self.job, self.work, self.most = job, work, most
+    def __init__(self, job: str, kind: str, work: Callable[[object, int], bool], most: int):
+        self.job, self.kind, self.work, self.most = job, kind, work, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tried = handle.getValueState("tried", "attempts int, at bigint")
+        self.taken = handle.getListState("taken", f"job {self.kind}")
+        self.waiting = handle.getListState("waiting", f"job {self.kind}, attempts int, due bigint")
 
-    def _attempt(self, job, number: int, at: int, now: int) -> tuple:
-        """One attempt: its row, and the timer of the next or the end of the state."""
+    def _attempt(self, job, number: int, at: int) -> tuple[tuple, tuple | None]:
+        """One attempt: its row, and what waits after it."""
         ok = self.work(job, number)
         outcome = "completed" if ok else "retry" if number < self.most else "dead"
-        if outcome == "retry":
-            due = at + MICROS * 2**number
-            self.tried.update((number, due))
-            self.handle.registerTimer(max(due // 1000, now + 1))
-        else:
-            self.tried.update((number, -1))  # a message that is delivered again starts nothing
-        return job, number, at, outcome
+        return (job, number, at, outcome), (job, number, at + MICROS * 2**number) if outcome == "retry" else None
+
+    def _timer(self, waiting: list[tuple], now: int) -> None:
+        """A timer for what waits the shortest."""
+        if waiting:
+            self.handle.registerTimer(max(min(due for *_, due in waiting) // 1000, now + 1))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = min(int(a) for part in rows for a in part["event_micros"])
-        out = [] if self.tried.exists() else [self._attempt(key[0], 1, at, timerValues.getCurrentWatermarkInMs())]
-        yield pd.DataFrame(out, columns=[self.job, "attempt", "at", "outcome"])
+        first: dict = {}
+        for part in rows:
+            for job, at in zip(part[self.job], part["event_micros"], strict=True):
+                first[job] = min(int(at), first.get(job, int(at)))
+        for (job,) in self.taken.get():
+            first.pop(job, None)  # a message that is delivered again starts nothing
+        made = [self._attempt(job, 1, at) for job, at in first.items()]
+        if made:
+            self.taken.appendList([(job,) for job in first])
+        if waiting := [w for _, w in made if w]:
+            self.waiting.appendList(waiting)
+            self._timer(waiting, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame([row for row, _ in made], columns=[self.job, "attempt", "at", "outcome"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        number, due = self.tried.get()
-        out = []
         now = timerValues.getCurrentWatermarkInMs()
-        while due >= 0 and due // 1000 <= now:  # all that has come due while the watermark leapt
-            timers = self._attempt(key[0], number + 1, due, now)
-            out.append(timers)
-            number, due = self.tried.get()
+        rest, out, ran = [], [], False
+        for w in self.waiting.get():
+            w = tuple(w)
+            while w and w[2] // 1000 <= now:  # all that has come due while the watermark leapt
+                row, w = self._attempt(w[0], w[1] + 1, w[2])
+                out.append(row)
+                ran = True
+            if w:
+                rest.append(w)
+        if ran:
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        self._timer(rest, now)
         yield pd.DataFrame(out, columns=[self.job, "attempt", "at", "outcome"])
 
     def close(self) -> None:
         pass
 
 
-def with_retries(jobs: DataFrame, job: str, at: str, work: Callable[[object, int], bool], late: str, most: int = 3) -> DataFrame:
+def with_retries(jobs: DataFrame, job: str, at: str, work: Callable[[object, int], bool], late: str, most: int = 3, groups: int = GROUPS) -> DataFrame:
     """job, attempt, at in microseconds, outcome (completed, retry or dead) of each attempt.
 
     work(job, attempt) does the job and says whether it succeeded. Attempt n + 1
     is 2**n seconds after attempt n, in event time: it runs once the watermark
     has reached that moment, never before. Each job is taken once, at the first
-    of its messages in the batch that brings it.
+    of its messages in the batch that brings it. A group's jobs are in memory
+    while it is worked on; `groups` stays the same while a stream is restarted.
     """
     _store(jobs.sparkSession)
-    rows = _timed(jobs, at, late, job).where(F.col(job).isNotNull())
-    schema = f"{job} {jobs.schema[job].dataType.simpleString()}, attempt int, at bigint, outcome string"
-    return rows.groupBy(job).transformWithStateInPandas(Retries(job, work, most), schema, "append", "eventtime")
+    kind = jobs.schema[job].dataType.simpleString()
+    rows = _timed(jobs, at, late, job).where(F.col(job).isNotNull()).withColumn("event_group", F.pmod(F.xxhash64(job), F.lit(groups)))
+    return rows.groupBy("event_group").transformWithStateInPandas(Retries(job, kind, work, most), f"{job} {kind}, attempt int, at bigint, outcome string", "append", "eventtime")
 
 
 def closing(spark: SparkSession, schema: StructType, at: str, moment: str, **values: object) -> DataFrame:

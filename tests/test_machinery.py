@@ -350,6 +350,52 @@ def test_retries_keep_their_times(spark):
     assert got == Counter({"completed": int((ids % 5 < 3).sum()), "dead": int((ids % 5 >= 3).sum()), "retry": int((ids % 5).clip(upper=2).sum())})
 
 
+def test_retries_call_the_store_by_group_not_by_job():
+    from folioscope.streaming import stateful
+
+    calls, timers = Counter(), []
+
+    class Stored:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            calls["get"] += 1
+            return iter(list(self.rows))
+
+        def appendList(self, rows):
+            calls["append"] += 1
+            self.rows += rows
+
+        def put(self, rows):
+            calls["put"] += 1
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        getListState = staticmethod(lambda name, schema: Stored())
+        registerTimer = staticmethod(timers.append)
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: now)
+
+    now = 0
+    p = stateful.Retries("job", "bigint", machinery._fails, 3)
+    p.init(Handle())
+    rows = [pd.DataFrame({"job": [*range(1000), 7], "event_micros": [(2 + j) * 1_000_000 for j in range(1000)] + [5_000_000]})]
+    first = pd.concat(p.handleInputRows((1,), iter(rows), Times()))
+    assert len(first) == 1000 and first.set_index("job")["at"][7] == 5_000_000 and sum(calls.values()) < 10
+    assert timers == [5000]  # job 1 failed at 3 s and waits for 2
+    assert len(pd.concat(p.handleInputRows((1,), iter(rows), Times()))) == 0  # delivered again
+    now = 5000
+    assert [tuple(r) for r in pd.concat(p.handleExpiredTimer((1,), Times(), None)).itertuples(index=False)] == [(1, 2, 5_000_000, "completed")]
+    now = 10**9
+    rest = pd.concat([first, pd.concat(p.handleExpiredTimer((1,), Times(), None))])
+    assert Counter(rest["outcome"]) == {"completed": 599, "dead": 400, "retry": 1400} and sum(calls.values()) < 20
+
+
 def test_arrival_limits_with_a_time_to_live(spark, tmp_path):
     from folioscope.streaming import queue, stateful
 
