@@ -254,3 +254,26 @@ def test_registered_names(spark):
     register(spark)
     assert spark.sql("select normalise_url('HTTP://A.b/').url as u").first().u == "http://a.b"
     assert spark.sql("select count(*) as n from markdown_chunks('# a\n\nb')").first().n == 1
+
+
+def test_python_passes_hold_few_rows_at_a_time(spark, monkeypatch):
+    """Results of a batch are packed as they are made; none of its rows stay as Python objects."""
+    import gc
+
+    import pyarrow as pa
+
+    from folioscope.operators import textindex as ti
+
+    held = []
+
+    def read(h, u):
+        held.append(sum(isinstance(x, dict) and "images_total" in x for x in gc.get_objects()))
+        return hx.signals(h, u)
+
+    got = hx._packed(pa.array(["<h1>a</h1>"] * 300 + [None]), pa.array(["https://a.example/"] * 301), hx.SIGNALS, read)
+    assert len(got) == 301 and max(held) <= hx.TOGETHER + 1 and got[299].as_py()["headings"] == [{"level": 1, "text": "a"}]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(600)), "shard": [0] * 600, "text": ["a b a"] * 599 + [None]})
+    made = list(ti._postings(False, False, iter([batch])))
+    assert [len(m) for m in made] == [512, 512, 174]
+    empty = spark.createDataFrame([(1, None), (2, "")], "k long, t string")
+    assert vx.embed_sparse(empty, "k", "t", 64).count() == 0
