@@ -40,6 +40,8 @@ from folioscope.operators import retrieval as rt
 BLOCK = 128
 #: Folders that the lexemes are dealt to.
 PARTS = 32
+#: Documents whose words are in memory at a time while postings are made.
+TOGETHER = 256
 #: Tasks that write the blocks of a folder, so that a frequent lexeme is not one task's work.
 SPREAD = 2
 POSTING = "lexeme string, shard int, key long, places array<int>"
@@ -62,7 +64,7 @@ def part_of(lexeme, parts: int = PARTS):
 
 def _postings(stemmed: bool, stop: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each document and lexeme, made where the document is."""
-    for batch in batches:
+    for batch in (whole.slice(a, TOGETHER) for whole in batches for a in range(0, len(whole), TOGETHER)):
         lexemes, shards, keys, flat, ends = [], [], [], [], [0]
         for key, shard, text in zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "text")), strict=True):
             own: dict[str, list[int]] = {}
