@@ -19,8 +19,8 @@ shows the figures). Accepted spans that overlap a base span go; of accepted
 spans that overlap each other the one with the highest margin stays.
 
 Matching, forms, features, trees and thresholds are DataFrame expressions: the
-trees are fitted by the driver on at most SAMPLE rows of numbers and become
-CASE expressions.
+trees are fitted by the driver on at most SAMPLE rows of numbers and are rows of
+a small table that candidates are joined to.
 """
 
 from __future__ import annotations
@@ -239,27 +239,34 @@ def _written_anew(kind: str, s: Column) -> list[Column]:
     return [s, F.concat(F.lit("00"), bare), F.regexp_replace(s, r"[^0-9+]+", "/"), F.concat(F.lit("00"), F.regexp_replace(bare, r"[^0-9]+", ".")), F.regexp_replace(bare, r"^[0-9]{1,3}[\x20./-]+(?=\()", ""), wide(s), F.concat(F.lit("00 "), F.regexp_replace(bare, r"[^0-9]+", " "))]
 
 
-def _decoys(seed: Column) -> list[Column]:
-    """DECOYS: what looks alike and is no personal data, with digits drawn from a hash of the seed."""
+#: Forms of decoys: a run of 9 stands for digits, a run of Q for letters.
+DECOYS = (
+    "2099-09-09 09:59:59", "09.09.2099, 09:09", "9.9.9.9999", "v9.99.999-9999", "No. 9999999999", "99999999999999999999", "999999999999", "9,999,999,999.99", "99/99/99/99", "9.9999999999999", "1999-2099", "978-9-99-999999-9", "09:15-10:45, 11:00-12:30",
+    "1 2 3 4 5 6 7 8 9 10 11 12 13", "99.9999, -99.9999", "$9,999 - $99,999", "(9) and (9) of 9999", "QQQQQQ @ 9.99 each", "QQQ @ 99.9", "QQQQQQQQQ @ 9.99", "QQ@9.9", "met at noon. The 9", "QQQQ @ 9.99.QQ", "9999 x 9999 x 9999", "ID9999999999999", "SKU 9999-9999-99", "999 999 999 999 999 999 999", "A dot B at 9", "QQQQQ (at) 9.9 percent", "QQQQ [at] 99.999", "9999:9999:9999:9999", "300.9999.299.8", "99-99-99 99-99-99", "0099999999999999", "00 99999999999999999", "0099999", "QQ @ b9.T", "Q @ self.w + 9", "m = Q @ Q.T", "QQQ (at) page 9.The rest", "order 0099999999", "999,999,999.99", "99, 99, 99, 99", "999, 999, 99, 9", "9999.9999.9999.9999", "9999/9999/9999/9999", "00.99.9999",
+)
+
+
+def _decoys(seed: Column) -> Column:
+    """Array of DECOYS, what looks alike and is no personal data, with digits and letters drawn from a hash of the seed, in turn.
+
+    Forms are data, not expressions: what is planned and compiled doesn't grow with their number.
+    """
     n = F.concat(F.lpad(F.abs(F.xxhash64(seed)).cast("string"), 19, "7"), F.lpad(F.abs(F.xxhash64(seed, F.lit(1))).cast("string"), 19, "3"))
-    names = F.translate(F.sha2(seed, 256), "0123456789", "ghklmnoprs")
-
-    def made(form: str) -> Column:
-        """Runs of 9 in a form become digits of the hash, in turn, and runs of Q letters."""
-        parts, at = [], {"9": 1, "Q": 1}
-        for x in re.findall("9+|Q+|[^9Q]+", form):
-            if x[0] in at:
-                parts.append(F.substring(n if x[0] == "9" else names, at[x[0]], len(x)))
-                at[x[0]] += len(x)
-            else:
-                parts.append(F.lit(x))
-        return F.concat(*parts)
-
-    forms = (
-        "2099-09-09 09:59:59", "09.09.2099, 09:09", "9.9.9.9999", "v9.99.999-9999", "No. 9999999999", "99999999999999999999", "999999999999", "9,999,999,999.99", "99/99/99/99", "9.9999999999999", "1999-2099", "978-9-99-999999-9", "09:15-10:45, 11:00-12:30",
-        "1 2 3 4 5 6 7 8 9 10 11 12 13", "99.9999, -99.9999", "$9,999 - $99,999", "(9) and (9) of 9999", "QQQQQQ @ 9.99 each", "QQQ @ 99.9", "QQQQQQQQQ @ 9.99", "QQ@9.9", "met at noon. The 9", "QQQQ @ 9.99.QQ", "9999 x 9999 x 9999", "ID9999999999999", "SKU 9999-9999-99", "999 999 999 999 999 999 999", "A dot B at 9", "QQQQQ (at) 9.9 percent", "QQQQ [at] 99.999", "9999:9999:9999:9999", "300.9999.299.8", "99-99-99 99-99-99", "0099999999999999", "00 99999999999999999", "0099999", "QQ @ b9.T", "Q @ self.w + 9", "m = Q @ Q.T", "QQQ (at) page 9.The rest", "order 0099999999", "999,999,999.99", "99, 99, 99, 99", "999, 999, 99, 9", "9999.9999.9999.9999", "9999/9999/9999/9999", "00.99.9999",
-    )
-    return [*map(made, forms), F.substring(F.sha2(seed, 256), 1, 40), F.regexp_replace(F.sha2(seed, 256), "[a-f]", "9")]
+    whole = F.sha2(seed, 256)
+    drawn = F.struct(n.alias("n"), F.translate(whole, "0123456789", "ghklmnoprs").alias("names"))
+
+    def made(form: Column, x: Column) -> Column:
+        def step(acc: Column, part: Column) -> Column:
+            digits, letters = F.startswith(part, F.lit("9")), F.startswith(part, F.lit("Q"))
+            size = F.length(part)
+            put = F.when(digits, F.substring(x["n"], acc["n"], size)).when(letters, F.substring(x["names"], acc["q"], size)).otherwise(part)
+            return F.struct((acc["n"] + F.when(digits, size).otherwise(0)).alias("n"), (acc["q"] + F.when(letters, size).otherwise(0)).alias("q"), F.concat(acc["out"], put).alias("out"))
+
+        start = F.struct(F.lit(1).alias("n"), F.lit(1).alias("q"), F.lit("").alias("out"))
+        return F.aggregate(F.regexp_extract_all(form, F.lit("9+|Q+|[^9Q]+"), F.lit(0)), start, step)["out"]
+
+    all_made = _let(drawn, lambda x: F.transform(F.split(F.lit("\n".join(DECOYS)), "\n"), lambda form: made(form, x)))
+    return F.concat(all_made, F.array(F.substring(whole, 1, 40), F.regexp_replace(whole, "[a-f]", "9")))
 
 
 def examples(looked: DataFrame) -> DataFrame:
@@ -270,12 +277,12 @@ def examples(looked: DataFrame) -> DataFrame:
     for kind, n in base.groupBy("kind").count().collect():
         share = F.when(F.col("kind") == kind, mark < int(min(1.0, (SEEDS - 4 * SEEDS**0.5) / n if n > SEEDS else 1.0) * (1 << 52))).otherwise(share)
     drawn = stored(base.where(share), "seeds")  # about SEEDS of each kind, by their hash
-    texts = None
+    forms = F.array()
     for kind in KINDS:
-        seeds = drawn.where(F.col("kind") == kind)
-        forms = F.array(*[F.struct(x.alias("put"), F.lit(true).alias("true")) for xs, true in ((_written_anew(kind, F.col("span")), True), (_decoys(F.col("span")), False)) for x in xs])
-        own = seeds.select(F.lit(kind).alias("of"), F.col("span").alias("seed"), "left", "right", F.explode(forms).alias("f"))
-        texts = own if texts is None else texts.union(own)
+        forms = F.when(F.col("kind") == kind, F.array(*_written_anew(kind, F.col("span")))).otherwise(forms)
+    true = F.transform(forms, lambda x: F.struct(x.alias("put"), F.lit(True).alias("true")))
+    every = F.concat(true, F.transform(_decoys(F.col("span")), lambda x: F.struct(x.alias("put"), F.lit(False).alias("true"))))
+    texts = drawn.select(F.col("kind").alias("of"), F.col("span").alias("seed"), "left", "right", F.explode(every).alias("f"))
     texts = texts.select("of", "seed", "f.*", F.length("left").alias("at"), F.concat("left", "f.put", "right").alias("text"))
     made = texts.select("of", "seed", "put", "true", "at", F.explode(_proposed(F.col("text"))).alias("m")).select("of", "seed", "put", "true", "at", "m.*")
     stop = F.col("at") + F.length("put")
@@ -325,6 +332,7 @@ class Trees:
         return self.start + sum(self.of(t, x) for t in self.trees)
 
     def column(self) -> Column:
+        """The margin as one expression, for few rows or trees; margins() is for many."""
         def of(tree) -> Column:
             if not isinstance(tree, tuple):
                 return F.lit(tree)
@@ -336,6 +344,38 @@ class Trees:
             out = out + of(t)
         return out
 
+    def rows(self) -> list[tuple[list[int], list[float], list[float]]]:
+        """Each tree as the features and cuts of its inner nodes, level by level, and its leaves; a value above the leaves stands at all that are below it."""
+        def filled(tree) -> tuple[list[int], list[float], list[float]]:
+            level, features, cuts = [tree], [], []
+            for _ in range(DEPTH):
+                nodes = [t if isinstance(t, tuple) else (0, 0.0, t, t) for t in level]
+                features += [t[0] for t in nodes]
+                cuts += [t[1] for t in nodes]
+                level = [x for t in nodes for x in t[2:]]
+            return features, cuts, [float(x) for x in level]
+
+        return [filled(t) for t in self.trees]
+
+
+def margins(found: DataFrame, learned: dict[str, Learned]) -> DataFrame:
+    """found with the margin over its kind's threshold; rows of kinds that add nothing go.
+
+    The trees are rows of a table that is joined by kind: a candidate walks
+    down each from its root, so what is planned and compiled doesn't grow with
+    their number.
+    """
+    rows = [(kind, own.trees.start, own.cut, own.trees.rows()) for kind, own in learned.items() if own.cut is not None]
+    model = found.sparkSession.createDataFrame(rows, "kind string, began double, cut double, trees array<struct<f:array<int>,c:array<double>,v:array<double>>>")
+    x = F.array(*FEATURES)
+
+    def step(acc: Column, tree: Column) -> Column:
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), lambda i, _: 2 * i + F.when(F.col("x")[tree["f"][i]] <= tree["c"][i], 1).otherwise(2))
+        return acc + tree["v"][at - (2**DEPTH - 1)]
+
+    scored = found.withColumn("x", x).join(F.broadcast(model), "kind").withColumn("margin", F.aggregate("trees", F.col("began"), step) - F.col("cut"))
+    return scored.drop("x", "began", "cut", "trees")
+
 
 class Learned(NamedTuple):
     """A kind's trees, its threshold (a margin) and what that gives on the held-out part; cut is None where PRECISION isn't reached."""
@@ -394,11 +434,8 @@ def find(docs: DataFrame) -> DataFrame:
     docs = docs.drop("base", "added")
     looked = _looked(docs)
     found = stored(candidates(looked), "candidates")
-    margin = F.lit(None).cast("double")
-    for kind, own in learn(looked, found).items():
-        if own.cut is not None:
-            margin = F.when(F.col("kind") == kind, own.trees.column() - own.cut).otherwise(margin)
-    taken = found.where("not covered").withColumn("margin", margin).where("margin >= 0").select("row", "kind", "start", "end", "span", "margin")
+    scored = stored(margins(found.where("not covered"), learn(looked, found)), "scored")
+    taken = scored.where("margin >= 0").select("row", "kind", "start", "end", "span", "margin")
     # accepted spans that overlap form a run: it begins where all before it have ended, and its best one stays
     before = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     so_far = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, 0)

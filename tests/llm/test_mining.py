@@ -323,3 +323,23 @@ def test_added_spans_by_plain_trees(spark, monkeypatch):
         want[row] = sorted((k, s, e) for s, e, k, _ in best)
     got = pii.find(docs).where("size(added) > 0").select(F.sha2("text", 256).alias("row"), "added").collect()
     assert {r.row: sorted((a.kind, a.start, a.end) for a in r.added) for r in got} == want
+
+
+def test_trees_and_decoys_are_data(spark):
+    """Margins by the joined table are those of the trees, also of shallow ones, and the plan of the decoys doesn't grow with their number."""
+    from folioscope.llm import pii
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (300, len(pii.FEATURES))).astype(float)
+    deep = pii.Trees(x, (x[:, 0] + x[:, 3] > 5).astype(float))
+    flat = pii.Trees(np.ones((40, len(pii.FEATURES))), np.r_[np.zeros(20), np.ones(20)])  # nothing to cut by
+    learned = {"ip": pii.Learned(deep, 0.25, 1.0, 1.0, 1), "card": pii.Learned(flat, -1.5, 1.0, 1.0, 1), "email": pii.Learned(deep, None, 0.0, 0.0, 1)}
+    kinds = ["ip", "card", "email", "phone"]
+    rows = spark.createDataFrame([(kinds[i % 4], i, *map(float, r)) for i, r in enumerate(x)], ["kind", "row", *pii.FEATURES])
+    got = {r.row: r.margin for r in pii.margins(rows, learned).collect()}
+    want = {i: learned[k].trees.margin(x[i : i + 1])[0] - learned[k].cut for i in range(len(x)) if (k := kinds[i % 4]) in ("ip", "card")}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), rtol=0, atol=1e-12)
+    made = spark.createDataFrame([("1.2.3.4",)], "s string").select(pii._decoys(F.col("s")).alias("d"))
+    out = made.first().d
+    assert len(out) == len(pii.DECOYS) + 2 and all(re.fullmatch(re.sub("Q", "[a-z]", re.sub("9", "[0-9]", re.escape(f))), o) for f, o in zip(pii.DECOYS, out, strict=False))
+    assert len(made._jdf.queryExecution().optimizedPlan().toString()) < 20_000
