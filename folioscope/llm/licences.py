@@ -68,7 +68,7 @@ HEADERS = (
 BLOCK_TEMPLATES = TEMPLATES + HEADERS
 #: Where blocks end, and the comment marks that lines of a block begin with.
 BLOCK_END, MARKS = r"\n[ \t\r]*\n", r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|;+|--+|%+)?[ \t]*"
-#: Givers of inherited licences are broadcast up to so many folders.
+#: Folders, with their first files or givers of inherited licences, are broadcast up to so many.
 BROADCAST = 100_000
 #: Words of templates that are common elsewhere; key_words leaves out those that alone can't carry a line to LEAST_COSINE.
 COMMON = (
@@ -153,18 +153,46 @@ def _first_of_best(cosine: str = "cosine") -> Column:
     return F.struct(cosine, F.transform(F.split(F.col("licence"), ""), lambda c: -F.ascii(c)))
 
 
-def judge_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """licence and cosine of each distinct line of lines (line) that reaches LEAST_COSINE with a template; ties go to the first by name."""
-    spark = lines.sparkSession
+def _squares(found: Column) -> Column:
+    """The sum of the squares of how often each term of an array occurs."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(acc: Column, term: Column) -> Column:
+        run = F.when(acc["last"] == term, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(term.alias("last"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))  # (r + 1)^2 - r^2
+
+    return F.aggregate(F.array_sort(found), start, step)["sum"]
+
+
+def marked(units: DataFrame) -> DataFrame:
+    """units (line and others) with the mark that the line is known by: a term's row carries that, never the line itself."""
+    return units.withColumn("mark", F.unhex(F.sha2("line", 256)))
+
+
+def judge_marked(units: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """licence and cosine of each distinct mark of units (mark, line) whose line reaches LEAST_COSINE with a template; ties go to the first by name.
+
+    Terms that no template has count in the norm alone, by a sum made where
+    the line is. Only terms that templates have are counted by line and term.
+    """
+    spark = units.sparkSession
     weights, unseen = template_weights(templates)
     known = spark.createDataFrame(weights, "template int, licence string, term string, weight double, idf double")  # bounded by the templates: fit to broadcast
     idf = known.select("term", "idf").distinct()
-    bags = lines.select("line").distinct().withColumn("term", F.explode(terms(F.col("line")))).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = bags.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.where("idf is not null").join(F.broadcast(known.select("template", "licence", "term", "weight")), "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "line").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= LEAST_COSINE)
-    return scored.groupBy("line").agg(F.max_by(F.struct("licence", "cosine"), _first_of_best()).alias("best")).select("line", "best.licence", "best.cosine")
+    one = units.select("mark", "line").dropDuplicates(["mark"]).select("mark", terms(F.col("line")).alias("terms"))
+    one = one.withColumn("all", _squares(F.col("terms")))  # beside explode() it would be worked out for each term
+    bags = one.select("mark", "all", F.explode("terms").alias("term")).join(F.broadcast(idf), "term").groupBy("mark", "term", "idf").agg(F.count(F.lit(1)).alias("tf"), F.first("all").alias("all"))
+    weighed = bags.withColumn("w", F.col("tf") * F.col("idf"))
+    norms = weighed.groupBy("mark").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + (F.first("all") - F.sum(F.col("tf") * F.col("tf"))) * F.lit(unseen * unseen)).alias("norm"))
+    dots = weighed.join(F.broadcast(known.select("template", "licence", "term", "weight")), "term").groupBy("mark", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "mark").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= LEAST_COSINE)
+    return scored.groupBy("mark").agg(F.max_by(F.struct("licence", "cosine"), _first_of_best()).alias("best")).select("mark", "best.licence", "best.cosine")
+
+
+def judge_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """licence and cosine of each distinct line of lines (line), as judge_marked gives them."""
+    own = marked(lines.select("line"))
+    return own.join(judge_marked(own, templates), "mark").dropDuplicates(["mark"]).select("line", "licence", "cosine")
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -180,14 +208,14 @@ def scan(files: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     # what can't reach the cosine is never split into terms
     lines = files.select("file_id", "path", F.explode(F.split(text, "\n")).alias("line")).where(may_name(F.col("line")))
-    lines = stored(lines.select("file_id", "path", F.trim("line").alias("line")), "lines")
-    headers = stored(files.select("file_id", "path", F.explode(blocks(text)).alias("line")).where(may_name(F.col("line"), BLOCK_TEMPLATES)), "headers")
+    lines = stored(marked(lines.select("file_id", "path", F.trim("line").alias("line"))), "lines")
+    headers = stored(marked(files.select("file_id", "path", F.explode(blocks(text)).alias("line")).where(may_name(F.col("line"), BLOCK_TEMPLATES))), "headers")
     named_so = F.regexp_like(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(LICENCE_FILE))
-    wholes = stored(files.where(named_so).select("file_id", "path", text.alias("line")), "wholes")
-    hits = lines.join(stored(judge_lines(lines), "judged"), "line")
+    wholes = stored(marked(files.where(named_so).select("file_id", "path", text.alias("line"))), "wholes")
+    hits = lines.drop("line").join(stored(judge_marked(lines), "judged"), "mark")
     for units, templates in ((headers, BLOCK_TEMPLATES), (wholes, file_templates())):
         if not units.isEmpty():
-            hits = hits.unionByName(units.join(stored(judge_lines(units, templates), "judged"), "line"))
+            hits = hits.unionByName(units.drop("line").join(stored(judge_marked(units, templates), "judged"), "mark"))
     own = hits.groupBy("file_id", "path").agg(F.max_by(F.struct("licence", "cosine"), _first_of_best()).alias("o"))
     own = own.select(F.col("file_id").alias("own_id"), F.col("path").alias("own_path"), "o.licence", "o.cosine")
     named = files.select("file_id", "path").join(own, F.col("file_id").eqNullSafe(F.col("own_id")) & F.col("path").eqNullSafe(F.col("own_path")), "left").drop("own_id", "own_path")
@@ -213,9 +241,12 @@ def as_files(docs: DataFrame) -> DataFrame:
     place = [F.coalesce("source", F.lit("unknown")).alias("_s"), F.coalesce("lang", F.lit("unknown")).alias("_l")]
     rows = docs.select("doc_id", "text", *place)
     first = rows.groupBy("_s", "_l").agg(F.min("doc_id").alias("_first")).select(F.col("_s").alias("_fs"), F.col("_l").alias("_fl"), "_first")
-    marked = rows.join(first, (F.col("_s") == F.col("_fs")) & (F.col("_l") == F.col("_fl")) & (F.col("doc_id") == F.col("_first")), "left")
+    first = stored(first, "first")
+    if first.limit(BROADCAST + 1).count() <= BROADCAST:
+        first = F.broadcast(first)  # the texts then stay where they are
+    named = rows.join(first, (F.col("_s") == F.col("_fs")) & (F.col("_l") == F.col("_fl")) & (F.col("doc_id") == F.col("_first")), "left")
     name = F.when(F.col("_first").isNotNull(), "LICENSE").otherwise(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")))
-    return marked.select("doc_id", F.concat_ws("/", "_s", "_l", name).alias("path"), "text")
+    return named.select("doc_id", F.concat_ws("/", "_s", "_l", name).alias("path"), "text")
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -343,3 +343,18 @@ def test_trees_and_decoys_are_data(spark):
     out = made.first().d
     assert len(out) == len(pii.DECOYS) + 2 and all(re.fullmatch(re.sub("Q", "[a-z]", re.sub("9", "[0-9]", re.escape(f))), o) for f, o in zip(pii.DECOYS, out, strict=False))
     assert len(made._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+# --- licences ----------------------------------------------------------------
+
+
+def test_a_licence_term_carries_no_line_and_texts_stay(spark):
+    """Rows of terms hold a mark instead of the line, and texts are not shuffled to find a folder's first file."""
+    from folioscope.llm import licences
+
+    lines = spark.createDataFrame([("Released under the MIT License, MIT License and so on, so on. " * 3,), ("MIT",)], "line string")
+    plan = licences.judge_marked(licences.marked(lines))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    of_terms = [x for x in plan if re.search(r"(?:Aggregate|Generate|Join)\b.*term#", x)]
+    assert of_terms and not any("line#" in x for x in of_terms)
+    files = licences.as_files(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    assert not re.search(r"Exchange hashpartitioning", files._jdf.queryExecution().executedPlan().toString())
