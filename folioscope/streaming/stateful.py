@@ -15,6 +15,7 @@ import json
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,38 +90,40 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, tie bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")  # what a batch brings is one value: pairs of at and tie
         self.memory = handle.getValueState("memory", "fold string, timer bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), int(t)) for part in rows for a, t in zip(part[self.at], part[self.tie], strict=True)]
-        self.waiting.appendList(new)
+        new = np.concatenate([part[[self.at, self.tie]].to_numpy(np.int64) for part in rows])
+        self.waiting.appendList([(new.tobytes(),)])
         fold, timer = self.memory.get() if self.memory.exists() else (None, None)
-        self._set(fold, timer, min(a for a, _ in new), timerValues)
+        self._set(fold, timer, int(new[:, 0].min()), timerValues)
         yield pd.DataFrame({c: [] for c in self.columns})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((r[0], r[1]) for r in self.waiting.get())
+        rows = np.concatenate([np.frombuffer(r[0], np.int64).reshape(-1, 2) for r in self.waiting.get()] or [np.empty((0, 2), np.int64)])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         fold = self.fold()
         text = self.memory.get()[0] if self.memory.exists() else None
         if text is not None:
             fold.load(text)
-        ready = [r for r in rows if r[0] < passed]
-        out = [x for r in ready for x in fold.row(*r)]
-        rest = rows[len(ready) :]
-        if rest:
-            self.waiting.put(rest)
+        ready = int(np.searchsorted(rows[:, 0], passed))
+        out = [x for r in rows[:ready].tolist() for x in fold.row(*r)]
+        rest = rows[ready:]
+        if len(rest):
+            self.waiting.put([(rest.tobytes(),)])
         else:
             self.waiting.clear()
         until = fold.until()
-        if until is not None and until < passed and not (rest and rest[0][0] <= until):
+        first = int(rest[0, 0]) if len(rest) else None
+        if until is not None and until < passed and not (first is not None and first <= until):
             out += fold.over()
             until = None
-        if until is None and not rest:
+        if until is None and first is None:
             self.memory.clear()  # nothing of the key stays
         else:
-            nexts = [x for x in (rest[0][0] if rest else None, until) if x is not None]
+            nexts = [x for x in (first, until) if x is not None]
             self._set(None if until is None else fold.text(), None, min(nexts), timerValues)
         name = key[0] if isinstance(key, tuple) else key
         yield pd.DataFrame([(name, *x) for x in out], columns=self.columns)

@@ -466,3 +466,34 @@ def test_a_lost_race_is_read_again(spark, tmp_path):
     assert sorted(map(tuple, table.read().collect())) == [("a", "other0"), ("b", "mine"), ("x0", "other0"), ("x1", "other1")]
     again = {r.k: r.created for r in KeyedTable(spark, f"file://{tmp_path}/t", "k string, v string", ["k"]).get_or_create(frame("b", "c"), v=F.lit("late")).collect()}
     assert again == {"b": False, "c": True}
+
+
+def test_a_batch_of_a_key_is_one_value_of_state():
+    """InOrder hands the store one value for all rows of a key that a batch brings, and folds them in order of time and tie."""
+    from folioscope.streaming import stateful
+
+    class State(list):
+        appendList = list.extend
+
+        def get(self):
+            return self[0] if self and not isinstance(self[0][0], bytes) else iter(self)
+
+        def exists(self):
+            return bool(self)
+
+        def update(self, value):
+            self[:] = [value]
+
+        def put(self, values):
+            self[:] = values
+
+    waiting, memory, timers = State(), State(), []
+    handle = type("H", (), {"getListState": lambda *_: waiting, "getValueState": lambda *_: memory, "registerTimer": lambda _, t: timers.append(t), "deleteTimer": lambda _, t: timers.remove(t)})()
+    mark = type("T", (), {"getCurrentWatermarkInMs": lambda _: 10_000})()
+    own = stateful.InOrder("k", "at", "tie", lambda: stateful.Sliding(2, 5.0), ["k", "at", "tie", "allowed", "remaining"])
+    own.init(handle)
+    list(own.handleInputRows((7,), iter([pd.DataFrame({"at": [3_000_000, 1_000_000, 99_000_000], "tie": [2, 1, 4]}), pd.DataFrame({"at": [3_000_000], "tie": [1]})]), mark))
+    assert len(waiting) == 1
+    out = pd.concat(own.handleExpiredTimer((7,), mark, None))
+    assert list(out.itertuples(index=False, name=None)) == [(7, 1_000_000, 1, True, 1), (7, 3_000_000, 1, True, 0), (7, 3_000_000, 2, False, 0)]
+    assert np.frombuffer(waiting[0][0], np.int64).tolist() == [99_000_000, 4]
