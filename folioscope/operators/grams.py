@@ -23,6 +23,8 @@ END = "\x00"
 PARTS = 32
 #: Trigrams or short pieces of a pattern that are looked up, the rarest.
 RAREST = 3
+#: Texts whose trigrams one task sorts, about.
+TOGETHER = 25_000
 
 
 def _part(gram: Column) -> Column:
@@ -66,9 +68,10 @@ class GramIndex:
         out = cls(texts.sparkSession, path)
         own = texts.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
         own.write.parquet(f"{out.path}/texts")
-        rows = own.select("id", F.explode(grams_of(F.col("text"))).alias("gram")).withColumn("part", _part(F.col("gram"))).distinct()
-        # a frequent first letter is dealt over several tasks
-        rows.repartition("part", F.substring("gram", 2, 1)).sortWithinPartitions("part", "gram", "id").write.partitionBy("part").parquet(f"{out.path}/grams")
+        rows = out.texts().select("id", F.explode(grams_of(F.col("text"))).alias("gram")).withColumn("part", _part(F.col("gram")))
+        # ranges of about as many rows each, whatever the grams: a frequent one is cut by its ids, and a task's rows don't grow with the table
+        tasks = 1 + out.texts().count() // TOGETHER
+        rows.repartitionByRange(tasks, "part", "gram", "id").dropDuplicates(["part", "gram", "id"]).sortWithinPartitions("part", "gram", "id").write.partitionBy("part").parquet(f"{out.path}/grams")
         out.grams().groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n")).repartition("part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{out.path}/counts")
         return out
 

@@ -497,3 +497,15 @@ def test_a_batch_of_a_key_is_one_value_of_state():
     out = pd.concat(own.handleExpiredTimer((7,), mark, None))
     assert list(out.itertuples(index=False, name=None)) == [(7, 1_000_000, 1, True, 1), (7, 3_000_000, 1, True, 0), (7, 3_000_000, 2, False, 0)]
     assert np.frombuffer(waiting[0][0], np.int64).tolist() == [99_000_000, 4]
+
+
+def test_grams_are_sorted_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Texts that are all alike, whose trigrams are few and frequent, are dealt over as many tasks as their number asks for."""
+    from folioscope.operators import grams
+
+    monkeypatch.setattr(grams, "TOGETHER", 100)
+    texts = spark.range(1000).selectExpr("id", "'aaaa' AS text")
+    index = grams.GramIndex.build(texts, "id", "text", str(tmp_path / "g"))
+    sizes = [r["count"] for r in index.grams().groupBy(F.input_file_name().alias("f")).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 1000  # aaa, aa and a with their ends
+    assert index.ilike("%aaa%").count() == 1000
