@@ -42,9 +42,13 @@ BLOCK = 128
 PARTS = 32
 #: Documents whose words are in memory at a time while postings are made.
 TOGETHER = 256
+#: Words whose postings a task gathers before it sends them on.
+GATHERED = 1_000_000
+#: Postings of a lexeme and shard that are sorted together, fewer where they hold 2 * GATHERED words.
+LONG = 65_536
 #: Tasks that write the blocks of a folder, so that a frequent lexeme is not one task's work.
 SPREAD = 2
-POSTING = "lexeme string, shard int, key long, places array<int>"
+RUN = "lexeme string, shard int, first long, keys binary, counts binary, places binary"
 BLOCKS = "generation int, lexeme string, shard int, first long, last long, n int, impact int, keys binary, counts binary, places binary"
 
 
@@ -63,57 +67,132 @@ def part_of(lexeme, parts: int = PARTS):
 
 
 def _postings(stemmed: bool, stop: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document and lexeme, made where the document is."""
+    """One row for each document and lexeme, made where the document is; a word is looked at once for all documents that are in memory."""
     for batch in (whole.slice(a, TOGETHER) for whole in batches for a in range(0, len(whole), TOGETHER)):
-        lexemes, shards, keys, flat, ends = [], [], [], [], [0]
-        for key, shard, text in zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "text")), strict=True):
-            own: dict[str, list[int]] = {}
-            for at, word in enumerate(re.findall("[a-z0-9]+", (text or "").lower()), 1):
-                if not stop or word not in rt.STOP:
-                    own.setdefault(rt.stem(word) if stemmed else word, []).append(at)
-            lexemes.extend(own)
-            shards.extend([shard] * len(own))
-            keys.extend([key] * len(own))
-            for places in own.values():
-                flat.extend(places)
-                ends.append(len(flat))
-        places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(lexemes, pa.string()), pa.array(shards, pa.int32()), pa.array(keys, pa.int64()), places], names=["lexeme", "shard", "key", "places"])
+        texts = [re.findall("[a-z0-9]+", (text or "").lower()) for text in batch.column("text").to_pylist()]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        coded = pa.array([word for text in texts for word in text], pa.string()).dictionary_encode()
+        lexemes, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        docs, places = np.repeat(np.arange(len(texts)), sizes), np.arange(1, len(codes) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        words = lexemes.to_pylist()
+        if stop:
+            kept = np.fromiter((w not in rt.STOP for w in words), bool, len(words))[codes]
+            codes, docs, places = codes[kept], docs[kept], places[kept]
+        if stemmed:
+            stems = pa.array([rt.stem(w) for w in words], pa.string()).dictionary_encode()
+            lexemes, codes = stems.dictionary, stems.indices.to_numpy().astype(np.int64)[codes]
+        both = codes * len(texts) + docs
+        order = np.argsort(both, kind="stable")
+        starts = np.flatnonzero(np.diff(both[order], prepend=-1))
+        own = docs[order[starts]]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(places[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(codes[order[starts]], pa.int32()), lexemes), batch.column("shard").take(pa.array(own)), batch.column("key").take(pa.array(own)), lists], names=["lexeme", "shard", "key", "places"])
+
+
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Numbers as one binary value for each stretch of them."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    """The numbers of such values, one after another."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings as one row for each lexeme and shard of about GATHERED words, in order of their keys, as packed numbers."""
+
+    def made() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).unify_dictionaries()
+        coded = table["lexeme"].chunks
+        codes, shards, keys = np.concatenate([c.indices.to_numpy() for c in coded]), table["shard"].to_numpy(), table["key"].to_numpy()
+        order = np.lexsort((keys, shards, codes))
+        codes, shards, keys, lists = codes[order], shards[order], keys[order], pa.concat_arrays(table["places"].chunks).take(pa.array(order))
+        counts = pc.list_value_length(lists).to_numpy()
+        starts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(shards, prepend=-1) != 0))
+        ends = np.append(starts[1:], len(order))
+        return pa.RecordBatch.from_arrays([coded[0].dictionary.take(pa.array(codes[starts])), pa.array(shards[starts], pa.int32()), pa.array(keys[starts], pa.int64()), _cut(keys, ends), _cut(counts, ends), _cut(lists.flatten().to_numpy(), np.cumsum(counts)[ends - 1])], names=["lexeme", "shard", "first", "keys", "counts", "places"])
+
+    held, size = [], 0
+    for batch in batches:
+        if len(batch):
+            lexemes = batch.column("lexeme")
+            lexemes = lexemes if pa.types.is_dictionary(lexemes.type) else lexemes.cast(pa.string()).dictionary_encode()
+            held.append(pa.RecordBatch.from_arrays([lexemes, *(batch.column(c) for c in ("shard", "key", "places"))], names=["lexeme", "shard", "key", "places"]))
+            size += len(batch.column("places").flatten())
+        if size >= GATHERED:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of such rows again, one row each, about GATHERED words at a time."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("places")).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (4 * GATHERED))) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+            if low < high:
+                own = batch.slice(low, high - low)
+                keys, counts, places = (_numbers(own.column(c).cast(pa.binary()), kind) for c, kind in (("keys", np.int64), ("counts", np.int32), ("places", np.int32)))
+                rows = pa.array(np.repeat(np.arange(len(own)), pc.binary_length(own.column("keys")).to_numpy() // 8))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(places))
+                yield pa.RecordBatch.from_arrays([own.column("lexeme").take(rows), own.column("shard").take(rows), pa.array(keys), lists], names=["lexeme", "shard", "key", "places"])
+
+
+def _pack_each(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """pack() of each stretch of numbers from one start to the next, all at once."""
+    sizes, most = np.diff(starts, append=len(values)), np.maximum.reduceat(values, starts)
+    widths = np.select([most < 1 << 8, most < 1 << 16, most < 1 << 32], [1, 2, 4], 8)
+    offsets = np.concatenate([[0], np.cumsum(1 + widths * sizes)])
+    out = np.empty(offsets[-1], np.uint8)
+    out[offsets[:-1]] = widths
+    width = np.repeat(widths, sizes)
+    at = np.repeat(offsets[:-1] + 1, sizes) + width * (np.arange(len(values)) - np.repeat(starts, sizes))
+    for w in (1, 2, 4, 8):
+        own = np.flatnonzero(width == w)
+        for byte in range(w):
+            out[at[own] + byte] = values[own] >> 8 * byte & 255
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
 def _blocks(generation: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows in order of lexeme, shard and key; the last, unfinished group of a batch waits for the next."""
+    """Blocks of rows in order of lexeme and shard; the last, unfinished group of a batch waits for the next. A group's rows are put in order of their keys, of a long one LONG at a time."""
     held = None
-    kinds = {"generation": pa.int32(), "lexeme": pa.string(), "shard": pa.int32(), "first": pa.int64(), "last": pa.int64(), "n": pa.int32(), "impact": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "places": pa.binary()}
-
-    def made(rows: pa.Table, lexemes: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
-        lists = pa.concat_arrays(rows["places"].chunks)
-        keys, counts, flat = rows["key"].to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, (lexemes[1:] != lexemes[:-1]) | (shards[1:] != shards[:-1])])
-        ends = np.cumsum(counts)
-        begins = ends - counts
-        steps = np.diff(flat, prepend=0)
-        steps[begins] = flat[begins]
-        out = []
-        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-            for a in range(low, high, BLOCK):
-                b = min(a + BLOCK, high)
-                own = keys[a:b]
-                out.append((generation, lexemes[a], int(shards[a]), int(own[0]), int(own[-1]), b - a, int(counts[a:b].max()), pack(np.diff(own, prepend=own[0])), pack(counts[a:b]), pack(steps[begins[a] : ends[b - 1]])))
-        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    def made(lexemes: pa.Array, shards: np.ndarray, keys: np.ndarray, lists: pa.ListArray, first: np.ndarray) -> pa.RecordBatch:
+        group = np.cumsum(first)
+        if ((np.diff(keys) < 0) & ~first[1:]).any():
+            order = np.lexsort((keys, group))
+            keys, lists = keys[order], lists.take(pa.array(order))
+        counts, places = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int64)
+        starts = np.flatnonzero((np.arange(len(keys)) - np.flatnonzero(first)[group - 1]) % BLOCK == 0)
+        begins, sizes = np.cumsum(counts) - counts, np.diff(starts, append=len(keys))
+        steps, gaps = np.diff(places, prepend=0), np.diff(keys, prepend=0)
+        steps[begins], gaps[starts] = places[begins], 0
+        columns = {
+            "generation": pa.array(np.full(len(starts), generation), pa.int32()), "lexeme": lexemes.take(pa.array(starts)), "shard": pa.array(shards[starts], pa.int32()), "first": pa.array(keys[starts], pa.int64()), "last": pa.array(keys[starts + sizes - 1], pa.int64()),
+            "n": pa.array(sizes, pa.int32()), "impact": pa.array(np.maximum.reduceat(counts, starts), pa.int32()), "keys": _pack_each(gaps, starts), "counts": _pack_each(counts, starts), "places": _pack_each(steps, begins[starts]),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     for batch in batches:
         part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         if not len(part):
             continue
-        lexemes, shards = part["lexeme"].to_numpy(), part["shard"].to_numpy()
-        other = np.flatnonzero((lexemes != lexemes[-1]) | (shards != shards[-1]))
-        cut = int(other[-1]) + 1 if len(other) else len(part) // BLOCK * BLOCK  # of one long group all full blocks go
+        part = part.combine_chunks()
+        lexemes, shards = part["lexeme"].chunk(0), part["shard"].to_numpy()
+        first = (np.diff(lexemes.dictionary_encode().indices.to_numpy(), prepend=-1) != 0) | (np.diff(shards, prepend=-1) != 0)
+        last = int(np.flatnonzero(first)[-1])
+        cut = last or (len(part) // BLOCK * BLOCK if len(part) >= LONG or len(part["places"].chunk(0).flatten()) >= 2 * GATHERED else 0)  # of one long group all full blocks go
         held = part.slice(cut)
         if cut:
-            yield made(part.slice(0, cut), lexemes[:cut], shards[:cut])
+            yield made(lexemes[:cut], shards[:cut], part["key"].to_numpy()[:cut], part["places"].chunk(0)[:cut], first[:cut])
     if held is not None and len(held):
-        yield made(held, held["lexeme"].to_numpy(), held["shard"].to_numpy())
+        yield made(held["lexeme"].combine_chunks(), held["shard"].to_numpy(), held["key"].to_numpy(), held["places"].combine_chunks(), np.arange(len(held)) == 0)
 
 
 class Block:
@@ -207,13 +286,33 @@ def _together(lists: list[np.ndarray]) -> bool:
     return len(starts) > 0
 
 
-def _search(alternatives: list, limit: int | None, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of shard, each shard's replaced keys (no lexeme) before its blocks."""
+def _merged(blocks: list[Block], gone: dict[int, int]) -> list[Block]:
+    """The blocks of several lexemes as blocks of one: what a document has of any of them is in one place."""
+    opened = [b.open(gone) for b in blocks]
+    lists = [x for b in opened for x in b.lists]
+    keys = np.concatenate([b.keys for b in opened])
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.diff(keys[order], prepend=-1 - abs(keys.min(initial=0))))
+    own = [lists[o[0]] if len(o) == 1 else np.sort(np.concatenate([lists[i] for i in o])) for o in np.split(order, starts[1:])] if len(starts) else []
+    keys, counts, out = keys[order[starts]], np.fromiter(map(len, own), np.int64, len(own)), []
+    for a in range(0, len(own), BLOCK):
+        b = min(a + BLOCK, len(own))
+        out.append(Block(int(keys[a]), int(keys[b - 1]), int(counts[a:b].max()), 0, None))
+        out[-1].keys, out[-1].counts, out[-1].lists = keys[a:b], counts[a:b], own[a:b]
+    return out
+
+
+def _search(alternatives: list, limit: int | None, forms: dict[str, str], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of shard, each shard's replaced keys (no lexeme) before its blocks. Lexemes that are forms of a word are found as that word."""
     now, gone, blocks = None, {}, {}
 
     def done() -> Iterator[pd.DataFrame]:
         if blocks:
-            yield pd.DataFrame(Shard(blocks, gone).search(alternatives, limit), columns=["key", "rank"])
+            words: dict[str, list[list[Block]]] = {}
+            for lexeme, own in blocks.items():
+                words.setdefault(forms.get(lexeme, lexeme), []).append(own)
+            held = {word: own[0] if len(own) == 1 else _merged([b for x in own for b in x], gone) for word, own in words.items()}
+            yield pd.DataFrame(Shard(held, gone).search(alternatives, limit), columns=["key", "rank"])
 
     for part in parts:
         for row in part.itertuples(index=False):
@@ -258,14 +357,15 @@ class TextIndex:
         one = docs if self._unique(docs) else docs.groupBy("key").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
         if number > 1:
             known.select("key").distinct().join(one.select("key"), "key", "left_semi").select("key", F.lit(number).alias("generation")).write.mode("append").parquet(f"{self.path}/gone")
-        self._write(one.withColumn("shard", self._shard("key")).select("key", "shard", "text").mapInArrow(partial(_postings, self.stemmed, self.stop), POSTING), number, self.path)
+        stemmed, stop = self.stemmed, self.stop
+        self._write(one.withColumn("shard", self._shard("key")).select("key", "shard", "text").mapInArrow(lambda batches: _gathered(_postings(stemmed, stop, batches)), RUN), number, self.path)
         one.select("key", F.lit(number).alias("generation")).write.mode("append").parquet(f"{self.path}/documents")
         return number
 
     @staticmethod
-    def _write(postings: DataFrame, number: int, path: str) -> None:
-        dealt = postings.select("lexeme", "shard", "key", "places").withColumn("part", part_of("lexeme")).repartition("part", F.col("shard") % SPREAD).sortWithinPartitions("part", "lexeme", "shard", "key")
-        dealt.drop("part").mapInArrow(partial(_blocks, number), BLOCKS).withColumn("part", part_of("lexeme")).write.mode("append").partitionBy("part").parquet(f"{path}/postings")
+    def _write(runs: DataFrame, number: int, path: str) -> None:
+        dealt = runs.withColumn("part", part_of("lexeme")).repartition("part", F.col("shard") % SPREAD).drop("part").sortWithinPartitions("lexeme", "shard", "first")
+        dealt.mapInArrow(lambda batches: _blocks(number, _spread(batches)), BLOCKS).withColumn("part", part_of("lexeme")).write.mode("append").partitionBy("part").parquet(f"{path}/postings")
 
     @staticmethod
     def _unique(docs: DataFrame) -> bool:
@@ -286,14 +386,20 @@ class TextIndex:
         """The lexemes that most documents hold, most frequent first, id breaking ties: `most` words come to the driver."""
         return [r["lexeme"] for r in self.lexicon().orderBy(F.col("documents").desc(), "lexeme").limit(most).collect()]
 
-    def search(self, query: str, limit: int | None = 10) -> DataFrame:
-        """key, rank of the documents that match a web-style query, by rank, then key; all of them, in no order, without a limit."""
-        alternatives = rt.parse_query(query, self.stemmed)
+    def forms(self, stems: list[str]) -> dict[str, str]:
+        """The lexemes of an index of unstemmed words that have one of the stems, with it; every lexeme is stemmed once, and those found come to the driver."""
+        lexemes = self.lexicon().select("lexeme", F.element_at(rt._stems(F.array("lexeme")), 1).alias("stem"))
+        return dict(lexemes.where(F.col("stem").isin(stems)).collect()) if stems else {}
+
+    def search(self, query: str, limit: int | None = 10, stemmed: bool = False) -> DataFrame:
+        """key, rank of the documents that match a web-style query, by rank, then key; all of them, in no order, without a limit. If stemmed, words match by their stems in an index of unstemmed words too."""
+        alternatives = rt.parse_query(query, stemmed or self.stemmed)
         words = sorted({w for wanted, refused in alternatives for phrase in wanted + refused for w in phrase})
-        blocks = self.postings(words).select("shard", "lexeme", "generation", "first", "last", "impact", "keys", "counts", "places")
+        forms = self.forms(words) if stemmed and not self.stemmed else {w: w for w in words}
+        blocks = self.postings(sorted(forms)).select("shard", "lexeme", "generation", "first", "last", "impact", "keys", "counts", "places")
         gone = self._read("gone", "key long, generation int").select(self._shard("key").alias("shard"), F.lit(None).cast("string").alias("lexeme"), "generation", F.col("key").alias("first"), F.col("key").alias("last"), F.lit(0).alias("impact"), *[F.lit(None).cast("binary").alias(c) for c in ("keys", "counts", "places")])
         rows = blocks.union(gone).repartition("shard").sortWithinPartitions("shard", F.col("lexeme").asc_nulls_first(), "first")
-        found = rows.mapInPandas(partial(_search, alternatives, limit), "key long, rank double")
+        found = rows.mapInPandas(partial(_search, alternatives, limit, forms), "key long, rank double")
         return found if limit is None else found.orderBy(F.col("rank").desc(), "key").limit(limit)
 
     def compact(self, path: str) -> TextIndex:
@@ -301,7 +407,7 @@ class TextIndex:
         out = TextIndex(self.spark, path, self.stemmed, self.stop, self.shards)
         gone = self._read("gone", "key long, generation int").groupBy("key").agg(F.max("generation").alias("_until"))
         live = self.postings().mapInPandas(_unblocked, "lexeme string, shard int, key long, places array<int>, generation int").join(gone, "key", "left").where("_until is null or _until <= generation")
-        self._write(live, 1, out.path)
+        self._write(live.select("lexeme", "shard", "key", "places").mapInArrow(_gathered, RUN), 1, out.path)
         self._read("documents", "key long, generation int").select("key", F.lit(1).alias("generation")).distinct().write.mode("append").parquet(f"{out.path}/documents")
         return out
 

@@ -83,6 +83,47 @@ def test_index_of_several_generations(spark, tmp_path):
     assert empty.search("red").count() == 0 and empty.frequent(5) == []
 
 
+def test_stems_in_an_index_of_unstemmed_words(spark, tmp_path):
+    """A word's forms are found as one word: phrases of them, several in one text, and none that a later generation has replaced."""
+    docs = texts(np.random.default_rng(5), 500) | {i: t for i, t in enumerate(["boats boat boating", "running boats", "run -boat runs", "boated", None], 500)}
+    docs = {k: t and t.replace("tart", "boats").replace("apple", "running") for k, t in docs.items()}
+    index = ti.TextIndex(spark, str(tmp_path / "i"), stemmed=False, shards=3)
+    index.add(spark.createDataFrame([(k, "boated boats") if k % 7 == 0 else (k, t) for k, t in docs.items()], "id long, t string"), "id", "t")
+    index.add(spark.createDataFrame([(k, t) for k, t in docs.items() if k % 7 == 0], "id long, t string"), "id", "t")
+    assert index.forms(["boat", "run"]) == {"boat": "boat", "boats": "boat", "boated": "boat", "boating": "boat", "run": "run", "runs": "run", "running": "run"}
+    for q in ("boating", '"running boat"', "runs -boated", '"boat boat" or red runs', "nothing", "-boat", "the"):
+        for limit in (5, None):
+            got = sorted((r.key, round(r["rank"], 9)) for r in index.search(q, limit, stemmed=True).collect())
+            assert got == sorted((k, round(r, 9)) for k, r in plain_search(docs, q, limit, True)), q
+    assert [r.key for r in index.search("boated").collect()] == [503]  # as it stands
+
+
+def test_postings_are_gathered_before_they_are_sorted(spark, tmp_path, monkeypatch):
+    """What is dealt and sorted is a row for a lexeme and shard of a task's texts, not for each text that has it."""
+    sent, write = [], ti.TextIndex._write
+    monkeypatch.setattr(ti.TextIndex, "_write", staticmethod(lambda rows, number, path: (sent.append(rows.count()), write(rows, number, path))))
+    index = ti.TextIndex(spark, str(tmp_path / "i"), stemmed=False, shards=2)
+    index.add(spark.range(1000).selectExpr("999 - id AS id", "'red wine red' AS t").repartition(2), "id", "t")
+    assert sent[0] <= 2 * 2 * 2  # words, shards, tasks
+    assert index.search("wine -tart", None).count() == 1000 and [r.key for r in index.search("red", 3).collect()] == [0, 1, 2]
+
+
+def test_blocks_of_rows_in_any_order(monkeypatch):
+    """A group's rows are sorted, a long one in parts; numbers are packed alike alone and together."""
+    monkeypatch.setattr(ti, "LONG", 300)
+    keys = np.random.default_rng(2).choice(1 << 20, 1000, replace=False).astype(np.int64) << 20
+    rows = [("red", 0, int(k), [1, 2 + int(k) % 70_000]) for k in keys] + [("wine", 0, 5, [9]), ("wine", 1, 4, [7])]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("lexeme", "shard", "key", "places"), r, strict=True)) for r in rows])
+    made = [b for x in ti._blocks(1, iter([batch.slice(a, 250) for a in range(0, len(batch), 250)])) for b in x.to_pylist()]
+    found = []
+    for b in made:
+        own = ti.Block(b["first"], b["last"], b["impact"], 1, (b["keys"], b["counts"], b["places"])).open({})
+        assert (np.diff(own.keys) > 0).all() and len(own.keys) == b["n"] <= ti.BLOCK and (own.keys[0], own.keys[-1]) == (b["first"], b["last"])
+        assert b["counts"] == ti.pack(own.counts)
+        found += [(b["lexeme"], b["shard"], k, x.tolist()) for k, x in zip(own.keys.tolist(), own.lists, strict=True)]
+    assert sorted(found) == sorted(rows)
+
+
 def test_search_reads_the_partitions_of_its_words(spark, tmp_path):
     index = ti.TextIndex(spark, str(tmp_path / "i"), stemmed=False)
     index.add(spark.createDataFrame(list(texts(np.random.default_rng(1), 50).items()), "id long, t string"), "id", "t")
