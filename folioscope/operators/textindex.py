@@ -46,8 +46,6 @@ TOGETHER = 256
 GATHERED = 1_000_000
 #: Postings of a lexeme and shard that are sorted together, fewer where they hold 2 * GATHERED words.
 LONG = 65_536
-#: Tasks that write the blocks of a folder, so that a frequent lexeme is not one task's work.
-SPREAD = 2
 RUN = "lexeme string, shard int, first long, keys binary, counts binary, places binary"
 BLOCKS = "generation int, lexeme string, shard int, first long, last long, n int, impact int, keys binary, counts binary, places binary"
 
@@ -364,7 +362,7 @@ class TextIndex:
 
     @staticmethod
     def _write(runs: DataFrame, number: int, path: str) -> None:
-        dealt = runs.withColumn("part", part_of("lexeme")).repartition("part", F.col("shard") % SPREAD).drop("part").sortWithinPartitions("lexeme", "shard", "first")
+        dealt = runs.withColumn("part", part_of("lexeme")).repartition("part", "shard").drop("part").sortWithinPartitions("lexeme", "shard", "first")
         dealt.mapInArrow(lambda batches: _blocks(number, _spread(batches)), BLOCKS).withColumn("part", part_of("lexeme")).write.mode("append").partitionBy("part").parquet(f"{path}/postings")
 
     @staticmethod
