@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import SMALL
 
-from folioscope.plans import catalog
+from folioscope.plans import catalog, corpus
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -49,3 +49,12 @@ def test_query(spark, db, name):
 def test_flagship(spark):
     rows = catalog.flagship(spark, SMALL).collect()
     assert rows and all(0 <= r.pcs <= 1 for r in rows)
+
+
+def test_hybrid_orders_by_similarities_as_they_are(spark, tmp_path):
+    """Similarities that differ in their last bit alone are no ties."""
+    rows = [(a, f"thing x{a} " * a) for a in range(1, 13)] + [(100 + i, " ".join(f"w{j}" for j in range(corpus.ONE - 1))) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.connect().execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'").execute(catalog.oracle_sql()["hybrid_rrf"]).fetchall()
+    got = catalog.queries()["hybrid_rrf"](spark, str(tmp_path)).collect()
+    assert len(want) == 10 and [tuple(r) for r in got] == want

@@ -176,6 +176,15 @@ def test_best_matches_in_blocks_of_queries(spark, monkeypatch):
     assert not re.search(r"Exchange hashpartitioning\([^)]*\bid#", plan)
 
 
+def test_equal_texts_have_equal_similarities_wherever_they_are(spark):
+    query = " ".join(f"w{i} " * (1 + i % 5) for i in range(60))
+    one, other = [" ".join(f"{w}{i} " * (1 + i % 7) for i in range(90)) for w in ("w", "v")]
+    docs = spark.createDataFrame([(i, one if i % 3 else other) for i in range(1000)], "id long, t string").repartition(7)
+    asked = spark.createDataFrame([(0, query)], "q long, w string")
+    got = rt.best_matches(docs, "id", "t", asked, "q", "w", 500, None).collect()
+    assert [r.id for r in sorted(got, key=lambda r: (-r.similarity, r.id))] == [i for i in range(1000) if i % 3][:500] and len({r.similarity for r in got}) == 1
+
+
 # --- cells -------------------------------------------------------------------
 
 
